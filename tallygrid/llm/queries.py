@@ -5,12 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, urls
+from . import bpe, decontam, exact_dedup, fst, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file, on any machine."""
+    from public_tokenizers import path
+
+    return path(name)
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (verdict, host, path prefix)
@@ -63,6 +69,14 @@ FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fst.count(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -87,8 +101,10 @@ FROM h LEFT JOIN fit USING (page_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_exact_dedup": op2_exact_dedup, "op5_decontaminate": op5_decontaminate, "op10_url_filter": op10_url_filter}
+    own = [op2_exact_dedup, op3_bpe, op5_decontaminate, op9_token_counts, op10_url_filter]
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
+    """Where SQL can say it; the others are tested against brute force or the library."""
     return {"op2_exact_dedup": OP2_SQL, "op5_decontaminate": OP5_SQL, "op10_url_filter": OP10_SQL}
