@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, exact_dedup, fst, urls
+from . import bpe, decontam, exact_dedup, fst, repeats, urls
+from .shared import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +31,7 @@ URL_RULES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -73,6 +75,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fst.count(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -101,7 +107,7 @@ FROM h LEFT JOIN fit USING (page_id)
 
 
 def queries() -> dict[str, Query]:
-    own = [op2_exact_dedup, op3_bpe, op5_decontaminate, op9_token_counts, op10_url_filter]
+    own = [op2_exact_dedup, op3_bpe, op5_decontaminate, op6_repeats, op9_token_counts, op10_url_filter]
     return {f.__name__: f for f in own}
 
 
