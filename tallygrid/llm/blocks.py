@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import workspace
+
 Message = tuple[int, bytes]
 
 
@@ -75,8 +77,30 @@ def answer(asked: DataFrame, reduce: Callable[[list[bytes]], list[bytes]]) -> Da
         payloads = reduce(rows.column("payload").to_pylist())
         return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "payload": pa.array(payloads, pa.binary())})
 
-    back = asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, payload binary")
-    return back.groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("got"))
+    return gather(asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, payload binary"))
+
+
+def gather(answers: DataFrame) -> DataFrame:
+    return answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("got"))
+
+
+def keep_answers(asked: DataFrame, reduce: Callable[[list[bytes]], tuple[list[bytes], dict[str, bytes]]], label: str) -> DataFrame:
+    """A table (kind, block, bucket, payload) in the shared folder, partitioned by kind: answers, of kind "answer", and
+    what else `reduce` gives for a bucket, by kind, with no block."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        payloads, more = reduce(rows.column("payload").to_pylist())
+        n, bucket = len(payloads), rows.column("bucket")[0].as_py()
+        return pa.table({
+            "kind": pa.array(["answer"] * n + [*more], pa.string()),
+            "block": pa.array(rows.column("block").to_pylist() + [None] * len(more), pa.int64()),
+            "bucket": pa.array([bucket] * (n + len(more)), pa.int32()),
+            "payload": pa.array([*payloads, *more.values()], pa.binary()),
+        })
+
+    schema, path = "kind string, block long, bucket int, payload binary", workspace(asked.sparkSession, label)
+    asked.groupBy("bucket").applyInArrow(run, schema).write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    return asked.sparkSession.read.schema(schema).parquet(path)
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, exact_dedup, fst, repeats, urls
+from . import bpe, decontam, exact_dedup, fst, katz, repeats, urls
 from .shared import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,10 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fst.count(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -107,7 +111,7 @@ FROM h LEFT JOIN fit USING (page_id)
 
 
 def queries() -> dict[str, Query]:
-    own = [op2_exact_dedup, op3_bpe, op5_decontaminate, op6_repeats, op9_token_counts, op10_url_filter]
+    own = [op2_exact_dedup, op3_bpe, op5_decontaminate, op6_repeats, op7_katz, op9_token_counts, op10_url_filter]
     return {f.__name__: f for f in own}
 
 
