@@ -37,14 +37,14 @@ def store(rows: DataFrame, label: str) -> DataFrame:
 
 def block_ids() -> Iterator[int]:
     """Distinct over all tasks of a stage, and the same when a task is run again."""
-    k = TaskContext.get().partitionId() << 32
+    k = TaskContext.get().partitionId() << 20
     while True:
         yield k
         k += 1
 
 
 def grouped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
-    """(first column, second column as UTF-8) in parts of about `limit` bytes; null counts as empty."""
+    """(first column, second column as UTF-8) in parts of about `limit` bytes and at most about a million rows; null counts as empty."""
     for batch in batches:
         texts, lo, size = batch.column(1), 0, 0
         raw = []
@@ -52,7 +52,7 @@ def grouped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.
             x = (texts[k].as_py() or "").encode("utf-8", "surrogatepass")
             raw.append(x)
             size += len(x)
-            if size >= limit or k == len(texts) - 1:
+            if size >= limit or k - lo >= 1_000_000 or k == len(texts) - 1:
                 yield batch.column(0)[lo : k + 1], raw
                 raw, lo, size = [], k + 1, 0
 

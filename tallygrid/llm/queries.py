@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, exact_dedup, fst, katz, repeats, urls
+from . import bpe, decontam, exact_dedup, forest, fst, katz, repeats, urls
 from .shared import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,8 @@ def vocabulary(name: str) -> str:
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 #: (verdict, host, path prefix)
 URL_RULES = [
     ("allow", "org", "/"),
@@ -47,13 +49,32 @@ FROM d JOIN g USING (h)
 """
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.classes(table(spark, sf_dir, "documents")).drop("stands")
+
+
+OP4_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct([array_to_string(w[i:i + least(5, len(w)) - 1], ' ') for i in range(1, len(w) - least(5, len(w)) + 2)])) AS s
+      FROM w WHERE len(w) > 0),
+reps AS (SELECT s, min(doc_id) AS rep FROM s GROUP BY s),
+x AS (SELECT rep, len(s) AS n, unnest(s) AS t FROM reps),
+links AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.t = b.t AND a.rep <> b.rep
+          GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-6),
+reach AS (SELECT rep AS a, rep AS b FROM reps UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+root AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a),
+n AS (SELECT a AS rep, count(*) AS n_links FROM links GROUP BY a),
+d AS (SELECT w.doc_id, coalesce(root.class_id, w.doc_id) AS class_id, coalesce(n.n_links, 0) AS n_links, coalesce(len(s.s), 0) AS n_shingles
+      FROM w LEFT JOIN s USING (doc_id) LEFT JOIN reps ON reps.s = s.s LEFT JOIN root ON root.rep = reps.rep LEFT JOIN n ON n.rep = reps.rep)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, n_links, n_shingles FROM d
+"""
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("text_key")
 
 
-_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
@@ -111,10 +132,10 @@ FROM h LEFT JOIN fit USING (page_id)
 
 
 def queries() -> dict[str, Query]:
-    own = [op2_exact_dedup, op3_bpe, op5_decontaminate, op6_repeats, op7_katz, op9_token_counts, op10_url_filter]
+    own = [op2_exact_dedup, op3_bpe, op4_near_duplicates, op5_decontaminate, op6_repeats, op7_katz, op9_token_counts, op10_url_filter]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can say it; the others are tested against brute force or the library."""
-    return {"op2_exact_dedup": OP2_SQL, "op5_decontaminate": OP5_SQL, "op10_url_filter": OP10_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_decontaminate": OP5_SQL, "op10_url_filter": OP10_SQL}
