@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, exact_dedup, forest, fst, katz, repeats, urls
+from . import bpe, decontam, exact_dedup, forest, fst, katz, langid, repeats, urls
 from .shared import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +104,10 @@ def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fst.count(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -132,7 +136,7 @@ FROM h LEFT JOIN fit USING (page_id)
 
 
 def queries() -> dict[str, Query]:
-    own = [op2_exact_dedup, op3_bpe, op4_near_duplicates, op5_decontaminate, op6_repeats, op7_katz, op9_token_counts, op10_url_filter]
+    own = [op2_exact_dedup, op3_bpe, op4_near_duplicates, op5_decontaminate, op6_repeats, op7_katz, op8_language, op9_token_counts, op10_url_filter]
     return {f.__name__: f for f in own}
 
 
