@@ -1,8 +1,52 @@
-"""A corpus-cleaning pipeline of the operators in tallygrid.llm."""
+"""A corpus-cleaning pipeline of the operators in tallygrid.llm: each stage works on all that the one before kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tallygrid.llm import bpe, decontam, exact_dedup, forest, langid
+from tallygrid.llm.queries import table, vocabulary
+from tallygrid.llm.shared import importable, workspace
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that have no language, or none with a score of 0.5."""
+    importable(spark)
+    return langid.accept(docs, vocabulary("piece_bpe_32k.model"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, keeps the document with the largest doc_id."""
+    return exact_dedup.DigestIndex(spark).keep(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, keeps the document with the least doc_id."""
+    importable(spark)
+    return forest.keep(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a passage of a benchmark item."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
+    importable(spark)
+    return bpe.encode(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [("language", language), ("exact", exact), ("near", near), ("decontaminate", decontaminate), ("encode", encode)]
+
+#: Byte-pair encoding can't be said in SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(path := workspace(spark, f"stage-{name}"))
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

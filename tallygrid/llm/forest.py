@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .components import connected_components
-from .shared import materialize
+from .shared import broadcast_if_small, materialize
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -34,6 +34,9 @@ BLOCK_BYTES = 8_000_000
 #: Documents, and bytes of shingles, that are verified together; larger components are split into parts of half that.
 TOGETHER, TOGETHER_BYTES = 2_000, 64_000_000
 
+#: The most ids (8 bytes each) that are broadcast to drop rows; more take a shuffled join.
+DROPPED_ROWS = 1_000_000
+
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -277,3 +280,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     return out.join(named, "root").select(
         F.col("id").alias(id_col), F.col("first.id").alias("class_id"), "class_size", "n_links", "n_shingles", (F.col("ref") == F.coalesce("first.ref", "any")).alias("stands")
     )
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their class."""
+    gone = classes(docs, id_col, text_col, similarity).groupBy(F.col(id_col).alias("__gone")).agg(F.max("stands").alias("stands")).where("NOT stands").select("__gone")
+    gone = broadcast_if_small(materialize(gone, "near-duplicates"), DROPPED_ROWS)
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

@@ -160,6 +160,23 @@ class Scorer:
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
         self.logs = np.concatenate(logs)
 
+    def judge_all(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        preds, scores, lo = [], [], 0
+        while lo < len(texts):
+            found, letters, size = [], [], 0
+            while lo < len(texts) and size < 4_000_000:
+                x = texts[lo].as_py() or ""
+                size += len(x)
+                found.append(words := words_of(x))
+                letters.append(any(w.isalpha() for w in words) or any(map(str.isalpha, x)))
+                lo += 1
+            self.learn({w for words in found for w in words})
+            for words, has in zip(found, letters, strict=True):
+                pred, score = self.judge(words, has)
+                preds.append(pred)
+                scores.append(score)
+        return preds, scores
+
     def judge(self, words: list[str], has_letter: bool) -> tuple[str, float]:
         if not words or not has_letter or not self.languages:
             return UNKNOWN, 0.0
@@ -178,29 +195,35 @@ def predict(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     columns are ignored; an empty table gives no rows.
     """
     kind = dict(docs.dtypes)[id_col]
-    counts = training_words(docs, id_col, text_col, lang_col, sample).toArrow()
-    languages, p = learn(sorted(zip(*(counts.column(k).to_pylist() for k in range(3)), strict=True)), pieces(path))
+    languages, p = fit(docs, path, id_col, text_col, lang_col, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(languages, p, pieces(path))
         for batch in batches:
-            texts, preds, scores, lo = batch.column(1), [], [], 0
-            while lo < len(batch):
-                found, letters, size = [], [], 0
-                while lo < len(batch) and size < 4_000_000:
-                    x = texts[lo].as_py() or ""
-                    size += len(x)
-                    found.append(words := words_of(x))
-                    letters.append(any(w.isalpha() for w in words) or any(map(str.isalpha, x)))
-                    lo += 1
-                scorer.learn({w for words in found for w in words})
-                for words, has in zip(found, letters, strict=True):
-                    pred, score = scorer.judge(words, has)
-                    preds.append(pred)
-                    scores.append(score)
             ids = batch.column(0)
+            preds, scores = scorer.judge_all(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array([held_out(x) for x in ids.to_pylist()]), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [id_col, "held_out", "lang_pred", "score"]
             )
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
+
+
+def fit(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
+    """(languages, piece probabilities) of the training documents."""
+    counts = training_words(docs, id_col, text_col, lang_col, sample).toArrow()
+    return learn(sorted(zip(*(counts.column(k).to_pylist() for k in range(3)), strict=True)), pieces(path))
+
+
+def accept(docs: DataFrame, path: str, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language, with at least this score."""
+    languages, p = fit(docs, path, id_col, text_col, lang_col, sample)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(languages, p, pieces(path))
+        for batch in batches:
+            preds, scores = scorer.judge_all(batch.column(place))
+            yield batch.filter(pa.array([lang != UNKNOWN and x >= least for lang, x in zip(preds, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, exact_dedup, forest, fst, katz, langid, repeats, urls
+from . import bpe, chat, decontam, exact_dedup, forest, fst, katz, langid, repeats, urls
 from .shared import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
+OP1_SQL = """
+WITH t AS (SELECT conv_id, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text) AS seq FROM conversations),
+who AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role IS NOT NULL AND role <> 'system'),
+x AS (SELECT t.conv_id, speaker, seq, (seq - 1) // 64 AS part, coalesce(role = speaker, false) AS own, text || '<|im_end|>' AS body,
+             '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || coalesce(role, 'unknown') END || chr(10) AS head
+      FROM t JOIN who ON t.conv_id IS NOT DISTINCT FROM who.conv_id),
+y AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY seq) - length(body) - 1 AS pos FROM x)
+SELECT conv_id, speaker, part, count(*) AS n_turns, count(*) FILTER (own) AS n_own, string_agg(head || body || chr(10), '' ORDER BY seq) AS text,
+       coalesce(string_agg(CAST(pos AS BIGINT) || '-' || CAST(pos + length(body) AS BIGINT), ',' ORDER BY seq) FILTER (own), '') AS spans
+FROM y GROUP BY conv_id, speaker, part
+"""
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.DigestIndex(spark).dedup(table(spark, sf_dir, "documents"))
 
@@ -136,10 +153,10 @@ FROM h LEFT JOIN fit USING (page_id)
 
 
 def queries() -> dict[str, Query]:
-    own = [op2_exact_dedup, op3_bpe, op4_near_duplicates, op5_decontaminate, op6_repeats, op7_katz, op8_language, op9_token_counts, op10_url_filter]
+    own = [op1_perspectives, op2_exact_dedup, op3_bpe, op4_near_duplicates, op5_decontaminate, op6_repeats, op7_katz, op8_language, op9_token_counts, op10_url_filter]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can say it; the others are tested against brute force or the library."""
-    return {"op2_exact_dedup": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_decontaminate": OP5_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_perspectives": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_decontaminate": OP5_SQL, "op10_url_filter": OP10_SQL}
