@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, materialize, words
+from .shared import broadcast_if_small, materialize, unused, words
 
 #: Words in a shingle; windows of fewer words are one shingle.
 SHINGLE = 5
@@ -113,5 +113,7 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "d
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without a hit, with all their columns."""
-    found = find(docs, benchmark, size, id_col, text_col).where("contaminated").select(F.col(id_col).alias("__id"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (_text_key(text_col) == F.col("__key")), "left_anti")
+    one, two = unused(docs, "dirty_id"), unused(docs, "dirty_key")
+    found = find(docs, benchmark, size, id_col, text_col).where("contaminated").select(F.col(id_col).alias(one), F.col("text_key").alias(two)).distinct()
+    found = broadcast_if_small(materialize(found, "contaminated"), BROADCAST_ROWS)
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col(one)) & (_text_key(text_col) == F.col(two)), "left_anti")

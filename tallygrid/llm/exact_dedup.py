@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, fold, materialize, workspace
+from .shared import fold, materialize, without_ids, workspace
 
 #: The most ids (8 bytes each) that are broadcast to drop rows; more take a shuffled join.
 DROPPED_ROWS = 1_000_000
@@ -74,6 +74,5 @@ class DigestIndex:
 
     def keep(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Add a batch and return those of its rows that stay, with all their columns. Rows without an id don't."""
-        gone = self.dedup(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
-        gone = broadcast_if_small(materialize(gone, "dropped"), DROPPED_ROWS)
-        return docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+        gone = materialize(self.dedup(docs, id_col, text_col).where("NOT kept").select(id_col).distinct(), "dropped")
+        return without_ids(docs.where(F.col(id_col).isNotNull()), id_col, gone, DROPPED_ROWS)

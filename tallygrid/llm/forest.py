@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .components import connected_components
-from .shared import broadcast_if_small, materialize
+from .shared import materialize, without_ids
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -284,6 +284,5 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs, with all their columns, that stand for their class."""
-    gone = classes(docs, id_col, text_col, similarity).groupBy(F.col(id_col).alias("__gone")).agg(F.max("stands").alias("stands")).where("NOT stands").select("__gone")
-    gone = broadcast_if_small(materialize(gone, "near-duplicates"), DROPPED_ROWS)
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    found = classes(docs, id_col, text_col, similarity).groupBy(F.col(id_col).alias("id")).agg(F.max("stands").alias("stands"))
+    return without_ids(docs, id_col, materialize(found.where("NOT stands").select("id"), "near-duplicates"), DROPPED_ROWS)

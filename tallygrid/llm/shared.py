@@ -68,3 +68,17 @@ def small(df: DataFrame, rows: int) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """df, marked for broadcast if it has at most so many (narrow) rows; otherwise left to a shuffled join."""
     return F.broadcast(df) if small(df, rows) else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
+def without_ids(df: DataFrame, id_col: str, gone: DataFrame, rows: int) -> DataFrame:
+    """df without the rows whose id is among those of gone (one column), which is broadcast if it has at most so many."""
+    name = unused(df, "gone")
+    gone = broadcast_if_small(gone.toDF(name), rows)
+    return df.join(gone, F.col(id_col) == F.col(name), "left_anti")
