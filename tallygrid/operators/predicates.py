@@ -90,15 +90,14 @@ def widened(lo: int, up: int, threshold: int, values: np.ndarray, total: np.ndar
             lo = max(most + 1, 0)
         steps = lo - max(least, 0)
         if steps > 0:
-            higher = lambda k: max(up, min(up + k, most))
-            higher_ok = up >= least - 1
-            reach = (lambda k: higher(k)) if higher_ok else (lambda k: up)
-            k = first(lambda k: covered(lo - k, reach(k)) >= threshold, steps)
-            lo, up = lo - k, reach(k)
+            # The upper end moves along unless it is at the greatest value, beyond it, or apart from all values.
+            top = lambda k: max(up, min(up + k, most)) if up >= least - 1 else up
+            k = first(lambda k: covered(lo - k, top(k)) >= threshold, steps)
+            lo, up = lo - k, top(k)
             if covered(lo, up) >= threshold:
                 return lo, up
-        lo = min(lo, 0) if lo <= 0 else 0
-    if up < most and up + 1 >= least:
+        lo = 0
+    if least - 1 <= up < most:
         up += first(lambda k: covered(lo, up + k) >= threshold, most - up)
     return lo, up
 
