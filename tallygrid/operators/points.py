@@ -58,8 +58,8 @@ def gram_points(rows: DataFrame, n: int = 3, id_col: str = "id", values_col: str
 def gram_predicates(rows: DataFrame, data: DataFrame, n: int = 3, id_col: str = "id", values_col: str = "values", most: int = OCCURRENCES) -> DataFrame:
     """Queries for gram_points of data: values beyond the data's bounds are left out, then runs are made; occurrences above
     `most` are dropped."""
-    b = value_bounds(data, values_col)
-    kept = rows.crossJoin(F.broadcast(b)).select(F.col(id_col).alias("id"), F.filter(values_col, lambda v: v.between(F.col("least"), F.col("most"))).alias("values"))
+    b = value_bounds(data, values_col).first()  # one row
+    kept = rows.select(F.col(id_col).alias("id"), F.filter(values_col, lambda v: v.between(F.lit(b["least"]), F.lit(b["most"]))).alias("values"))
     at = _occurrences(kept, n).where(F.col("dim") <= most)
     return at.select(F.col("id").alias("qid"), F.lit(0).alias("ord"), "dim", F.col("value").alias("lo"), F.col("value").alias("up"), F.lit(1.0).alias("weight"), F.lit(0.0).alias("selectivity"))
 

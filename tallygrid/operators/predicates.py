@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 COLUMNS = ["qid", "ord", "dim", "lo", "up", "weight", "selectivity"]
 
@@ -129,8 +128,3 @@ def selectivity_of(preds: DataFrame, points: DataFrame) -> DataFrame:
     hit = at.join(counts, (at.dim == counts.dim) & counts.value.between(at.lo, at.up)).groupBy("pid").agg(F.sum("count").alias("covered"))
     return at.join(hit, "pid", "left").select(*COLUMNS, F.coalesce("covered", F.lit(0)).alias("covered"))
 
-
-def ranks(preds: DataFrame) -> DataFrame:
-    """preds with the number of each query, from 0, by qid."""
-    ids = preds.select("qid").distinct()
-    return preds.join(ids.select("qid", (F.row_number().over(Window.orderBy("qid")) - 1).alias("number")), "qid")

@@ -58,7 +58,7 @@ def search_adaptive(points: DataFrame, preds: DataFrame, k: int, selectivity: fl
 
 def search_chunks(points: DataFrame, preds: DataFrame, k: int, size: int, **how) -> DataFrame:
     """By chunks of `size` ids, each with its own top k, then together; the same as without chunks."""
-    parts = top_k(match(P.chunk(points, size), preds.crossJoin(F.broadcast(P.chunk(points, size).select("chunk").distinct())), on=("chunk",), keys=("chunk", "qid", "id"), **how), k, per=("chunk", "qid"))
+    parts = top_k(P.chunk(match(points, preds, **how), size), k, per=("chunk", "qid"))
     return top_k(parts.select("qid", "id", "cnt"), k)
 
 
