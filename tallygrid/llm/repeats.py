@@ -22,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
+from .shared import materialize
 
 #: Bytes of an anchor's gram, and of the texts in a block.
 GRAM = 32
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
+#: Buckets of surroundings for each of other things, as a message of these is so much larger.
+FINER = 4
 #: An anchor that blocks hold more often than this is judged by hashes of its strings, which spread over all buckets.
 HOT = 20_000
 #: Stands for what lies beyond a text; UTF-8 never has it.
@@ -42,22 +45,19 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
     """A hash of the `size` bytes from each place on: hashes of 1, 2, 4, ... bytes, put together."""
+    n = len(raw) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        powers, part, have = [raw.astype(np.uint64) + np.uint64(1)], _P, 1
-        while 2 * have <= size:
-            h = powers[-1]
-            powers.append(h[:-have] * part + h[have:])
+        h, part, have, out, used = raw.astype(np.uint64) + np.uint64(1), _P, 1, None, 0
+        while True:
+            if size & have:
+                out = h[used : used + n] if out is None else _mix(out) * _P + h[used : used + n]
+                used += have
+            if used == size:
+                return _mix(out)
+            h = h[:-have] * part + h[have:]
             part, have = part * part, 2 * have
-        out, used = None, 0
-        for k in range(len(powers) - 1, -1, -1):
-            if size >> k & 1:
-                n = len(raw) - size + 1
-                if n <= 0:
-                    return np.zeros(0, np.uint64)
-                piece = powers[k][used : used + n]
-                out = piece if out is None else _mix(out) * _P + piece
-                used += 1 << k
-        return _mix(out)
 
 
 def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,13 +222,16 @@ def _reach(length: int):
             rows.append(flat.reshape(len(h), left + length))
             sizes.append(len(h))
         h, n, rows = np.concatenate(hashes), np.concatenate(times), np.concatenate(rows)
+        del hashes, times
         first: dict[bytes, int] = {}
-        where = np.fromiter((first.setdefault(rows[k].tobytes(), k) for k in range(len(rows))), np.int64, len(rows))
+        where = np.fromiter((first.setdefault(rows[k].tobytes(), k) for k in range(len(h))), np.int64, len(h))
         own, where = np.unique(where, return_inverse=True)
         total = np.bincount(where, n, len(own))
-        far_l, far_r = maximal_repeats(rows[own], h[own], left, length)
+        first.clear()
+        rows = rows[own]
+        far_l, far_r = maximal_repeats(rows, h[own], left, length)
         # What occurs several times with all its surroundings is a repeat as far as its text goes.
-        whole_l, whole_r = _common(rows[own][:, :left][:, ::-1], rows[own][:, :left][:, ::-1]), _common(rows[own][:, left:], rows[own][:, left:])
+        whole_l, whole_r = _common(rows[:, :left][:, ::-1], rows[:, :left][:, ::-1]), _common(rows[:, left:], rows[:, left:])
         often = (total > 1) & (whole_l + whole_r >= length)
         far_l[often], far_r[often] = whole_l[often], whole_r[often]
         return [blocks.squeeze(a.astype("<u2"), b.astype("<u2")) for a, b in zip(*(np.split(x[where], np.cumsum(sizes)[:-1]) for x in (far_l, far_r)), strict=True)]
@@ -337,9 +340,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     table = blocks.store(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(build, f"block long, ids array<{kind}>, body binary, sizes binary, places binary, hashes binary"), "repeats")
     kinds = blocks.answer(blocks.ask(table, ["hashes"], _anchor_messages(n)), _counter(hot))
-    known = blocks.store(table.join(kinds, "block", "left"), "repeats_known")
+    known = table.join(materialize(kinds, "anchor-kinds"), "block", "left")
     fields = ["body", "sizes", "places", "hashes", "got"]
-    reach = blocks.answer(blocks.ask(known, fields, _context_messages(n, length)), _reach(length)).withColumnRenamed("got", "reach")
+    reach = blocks.answer(blocks.ask(known, fields, _context_messages(FINER * n, length)), _reach(length)).withColumnRenamed("got", "reach")
     strings = blocks.answer(blocks.ask(known, fields, _string_messages(n, length)), _counter(hot)).withColumnRenamed("got", "strings")
     both = known.join(reach, "block", "left").join(strings, "block", "left")
 
