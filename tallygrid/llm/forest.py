@@ -165,8 +165,9 @@ def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     who, where = who[keep], column[where[keep]]
     order = np.argsort(where, kind="stable")
     who, where = who[order], where[order]
-    step = max(256, 16_000_000 // max(m, 1))
-    for lo in range(0, int((often > 1).sum()), step):
+    width = int((often > 1).sum())
+    step = max(256, min(width, 16_000_000 // max(m, 1)))
+    for lo in range(0, width, step):
         a, b = np.searchsorted(where, [lo, lo + step])
         part = np.zeros((m, step), np.float32)
         part[who[a:b], where[a:b] - lo] = 1
