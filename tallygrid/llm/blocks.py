@@ -29,9 +29,10 @@ def buckets(df: DataFrame) -> int:
 
 
 def store(rows: DataFrame, label: str) -> DataFrame:
-    """A table of rows with a column block, bucketed by it, in the warehouse that all executors share."""
+    """A table of rows with a column block, bucketed by it, in the shared folder."""
     name = f"{label}_{uuid.uuid4().hex[:12]}"
-    rows.write.format("parquet").option("compression", "zstd").bucketBy(buckets(rows), "block").saveAsTable(name)
+    at = workspace(rows.sparkSession, label)
+    rows.write.format("parquet").option("compression", "zstd").option("path", at).bucketBy(buckets(rows), "block").saveAsTable(name)
     return rows.sparkSession.table(name)
 
 
@@ -66,7 +67,7 @@ def ask(table: DataFrame, columns: list[str], messages: Callable[..., Iterable[M
                 block, *values = (c[k].as_py() for c in batch.columns)
                 for bucket, payload in messages(*values):
                     yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "bucket": pa.array([bucket], pa.int32()), "payload": pa.array([payload], pa.binary())})
-
+        
     return table.select("block", *columns).mapInArrow(run, "block long, bucket int, payload binary")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import os
 import shutil
 import string
@@ -30,9 +31,15 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
-    own = f"{LOCAL_ROOT}/{spark.sparkContext.applicationId}"
+    return f"file://{_local_root(spark.sparkContext.applicationId)}"
+
+
+@functools.cache
+def _local_root(application: str) -> str:
+    """Removed when Python ends."""
+    own = f"{LOCAL_ROOT}/{application}"
     atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return f"file://{own}"
+    return own
 
 
 def workspace(spark: SparkSession, label: str) -> str:
