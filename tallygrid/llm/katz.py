@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import blocks
 from .shared import materialize
 
-BLOCK_BYTES = 10_000_000
+BLOCK_BYTES = 5_000_000
 #: Counts up to this one are discounted.
 K = 5
 #: The hash of the token that ends a text (no word has white space in it), and the number of the context that begins one.
