@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from .shared import broadcast_if_small
 
 #: Training documents of each language, about; EM rounds; what is added to each piece's expected count.
-SAMPLE_DOCS = 500
-ROUNDS = 4
+SAMPLE_DOCS = 300
+ROUNDS = 3
 ADDED = 0.01
 #: Characters of a piece, and of a part into which a longer word falls.
 PIECE, WORD = 12, 40
 #: Words, with their log probabilities, that a worker keeps; beyond them it begins anew.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 UNKNOWN = "und"
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -43,7 +43,12 @@ def pieces(path: str) -> dict[str, int]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(k) for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))}
     own = {p for p in found if len(p) <= PIECE and p == p.lower() and (p == _START or all(map(str.isalpha, p.removeprefix(_START))))}
-    return {p: k for k, p in enumerate(sorted(own), 1)}
+    return with_beginnings(sorted(own))
+
+
+def with_beginnings(own: list[str]) -> dict[str, int]:
+    """The pieces by number, and what else begins one with -1."""
+    return {p[:k]: -1 for p in own for k in range(1, len(p))} | {p: k for k, p in enumerate(own, 1)}
 
 
 def words_of(text: str) -> list[str]:
@@ -55,32 +60,47 @@ def words_of(text: str) -> list[str]:
 
 
 class Lattice:
-    """The arcs of all segmentations of some words: word, start, end and piece of each, by end."""
+    """The arcs of all segmentations of some words: word, start, end and piece of each."""
 
     def __init__(self, words: list[str], vocab: dict[str, int]):
-        self.size = np.array([len(w) + 1 for w in words])
+        """vocab: pieces, and their beginnings with -1."""
+        self.size = np.array([len(w) + 1 for w in words], np.int64)
         found: list[int] = []
         get = vocab.get
         for n, w in enumerate(words):
             w = _START + w
-            for end in range(1, len(w) + 1):
-                for start in range(max(0, end - PIECE), end):
+            last = len(w)
+            for start in range(last):
+                one = get(w[start])
+                if one is None or one < 0:  # no piece by itself: an unknown character
+                    found += (n, start, start + 1, 0)
+                    if one is None:
+                        continue
+                for end in range(start + 1, last + 1):
                     k = get(w[start:end])
-                    if k is not None:
+                    if k is None:
+                        break
+                    if k > 0:
                         found += (n, start, end, k)
-                    elif start == end - 1:
-                        found += (n, start, end, 0)
-        arcs = np.array(found, np.int32).reshape(-1, 4)
-        arcs = arcs[np.argsort(arcs[:, 2], kind="stable")]
-        self.word, self.start, self.end, self.piece = arcs.T
-        self.cuts = np.searchsorted(self.end, np.arange(1, max([*self.size, 1]) + 2))
+        self.word, self.start, self.end, self.piece = np.array(found, np.int32).reshape(-1, 4).T.astype(np.int64)
+        self.places = max([*self.size.tolist(), 1]) + 1
+
+    def _pass(self, a: np.ndarray, p: np.ndarray, here: np.ndarray, there: np.ndarray, places: range) -> None:
+        """Fill a (words, places, languages) place by place with sums over arcs from there to here."""
+        order = np.argsort(here, kind="stable")
+        cuts = np.searchsorted(here[order], np.arange(self.places + 1))
+        for x in places:
+            arcs = order[cuts[x] : cuts[x + 1]]
+            w = self.word[arcs]
+            flow = a[w, there[arcs]] * p[self.piece[arcs]]
+            for k in range(p.shape[1]):
+                a[:, x, k] += np.bincount(w, flow[:, k], len(self.size))
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """(words, places, languages): the probability of each prefix."""
-        a = np.zeros((len(self.size), max([*self.size, 1]) + 1, p.shape[1]))
+        a = np.zeros((len(self.size), self.places, p.shape[1]))
         a[:, 0] = 1
-        for end, (lo, hi) in enumerate(zip(self.cuts, self.cuts[1:]), 1):  # noqa: B905
-            np.add.at(a[:, end], self.word[lo:hi], a[self.word[lo:hi], self.start[lo:hi]] * p[self.piece[lo:hi]])
+        self._pass(a, p, self.end, self.start, range(1, self.places))
         return a
 
     def total(self, p: np.ndarray) -> np.ndarray:
@@ -89,18 +109,12 @@ class Lattice:
 
     def expected(self, p: np.ndarray, n: np.ndarray) -> np.ndarray:
         """(pieces, languages): how often each piece is expected in words that occur n (words, languages) times."""
-        a = self.forward(p)
-        whole = a[np.arange(len(self.size)), self.size]
+        a, at = self.forward(p), np.arange(len(self.size))
         b = np.zeros_like(a)
-        b[np.arange(len(self.size)), self.size] = n / np.maximum(whole, 1e-300)
-        out = np.zeros_like(p)
-        for end in range(len(self.cuts) - 1, 0, -1):
-            lo, hi = self.cuts[end - 1], self.cuts[end]
-            w, s, k = self.word[lo:hi], self.start[lo:hi], self.piece[lo:hi]
-            flow = b[w, end] * p[k]
-            np.add.at(b, (w, s), flow)
-            np.add.at(out, k, flow * a[w, s])
-        return out
+        b[at, self.size] = n / np.maximum(a[at, self.size], 1e-300)
+        self._pass(b, p, self.start, self.end, range(self.places - 1, -1, -1))
+        flow = a[self.word, self.start] * p[self.piece] * b[self.word, self.end]
+        return np.stack([np.bincount(self.piece, flow[:, k], len(p)) for k in range(p.shape[1])], 1)
 
 
 def learn(counts: list[tuple[str, str, int]], vocab: dict[str, int], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
@@ -111,7 +125,8 @@ def learn(counts: list[tuple[str, str, int]], vocab: dict[str, int], rounds: int
     n = np.zeros((len(place), len(languages)))
     for lang, w, k in counts:
         n[place[w], of[lang]] += k
-    p = np.full((len(vocab) + 1, len(languages)), 1 / (len(vocab) + 1))
+    n_pieces = max(vocab.values(), default=0) + 1
+    p = np.full((n_pieces, len(languages)), 1 / n_pieces)
     words = list(place)
     parts = [(Lattice(words[k : k + 20_000], vocab), n[k : k + 20_000]) for k in range(0, len(words), 20_000)]
     for _ in range(rounds):

@@ -296,7 +296,7 @@ def test_forward_sums_all_segmentations():
         return 1.0 if not w else sum(p[vocab.get(w[:n], 0), k] * total(w[n:], k) for n in range(1, len(w) + 1) if w[:n] in vocab or n == 1)
 
     words = ["ab", "aba", "", "bxab"]
-    lattice = langid.Lattice(words, vocab)
+    lattice = langid.Lattice(words, langid.with_beginnings([*vocab]))
     assert lattice.total(p) == pytest.approx(np.array([[total("▁" + w, k) for k in range(2)] for w in words]))
     counts = lattice.expected(p, np.ones((4, 2)))  # each word's pieces have its characters
     size = np.array([1] + [len(x) for x in vocab])
