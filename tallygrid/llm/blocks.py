@@ -9,6 +9,8 @@ moving its documents again.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -36,10 +38,28 @@ def store(rows: DataFrame, label: str) -> DataFrame:
     return rows.sparkSession.table(name)
 
 
+@functools.cache
+def _allocator():
+    """The C library's, told to take large arrays from the system and so to give them back; else None."""
+    lib = ctypes.CDLL(None)
+    if not hasattr(lib, "malloc_trim") or not hasattr(lib, "mallopt"):
+        return None
+    lib.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    return lib
+
+
+def tidy() -> None:
+    """Give memory that is free back to the system: two workers and a JVM share an executor's."""
+    pa.default_memory_pool().release_unused()
+    if lib := _allocator():
+        lib.malloc_trim(0)
+
+
 def block_ids() -> Iterator[int]:
     """Distinct over all tasks of a stage, and the same when a task is run again."""
     k = TaskContext.get().partitionId() << 20
     while True:
+        tidy()
         yield k
         k += 1
 
@@ -67,7 +87,8 @@ def ask(table: DataFrame, columns: list[str], messages: Callable[..., Iterable[M
                 block, *values = (c[k].as_py() for c in batch.columns)
                 for bucket, payload in messages(*values):
                     yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "bucket": pa.array([bucket], pa.int32()), "payload": pa.array([payload], pa.binary())})
-        
+                tidy()
+
     return table.select("block", *columns).mapInArrow(run, "block long, bucket int, payload binary")
 
 
@@ -76,6 +97,7 @@ def answer(asked: DataFrame, reduce: Callable[[list[bytes]], list[bytes]]) -> Da
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         payloads = reduce(rows.column("payload").to_pylist())
+        tidy()
         return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "payload": pa.array(payloads, pa.binary())})
 
     return gather(asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, payload binary"))
@@ -91,6 +113,7 @@ def keep_answers(asked: DataFrame, reduce: Callable[[list[bytes]], tuple[list[by
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         payloads, more = reduce(rows.column("payload").to_pylist())
+        tidy()
         n, bucket = len(payloads), rows.column("bucket")[0].as_py()
         return pa.table({
             "kind": pa.array(["answer"] * n + [*more], pa.string()),

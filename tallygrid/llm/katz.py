@@ -255,6 +255,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for batch in batches:
             for k in range(len(batch)):
                 ids, *values, got, told = (c[k].as_py() for c in batch.columns)
+                blocks.tidy()
                 b = _Block(*values)
                 b.know(got, offsets)
                 b.pairs(n, total)

@@ -26,9 +26,9 @@ from .shared import materialize
 
 #: Bytes of an anchor's gram, and of the texts in a block.
 GRAM = 32
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_500_000
 #: Buckets of surroundings for each of other things, as a message of these is so much larger.
-FINER = 4
+FINER = 8
 #: An anchor that blocks hold more often than this is judged by hashes of its strings, which spread over all buckets.
 HOT = 20_000
 #: Stands for what lies beyond a text; UTF-8 never has it.
@@ -273,15 +273,6 @@ def _distinct(raw: np.ndarray, ends: np.ndarray, at: np.ndarray, h: np.ndarray,
     return h[first], np.bincount(where, minlength=len(seen)), rows[first], where
 
 
-def _strings(rows: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all strings of `length` bytes in each row; 0 where one would leave its text."""
-    n, width = rows.shape
-    h = gram_hashes(rows.reshape(-1), length)
-    h = np.concatenate([h, np.zeros(n * width - len(h), np.uint64)]).reshape(n, width)[:, : width - length + 1]
-    begin, end = (rows == NONE)[:, : width - length + 1], (rows == NONE)[:, length - 1 :]
-    return np.where(begin | end, 0, h)
-
-
 def _context_messages(n: int, length: int):
     def messages(body: bytes, sizes: bytes, places: bytes, hashes: bytes, got) -> Iterable[blocks.Message]:
         chosen = _kinds(hashes, got) == 1
@@ -299,7 +290,6 @@ def _string_messages(n: int, length: int):
         if not chosen.any():
             return
         raw, ends = _open(body, sizes)
-        # Each place counts once: anchors close by have strings in common.
         h, _ = _hot_strings(raw, ends, np.frombuffer(places, "<u4").astype(np.int64)[chosen], length)
         h, times = np.unique(h, return_counts=True)
         for k, part in blocks.by_bucket(h, n):
@@ -309,12 +299,16 @@ def _string_messages(n: int, length: int):
 
 
 def _hot_strings(raw: np.ndarray, ends: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, places) of all strings through these anchors."""
-    left = length - min(GRAM, length)
-    found = _strings(surroundings(raw, ends, at, length), length)
-    where = at[:, None] - left + np.arange(found.shape[1])
-    place, first = np.unique(where[found != 0], return_index=True)
-    return found[found != 0][first], place
+    """(hashes, places) of all strings through these anchors that lie in one text, each place once."""
+    through, inside = np.zeros(len(raw) + 1, np.int32), np.zeros(len(raw) + 1, np.int32)
+    np.add.at(through, np.maximum(at - (length - min(GRAM, length)), 0), 1)
+    np.add.at(through, at + 1, -1)
+    begins = np.r_[0, ends[:-1]]
+    full = ends - begins >= length
+    np.add.at(inside, begins[full], 1)
+    np.add.at(inside, ends[full] - length + 1, -1)
+    place = np.flatnonzero((np.cumsum(through) > 0) & (np.cumsum(inside) > 0))
+    return gram_hashes(raw, length)[place], place
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, hot: int = HOT) -> DataFrame:
@@ -349,6 +343,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
+                blocks.tidy()
                 yield _cut(*(c[k].as_py() for c in batch.columns), length=length, kind=ids_type(batch), names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     def ids_type(batch: pa.RecordBatch) -> pa.DataType:
