@@ -16,12 +16,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, keeps the document with the largest doc_id."""
+    """Of equal texts, keeps one document: that with the largest doc_id, or one without if none has one."""
     return exact_dedup.DigestIndex(spark).keep(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, keeps the document with the least doc_id."""
+    """Of each group of near-duplicates, keeps one document: that with the least doc_id, or one without if none has one."""
     importable(spark)
     return forest.keep(docs)
 

@@ -12,10 +12,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fold, materialize, without_ids, workspace
+from .shared import fold, materialize, staying, workspace
 
-#: The most ids (8 bytes each) that are broadcast to drop rows; more take a shuffled join.
-DROPPED_ROWS = 1_000_000
+#: The most ids with digests (40 bytes each) that are broadcast to drop rows; more take a shuffled join.
+DROPPED_ROWS = 500_000
 
 
 def digest(text: Column) -> Column:
@@ -48,9 +48,17 @@ class DigestIndex:
         Of equal texts in the batch the row with the largest id stays, unless the index already holds the text: then
         none of the batch stays, and keep_id is the id recorded when the text came first. group_size counts the copies
         in the batch, and those recorded with the text before. Null texts count as empty, and empty texts are equal.
-        Rows with a null id never stay; where no copy has an id, keep_id is null. Rows that repeat an id and a text are
-        copies that share the decision. Other columns are ignored, whatever their names.
+        Rows with a null id are never marked; where no copy has an id, keep_id is null. Rows that repeat an id and a text
+        are copies that share the mark. (keep() returns one row of each text that is new, also of these.) Other columns
+        are ignored, whatever their names.
         """
+        mine = F.coalesce(F.col("id") == F.col("keep_id"), F.lit(False))
+        return self._judged(docs, id_col, text_col).select(
+            F.col("id").alias(id_col), "keep_id", "group_size", (mine & F.col("new")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+        )
+
+    def _judged(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """Add a batch and return, for each of its rows, (id, digest, keep_id, group_size, new: the text wasn't known)."""
         batch = uuid.uuid4().hex
         seen = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(digest(F.col(text_col))).alias("digest")), "digest-batch")
         groups = seen.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("copies"))
@@ -67,12 +75,13 @@ class DigestIndex:
         # Written, so that both sides of the last join are shuffled for it and adaptive execution can split a digest that
         # many rows share.
         sizes = materialize(sizes, "digest-sizes")
-        mine = F.coalesce(F.col("id") == F.col("keep_id"), F.lit(False))
-        return seen.join(sizes, "digest").select(
-            F.col("id").alias(id_col), "keep_id", "group_size", (mine & F.col("new")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-        )
+        return seen.join(sizes, "digest").select("id", "digest", "keep_id", "group_size", "new")
 
     def keep(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Add a batch and return those of its rows that stay, with all their columns. Rows without an id don't."""
-        gone = materialize(self.dedup(docs, id_col, text_col).where("NOT kept").select(id_col).distinct(), "dropped")
-        return without_ids(docs.where(F.col(id_col).isNotNull()), id_col, gone, DROPPED_ROWS)
+        """Add a batch and return one row of each text that the index didn't hold, with all its columns.
+
+        It is one with the largest id, or without an id if no copy has one; of rows that repeat both, any one.
+        """
+        chosen = F.col("new") & F.col("id").eqNullSafe(F.col("keep_id"))
+        pairs = self._judged(docs, id_col, text_col).groupBy("id", "digest").agg(F.count("*").alias("n"), F.max(chosen.cast("long")).alias("m"))
+        return staying(docs, [F.col(id_col).cast("long"), F.unhex(digest(F.col(text_col)))], pairs, DROPPED_ROWS)

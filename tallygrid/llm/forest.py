@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .components import connected_components
-from .shared import materialize, without_ids
+from .shared import materialize, staying
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -34,7 +34,7 @@ BLOCK_BYTES = 8_000_000
 #: Documents, and bytes of shingles, that are verified together; larger components are split into parts of half that.
 TOGETHER, TOGETHER_BYTES = 2_000, 64_000_000
 
-#: The most ids (8 bytes each) that are broadcast to drop rows; more take a shuffled join.
+#: The most ids with hashes of texts (16 bytes each) that are broadcast to drop rows; more take a shuffled join.
 DROPPED_ROWS = 1_000_000
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -284,6 +284,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their class."""
-    found = classes(docs, id_col, text_col, similarity).groupBy(F.col(id_col).alias("id")).agg(F.max("stands").alias("stands"))
-    return without_ids(docs, id_col, materialize(found.where("NOT stands").select("id"), "near-duplicates"), DROPPED_ROWS)
+    """The rows of docs, with all their columns, that stand for their class: one of each.
+
+    It is one with the least id, or without an id if none has one. Rows that repeat an id are judged each by its own
+    text; of rows that repeat both, any one.
+    """
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key")).alias("id"), F.col(text_col).alias("text"))
+    pairs = classes(rows, "id", "text", similarity).groupBy("id.id", "id.key").agg(F.count("*").alias("n"), F.sum(F.col("stands").cast("long")).alias("m"))
+    return staying(docs, [F.col(id_col), key], pairs, DROPPED_ROWS)

@@ -8,6 +8,8 @@ import os
 import shutil
 import string
 import uuid
+from functools import reduce
+from operator import and_
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,8 +86,22 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def without_ids(df: DataFrame, id_col: str, gone: DataFrame, rows: int) -> DataFrame:
-    """df without the rows whose id is among those of gone (one column), which is broadcast if it has at most so many."""
-    name = unused(df, "gone")
-    gone = broadcast_if_small(gone.toDF(name), rows)
-    return df.join(gone, F.col(id_col) == F.col(name), "left_anti")
+def staying(df: DataFrame, keys: list[Column], pairs: DataFrame, rows: int) -> DataFrame:
+    """The rows of df that stay, with all their columns: of the n rows with the same keys, m.
+
+    pairs has a row for each value of keys (nulls are values), its columns in their order, and then n and m. m is 0, 1 or
+    n; where it is 1 any one row stays. Keys with m < n are broadcast if they are at most so many. Only rows whose keys
+    repeat, and of which one stays, are shuffled with their texts, after all but one in each task are dropped.
+    """
+    own = [unused(df, f"gone_{k}") for k in range(len(keys))]
+    one = unused(df, "gone_but_one")
+    *names, n, m = pairs.columns
+    gone = pairs.where(F.col(m) < F.col(n)).select(*(F.col(c).alias(o) for c, o in zip(names, own, strict=True)), (F.col(m) > 0).alias(one))
+    gone = materialize(gone, "gone")
+    same = reduce(and_, (k.eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)))
+    out = df.join(broadcast_if_small(gone, rows), same, "left_anti")
+    repeated = gone.where(one)
+    if repeated.isEmpty():
+        return out
+    again = df.join(broadcast_if_small(repeated, rows), same).dropDuplicates(own)
+    return out.unionByName(again.select(*df.columns))

@@ -102,6 +102,20 @@ def test_digests_fold_ascii_only(spark):
     assert rows_of(found, "doc_id", "group_size") == [(1, 1), (2, 1), (3, 1), (4, 2), (5, 2)]
 
 
+@pytest.mark.parametrize("stage", ["exact", "near"])
+def test_one_row_of_each_text_stays(spark, stage):
+    """With ids that are null or repeat, no text is lost and none stays twice."""
+    a, b, c, d, e = (f"{x}0 {x}1 {x}2 {x}3 {x}4 {x}5" for x in "abcde")
+    rows = [(5, a), (5, b), (9, b), (None, c), (None, d), (None, d), (7, d), (None, e), (None, e), (3, "x y z"), (3, "x y z"), (3, "x y z")]
+    keep = forest.keep if stage == "near" else (index := exact_dedup.DigestIndex(spark, buckets=3)).keep
+    df = brute.frame(spark, rows)
+    found = keep(df)
+    assert found.columns == df.columns
+    assert rows_of(found, "doc_id", "text") == sorted([(5, a), (9 if stage == "exact" else 5, b), (None, c), (7, d), (None, e), (3, "x y z")], key=repr)
+    if stage == "exact":  # a text that is known, also one first seen without an id, doesn't stay again
+        assert rows_of(index.keep(brute.frame(spark, [(20, c), (None, a), (None, "new"), (21, "New")])), "doc_id", "text") == [(21, "New")]
+
+
 # 3 and 9
 
 
