@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .shared import broadcast_if_small
 
 #: Training documents of each language, about; EM rounds; what is added to each piece's expected count.
-SAMPLE_DOCS = 300
-ROUNDS = 3
+SAMPLE_DOCS = 500
+ROUNDS = 4
 ADDED = 0.01
 #: Characters of a piece, and of a part into which a longer word falls.
 PIECE, WORD = 12, 40

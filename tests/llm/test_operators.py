@@ -301,6 +301,13 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.predict(df.withColumn("lang", F.lit(None).cast("string")), PIECES).collect()} == {"und"}
 
 
+def test_five_hundred_documents_of_a_language_are_learnt_from_in_four_rounds(spark):
+    rows = [(k, "".join(chr(97 + int(d)) for d in str(k)), "xx") for k in range(600)]
+    words = langid.training_words(brute.frame(spark, rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", langid.SAMPLE_DOCS)
+    assert words.count() == sum(not langid.held_out(k) for k, *_ in rows) > 400
+    assert langid.ROUNDS >= 4
+
+
 def test_forward_sums_all_segmentations():
     vocab = {"▁": 1, "a": 2, "b": 3, "ab": 4, "▁a": 5, "ba": 6}
     p = np.random.default_rng(1).random((7, 2))
