@@ -3,7 +3,8 @@
 Each language has a probability for each piece of a fixed public vocabulary. A word's probability is the sum over all
 ways to cut it into pieces, which a forward pass gives; a text's is the product over its words. The piece probabilities
 are learnt by expectation maximisation over the same lattices. Words are compared in lower case, with the vocabulary's
-mark for a word's start.
+mark for a word's start. Long words, such as whole sentences of a script without blanks, are walked in logarithms, with
+no more of the forward vectors at hand than the longest piece needs.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from .shared import broadcast_if_small
 SAMPLE_DOCS = 500
 ROUNDS = 4
 ADDED = 0.01
-#: Characters of a piece, and of a part into which a longer word falls.
-PIECE, WORD = 12, 40
-#: Words, with their log probabilities, that a worker keeps; beyond them it begins anew.
-REMEMBERED = 600_000
+#: Letters of a word whose probability is safe from underflow; longer words are walked in logarithms.
+WORD = 24
+#: Longer words are walked together while their number times the longest one's letters is at most this.
+CELLS = 400_000
+#: Words, with their log probabilities, and their letters, that a worker keeps; beyond them it begins anew.
+REMEMBERED, LETTERS = 600_000, 12_000_000
 UNKNOWN = "und"
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -42,7 +45,7 @@ def pieces(path: str) -> dict[str, int]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(k) for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))}
-    own = {p for p in found if len(p) <= PIECE and p == p.lower() and (p == _START or all(map(str.isalpha, p.removeprefix(_START))))}
+    own = {p for p in found if p == p.lower() and (p == _START or all(map(str.isalpha, p.removeprefix(_START))))}
     return with_beginnings(sorted(own))
 
 
@@ -52,11 +55,8 @@ def with_beginnings(own: list[str]) -> dict[str, int]:
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters in lower case; long runs in parts."""
-    found = _WORDS.findall(text.lower())
-    if any(len(w) > WORD for w in found):
-        found = [w[k : k + WORD] for w in found for k in range(0, len(w), WORD)]
-    return found
+    """Runs of letters in lower case, however long."""
+    return _WORDS.findall(text.lower())
 
 
 class Lattice:
@@ -117,6 +117,85 @@ class Lattice:
         return np.stack([np.bincount(self.piece, flow[:, k], len(p)) for k in range(p.shape[1])], 1)
 
 
+class Runs:
+    """The segmentations of long words, walked place by place in all of them at once; arcs are found on the way."""
+
+    def __init__(self, words: list[str], vocab: dict[str, int]):
+        self.words, self.vocab = [_START + w for w in words], vocab
+        self.size = np.array([*map(len, self.words)], np.int64)
+        self.order = np.argsort(self.size, kind="stable")
+        self.sorted = self.size[self.order]
+        self.places = int(self.sorted[-1])
+        self.longest = max(map(len, vocab), default=1)
+
+    def arcs(self, start: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, words, pieces) of the pieces that begin at this place, no word twice at a length."""
+        found: dict[int, tuple[list[int], list[int]]] = {}
+        get = self.vocab.get
+        for n in self.order[np.searchsorted(self.sorted, start, "right") :].tolist():
+            w = self.words[n]
+            for end in range(start + 1, min(start + self.longest, len(w)) + 1):
+                k = get(w[start:end])
+                if end == start + 1 and (k is None or k < 0):  # no piece by itself: an unknown character
+                    at = found.setdefault(1, ([], []))
+                    at[0].append(n)
+                    at[1].append(0)
+                if k is None:
+                    break
+                if k > 0:
+                    at = found.setdefault(end - start, ([], []))
+                    at[0].append(n)
+                    at[1].append(k)
+        return [(d, np.array(w), np.array(k)) for d, (w, k) in sorted(found.items())]
+
+    def _forward(self, logs: np.ndarray, kept: list[np.ndarray] | None = None) -> np.ndarray:
+        """(words, languages): log probabilities; the (words, languages) prefixes of each place are added to kept."""
+        out = np.zeros((len(self.words), logs.shape[1]))
+        ahead = [np.full_like(out, -np.inf) for _ in range(self.longest + 1)]
+        ahead[0][:] = 0
+        for start in range(self.places + 1):
+            now = ahead[start % len(ahead)]
+            ends = self.order[slice(*np.searchsorted(self.sorted, [start, start + 1]))]
+            out[ends] = now[ends]
+            if kept is not None:
+                kept.append(now.copy())
+            for d, w, k in self.arcs(start):
+                there = ahead[(start + d) % len(ahead)]
+                there[w] = np.logaddexp(there[w], now[w] + logs[k])
+            now[:] = -np.inf
+        return out
+
+    def log_total(self, p: np.ndarray) -> np.ndarray:
+        """(words, languages): the log probability of each word."""
+        return self._forward(np.log(np.maximum(p, 1e-300)))
+
+    def expected(self, p: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """(pieces, languages): how often each piece is expected in words that occur n (words, languages) times."""
+        logs, kept, out = np.log(np.maximum(p, 1e-300)), [], np.zeros_like(p)
+        total = self._forward(logs, kept)
+        behind = [np.full_like(total, -np.inf) for _ in range(self.longest + 1)]
+        for start in range(self.places, -1, -1):
+            now = behind[start % len(behind)]
+            now[:] = -np.inf
+            now[self.order[slice(*np.searchsorted(self.sorted, [start, start + 1]))]] = 0
+            for d, w, k in self.arcs(start):
+                flow = logs[k] + behind[(start + d) % len(behind)][w]
+                now[w] = np.logaddexp(now[w], flow)
+                np.add.at(out, k, np.exp(kept[start][w] + flow - total[w]) * n[w])
+        return out
+
+
+def parted(words: list[str]) -> tuple[list[int], list[list[int]]]:
+    """The places of the short words, and those of the long ones in groups that are walked together."""
+    long = sorted((k for k, w in enumerate(words) if len(w) > WORD), key=lambda k: len(words[k]))
+    groups: list[list[int]] = []
+    for k in long:
+        if not groups or (len(groups[-1]) + 1) * len(words[k]) > CELLS:
+            groups.append([])
+        groups[-1].append(k)
+    return [k for k, w in enumerate(words) if len(w) <= WORD], groups
+
+
 def learn(counts: list[tuple[str, str, int]], vocab: dict[str, int], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """(languages, piece probabilities) from (language, word, times)."""
     languages = sorted({lang for lang, _, _ in counts})
@@ -128,7 +207,9 @@ def learn(counts: list[tuple[str, str, int]], vocab: dict[str, int], rounds: int
     n_pieces = max(vocab.values(), default=0) + 1
     p = np.full((n_pieces, len(languages)), 1 / n_pieces)
     words = list(place)
-    parts = [(Lattice(words[k : k + 20_000], vocab), n[k : k + 20_000]) for k in range(0, len(words), 20_000)]
+    short, groups = parted(words)
+    parts = [(Lattice([words[k] for k in at], vocab), n[at]) for at in (short[k : k + 20_000] for k in range(0, len(short), 20_000))]
+    parts += [(Runs([words[k] for k in at], vocab), n[at]) for at in groups]
     for _ in range(rounds):
         got = sum((part.expected(p, m) for part, m in parts), np.zeros_like(p)) + ADDED
         p = got / got.sum(0)
@@ -163,15 +244,21 @@ class Scorer:
     def __init__(self, languages: list[str], p: np.ndarray, vocab: dict[str, int]):
         self.languages, self.p, self.vocab = languages, p, vocab
         self.place: dict[str, int] = {}
+        self.letters = 0
         self.logs = np.zeros((0, len(languages)))
 
     def learn(self, words: set[str]) -> None:
-        if len(self.place) > REMEMBERED:
-            self.place, self.logs = {}, self.logs[:0]
+        if len(self.place) > REMEMBERED or self.letters > LETTERS:
+            self.place, self.logs, self.letters = {}, self.logs[:0], 0
         new = [w for w in words if w not in self.place]
+        self.letters += sum(map(len, new))
+        short, groups = parted(new)
         logs = [self.logs]
-        for k in range(0, len(new), 20_000):
-            logs.append(np.log(np.maximum(Lattice(new[k : k + 20_000], self.vocab).total(self.p), 1e-300)))
+        for k in range(0, len(short), 20_000):
+            logs.append(np.log(np.maximum(Lattice([new[x] for x in short[k : k + 20_000]], self.vocab).total(self.p), 1e-300)))
+        for at in groups:
+            logs.append(Runs([new[x] for x in at], self.vocab).log_total(self.p))
+        new = [new[x] for at in (short, *groups) for x in at]
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
         self.logs = np.concatenate(logs)
 

@@ -324,6 +324,25 @@ def test_forward_sums_all_segmentations():
     assert (counts * size[:, None]).sum(0) == pytest.approx([sum(len(w) + 1 for w in words)] * 2)
 
 
+def test_long_runs_and_long_pieces_are_not_cut():
+    vocab = langid.with_beginnings(["▁", "a", "b", "ab", "▁a", "ba", "bab" * 6])
+    rng = np.random.default_rng(2)
+    p = rng.random((max(vocab.values()) + 1, 3))
+    p /= p.sum(0)
+    words = ["ab" * 20, "bab" * 9 + "x", "a", "abx" * 30]
+    lattice, runs, n = langid.Lattice(words, vocab), langid.Runs(words, vocab), rng.random((4, 3))
+    assert runs.log_total(p) == pytest.approx(np.log(lattice.total(p)))
+    assert runs.expected(p, n) == pytest.approx(lattice.expected(p, n))
+    # Far beyond what a product of probabilities can hold: twice the letters, twice the logarithm, about.
+    one, two = langid.Runs(["ab" * 3000, "ab" * 6000], vocab).log_total(p)
+    assert np.isfinite(two).all() and two == pytest.approx(2 * one, rel=0.01)
+    assert langid.words_of("x" * 100) == ["x" * 100]
+    assert max(map(len, langid.pieces(PIECES))) > 12
+    scorer = langid.Scorer(["x", "y", "z"], p, vocab)
+    assert scorer.learn({*words}) is None and scorer.logs[[scorer.place[w] for w in words]] == pytest.approx(np.log(lattice.total(p)))
+
+
+
 # 10
 
 
