@@ -6,7 +6,7 @@ stored tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -34,58 +34,71 @@ def _undelta(x: Words) -> Words:
     return np.cumsum(_u32(x), dtype=np.uint64).astype(np.uint32)
 
 
+def _widths(minis: Words) -> np.ndarray:
+    """Bits of the largest value of each row."""
+    return np.frexp(minis.max(1).astype(np.float64))[1].astype(np.int64)
+
+
 def _pack(x: Words) -> Words:
     """[length]; for each 128 values a word of four widths, then the values of each 32 in as many words as their width."""
     x = _u32(x)
-    out = [np.array([len(x)], np.uint32)]
-    for lo in range(0, len(x), 128):
-        block = np.zeros(128, np.uint32)
-        block[: len(x[lo : lo + 128])] = x[lo : lo + 128]
-        minis = block.reshape(4, 32)
-        # As many blocks of 32 as hold values are written.
-        used = -(-min(128, len(x) - lo) // 32)
-        widths = [int(m.max()).bit_length() if k < used else 0 for k, m in enumerate(minis)]
-        out.append(np.array([sum(w << 24 - 8 * k for k, w in enumerate(widths))], np.uint32))
-        for m, w in zip(minis, widths, strict=True):
-            bits = m[:, None] >> np.arange(w, dtype=np.uint32) & 1
-            out.append(np.packbits(bits.astype(np.uint8).reshape(-1), bitorder="little").view("<u4").astype(np.uint32))
-    return np.concatenate(out)
+    n_blocks = -(-len(x) // 128)
+    minis = np.zeros(n_blocks * 128, np.uint32)
+    minis[: len(x)] = x
+    minis = minis.reshape(-1, 32)
+    width = _widths(minis)
+    # A block begins with its widths; what holds no value has width 0.
+    at = np.cumsum(width) - width + 1 + 1 + np.arange(len(minis)) // 4
+    out = np.zeros(1 + n_blocks + int(width.sum()), np.uint32)
+    out[0] = len(x)
+    out[at[::4] - 1] = (width.reshape(-1, 4) << np.array([24, 16, 8, 0])).sum(1)
+    for w in np.unique(width[width > 0]).tolist():
+        own = width == w
+        bits = (minis[own][:, :, None] >> np.arange(w, dtype=np.uint32) & np.uint32(1)).astype(np.uint8)
+        words = np.packbits(bits.reshape(-1, 32 * w), axis=1, bitorder="little").view("<u4")
+        out[at[own][:, None] + np.arange(w)] = words
+    return out
 
 
 def _unpack(x: Words) -> Words:
     x = _u32(x)
-    n, at, out = int(x[0]), 1, [np.zeros(0, np.uint32)]
-    for _ in range(0, n, 128):
-        widths = [int(x[at]) >> 24 - 8 * k & 0xFF for k in range(4)]
-        at += 1
-        for w in widths:
-            bits = np.unpackbits(x[at : at + w].astype("<u4").view(np.uint8), bitorder="little").reshape(32, w)
-            out.append((bits.astype(np.uint64) << np.arange(w, dtype=np.uint64)).sum(1).astype(np.uint32))
-            at += w
-    return np.concatenate(out)[:n]
+    n, place = int(x[0]), 1
+    n_blocks = -(-n // 128)
+    width, at = np.zeros(4 * n_blocks, np.int64), np.zeros(4 * n_blocks, np.int64)
+    for k in range(n_blocks):  # a block's place follows from the widths before it
+        head = int(x[place])
+        place += 1
+        for j in range(4):
+            width[4 * k + j], at[4 * k + j] = head >> 24 - 8 * j & 0xFF, place
+            place += int(width[4 * k + j])
+    out = np.zeros((4 * n_blocks, 32), np.uint32)
+    for w in np.unique(width[width > 0]).tolist():
+        own = width == w
+        words = np.ascontiguousarray(x[at[own][:, None] + np.arange(w)].astype("<u4"))
+        bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").reshape(-1, 32, w)
+        out[own] = (bits.astype(np.uint64) << np.arange(w, dtype=np.uint64)).sum(2).astype(np.uint32)
+    return out.reshape(-1)[:n]
 
 
 def _varint(x: Words) -> Words:
     """Seven bits a byte, the least first; the last byte of a value has the high bit. Filled with zeros to whole words."""
-    out = bytearray()
-    for v in _u32(x).tolist():
-        while v >= 128:
-            out.append(v & 127)
-            v >>= 7
-        out.append(v | 128)
-    out += bytes(-len(out) % 4)
-    return np.frombuffer(bytes(out), "<u4").astype(np.uint32)
+    x = _u32(x)
+    size = 1 + sum((x >= np.uint32(1 << 7 * k)).astype(np.int64) for k in range(1, 5))
+    ends = np.cumsum(size)
+    place = np.arange(ends[-1] if len(x) else 0) - np.repeat(ends - size, size)
+    out = (np.repeat(x, size) >> (7 * place).astype(np.uint32) & np.uint32(127)).astype(np.uint8)
+    out[ends - 1] |= 128
+    return np.concatenate([out, np.zeros(-len(out) % 4, np.uint8)]).view("<u4").astype(np.uint32)
 
 
 def _unvarint(x: Words) -> Words:
-    out, v, shift = [], 0, 0
-    for b in _u32(x).astype("<u4").tobytes():
-        v |= (b & 127) << shift
-        shift += 7
-        if b & 128:
-            out.append(v)
-            v, shift = 0, 0
-    return np.array(out, np.uint32)
+    raw = _u32(x).astype("<u4").view(np.uint8)
+    ends = np.flatnonzero(raw & 128) + 1
+    if not len(ends):
+        return np.zeros(0, np.uint32)
+    raw, begins = raw[: ends[-1]], np.r_[0, ends[:-1]]
+    place = np.arange(len(raw)) - np.repeat(begins, ends - begins)
+    return np.add.reduceat((raw & 127).astype(np.uint64) << (7 * place).astype(np.uint64), begins).astype(np.uint32)
 
 
 def serial(first: Codec, then: Codec) -> Codec:
@@ -125,6 +138,7 @@ def codec(name: str) -> Codec:
 
 
 def encode(values: Column, name: str) -> Column:
+    """Workers need this package (see workers.importable), as for all functions here."""
     one = codec(name)
 
     @F.pandas_udf("array<bigint>")
@@ -144,5 +158,27 @@ def decode(words: Column, name: str) -> Column:
     return run(words)
 
 
+def all_sizes(values: Column, names: Sequence[str]) -> Column:
+    """The words that each of these codecs makes of a list, in order."""
+    own = [codec(n) for n in names]
+
+    @F.pandas_udf("array<bigint>")
+    def run(xs: pd.Series) -> pd.Series:
+        return xs.map(lambda x: None if x is None else [len(c.encode(_u32(x))) for c in own])
+
+    return run(values)
+
+
+def all_round_trips(values: Column, names: Sequence[str]) -> Column:
+    """Whether a list comes back as it was, for each of these codecs, in order."""
+    own = [codec(n) for n in names]
+
+    @F.pandas_udf("array<boolean>")
+    def run(xs: pd.Series) -> pd.Series:
+        return xs.map(lambda x: None if x is None else [np.array_equal(c.decode(c.encode(y)), y) for y in [_u32(x)] for c in own])
+
+    return run(values)
+
+
 def bits_per_int(values: Column, words: Column) -> Column:
     return 32.0 * F.size(words) / F.size(values)

@@ -49,7 +49,11 @@ def save_clusters(rows: DataFrame, path: str, shards: int = 1) -> None:
     at.repartition("cluster", "shard").write.mode("overwrite").partitionBy("cluster", "shard").parquet(path)
 
 
-def make_queries(rows: DataFrame, topk: int, clusters: int, values_col: str = "values") -> DataFrame:
-    """A query document (value) for each cluster, asking for the rows that it has."""
-    at = rows.where(F.col("cluster") < clusters).groupBy("cluster").agg(F.collect_list(F.struct(F.col(values_col).alias("content"), F.array("cluster").alias("clusters"))).alias("queries"))
+def make_queries(rows: DataFrame, topk: int, clusters: int, values_col: str = "values", most: int = 1_000) -> DataFrame:
+    """Query documents (value) for each cluster, asking for the rows that it has; a document has `most` queries about, so
+    that a large cluster has several."""
+    at = rows.where(F.col("cluster") < clusters)
+    n = at.groupBy("cluster").agg(F.ceil(F.count("*") / most).alias("documents"))
+    at = at.join(n, "cluster").withColumn("document", F.pmod(F.xxhash64(values_col), "documents"))
+    at = at.groupBy("cluster", "document").agg(F.collect_list(F.struct(F.col(values_col).alias("content"), F.array("cluster").alias("clusters"))).alias("queries"))
     return at.select(F.to_json(F.struct(F.lit(topk).alias("topk"), "queries")).alias("value"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Predicates (a few numbers each) up to which they are broadcast; more take a shuffled join.
+#: Rows (of a few numbers each) up to which predicates, dealt out to their values, are broadcast; more take a shuffled join.
 BROADCAST_ROWS = 500_000
-#: The widest range that is dealt out to its values.
+#: The widest range that is dealt out to its values; wider ones are dealt out to so many bins of their dim at most.
 WIDEST = 1_024
 
 
@@ -19,40 +21,73 @@ def hinted(preds: DataFrame) -> DataFrame:
     return F.broadcast(preds) if _small(preds) else preds
 
 
+class Sizes(NamedTuple):
+    """What a look at the predicates says of a plan: rows when dealt out to values, rows of wide ranges, and bins of them."""
+
+    dealt: int
+    wide: int
+
+
+def sizes_of(preds: DataFrame) -> Sizes:
+    width = F.col("up").cast("long") - F.col("lo").cast("long")
+    n, wide = F.when(width.between(0, WIDEST - 1), width + 1), F.count_if(width >= WIDEST)
+    return Sizes(*preds.agg(F.coalesce(F.sum(n), F.lit(0)), wide).first())
+
+
+def _marked(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def met(points: DataFrame, preds: DataFrame, on: list[str], exact: bool = False, bounds: DataFrame | None = None) -> DataFrame:
+    """points joined with the predicates (qid, dim, lo, up, w, and `on`) that they match: all points' columns, qid and w.
+
+    Points are never shuffled when predicates are few: each is looked up where it is read. Ranges that aren't wide are
+    dealt out to their values, so that dim and value are join keys; wide ones, cut to their dim's bounds, to bins of
+    values, so that dim and bin are, and the range itself is checked behind. bounds: (dim, least, most), if known.
+    """
+    preds = preds.select(*on, "qid", "dim", "lo", "up", "w")
+    if exact:
+        return points.join(hinted(preds.select(*on, "qid", "dim", F.col("lo").alias("value"), "w")), [*on, "dim", "value"])
+    size = sizes_of(preds)
+    width = F.col("up").cast("long") - F.col("lo").cast("long")
+    dealt = preds.where(width.between(0, WIDEST - 1)).select(*on, "qid", "dim", F.explode(F.sequence("lo", "up")).alias("value"), "w")
+    hits = points.join(_marked(dealt, size.dealt), [*on, "dim", "value"])
+    if not size.wide:
+        return hits
+    if bounds is None:
+        bounds = points.groupBy("dim").agg(F.min("value").alias("least"), F.max("value").alias("most"))
+    bounds = bounds.select("dim", F.col("least").cast("long").alias("least"), F.col("most").cast("long").alias("most"))
+    bounds = hinted(bounds.withColumn("step", F.floor((F.col("most") - F.col("least")) / WIDEST) + 1))
+    bin_of = lambda v: F.floor((v - F.col("least")) / F.col("step"))
+    wide = preds.where(width >= WIDEST).join(bounds, "dim")
+    wide = wide.withColumn("lo", F.greatest("lo", "least")).withColumn("up", F.least("up", "most")).where("lo <= up")
+    wide = wide.select(*on, "qid", "dim", "lo", "up", "w", F.explode(F.sequence(bin_of(F.col("lo")), bin_of(F.col("up")))).alias("bin"))
+    binned = points.join(bounds, "dim").withColumn("bin", bin_of(F.col("value"))).drop("least", "most", "step")
+    more = binned.join(_marked(wide, size.wide * WIDEST), [*on, "dim", "bin"]).where("value BETWEEN lo AND up").drop("bin", "lo", "up")
+    return hits.unionByName(more)
+
+
 def _finish(hits: DataFrame, keys: list[str], count: Column, cap: int | None) -> DataFrame:
     cnt = F.least(count, F.lit(cap)) if cap else count
     return hits.groupBy(*keys).agg(cnt.alias("cnt"))
 
 
-def match(points: DataFrame, preds: DataFrame, *, exact: bool = False, weighted: bool = False, cap: int | None = None, keys: tuple[str, ...] = ("qid", "id"), on: tuple[str, ...] = ()) -> DataFrame:
+def match(
+    points: DataFrame, preds: DataFrame, *, exact: bool = False, weighted: bool = False, cap: int | None = None,
+    keys: tuple[str, ...] = ("qid", "id"), on: tuple[str, ...] = (), bounds: DataFrame | None = None,
+) -> DataFrame:
     """(qid, id, cnt), for pairs with a match.
 
-    exact: all ranges are single values, so that dim and value are join keys. Otherwise ranges that aren't wide are dealt
-    out to their values, cut to the dim's bounds, and joined likewise; wide ones are compared within their dim. Equal
-    predicates of a query, and equal points of a row, count each; both are summed up before they meet, so a value that
-    very many rows share costs a row for each of them and none for its repeats. weighted: the sum of the predicates'
-    weights instead of their number. cap: counts are at most this. on: further columns in which both must agree.
+    exact: all ranges are single values. Equal predicates of a query are summed up before they meet the points; equal
+    points of a row count each, and so does a point with a column n, as often as n says. Counts are summed where the
+    points are read and then shuffled by query and row: no other shuffle is needed for few predicates. weighted: the sum
+    of the predicates' weights instead of their number. cap: counts are at most this. on: further columns in which both
+    must agree. bounds: of the dims, if known; only ranges of over WIDEST values need them.
     """
-    data = points.groupBy(*on, "id", "dim", "value").agg(F.count("*").alias("n"))
     worth = F.sum("weight") if weighted else F.count("*")
     asked = preds.groupBy(*on, "qid", "dim", "lo", "up").agg(worth.alias("w"))
-    total = F.sum(F.col("n") * F.col("w"))
-    total = total if weighted else total.cast("long")
-    if exact:
-        hits = data.join(hinted(asked.select(*on, "qid", "dim", F.col("lo").alias("value"), "w")), [*on, "dim", "value"])
-        return _finish(hits, list(keys), total, cap)
-    bounds = F.broadcast(points.groupBy("dim").agg(F.min("value").alias("least"), F.max("value").alias("most")))  # a row for each dim
-    cut = asked.join(bounds, "dim").withColumn("lo", F.greatest("lo", "least")).withColumn("up", F.least("up", "most")).where("lo <= up").drop("least", "most")
-    narrow, wide = cut.where(F.col("up") - F.col("lo") < WIDEST), cut.where(F.col("up") - F.col("lo") >= WIDEST)
-    hits = data.join(hinted(narrow.select(*on, "qid", "dim", F.explode(F.sequence("lo", "up")).alias("value"), "w")), [*on, "dim", "value"])
-    hits = hits.select(*keys, "n", "w")
-    if not wide.isEmpty():
-        one, two = data.alias("d"), hinted(wide).alias("p")
-        same = [F.col(f"d.{c}") == F.col(f"p.{c}") for c in (*on, "dim")]
-        more = one.join(two, [*same, F.col("d.value").between(F.col("p.lo"), F.col("p.up"))])
-        of = {"qid": "p.qid", "id": "d.id"} | {c: f"d.{c}" for c in on}
-        hits = hits.unionByName(more.select(*(F.col(of[k]).alias(k) for k in keys), "n", "w"))
-    return _finish(hits, list(keys), total, cap)
+    total = F.sum(F.col("n") * F.col("w")) if "n" in points.columns else F.sum("w")
+    return _finish(met(points, asked, list(on), exact, bounds), list(keys), total if weighted else total.cast("long"), cap)
 
 
 def match_subsequence(points: DataFrame, preds: DataFrame, cap: int | None = None) -> DataFrame:
@@ -63,7 +98,5 @@ def match_subsequence(points: DataFrame, preds: DataFrame, cap: int | None = Non
 
 
 def match_positions(points: DataFrame, preds: DataFrame) -> DataFrame:
-    """All matches themselves: (qid, id, dim, value)."""
-    asked = hinted(preds.select("qid", "dim", "lo", "up"))
-    at = points.join(asked, "dim").where(F.col("value").between(F.col("lo"), F.col("up")))
-    return at.select("qid", "id", "dim", "value")
+    """All matches themselves: (qid, id, dim, value), for each point and predicate."""
+    return met(points, preds.withColumn("w", F.lit(1)), []).select("qid", "id", "dim", "value")

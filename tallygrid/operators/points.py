@@ -27,8 +27,11 @@ def column_points(df: DataFrame, id_col: str, columns: dict[str, Column] | list[
 
 
 def bag_points(rows: DataFrame, id_col: str = "id", values_col: str = "values") -> DataFrame:
-    """All tokens are in dim 0, repeated ones too."""
-    return rows.select(F.col(id_col).alias("id"), F.lit(0).alias("dim"), F.explode(values_col).alias("value"))
+    """All tokens are in dim 0, with n, how often the row has each. They are counted within the row, without a shuffle."""
+    at = rows.select(F.col(id_col).alias("id"), F.array_sort(values_col).alias("v"))
+    at = at.select("id", "v", F.filter(F.transform("v", lambda x, k: F.when((k == 0) | ~x.eqNullSafe(F.get("v", k - 1)), k)), lambda k: k.isNotNull()).alias("at"))
+    runs = F.transform("at", lambda k, j: F.struct(F.get("v", k).alias("value"), (F.coalesce(F.get("at", j + 1), F.size("v")) - k).cast("long").alias("n")))
+    return at.select("id", F.lit(0).alias("dim"), F.inline(runs)).where("value IS NOT NULL")
 
 
 def position_points(rows: DataFrame, id_col: str = "id", values_col: str = "values") -> DataFrame:

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import importable
+from .match import hinted, met
+
 COLUMNS = ["qid", "ord", "dim", "lo", "up", "weight", "selectivity"]
 
 
@@ -38,7 +41,7 @@ def as_predicates(points: DataFrame) -> DataFrame:
 def first_queries(preds: DataFrame, n: int) -> DataFrame:
     """The predicates of the first n queries by qid."""
     ids = preds.select("qid").distinct().orderBy("qid").limit(n)
-    return preds.join(F.broadcast(ids) if n <= 100_000 else ids, "qid")
+    return preds.join(hinted(ids), "qid", "left_semi")
 
 
 def valid(preds: DataFrame, dims: int) -> DataFrame:
@@ -46,10 +49,10 @@ def valid(preds: DataFrame, dims: int) -> DataFrame:
     return preds.where((F.col("dim") >= 0) & (F.col("dim") < dims) & (F.col("lo") <= F.col("up")))
 
 
-def multirange(attributes: DataFrame, points: DataFrame, n: int) -> DataFrame:
+def multirange(attributes: DataFrame, points: DataFrame, n: int, rows: int | None = None) -> DataFrame:
     """From long form (qid, dim, value, selectivity, weight): points in the first n queries, widened by selectivity."""
     at = attributes.select("qid", F.col("dim").alias("ord"), "dim", F.col("value").alias("lo"), F.col("value").alias("up"), F.col("weight").cast("double").alias("weight"), F.col("selectivity").cast("double").alias("selectivity"))
-    return widen(first_queries(at, n), points)
+    return widen(first_queries(at, n), points, rows=rows)
 
 
 def clamp(preds: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -101,10 +104,14 @@ def widened(lo: int, up: int, threshold: int, values: np.ndarray, total: np.ndar
     return lo, up
 
 
-def widen(preds: DataFrame, points: DataFrame, selectivity: float = 0.0) -> DataFrame:
-    """Ranges grown until each covers its share of all rows: its own selectivity, else the one given; 0 leaves it."""
+def widen(preds: DataFrame, points: DataFrame, selectivity: float = 0.0, rows: int | None = None) -> DataFrame:
+    """Ranges grown until each covers its share of all rows: its own selectivity, else the one given; 0 leaves it.
+
+    rows: the number of rows, if known; otherwise the distinct ids of the points are counted.
+    """
+    importable(points.sparkSession)
     counts = points.groupBy("dim", "value").count()
-    n = points.agg(F.countDistinct("id")).first()[0] or 0
+    n = points.agg(F.countDistinct("id")).first()[0] or 0 if rows is None else rows
     own = preds.withColumn("share", F.when(F.col("selectivity") > 0, F.col("selectivity")).otherwise(F.lit(float(selectivity))))
 
     def run(p: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
@@ -123,8 +130,26 @@ def widen(preds: DataFrame, points: DataFrame, selectivity: float = 0.0) -> Data
 
 def selectivity_of(preds: DataFrame, points: DataFrame) -> DataFrame:
     """preds with the number of points that each covers."""
-    counts = points.groupBy("dim", "value").count()
-    at = preds.withColumn("pid", F.monotonically_increasing_id())
-    hit = at.join(counts, (at.dim == counts.dim) & counts.value.between(at.lo, at.up)).groupBy("pid").agg(F.sum("count").alias("covered"))
-    return at.join(hit, "pid", "left").select(*COLUMNS, F.coalesce("covered", F.lit(0)).alias("covered"))
+    counts = points.groupBy("dim", "value").agg(F.count("*").alias("n"))
+    ranges = preds.select("dim", "lo", "up").distinct()
+    key = F.struct("dim", "lo", "up")
+    hit = met(counts, ranges.select(key.alias("qid"), "dim", "lo", "up", F.lit(1).alias("w")), []).groupBy("qid").agg(F.sum("n").alias("covered"))
+    hit = hit.select("qid.dim", "qid.lo", "qid.up", "covered")
+    return preds.join(hit, ["dim", "lo", "up"], "left").select(*COLUMNS, F.coalesce("covered", F.lit(0)).alias("covered"))
+
+
+def clear_dim(preds: DataFrame, dim: int, qid: int | None = None) -> DataFrame:
+    """Without the ranges in a dim, of all queries or of one."""
+    gone = F.col("dim") == dim
+    return preds.where(~(gone if qid is None else gone & (F.col("qid") == qid)))
+
+
+def count_ranges(preds: DataFrame) -> DataFrame:
+    """(qid, n_ranges, n_dims)."""
+    return preds.groupBy("qid").agg(F.count("*").alias("n_ranges"), F.countDistinct("dim").alias("n_dims"))
+
+
+def dump(preds: DataFrame) -> DataFrame:
+    """A line for each range, as text: qid ord dim [lo, up] weight selectivity."""
+    return preds.select("qid", F.format_string("%d %d %d [%d, %d] %.3f %.3f", *COLUMNS).alias("line"))
 

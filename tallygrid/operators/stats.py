@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..workspace import materialize
+
 
 def bounds(points: DataFrame) -> DataFrame:
     """(dim, least, most, n_values, n_points)."""
@@ -41,6 +43,20 @@ def deltas(points: DataFrame, block: int = 1_024) -> DataFrame:
     return at.select("dim", "value", "id", (F.col("id") - F.coalesce("prev", "before", F.lit(0))).alias("delta"))
 
 
+def prefix_sums(df: DataFrame, order: list[str], value: str, into: str = "before") -> DataFrame:
+    """df with the sum of `value` over all rows that precede in the order, which should be total.
+
+    Rows are sorted by ranges, each summed by itself; the ranges' sums (a row for each) are added up.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = materialize(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = at.groupBy("__range").agg(F.sum(value).alias("__sum"))
+    offsets = sizes.select("__range", (F.sum("__sum").over(Window.orderBy("__range")) - F.col("__sum")).alias("__offset"))
+    own = F.sum(value).over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    at = at.withColumn(into, own).join(F.broadcast(offsets), "__range")  # a row for each shuffle partition
+    return at.withColumn(into, F.coalesce(into, F.lit(0)) + F.coalesce("__offset", F.lit(0))).drop("__range", "__offset")
+
+
 def list_sizes(points: DataFrame) -> DataFrame:
     """How many posting lists have each length."""
     return postings(points).groupBy("n").agg(F.count("*").alias("n_lists"))

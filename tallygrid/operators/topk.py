@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .match import hinted
+
 
 def top_k(counts: DataFrame, k: int | Column, *, page: int = 1, descending_ids: bool = False, extra: tuple[str, ...] = (), per: tuple[str, ...] = ("qid",)) -> DataFrame:
     """counts with rnk, from 1, for the k with the largest cnt (ties: the least id, or the greatest): page 1, or another.
@@ -32,5 +34,5 @@ def id_offsets(sizes: DataFrame, order: list[str], n: str = "n") -> DataFrame:
 
 def merge(results: DataFrame, offsets: DataFrame, on: list[str], k: int, **how) -> DataFrame:
     """The top k of each query over the results of several tables, their ids shifted to be those of the whole."""
-    at = results.join(F.broadcast(offsets.select(*on, "offset")), on)  # a row for each table
+    at = results.join(hinted(offsets.select(*on, "offset")), on)
     return top_k(at.select("qid", (F.col("id") + F.col("offset")).alias("id"), "cnt"), k, **how)

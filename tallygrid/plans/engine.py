@@ -1,4 +1,4 @@
-"""Searches from rows to results, each one lazy plan."""
+"""Searches from rows to results. Planning looks at the sizes of the predicates, and of nothing else; the rest is lazy."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from ..operators import points as P
 from ..operators import predicates as Q
 from ..operators.match import match, match_subsequence
 from ..operators.topk import pad, top_k
-from ..sources.index import load_index
+from ..sources.index import load_bounds, load_index, prune
 from ..sources.rows import read_rows
 
 
@@ -24,17 +24,24 @@ def build_queries(rows: DataFrame, config: Config, dims: int | None = None) -> D
     return Q.radius_predicates(rows, config.query_range or 0, dims)
 
 
-def match_queries(points: DataFrame, preds: DataFrame, config: Config) -> DataFrame:
+def match_queries(points: DataFrame, preds: DataFrame, config: Config, bounds: DataFrame | None = None) -> DataFrame:
     """(qid, id, cnt, rnk): the k best rows of each query."""
-    found = top_k(match(points, preds, exact=not config.query_range, cap=config.count_cap), config.k)
+    found = top_k(match(points, preds, exact=not config.query_range, cap=config.count_cap, bounds=bounds), config.k)
     return pad(found, preds, config.k) if config.pad else found
 
 
+def search_index(spark: SparkSession, index: str, preds: DataFrame, config: Config) -> DataFrame:
+    """A search in an index folder: the scan is filtered by what the predicates can reach, and bounds are read, not made."""
+    return match_queries(prune(load_index(spark, index), preds), preds, config, load_bounds(spark, index))
+
+
 def search(spark: SparkSession, table: str, queries: str, config: Config) -> DataFrame:
     """From text files (or an index folder as table) of rows; the first num_of_queries rows of queries are asked."""
     config.validate()
-    points = build_index(read_rows(spark, table)) if table.endswith((".csv", ".dat", ".txt")) else load_index(spark, table)
-    return match_queries(points, build_queries(read_rows(spark, queries, config.num_of_queries), config), config)
+    preds = build_queries(read_rows(spark, queries, config.num_of_queries), config)
+    if table.endswith((".csv", ".dat", ".txt")):
+        return match_queries(build_index(read_rows(spark, table)), preds, config)
+    return search_index(spark, table, preds, config)
 
 
 def search_bags(data: DataFrame, queries: DataFrame, k: int, radius: int = 0, **how) -> DataFrame:
@@ -51,9 +58,9 @@ def search_subsequences(data: DataFrame, queries: DataFrame, k: int, **how) -> D
     return top_k(match_subsequence(P.position_points(data), Q.bag_predicates(queries), **how), k, extra=("offset",))
 
 
-def search_adaptive(points: DataFrame, preds: DataFrame, k: int, selectivity: float) -> DataFrame:
-    """Ranges grown until each covers this share of all rows."""
-    return top_k(match(points, Q.widen(preds, points, selectivity)), k)
+def search_adaptive(points: DataFrame, preds: DataFrame, k: int, selectivity: float, rows: int | None = None) -> DataFrame:
+    """Ranges grown until each covers this share of all rows; rows: their number, if known."""
+    return top_k(match(points, Q.widen(preds, points, selectivity, rows)), k)
 
 
 def search_chunks(points: DataFrame, preds: DataFrame, k: int, size: int, **how) -> DataFrame:

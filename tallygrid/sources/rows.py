@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.arrays import to_int
+from ..operators.predicates import radius_predicates
 
+#: Up to so many first lines of a file are taken in one task.
+FEW = 1_000_000
 ROW_SCHEMA = "id long, values array<int>"
 
 
@@ -36,9 +39,12 @@ def read_rows(spark: SparkSession, path: str, num: int = -1, convert=to_int, id_
     Fields stand between commas or blanks, a trailing one is allowed; what isn't a number is 0, or what `convert` (from
     Column to Column) makes of it. Empty lines are rows without values. A missing file is an error.
     """
-    rows = with_row_ids(spark.read.text(path), id_col)
-    if num >= 0:
-        rows = rows.where(F.col(id_col) < num)
+    lines = spark.read.text(path)
+    if 0 <= num <= FEW and len(lines.inputFiles()) == 1:  # the first lines of the one file, of which no more is read
+        rows = lines.limit(num).coalesce(1).withColumn(id_col, F.monotonically_increasing_id())
+    else:
+        rows = with_row_ids(lines, id_col)
+        rows = rows.where(F.col(id_col) < num) if num >= 0 else rows
     return rows.select(id_col, F.transform(fields(F.col("value")), convert).alias("values"))
 
 
@@ -51,6 +57,12 @@ def read_predicates(spark: SparkSession, path: str, num: int = -1) -> DataFrame:
     return rows.select(to_int(x[0]).alias("qid"), to_int(x[1]).alias("dim"), to_int(x[2]).alias("value"), F.coalesce(x[3].try_cast("float"), F.lit(0.0)).cast("float").alias("selectivity"), F.coalesce(x[4].try_cast("float"), F.lit(0.0)).cast("float").alias("weight"))
 
 
+def read_radius_queries(spark: SparkSession, path: str, radius: int, num: int = -1, dims: int | None = None, selectivity: float = 0.0) -> DataFrame:
+    """Predicates of row-form queries: each value, give or take radius, its lower end 0 at least; the place is the dim."""
+    at = radius_predicates(read_rows(spark, path, num), radius, dims)
+    return at.withColumn("lo", F.greatest("lo", F.lit(0))).withColumn("selectivity", F.lit(float(selectivity)))
+
+
 def read_clusters(spark: SparkSession, pattern: str) -> DataFrame:
     """(cluster, shard, id, values) from files NAME_CLUSTER_SHARD.csv; ids count within a file."""
     lines = spark.read.text(pattern).select("value", "_metadata")

@@ -11,6 +11,7 @@ from tallygrid.config import Config
 from tallygrid.operators import clusters, points, predicates, stats, topk
 from tallygrid.operators.match import match, match_positions
 from tallygrid.plans import engine
+from tallygrid.sources import index
 from tallygrid.sources.rows import from_csr, from_rows
 
 random.seed(5)
@@ -198,3 +199,59 @@ def test_kmeans_and_query_documents(spark, tmp_path):
     docs = clusters.make_queries(at, 9, 2)
     parsed = clusters.parse_queries(docs)
     assert parsed.count() == 24 and {r["topk"] for r in parsed.collect()} == {9}
+
+
+#: A table of 20 rows and the known answers of searches for its first three rows in it, as (id, count).
+ROWS = [
+    [10, 6, 52, 62, 0], [16, 50, 12, 0, 1], [10, 11, 58, 69, 4], [25, 75, 19, 5, 8], [10, 8, 56, 64, 0], [13, 75, 13, 0, 4], [17, 28, 64, 37, 0], [8, 78, 21, 1, 2], [3, 15, 2, 0, 11], [3, 14, 1, 0, 0],
+    [54, 1, 0, 16, 8], [20, 13, 53, 50, 0], [28, 86, 16, 1, 4], [13, 102, 22, 1, 0], [18, 3, 20, 40, 18], [97, 18, 9, 9, 0], [35, 30, 2, 3, 27], [36, 27, 3, 0, 1], [11, 8, 2, 3, 6], [42, 21, 4, 5, 4],
+]
+EXACT = {0: [(0, 5), (4, 2), (2, 1), (6, 1), (9, 1)], 1: [(1, 5), (17, 2), (5, 1), (8, 1), (9, 1)], 2: [(2, 5), (0, 1), (4, 1), (5, 1), (12, 1)]}
+WITHIN_1 = {0: [(0, 5), (4, 2), (11, 2), (1, 1), (2, 1)], 1: [(1, 5), (5, 2), (6, 2), (7, 2), (9, 2)], 2: [(2, 5), (0, 1), (4, 1), (5, 1), (12, 1)]}
+GROWN = {0: [(0, 5), (4, 5), (2, 3), (11, 3), (18, 2)], 1: [(1, 5), (5, 3), (6, 3), (17, 3), (9, 2)], 2: [(2, 5), (4, 4), (0, 3), (11, 3), (18, 2)]}
+GROWN_RANGES = {0: [(9, 11), (3, 9), (46, 58), (50, 69), (0, 0)], 1: [(13, 19), (27, 73), (8, 16), (0, 0), (0, 2)], 2: [(9, 11), (8, 14), (52, 64), (50, 69), (4, 4)]}
+AT_OFFSETS = {0: [(0, 0, 5), (4, 0, 2), (2, 0, 1), (6, 0, 1), (9, 0, 1)], 1: [(1, 0, 5), (17, 0, 2), (0, 1, 1), (4, 1, 1), (5, 0, 1)], 2: [(2, 0, 5), (0, 0, 1), (4, 0, 1), (5, 0, 1), (8, 3, 1)]}
+
+
+def test_known_answers(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("".join(",".join(map(str, x)) + ",\n" for x in ROWS))
+    path, data = str(tmp_path / "t.csv"), from_rows(spark, ROWS)
+    at, first = points.vector_points(data), data.where("id < 3")
+    assert got(engine.search(spark, path, path, Config(5, 3))) == EXACT
+    assert got(engine.search(spark, path, path, Config(5, 3, 1))) == WITHIN_1
+    assert got(engine.search_chunks(at, predicates.radius_predicates(first), 5, 10, exact=True)) == EXACT
+    grown = predicates.widen(predicates.radius_predicates(first), at, 0.2)
+    found = {}
+    for r in grown.orderBy("qid", "dim").collect():
+        found.setdefault(r["qid"], []).append((r["lo"], r["up"]))
+    assert found == GROWN_RANGES
+    assert got(engine.search_adaptive(at, predicates.radius_predicates(first), 5, 0.2)) == GROWN
+    assert got(engine.search_subsequences(data, first, 5), "offset") == AT_OFFSETS
+    page = topk.top_k(match(at, predicates.radius_predicates(first), exact=True), 2, page=2)
+    assert got(page) == {q: x[2:4] for q, x in EXACT.items()}
+
+
+def test_few_predicates_meet_the_points_without_a_shuffle_before(spark):
+    at = points.vector_points(from_rows(spark, VECTORS * 5).repartition(3))
+    for radius in (0, 2):
+        found = match(at, predicates.radius_predicates(ask(spark, VECTORS), radius), exact=not radius)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        joined = plan[plan.index("BroadcastHashJoin") :]
+        assert plan.count("Exchange hashpartitioning(qid") >= 1 and "hashpartitioning(id" not in joined
+
+
+def test_bag_points_count_within_rows(spark):
+    data = from_rows(spark, [*BAGS, [], [4, 4, 4]])
+    found = {}
+    for r in points.bag_points(data).collect():
+        found.setdefault(r["id"], {})[r["value"]] = r["n"]
+    assert found == {k: dict(Counter(x)) for k, x in enumerate([*BAGS, [], [4, 4, 4]]) if x}
+
+
+def test_a_search_in_an_index_reads_what_its_predicates_reach(spark, tmp_path):
+    at = points.vector_points(from_rows(spark, VECTORS))
+    index.save_index(at, str(tmp_path / "i"))
+    preds = predicates.radius_predicates(ask(spark, VECTORS), 1)
+    found = engine.search_index(spark, str(tmp_path / "i"), preds, Config(4, 5, 1))
+    assert got(found) == got(topk.top_k(match(at, preds), 4))
+    assert "PushedFilters: [Or(" in found._jdf.queryExecution().executedPlan().toString().replace("PushedFilters: [IsNotNull(dim), IsNotNull(value), Or(", "PushedFilters: [Or(")

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallygrid import cli
+from tallygrid import cli, metrics
 from tallygrid.config import Config, InvalidConfiguration, OnlineConfig
 from tallygrid.functions import arrays, codecs
 from tallygrid.metrics import Timings, analyze, codec_sizes
@@ -18,7 +18,8 @@ from tallygrid.operators.match import match
 from tallygrid.operators.topk import top_k
 from tallygrid.sources import generate, index
 from tallygrid.sources.rows import from_rows, read_clusters, read_predicates, read_rows
-from tallygrid.streaming.online import answer, serve
+from tallygrid.streaming.online import answer, load_points, serve
+from tallygrid.workspace import shared_root
 
 
 def test_rows_keep_file_order(spark, tmp_path):
@@ -150,3 +151,53 @@ def test_timings(spark):
     with t.step("x"):
         time.sleep(0.01)
     assert t.frame(spark).first()["seconds"] >= 0.01
+
+
+@pytest.mark.parametrize("name", [*codecs.CODECS])
+@given(st.lists(st.integers(0, 2**32 - 1), max_size=400))
+@settings(max_examples=25, deadline=None)
+def test_words_hold_any_list(name, values):
+    one, x = codecs.codec(name), np.array(values, np.uint32)
+    assert one.decode(one.encode(x)).tolist() == values
+
+
+def test_formats_by_hand():
+    assert codecs.BP32.encode(np.array([], np.uint32)).tolist() == [0]
+    assert codecs.BP32.encode(np.array([1, 3], np.uint32)).tolist() == [2, 2 << 24, 0b1101, 0]
+    assert codecs.VARINT.encode(np.array([1, 300], np.uint32)).tobytes() == bytes([129, 44, 130, 0])
+
+
+def test_the_service_by_its_settings(spark, tmp_path):
+    for c, rows in enumerate(([[1, 2], [3, 4]], [[1, 9], [1, 2]])):
+        (tmp_path / f"d_{c}_0.csv").write_text("".join(f"{a},{b}\n" for a, b in rows))
+    what = {"data_file": str(tmp_path / "d"), "dim": 2, "count_threshold": 2, "data_type": 0, "search_type": 0, "max_data_size": 0, "num_of_cluster": 2, "data_format": 0, "radius": 0, "selectivity": 0.0}
+    (tmp_path / "o.json").write_text(json.dumps(what))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "q.json").write_text(json.dumps({"topk": 5, "queries": [{"content": [1, 2], "clusters": [0, 1]}, {"content": [1, 2], "clusters": [1]}]}))
+    cli.main(["serve", "-c", str(tmp_path / "o.json"), "-s", str(tmp_path / "in"), "-o", str(tmp_path / "out"), "--checkpoint", str(tmp_path / "state"), "--once"], spark)
+    found = sorted((r["qid"], r["rnk"], r["id"], r["cnt"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert found == [(0, 1, 0, 2), (0, 2, 3, 2), (0, 3, 2, 1), (1, 1, 3, 2), (1, 2, 2, 1)]
+    (tmp_path / "o.json").write_text(json.dumps(what | {"search_type": 1}))
+    bags = load_points(spark, OnlineConfig.from_file(str(tmp_path / "o.json")))
+    assert sorted((r["id"], r["dim"], r["value"], r["n"], r["cluster"]) for r in bags.collect()) == [(0, 0, 1, 1, 0), (0, 0, 2, 1, 0), (1, 0, 3, 1, 0), (1, 0, 4, 1, 0), (2, 0, 1, 1, 1), (2, 0, 9, 1, 1), (3, 0, 1, 1, 1), (3, 0, 2, 1, 1)]
+
+
+def test_figures(spark, tmp_path, capsys):
+    (tmp_path / "t.csv").write_text("1,2\n3,4\n1,4\n")
+    t = str(tmp_path / "t.csv")
+    cli.main(["search", "-t", t, "-q", t, "-k", "2", "-n", "2", "-m", str(tmp_path / "m.csv")], spark)
+    assert capsys.readouterr().out.splitlines() == ["0,0,2,1", "0,2,1,2", "1,1,2,1", "1,2,1,2"]
+    head, line = (tmp_path / "m.csv").read_text().splitlines()
+    assert head.split(",") == metrics.SEARCH_COLUMNS and line.split(",")[6:9] == ["6", "4", "4"]
+    assert cli.main(["scan"]) == 0 and capsys.readouterr().out.splitlines()[0].split(",") == metrics.SCAN_COLUMNS
+    cli.main(["codecs", "-n", "300"], spark)
+    assert len(capsys.readouterr().out.splitlines()) == 1 + len(codecs.CODECS)
+
+
+def test_work_files_need_a_shared_folder_on_a_cluster(spark):
+    class Elsewhere:
+        conf = type("conf", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("context", (), {"master": "spark://somewhere:7077", "getConf": staticmethod(lambda: {})})  # noqa: N815
+
+    with pytest.raises(ValueError, match="share"):
+        shared_root(Elsewhere)
