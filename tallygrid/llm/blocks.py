@@ -55,6 +55,21 @@ def tidy() -> None:
         lib.malloc_trim(0)
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving memory back after each batch, and when the task ends: workers wait for others with what they hold."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for out in run(batches):
+                yield out
+                del out
+                tidy()
+        finally:
+            tidy()
+
+    return wrapped
+
+
 def block_ids() -> Iterator[int]:
     """Distinct over all tasks of a stage, and the same when a task is run again."""
     k = TaskContext.get().partitionId() << 20

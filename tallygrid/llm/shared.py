@@ -2,58 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import functools
-import os
-import shutil
 import string
-import uuid
 from functools import reduce
 from operator import and_
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Everything that separates words: ASCII but for digits and lower-case letters (upper-case ones are folded before).
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Used only where the cluster names no shared folder, as in tests.
-LOCAL_ROOT = "/tmp/checkpoints"
-
-
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, if they start elsewhere."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in (have := env.get("PYTHONPATH", "")).split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, (have, root)))
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    return f"file://{_local_root(spark.sparkContext.applicationId)}"
+from ..workers import importable
+from ..workspace import materialize, put, remove, shared_root, workspace
 
+__all__ = ["importable", "materialize", "put", "remove", "shared_root", "workspace"]
 
-@functools.cache
-def _local_root(application: str) -> str:
-    """Removed when Python ends."""
-    own = f"{LOCAL_ROOT}/{application}"
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return own
-
-
-def workspace(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts the lineage, and outlives lost executors."""
-    spark, path = df.sparkSession, workspace(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Everything that separates words: ASCII but for digits and lower-case letters (upper-case ones are folded before).
+NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def fold(text: Column) -> Column:
