@@ -24,16 +24,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretoken
-from .shared import workspace
+from .blocks import tidied
+from .shared import put, workspace
 
 #: Words in the lexicon.
 LEXICON_WORDS = 65_536
-#: Words, with their ids, that a worker remembers; beyond them it forgets all and begins anew.
-REMEMBERED = 600_000
+#: The most bytes of a word in the lexicon: longer ones are merged whenever they occur, with the same ids.
+LEXICON_BYTES = 256
+#: Bytes of words, with their ids, that a worker remembers; beyond them it forgets all and begins anew.
+REMEMBERED = 80_000_000
+#: What Python needs for a word and its ids, besides their own bytes.
+OVERHEAD = 180
 #: From this many bytes a word is merged with a heap.
 LONG = 64
 #: Distinct strings that a task counts before it hands them on.
-COUNTED = 400_000
+COUNTED = 200_000
 
 
 class Merges:
@@ -278,8 +283,8 @@ class Lexicon:
         return out
 
 
-def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """(word, n): how often words occur in all texts, as UTF-8.
+def word_counts(docs: DataFrame, path: str, text_col: str = "text", most: int = LEXICON_BYTES) -> DataFrame:
+    """(word, n): how often words of at most so many bytes occur in all texts, as UTF-8.
 
     Whole texts are counted, by what stands between blanks; each distinct such string is then split into words once.
     (Where several blanks meet, their own words are counted otherwise than they are encoded; only the choice of frequent
@@ -290,8 +295,8 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                found.update((x or "").split(" "))
+            for x in batch.column(0):
+                found.update((x.as_py() or "").split(" "))
                 if len(found) > COUNTED:
                     yield words_of(found)
                     found.clear()
@@ -306,20 +311,18 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
                 for w in range(lo, hi):
                     x = joined[at[w] : at[w + 1]]
                     n[x] = n.get(x, 0) + part.row
-        return pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in n], pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+        words = [w.encode("utf-8", "surrogatepass") for w in n]
+        fit = pa.array([len(w) <= most for w in words], pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"]).filter(fit)
 
-    return docs.select(F.col(text_col)).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text_col)).mapInArrow(tidied(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def ship(docs: DataFrame, lexicon: Lexicon) -> str:
     """Put the lexicon into the shared folder, for Spark to bring to each executor; returns its name there."""
-    spark = docs.sparkSession
-    target = workspace(spark, "lexicon") + ".bin"
-    jvm, sc = spark._jvm, spark.sparkContext
-    out = (p := jvm.org.apache.hadoop.fs.Path(target)).getFileSystem(sc._jsc.hadoopConfiguration()).create(p)
-    out.write(bytearray(lexicon.dump()))
-    out.close()
-    sc.addFile(target)
+    spark, target = docs.sparkSession, workspace(docs.sparkSession, "lexicon") + ".bin"
+    put(spark, target, lexicon.dump())
+    spark.sparkContext.addFile(target)
     return target.rpartition("/")[2]
 
 
@@ -332,18 +335,21 @@ class Encoder:
     """The ids of words: from the lexicon, else merged."""
 
     def __init__(self, path: str, lexicon: Lexicon):
-        self.merges, self.lexicon, self.known = merges(path), lexicon, {}
-        self.flat = self.lexicon.ids.tobytes()
+        self.merges, self.lexicon, self.known, self.size = merges(path), lexicon, {}, 0
+        self.flat, self.at = memoryview(lexicon.ids).cast("B") if len(lexicon.ids) else b"", lexicon.at  # not copied
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """A table of the ids, as little-endian 32-bit integers, that holds at least these words."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        if self.size > REMEMBERED:
+            self.known, self.size = {}, 0
         new = [*({*words} - self.known.keys())]
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
-        at, number = (4 * self.lexicon.at).tolist(), self.lexicon.find(raw).tolist()
-        rest = iter(self.merges.encode_all([x for x, k in zip(raw, number, strict=True) if k < 0]))
-        self.known.update((w, self.flat[at[k] : at[k + 1]] if k >= 0 else next(rest)) for w, k in zip(new, number, strict=True))
+        number = self.lexicon.find(raw)
+        begin, end = (4 * self.at[np.maximum(number, 0) + k] for k in (0, 1)) if len(self.at) > 1 else (number, number)
+        rest = iter(self.merges.encode_all([x for x, k in zip(raw, number.tolist(), strict=True) if k < 0]))
+        for w, k, a, b in zip(new, number.tolist(), begin.tolist(), end.tolist(), strict=True):
+            ids = self.known[w] = bytes(self.flat[a:b]) if k >= 0 else next(rest)
+            self.size += len(w) + len(ids) + OVERHEAD
         return self.known
 
 
@@ -376,12 +382,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         encoder = Encoder(path, _opened(name))
         special = struct.pack("<I", m.special_id)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            keys, texts = batch.column(0), (x.as_py() or "" for x in batch.column(1))
             n, sha, dec, ids, raw = 0, hashlib.sha256(), _Utf8Digest(), [], []
             out: list[tuple] = []
-            for group in pretoken.parts(enumerate(x or "" for x in texts), m.special):
+            for group in pretoken.parts(enumerate(texts), m.special):
                 joined, at, ranges = pretoken.split(group, packed)
                 words = [*map(joined.__getitem__, map(slice, at, at[1:]))]
+                del joined, at
                 of = encoder.learn(words).__getitem__
                 for part, (lo, hi) in zip(group, ranges, strict=True):
                     got = special * part.special + b"".join(map(of, words[lo:hi]))
@@ -401,7 +408,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 1 + len(arrays)]
             yield pa.RecordBatch.from_arrays([keys, *arrays], names)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidied(run), schema)
 
 
 class _Utf8Digest:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import tidied
 from .shared import broadcast_if_small
 
 #: Training documents of each language, about; EM rounds; what is added to each piece's expected count.
@@ -30,8 +31,11 @@ ADDED = 0.01
 WORD = 24
 #: Longer words are walked together while their number times the longest one's letters is at most this.
 CELLS = 400_000
-#: Words, with their log probabilities, and their letters, that a worker keeps; beyond them it begins anew.
-REMEMBERED, LETTERS = 600_000, 12_000_000
+#: Bytes of words, with their log probabilities, that a worker keeps, about; beyond them it begins anew.
+REMEMBERED = 64_000_000
+#: What Python needs for a word, besides its letters and probabilities; words of short ones walked at once; characters
+#: of texts judged at once.
+OVERHEAD, WALKED, JUDGED = 150, 5_000, 1_000_000
 UNKNOWN = "und"
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -237,25 +241,25 @@ def training_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str, s
             langs, words = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array([*found.values()], pa.int64())], ["lang", "word", "n"])
 
-    return at.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return at.mapInArrow(tidied(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 class Scorer:
     def __init__(self, languages: list[str], p: np.ndarray, vocab: dict[str, int]):
         self.languages, self.p, self.vocab = languages, p, vocab
         self.place: dict[str, int] = {}
-        self.letters = 0
+        self.size = 0
         self.logs = np.zeros((0, len(languages)))
 
     def learn(self, words: set[str]) -> None:
-        if len(self.place) > REMEMBERED or self.letters > LETTERS:
-            self.place, self.logs, self.letters = {}, self.logs[:0], 0
+        if self.size > REMEMBERED:
+            self.place, self.logs, self.size = {}, self.logs[:0].copy(), 0
         new = [w for w in words if w not in self.place]
-        self.letters += sum(map(len, new))
+        self.size += sum(map(len, new)) + len(new) * (OVERHEAD + 8 * len(self.languages))
         short, groups = parted(new)
         logs = [self.logs]
-        for k in range(0, len(short), 20_000):
-            logs.append(np.log(np.maximum(Lattice([new[x] for x in short[k : k + 20_000]], self.vocab).total(self.p), 1e-300)))
+        for k in range(0, len(short), WALKED):
+            logs.append(np.log(np.maximum(Lattice([new[x] for x in short[k : k + WALKED]], self.vocab).total(self.p), 1e-300)))
         for at in groups:
             logs.append(Runs([new[x] for x in at], self.vocab).log_total(self.p))
         new = [new[x] for at in (short, *groups) for x in at]
@@ -265,8 +269,8 @@ class Scorer:
     def judge_all(self, texts: pa.Array) -> tuple[list[str], list[float]]:
         preds, scores, lo = [], [], 0
         while lo < len(texts):
-            found, letters, size = [], [], 0
-            while lo < len(texts) and size < 4_000_000:
+            found, letters, size = [], [], 0  # words of each text
+            while lo < len(texts) and size < JUDGED:
                 x = texts[lo].as_py() or ""
                 size += len(x)
                 found.append(words := words_of(x))
@@ -308,7 +312,7 @@ def predict(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 [ids, pa.array([held_out(x) for x in ids.to_pylist()]), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [id_col, "held_out", "lang_pred", "score"]
             )
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidied(run), f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
 
 
 def fit(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
@@ -328,4 +332,4 @@ def accept(docs: DataFrame, path: str, least: float = 0.5, id_col: str = "doc_id
             preds, scores = scorer.judge_all(batch.column(place))
             yield batch.filter(pa.array([lang != UNKNOWN and x >= least for lang, x in zip(preds, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -16,7 +16,7 @@ import numpy as np
 
 OTHER, LETTER, DIGIT, SPACE, EDGE = range(5)
 #: Characters of a batch of texts that is split at once.
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 1_000_000
 
 
 @functools.lru_cache(4)
