@@ -6,6 +6,7 @@ import atexit
 import functools
 import shutil
 import uuid
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,9 +32,42 @@ def _local_root(application: str) -> str:
     return own
 
 
+#: By application, the paths that workspace() gave and the tables that were made at some of them.
+_PATHS: dict[str, list[str]] = {}
+_TABLES: dict[str, list[str]] = {}
+
+
 def workspace(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    _PATHS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def named(spark: SparkSession, table: str) -> str:
+    """A table's name, once it is noted for clean()."""
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(table)
+    return table
+
+
+def mark(spark: SparkSession) -> tuple[int, int]:
+    """For clean(): what is made from now on."""
+    app = spark.sparkContext.applicationId
+    return len(_PATHS.get(app, [])), len(_TABLES.get(app, []))
+
+
+def clean(spark: SparkSession, since: tuple[int, int], keep: Collection[str] = ()) -> None:
+    """Drop the work tables and folders made since a mark, but for those to keep. Results that read them are lost unless
+    they were written."""
+    app = spark.sparkContext.applicationId
+    paths, tables = _PATHS.get(app, []), _TABLES.get(app, [])
+    for table in tables[since[1] :]:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    for path in paths[since[0] :]:
+        if path not in keep:
+            remove(spark, path)
+    del tables[since[1] :], paths[since[0] :]
+    paths += keep
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

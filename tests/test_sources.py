@@ -19,7 +19,7 @@ from tallygrid.operators.topk import top_k
 from tallygrid.sources import generate, index
 from tallygrid.sources.rows import from_rows, read_clusters, read_predicates, read_rows
 from tallygrid.streaming.online import answer, load_points, serve
-from tallygrid.workspace import shared_root
+from tallygrid.workspace import clean, mark, materialize, shared_root, workspace
 
 
 def test_rows_keep_file_order(spark, tmp_path):
@@ -201,3 +201,15 @@ def test_work_files_need_a_shared_folder_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="share"):
         shared_root(Elsewhere)
+
+
+def test_work_files_are_removed_but_for_what_is_kept(spark):
+    first = materialize(spark.range(3), "first")
+    before = mark(spark)
+    path = workspace(spark, "kept")
+    materialize(spark.range(5), "second").write.parquet(path)
+    other = materialize(spark.range(4), "third")
+    clean(spark, before, keep=[path])
+    assert first.count() == 3 and spark.read.parquet(path).count() == 5
+    with pytest.raises(Exception, match="exist"):
+        other.count()
