@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallygrid.llm import bpe, decontam, exact_dedup, forest, langid
 from tallygrid.llm.queries import table, vocabulary
-from tallygrid.llm.shared import importable, workspace
+from tallygrid.llm.shared import importable
+from tallygrid.workspace import clean, mark, workspace
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +45,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet and read again."""
+    """The stages over documents, each written as Parquet and read again; what a stage left behind is then removed."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before = mark(spark)
         stage(spark, docs, sf_dir).write.parquet(path := workspace(spark, f"stage-{name}"))
+        clean(spark, before, keep=[path])
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
