@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,8 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..workers import importable
-from .match import hinted, met
+from ..workspace import materialize
+from .match import _small, hinted, met
 
+#: Distinct values, of all dims, whose counts are sent to every task; of more, a task gets a dim's, and its part of the
+#: predicates, of which each dim's are dealt over so many groups.
+HISTOGRAM_ROWS, PREDICATE_GROUPS = 1_000_000, 8
 COLUMNS = ["qid", "ord", "dim", "lo", "up", "weight", "selectivity"]
 
 
@@ -110,22 +115,37 @@ def widen(preds: DataFrame, points: DataFrame, selectivity: float = 0.0, rows: i
     rows: the number of rows, if known; otherwise the distinct ids of the points are counted.
     """
     importable(points.sparkSession)
-    counts = points.groupBy("dim", "value").count()
+    counts = materialize(points.groupBy("dim", "value").count(), "histogram")
     n = points.agg(F.countDistinct("id")).first()[0] or 0 if rows is None else rows
     own = preds.withColumn("share", F.when(F.col("selectivity") > 0, F.col("selectivity")).otherwise(F.lit(float(selectivity))))
-
-    def run(p: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
-        if len(h) and len(p):
-            h = h.sort_values("value")
-            values, total = h["value"].to_numpy(np.int64), h["count"].cumsum().to_numpy()
-            made = [widened(int(a), int(b), math.ceil(s * n), values, total) if s > 0 else (a, b) for a, b, s in zip(p["lo"], p["up"], p["share"], strict=True)]
-            p = p.assign(lo=[a for a, _ in made], up=[b for _, b in made])
-        return p[COLUMNS]
-
+    own = own.select(*COLUMNS, "share")
     kinds = dict(preds.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in COLUMNS)
-    # A group is a dim's distinct values and its predicates, not its points.
-    return own.groupBy("dim").cogroup(counts.groupBy("dim")).applyInPandas(run, schema)
+
+    def grown(p: pd.DataFrame, values: np.ndarray, total: np.ndarray) -> pd.DataFrame:
+        made = [widened(int(a), int(b), math.ceil(s * n), values, total) if s > 0 and len(values) else (a, b) for a, b, s in zip(p["lo"], p["up"], p["share"], strict=True)]
+        return p.assign(lo=[a for a, _ in made], up=[b for _, b in made])[COLUMNS]
+
+    if _small(counts, HISTOGRAM_ROWS):
+        h = counts.orderBy("dim", "value").toPandas()
+        tables = {dim: (g["value"].to_numpy(np.int64), g["count"].cumsum().to_numpy()) for dim, g in h.groupby("dim")}
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in batches:
+                for dim, part in p.groupby("dim"):
+                    yield grown(part, *tables[dim]) if dim in tables else part[COLUMNS]
+
+        return own.mapInPandas(each, schema)
+
+    def run(p: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+        h = h.sort_values("value")
+        return grown(p, h["value"].to_numpy(np.int64), h["count"].cumsum().to_numpy()) if len(h) and len(p) else p[COLUMNS]
+
+    # A group is a dim's distinct values and some of its predicates, not its points.
+    ways = F.lit(PREDICATE_GROUPS)
+    dealt = own.withColumn("salt", F.pmod(F.xxhash64("qid", "lo", "up"), ways).cast("int"))
+    spread = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), ways - 1)))
+    return dealt.groupBy("dim", "salt").cogroup(spread.groupBy("dim", "salt")).applyInPandas(run, schema)
 
 
 def selectivity_of(preds: DataFrame, points: DataFrame) -> DataFrame:

@@ -123,7 +123,7 @@ def grown(lo, up, need, values):
     return lo, up
 
 
-def test_adaptive_ranges(spark):
+def test_adaptive_ranges(spark, monkeypatch):
     rng = random.Random(2)
     for least in (0, 4):
         for _ in range(300):
@@ -137,11 +137,13 @@ def test_adaptive_ranges(spark):
 
             assert predicates.widened(lo, up, need, np.array(keys), np.cumsum([c[k] for k in keys])) == grown(lo, up, need, values), (lo, up, need, values)
     at = points.vector_points(from_rows(spark, VECTORS))
-    found = predicates.widen(predicates.radius_predicates(ask(spark, VECTORS)), at, 0.3).collect()
-    assert len(found) == 20
-    for r in found:
-        v = VECTORS[r["qid"]][r["dim"]]
-        assert (r["lo"], r["up"]) == grown(v, v, math.ceil(0.3 * 40), [x[r["dim"]] for x in VECTORS])
+    for rows in (predicates.HISTOGRAM_ROWS, 1):  # both when all counts are sent to every task and when a task gets a dim's
+        monkeypatch.setattr(predicates, "HISTOGRAM_ROWS", rows)
+        found = predicates.widen(predicates.radius_predicates(ask(spark, VECTORS)), at, 0.3).collect()
+        assert len(found) == 20
+        for r in found:
+            v = VECTORS[r["qid"]][r["dim"]]
+            assert (r["lo"], r["up"]) == grown(v, v, math.ceil(0.3 * 40), [x[r["dim"]] for x in VECTORS])
 
 
 def test_multirange_takes_the_first_queries(spark):
