@@ -117,6 +117,25 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+#: Texts as hexadecimal digits, in chunks that overlap by a string; each string by its digest.
+OP6_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, k, substr(h, 4000 * k + 1, 4398) AS x FROM (SELECT r, h, unnest(range((length(h) + 3999) // 4000)) AS k FROM d)),
+s AS (SELECT r, 2000 * k + j AS p, md5(substr(x, 2 * j + 1, 400)) AS g
+      FROM (SELECT r, k, x, unnest(range(least(2000, (length(x) - 400) // 2 + 1))) AS j FROM c WHERE length(x) >= 400)),
+o AS (SELECT r, p FROM s WHERE g IN (SELECT g FROM s GROUP BY g HAVING count(*) > 1)),
+f AS (SELECT r, p, coalesce(p > 200 + lag(p) OVER (PARTITION BY r ORDER BY p), true) AS fresh FROM o),
+n AS (SELECT r, p, sum(CAST(fresh AS INT)) OVER (PARTITION BY r ORDER BY p) AS run FROM f),
+runs AS (SELECT r, min(p) AS a, max(p) + 200 AS b FROM n GROUP BY r, run),
+gone AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last FROM runs GROUP BY r),
+kept AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS lo, a AS hi FROM runs
+         UNION ALL SELECT r, coalesce(last, 0), length(h) // 2 FROM d LEFT JOIN gone USING (r)),
+rest AS (SELECT r, string_agg(substr(h, CAST(2 * lo + 1 AS BIGINT), CAST(2 * (hi - lo) AS BIGINT)), '' ORDER BY lo) AS k FROM kept JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) JOIN rest USING (r)
+"""
+
+
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
@@ -159,4 +178,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can say it; the others are tested against brute force or the library."""
-    return {"op1_perspectives": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_decontaminate": OP5_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_perspectives": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_repeats": OP6_SQL, "op10_url_filter": OP10_SQL}

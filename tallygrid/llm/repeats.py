@@ -5,14 +5,23 @@ that equal strings hold the same anchor at the same place. Anchors that occur on
 surroundings (as much as a string of that length can reach) to the bucket of the anchor's hash, where they form a sorted
 suffix array with common-prefix lengths. A stack scan walks its interval tree bottom-up; in each interval, occurrences
 are kept in the order of what stands to their left, and only those newly next to each other in that order can extend
-each other's match further. The result is, for every occurrence, how far the repeats through it reach to both sides.
+each other's match further: where left extensions are diverse, a run of occurrences that share one is a maximal repeat.
+The result is either how far the repeats through each occurrence reach to both sides, or the repeats themselves, each
+with all its occurrences.
+
+An anchor that occurs very often is replaced by two longer ones, which take in half of what a string can reach to its
+right or to its left: every string through the anchor goes through one of the two. Those that still occur too often are
+replaced again, at last by the strings themselves, of which a block sends each once. So no bucket gets more than a
+bounded number of surroundings of one anchor, and all are compared in the same way, byte by byte.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +38,7 @@ GRAM = 32
 BLOCK_BYTES = 1_500_000
 #: Buckets of surroundings for each of other things, as a message of these is so much larger.
 FINER = 8
-#: An anchor that blocks hold more often than this is judged by hashes of its strings, which spread over all buckets.
+#: An anchor that occurs more often than this is replaced by longer ones.
 HOT = 20_000
 #: Stands for what lies beyond a text; UTF-8 never has it.
 NONE = 0xFF
@@ -65,8 +74,7 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
     gram = min(GRAM, length)
     if len(raw) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = gram_hashes(raw, gram)
-    bits = np.uint64(max(1, len(h)).bit_length())
+    h, bits = gram_hashes(raw, gram), np.uint64(32)  # as many for every block, so that all choose alike
     least = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the first is least
     width, have = length - gram + 1, 1
     while 2 * have <= width:
@@ -84,13 +92,32 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
     return at, h[at]
 
 
-def surroundings(raw: np.ndarray, ends: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Rows of bytes: for each anchor what a string of `length` bytes through it can cover, with NONE beyond its text."""
+def longer(raw: np.ndarray, ends: np.ndarray, at: np.ndarray, size: np.ndarray, base: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, sizes, bases, hashes) of what replaces anchors of these sizes (below length); base: where in an anchor the
+    gram is from which it grew."""
+    text = np.searchsorted(ends, at, "right")
+    more = (length - size + 1) // 2
+    right, left = at + size + more <= ends[text], at - more >= np.r_[0, ends[:-1]][text]
+    at, base = np.concatenate([at[right], (at - more)[left]]), np.concatenate([base[right], (base + more)[left]])
+    size = np.concatenate([(size + more)[right], (size + more)[left]])
+    key = np.unique(np.stack([at, size, base]), axis=1)
+    at, size, base = key[0], key[1], key[2]
+    h = np.zeros(len(at), np.uint64)
+    for g in np.unique(size).tolist():
+        own = size == g
+        with np.errstate(over="ignore"):
+            h[own] = _mix(gram_hashes(raw, g)[at[own]] + np.uint64(g) * _P)
+    return at, size, base, h
+
+
+def surroundings(raw: np.ndarray, ends: np.ndarray, at: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """Rows of bytes: for each anchor what a string of `length` bytes through it can cover, with NONE beyond that and its
+    text."""
     left = length - min(GRAM, length)
     padded = np.concatenate([np.full(left, NONE, np.uint8), raw, np.full(length, NONE, np.uint8)])
     rows = sliding_window_view(padded, left + length)[at].copy()
     text = np.searchsorted(ends, at, "right")
-    before, after = at - np.r_[0, ends[:-1]][text], ends[text] - at
+    before, after = np.minimum(at - np.r_[0, ends[:-1]][text], length - size), ends[text] - at
     near = np.flatnonzero(before < left)
     rows[near] = np.where(np.arange(left + length) < (left - before[near])[:, None], NONE, rows[near])
     near = np.flatnonzero(after < length)
@@ -104,10 +131,15 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(1), differ.argmax(1), a.shape[1])
 
 
-def maximal_repeats(rows: np.ndarray, anchor: np.ndarray, left: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+#: Called with the left and right reach of a maximal repeat and all rows in which it occurs.
+Emit = Callable[[int, int, list[int]], None]
+
+
+def maximal_repeats(rows: np.ndarray, anchor: np.ndarray, left: int, length: int, emit: Emit | None = None) -> tuple[np.ndarray, np.ndarray]:
     """How far (to the left, to the right) of its anchor each distinct row's repeats of `length` bytes reach, else 0, 0.
 
-    rows: left context and right context; anchor: what must be equal for rows to be compared.
+    rows: left context and right context; anchor: what must be equal for rows to be compared. emit gets the repeats of
+    several rows.
     """
     n = len(rows)
     far_l, far_r = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -133,12 +165,15 @@ def maximal_repeats(rows: np.ndarray, anchor: np.ndarray, left: int, length: int
         ok = a + r >= length
         for k in (x[ok], y[ok]):
             far_l[k], far_r[k] = a[ok], r[ok]
+        if emit:
+            for i, j, p, q in zip(*(z[ok].tolist() for z in (a, r, x, y)), strict=True):
+                emit(i, j, [p, q])
     for lo, size in zip(edge[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-        _interval_tree(order[lo : lo + size].tolist(), lcp[lo : lo + size - 1].tolist(), back, length, far_l, far_r)
+        _interval_tree(order[lo : lo + size].tolist(), lcp[lo : lo + size - 1].tolist(), back, length, far_l, far_r, emit)
     return far_l, far_r
 
 
-def _interval_tree(suffixes: list[int], lcp: list[int], back: np.ndarray, length: int, far_l: np.ndarray, far_r: np.ndarray) -> None:
+def _interval_tree(suffixes: list[int], lcp: list[int], back: np.ndarray, length: int, far_l: np.ndarray, far_r: np.ndarray, emit: Emit | None = None) -> None:
     """Scan a group's suffix array with a stack of open intervals; an interval's occurrences are merged when it closes."""
     lefts = [back[s].tobytes() for s in suffixes]
     rank = sorted(range(len(suffixes)), key=lefts.__getitem__)
@@ -158,40 +193,77 @@ def _interval_tree(suffixes: list[int], lcp: list[int], back: np.ndarray, length
         end = a.find(b"\xff", 0, lo)
         return lo if end < 0 else end
 
-    def meet(i: int, j: int, r: int) -> None:
+    def meet(i: int, j: int, r: int) -> bool:
         a = shared(rank[i], rank[j])
-        if a + r >= length:
-            for s in (suffixes[rank[i]], suffixes[rank[j]]):
-                far_l[s], far_r[s] = max(far_l[s], a), max(far_r[s], r)
+        if a + r < length:
+            return False
+        for s in (suffixes[rank[i]], suffixes[rank[j]]):
+            far_l[s], far_r[s] = max(far_l[s], a), max(far_r[s], r)
+        return True
 
     def merge(one: list[int], two: list[int], r: int) -> list[int]:
         """Occurrences by the order of their left sides. Left extensions are diverse where neighbours differ; each new
         pair of neighbours shares r bytes to the right at least, and no other pair shares more to the left."""
         if len(one) < len(two):
             one, two = two, one
+        met = False
         for x in two:
             k = bisect.bisect_left(one, x)
             if k:
-                meet(one[k - 1], x, r)
+                met |= meet(one[k - 1], x, r)
             if k < len(one):
-                meet(x, one[k], r)
+                met |= meet(x, one[k], r)
             one.insert(k, x)
+        if met and emit:
+            fresh[r] = {*fresh.get(r, ()), *two}
         return one
 
+    fresh: dict[int, set[int]] = {}  # of the open intervals, those that came to others since they were last reported
+
+    def report(members: list[int], r: int) -> None:
+        """An interval is whole: each run of its occurrences that share a left extension, and of which one is new to
+        another (so that they don't all go on alike to the right), is a maximal repeat."""
+        new = fresh.pop(r, None)
+        if not new:
+            return
+        a = [shared(rank[i], rank[j]) for i, j in zip(members, members[1:])]  # noqa: B905
+        runs: set[tuple[int, int]] = set()
+        for k, x in enumerate(members):
+            for at in (k - 1, k) if x in new else ():
+                if not 0 <= at < len(a):
+                    continue
+                lo = hi = at
+                level = a[at]
+                while level + r >= length:
+                    while lo and a[lo - 1] >= level:
+                        lo -= 1
+                    while hi + 1 < len(a) and a[hi + 1] >= level:
+                        hi += 1
+                    if (lo, hi) in runs:
+                        break
+                    runs.add((lo, hi))
+                    emit(level, r, [suffixes[rank[m]] for m in members[lo : hi + 2]])
+                    # The next run that holds this one shares less to the left.
+                    level = max(a[lo - 1] if lo else -length, a[hi + 1] if hi + 1 < len(a) else -length)
+
+    def close(stack: list[tuple[int, list[int]]]) -> None:
+        r, members = stack.pop()
+        below, rest = stack.pop()
+        members = merge(rest, members, r)
+        if emit and below < r:  # else more of the same interval is to come
+            report(members, r)
+        stack.append((below, members))
+
     stack: list[tuple[int, list[int]]] = []  # (common prefix with what stands before on the stack, occurrences)
     for k in range(len(suffixes)):
         now = [place[k]]
         depth = lcp[k - 1] if k else -1
         # Intervals deeper than this boundary close, the deepest first.
         while len(stack) > 1 and stack[-1][0] > depth:
-            r, members = stack.pop()
-            below, rest = stack.pop()
-            stack.append((below, merge(rest, members, r)))
+            close(stack)
         stack.append((depth, now))
     while len(stack) > 1:
-        r, members = stack.pop()
-        below, rest = stack.pop()
-        stack.append((below, merge(rest, members, r)))
+        close(stack)
 
 
 # Messages
@@ -210,31 +282,81 @@ def _counter(hot: int):
     return reduce
 
 
-def _reach(length: int):
-    left = length - min(GRAM, length)
+class _Bucket:
+    """The distinct surroundings that blocks sent to a bucket, and which of them each block's are."""
 
-    def reduce(payloads: list[bytes]) -> list[bytes]:
-        hashes, rows, times, sizes = [], [], [], []
+    def __init__(self, payloads: list[bytes], length: int):
+        self.left = length - min(GRAM, length)
+        hashes, rows, times, bases = [], [], [], []
         for p in payloads:
-            h, n, flat = blocks.unsqueeze(p, "<u8", "<u4", "<u1")
+            h, n, base, flat = blocks.unsqueeze(p, "<u8", "<u4", "<u1", "<u1")
             hashes.append(h)
             times.append(n)
-            rows.append(flat.reshape(len(h), left + length))
-            sizes.append(len(h))
-        h, n, rows = np.concatenate(hashes), np.concatenate(times), np.concatenate(rows)
-        del hashes, times
+            bases.append(base)
+            rows.append(flat.reshape(len(h), self.left + length))
+        self.ends = np.cumsum([*map(len, hashes)])
+        h, n, base, rows = map(np.concatenate, (hashes, times, bases, rows))
         first: dict[bytes, int] = {}
-        where = np.fromiter((first.setdefault(rows[k].tobytes(), k) for k in range(len(h))), np.int64, len(h))
-        own, where = np.unique(where, return_inverse=True)
-        total = np.bincount(where, n, len(own))
-        first.clear()
-        rows = rows[own]
-        far_l, far_r = maximal_repeats(rows, h[own], left, length)
+        # An anchor is the same where its base is too.
+        where = np.fromiter((first.setdefault(base[k].tobytes() + rows[k].tobytes(), k) for k in range(len(h))), np.int64, len(h))
+        own, self.where = np.unique(where, return_inverse=True)
+        self.total = np.bincount(self.where, n, len(own))
+        self.base, self.rows = base[own], rows[own]
+        with np.errstate(over="ignore"):
+            self.anchor = h[own] + self.base.astype(np.uint64)
         # What occurs several times with all its surroundings is a repeat as far as its text goes.
-        whole_l, whole_r = _common(rows[:, :left][:, ::-1], rows[:, :left][:, ::-1]), _common(rows[:, left:], rows[:, left:])
-        often = (total > 1) & (whole_l + whole_r >= length)
-        far_l[often], far_r[often] = whole_l[often], whole_r[often]
-        return [blocks.squeeze(a.astype("<u2"), b.astype("<u2")) for a, b in zip(*(np.split(x[where], np.cumsum(sizes)[:-1]) for x in (far_l, far_r)), strict=True)]
+        behind, ahead = self.rows[:, : self.left][:, ::-1], self.rows[:, self.left :]
+        self.whole_l, self.whole_r = _common(behind, behind), _common(ahead, ahead)
+        self.often = (self.total > 1) & (self.whole_l + self.whole_r >= length)
+
+
+def _reach(length: int):
+    def reduce(payloads: list[bytes]) -> list[bytes]:
+        b = _Bucket(payloads, length)
+        far_l, far_r = maximal_repeats(b.rows, b.anchor, b.left, length)
+        far_l[b.often], far_r[b.often] = b.whole_l[b.often], b.whole_r[b.often]
+        return [blocks.squeeze(x.astype("<u2"), y.astype("<u2")) for x, y in zip(*(np.split(z[b.where], b.ends[:-1]) for z in (far_l, far_r)), strict=True)]
+
+    return reduce
+
+
+def _told_by(string: np.ndarray, place: int, length: int) -> bool:
+    """Whether the gram at a place of a string is the anchor of some string of `length` bytes within it, and so an anchor
+    wherever the string occurs."""
+    gram = min(GRAM, length)
+    h = gram_hashes(string, gram) >> np.uint64(32)
+    width = length - gram + 1
+    for lo in range(max(0, place - width + 1), min(place, len(h) - width) + 1):
+        if lo + int(h[lo : lo + width].argmin()) == place:
+            return True
+    return False
+
+
+def _repeats(length: int):
+    def reduce(payloads: list[bytes]) -> list[bytes]:
+        """To each block, for each repeat that its surroundings have: which of them, the repeat's digest, and its reach."""
+        b = _Bucket(payloads, length)
+        found: list[tuple[int, int, int, bytes]] = []
+
+        def emit(a: int, r: int, members: list[int]) -> None:
+            row = b.rows[members[0]]
+            string = row[b.left - a : b.left + r]
+            if _told_by(string, a + int(b.base[members[0]]), length):
+                digest = hashlib.blake2b(string.tobytes(), digest_size=16).digest()
+                found.extend((m, a, r, digest) for m in members)
+
+        maximal_repeats(b.rows, b.anchor, b.left, length, emit)
+        for k in np.flatnonzero(b.often).tolist():
+            emit(int(b.whole_l[k]), int(b.whole_r[k]), [k])
+        found.sort(key=lambda x: x[0])
+        who = np.array([x[0] for x in found], np.int64)
+        out = []
+        for part in np.split(b.where, b.ends[:-1]):
+            lo, hi = np.searchsorted(who, part), np.searchsorted(who, part, "right")
+            at = [j for a, z in zip(lo.tolist(), hi.tolist(), strict=True) for j in range(a, z)]
+            digests = np.frombuffer(b"".join(found[j][3] for j in at), "<u8") if at else np.zeros(0, "<u8")
+            out.append(blocks.squeeze(np.repeat(np.arange(len(part)), hi - lo).astype("<u4"), np.array([found[j][1] for j in at], "<u2"), np.array([found[j][2] for j in at], "<u2"), digests))
+        return out
 
     return reduce
 
@@ -260,124 +382,214 @@ def _open(body: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(zstandard.decompress(body), np.uint8), np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64))
 
 
-def _distinct(raw: np.ndarray, ends: np.ndarray, at: np.ndarray, h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, times, rows, where): the distinct surroundings of a block by hash, and which of them each anchor has."""
-    rows = surroundings(raw, ends, at, length)
+class Anchors(NamedTuple):
+    """Of a block: where they are, of how many bytes, where in them is the gram from which they grew, and their hashes."""
+
+    places: np.ndarray
+    sizes: np.ndarray
+    bases: np.ndarray
+    hashes: np.ndarray
+
+    TYPES = ("<u4", "<u1", "<u1", "<u8")
+
+    def pack(self, keep: np.ndarray | None = None) -> dict[str, bytes]:
+        return {name: (x if keep is None else x[keep]).astype(t).tobytes() for name, x, t in zip(self._fields, self, Anchors.TYPES, strict=True)}
+
+    @classmethod
+    def unpack(cls, packed: list[dict]) -> Anchors:
+        columns = [np.concatenate([np.frombuffer(x[name], t) for x in packed]) for name, t in zip(cls._fields, cls.TYPES, strict=True)]
+        return cls(*(x.astype(np.int64) for x in columns[:3]), columns[3])
+
+
+_FIELDS = "places binary, sizes binary, bases binary, hashes binary"
+_STRUCT = pa.struct([(name, pa.binary()) for name in Anchors._fields])
+
+
+def _settle(length: int):
+    """Of a block's anchors, those that are shared and not hot, and (null if none) those that are hot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                block, mine, got = (c[k].as_py() for c in batch.columns)
+                a, kinds = Anchors.unpack([mine]), _kinds(mine["hashes"], got)
+                hot = (kinds == 2) & (a.sizes < length)
+                rows = [a.pack((kinds > 0) & ~hot), a.pack(hot) if hot.any() else None]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x], _STRUCT) for x in rows)], ["block", "shared", "hot"])
+
+    return blocks.tidied(run)
+
+
+def _lengthen(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                block, hot, body, sizes = (c[k].as_py() for c in batch.columns)
+                raw, ends = _open(body, sizes)
+                a = Anchors.unpack([hot])
+                a = Anchors(*longer(raw, ends, a.places, a.sizes, a.bases, length))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([a.pack()], _STRUCT)], ["block", "mine"])
+
+    return blocks.tidied(run)
+
+
+def shared_anchors(table: DataFrame, length: int, hot: int) -> DataFrame:
+    """(block, anchors): those that occur more than once, none of them (but for whole strings) more than `hot` times."""
+    n, parts = blocks.buckets(table), []
+    now = table.select("block", "mine")
+    while True:
+        kinds = blocks.answer(blocks.ask(now.withColumn("hashes", F.col("mine.hashes")), ["hashes"], _anchor_messages(n)), _counter(hot))
+        told = now.join(kinds, "block", "left").select("block", "mine", "got").mapInArrow(_settle(length), f"block long, shared struct<{_struct()}>, hot struct<{_struct()}>")
+        parts.append(materialize(told, "anchors"))
+        more = parts[-1].where("hot IS NOT NULL").select("block", "hot")
+        if more.isEmpty():
+            break
+        now = more.join(table.select("block", "body", "sizes"), "block").mapInArrow(_lengthen(length), f"block long, mine struct<{_struct()}>")
+        now = materialize(now, "longer-anchors")
+    if len(parts) == 1:
+        return parts[0].select("block", F.array("shared").alias("anchors"))
+    whole = reduce(DataFrame.unionByName, (p.select("block", F.lit(k).alias("k"), "shared") for k, p in enumerate(parts)))
+    return whole.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "shared"))), lambda x: x.shared).alias("anchors"))
+
+
+def _struct() -> str:
+    return _FIELDS.replace(" ", ": ").replace(",: ", ", ")
+
+
+def _distinct(raw: np.ndarray, ends: np.ndarray, a: Anchors, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, times, where, rows): an anchor of each distinct surroundings (with their base) of a block, by hash, how
+    often they occur, which of them each anchor has, and themselves."""
+    rows = surroundings(raw, ends, a.places, a.sizes, length)
     seen: dict[bytes, int] = {}
-    key = [h[k].tobytes()[::-1] + rows[k].tobytes() for k in range(len(at))]  # in the order of hashes
+    h, base = a.hashes, a.bases.astype(np.uint8)
+    key = [h[k].tobytes()[::-1] + base[k].tobytes() + rows[k].tobytes() for k in range(len(h))]  # in the order of hashes
     for x in sorted({*key}):
         seen[x] = len(seen)
     where = np.fromiter(map(seen.__getitem__, key), np.int64, len(key))
     first = np.zeros(len(seen), np.int64)
     first[where] = np.arange(len(key))
-    return h[first], np.bincount(where, minlength=len(seen)), rows[first], where
+    return first, np.bincount(where, minlength=len(seen)), where, rows[first]
 
 
 def _context_messages(n: int, length: int):
-    def messages(body: bytes, sizes: bytes, places: bytes, hashes: bytes, got) -> Iterable[blocks.Message]:
-        chosen = _kinds(hashes, got) == 1
+    def messages(body: bytes, sizes: bytes, anchors: list[dict]) -> Iterable[blocks.Message]:
         raw, ends = _open(body, sizes)
-        h, times, rows, _ = _distinct(raw, ends, np.frombuffer(places, "<u4").astype(np.int64)[chosen], np.frombuffer(hashes, "<u8")[chosen], length)
+        a = Anchors.unpack(anchors)
+        first, times, _, rows = _distinct(raw, ends, a, length)
+        h, base = a.hashes[first], a.bases[first].astype("<u1")
         for k, part in blocks.by_bucket(h, n):
-            yield k, blocks.squeeze(h[part], times[part].astype("<u4"), np.ascontiguousarray(rows[part]).reshape(-1))
+            yield k, blocks.squeeze(h[part], times[part].astype("<u4"), base[part], np.ascontiguousarray(rows[part]).reshape(-1))
 
     return messages
 
 
-def _string_messages(n: int, length: int):
-    def messages(body: bytes, sizes: bytes, places: bytes, hashes: bytes, got) -> Iterable[blocks.Message]:
-        chosen = _kinds(hashes, got) == 2
-        if not chosen.any():
-            return
-        raw, ends = _open(body, sizes)
-        h, _ = _hot_strings(raw, ends, np.frombuffer(places, "<u4").astype(np.int64)[chosen], length)
-        h, times = np.unique(h, return_counts=True)
-        for k, part in blocks.by_bucket(h, n):
-            yield k, blocks.squeeze(h[part], times[part].astype("<u4"))
+def _stored(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+    """Blocks of texts, with their anchors."""
+    kind = dict(docs.dtypes)[id_col]
 
-    return messages
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = blocks.block_ids()
+        for ids, texts in blocks.grouped(batches, BLOCK_BYTES):
+            raw = b"".join(texts)
+            sizes = np.fromiter(map(len, texts), "<u4", len(texts))
+            at, h = anchors(np.frombuffer(raw, np.uint8), np.cumsum(sizes.astype(np.int64)), length)
+            mine = Anchors(at, np.full(len(at), min(GRAM, length)), np.zeros(len(at), np.int64), h).pack()
+            columns = [pa.array([next(number)], pa.int64()), pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([zstandard.compress(raw, 1)], pa.binary()), pa.array([sizes.tobytes()], pa.binary()), pa.array([mine], _STRUCT)]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "body", "sizes", "mine"])
 
+    made = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(build, f"block long, ids array<{kind}>, body binary, sizes binary, mine struct<{_struct()}>")
+    return blocks.store(made, "repeats")
 
-def _hot_strings(raw: np.ndarray, ends: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, places) of all strings through these anchors that lie in one text, each place once."""
-    through, inside = np.zeros(len(raw) + 1, np.int32), np.zeros(len(raw) + 1, np.int32)
-    np.add.at(through, np.maximum(at - (length - min(GRAM, length)), 0), 1)
-    np.add.at(through, at + 1, -1)
-    begins = np.r_[0, ends[:-1]]
-    full = ends - begins >= length
-    np.add.at(inside, begins[full], 1)
-    np.add.at(inside, ends[full] - length + 1, -1)
-    place = np.flatnonzero((np.cumsum(through) > 0) & (np.cumsum(inside) > 0))
-    return gram_hashes(raw, length)[place], place
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, length: int, hot: int, judge: Callable) -> DataFrame:
+    """(ids, body, sizes, anchors, got) for each block: what `judge` answers for its anchors' surroundings."""
+    if not 0 < length <= 255:
+        raise ValueError("lengths go from 1 to 255 bytes")
+    table = _stored(docs, id_col, text_col, length)
+    known = table.select("block", "ids", "body", "sizes").join(shared_anchors(table, length, hot), "block")
+    fields = ["body", "sizes", "anchors"]
+    answers = blocks.answer(blocks.ask(known, fields, _context_messages(FINER * blocks.buckets(table), length)), judge(length))
+    return known.join(answers, "block", "left").select("ids", *fields, "got")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, hot: int = HOT) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256, kept), a row for each row of docs; kept has the bytes that stay.
 
-    Each byte covered by a string of `length` bytes that also starts elsewhere, in the same text or another, is removed;
-    strings are judged on the input. Anchors that occur more than `hot` times are judged another way, with the same
-    result. Texts are UTF-8 bytes; null counts as empty; shorter texts lose nothing. Rows that
-    repeat a text are copies of each other. A cut may leave part of a character. Other columns are ignored; an empty
-    table gives no rows.
+    Each byte covered by a string of `length` bytes (255 at most) that also starts elsewhere, in the same text or another,
+    is removed; strings are judged on the input. hot bounds the work for one anchor, not the result. Texts are UTF-8
+    bytes; null counts as empty; shorter texts lose nothing. Rows that repeat a text are copies of each other. A cut may
+    leave part of a character. Other columns are ignored; an empty table gives no rows.
     """
     kind = dict(docs.dtypes)[id_col]
-    n = blocks.buckets(docs)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = blocks.block_ids()
-        for ids, texts in blocks.grouped(batches, BLOCK_BYTES):
-            raw = b"".join(texts)
-            sizes = np.fromiter(map(len, texts), "<u4", len(texts))
-            at, h = anchors(np.frombuffer(raw, np.uint8), np.cumsum(sizes.astype(np.int64)), length)
-            fields = {"body": zstandard.compress(raw, 1), "sizes": sizes.tobytes(), "places": at.astype("<u4").tobytes(), "hashes": h.astype("<u8").tobytes()}
-            yield pa.RecordBatch.from_arrays([pa.array([next(number)], pa.int64()), pa.array([ids.to_pylist()], pa.list_(ids.type)), *(pa.array([x], pa.binary()) for x in fields.values())], ["block", "ids", *fields])
-
-    table = blocks.store(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(build, f"block long, ids array<{kind}>, body binary, sizes binary, places binary, hashes binary"), "repeats")
-    kinds = blocks.answer(blocks.ask(table, ["hashes"], _anchor_messages(n)), _counter(hot))
-    known = table.join(materialize(kinds, "anchor-kinds"), "block", "left")
-    fields = ["body", "sizes", "places", "hashes", "got"]
-    reach = blocks.answer(blocks.ask(known, fields, _context_messages(FINER * n, length)), _reach(length)).withColumnRenamed("got", "reach")
-    strings = blocks.answer(blocks.ask(known, fields, _string_messages(n, length)), _counter(hot)).withColumnRenamed("got", "strings")
-    both = known.join(reach, "block", "left").join(strings, "block", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
-                blocks.tidy()
-                yield _cut(*(c[k].as_py() for c in batch.columns), length=length, kind=ids_type(batch), names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    def ids_type(batch: pa.RecordBatch) -> pa.DataType:
-        return batch.column(0).type.value_type
+                yield _cut(*(c[k].as_py() for c in batch.columns), length=length, kind=batch.column(0).type.value_type, names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return both.select("ids", *fields, "reach", "strings").mapInArrow(finish, schema)
+    return _judged(docs, id_col, text_col, length, hot, _reach).mapInArrow(blocks.tidied(finish), schema)
 
 
-def _cut(ids, body, sizes, places, hashes, got, reach, strings, *, length: int, kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, hot: int = HOT) -> DataFrame:
+    """(repeat, id_col, row, start, n_bytes): the maximal repeats of at least `length` bytes, each with all its occurrences.
+
+    repeat is the digest of the string; row tells rows of docs apart that repeat an id; start is the byte in the text. A
+    repeat is maximal if its occurrences don't all go on alike to a side, or if it goes on for as far as is compared: a
+    string of `length` bytes to either side of an anchor. Longer strings come in overlapping pieces, one or more for each
+    anchor in them. Nulls, short texts and empty tables as for dedup. The number of rows is that of all occurrences.
+    """
+    kind = dict(docs.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                ids, body, sizes, packed, got = (c[k].as_py() for c in batch.columns)
+                raw, ends = _open(body, sizes)
+                a = Anchors.unpack(packed)
+                _, times, where, _ = _distinct(raw, ends, a, length)
+                order = np.argsort(where, kind="stable")
+                begin, at, out = np.cumsum(times) - times, 0, []
+                for x in sorted(got or [], key=lambda x: x["bucket"]):
+                    which, left, right, digests = blocks.unsqueeze(x["payload"], "<u4", "<u2", "<u2", "<u8")
+                    out.append((which.astype(np.int64), left.astype(np.int64), right.astype(np.int64), digests.reshape(-1, 2), x["bucket"]))
+                h = a.hashes[order[begin]] if len(times) else a.hashes
+                begins = np.r_[0, ends[:-1]]
+                slices = dict(blocks.by_bucket(h, n))
+                found: set[tuple] = set()
+                for which, left, right, digests, bucket in out:
+                    at = slices[bucket].start
+                    for j, x, y, d in zip(which.tolist(), left.tolist(), right.tolist(), digests, strict=True):
+                        own = at + j
+                        for m in order[begin[own] : begin[own] + times[own]].tolist():
+                            place = int(a.places[m])
+                            text = int(np.searchsorted(ends, place, "right"))
+                            found.add((d.tobytes().hex(), text, place - x - int(begins[text]), x + y))
+                rows = sorted(found)
+                columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([ids[r[1]] for r in rows], batch.column(0).type.value_type), *(pa.array([r[c] for r in rows], pa.int64()) for c in (1, 2, 3))]
+                yield pa.RecordBatch.from_arrays(columns, ["repeat", id_col, "row", "start", "n_bytes"])
+
+    n = FINER * blocks.buckets(docs)
+    return _judged(docs, id_col, text_col, length, hot, _repeats).mapInArrow(blocks.tidied(run), f"repeat string, `{id_col}` {kind}, row long, start long, n_bytes long")
+
+
+def _cut(ids, body, sizes, packed, got, *, length: int, kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
     raw, ends = _open(body, sizes)
-    at, h, kinds = np.frombuffer(places, "<u4").astype(np.int64), np.frombuffer(hashes, "<u8"), _kinds(hashes, got)
+    a = Anchors.unpack(packed)
     step = np.zeros(len(raw) + 1, np.int64)
-    chosen = kinds == 1
-    if chosen.any():
-        _, _, _, where = _distinct(raw, ends, at[chosen], h[chosen], length)
-        parts = [blocks.unsqueeze(x["payload"], "<u2", "<u2") for x in sorted(reach, key=lambda x: x["bucket"])]
-        a, b = (np.concatenate(x).astype(np.int64)[where] for x in zip(*parts, strict=True))
-        ok = b > 0
-        np.add.at(step, at[chosen][ok] - a[ok], 1)
-        np.add.at(step, at[chosen][ok] + b[ok], -1)
-    chosen = kinds == 2
-    if chosen.any():
-        hs, place = _hot_strings(raw, ends, at[chosen], length)
-        own, where = np.unique(hs, return_inverse=True)
-        again = np.frombuffer(b"".join(zstandard.decompress(x["payload"]) for x in sorted(strings, key=lambda x: x["bucket"])), np.uint8)[where] > 0
-        np.add.at(step, place[again], 1)
-        np.add.at(step, place[again] + length, -1)
+    if len(a.places):
+        _, _, where, _ = _distinct(raw, ends, a, length)
+        parts = [blocks.unsqueeze(x["payload"], "<u2", "<u2") for x in sorted(got, key=lambda x: x["bucket"])]
+        left, right = (np.concatenate(x).astype(np.int64)[where] for x in zip(*parts, strict=True))
+        ok = right > 0
+        np.add.at(step, a.places[ok] - left[ok], 1)
+        np.add.at(step, a.places[ok] + right[ok], -1)
     gone = np.cumsum(step[:-1]) > 0
     begins = np.r_[0, ends[:-1]]
     n_removed, n_spans, sha, kept = [], [], [], []
-    for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
-        g = gone[a:b]
-        rest = raw[a:b][~g].tobytes()
+    for lo, hi in zip(begins.tolist(), ends.tolist(), strict=True):
+        g = gone[lo:hi]
+        rest = raw[lo:hi][~g].tobytes()
         n_removed.append(int(g.sum()))
         n_spans.append(int(np.count_nonzero(g[1:] & ~g[:-1]) + (len(g) > 0 and g[0])))
         sha.append(hashlib.sha256(rest).hexdigest())
