@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import workspace
+from .shared import named, workspace
 
 Message = tuple[int, bytes]
 
@@ -32,7 +32,7 @@ def buckets(df: DataFrame) -> int:
 
 def store(rows: DataFrame, label: str) -> DataFrame:
     """A table of rows with a column block, bucketed by it, in the shared folder."""
-    name = f"{label}_{uuid.uuid4().hex[:12]}"
+    name = named(rows.sparkSession, f"{label}_{uuid.uuid4().hex[:12]}")
     at = workspace(rows.sparkSession, label)
     rows.write.format("parquet").option("compression", "zstd").option("path", at).bucketBy(buckets(rows), "block").saveAsTable(name)
     return rows.sparkSession.table(name)
@@ -122,26 +122,6 @@ def gather(answers: DataFrame) -> DataFrame:
     return answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("got"))
 
 
-def keep_answers(asked: DataFrame, reduce: Callable[[list[bytes]], tuple[list[bytes], dict[str, bytes]]], label: str) -> DataFrame:
-    """A table (kind, block, bucket, payload) in the shared folder, partitioned by kind: answers, of kind "answer", and
-    what else `reduce` gives for a bucket, by kind, with no block."""
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        payloads, more = reduce(rows.column("payload").to_pylist())
-        tidy()
-        n, bucket = len(payloads), rows.column("bucket")[0].as_py()
-        return pa.table({
-            "kind": pa.array(["answer"] * n + [*more], pa.string()),
-            "block": pa.array(rows.column("block").to_pylist() + [None] * len(more), pa.int64()),
-            "bucket": pa.array([bucket] * (n + len(more)), pa.int32()),
-            "payload": pa.array([*payloads, *more.values()], pa.binary()),
-        })
-
-    schema, path = "kind string, block long, bucket int, payload binary", workspace(asked.sparkSession, label)
-    asked.groupBy("bucket").applyInArrow(run, schema).write.option("compression", "zstd").partitionBy("kind").parquet(path)
-    return asked.sparkSession.read.schema(schema).parquet(path)
-
-
 def squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays, by the bytes of equal weight of their elements, compressed."""
     parts = [len(a).to_bytes(8, "little") + np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]

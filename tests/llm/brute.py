@@ -8,8 +8,6 @@ import string
 import zlib
 from collections import Counter, defaultdict
 
-from tallygrid.llm import katz
-
 #: Names that operators use inside.
 CLASHING = ["id", "text_key", "th", "h", "at", "block", "ids", "ref", "digest", "keep_id", "component", "node", "word", "n", "own", "batch", "__gone", "conv", "seq", "url_", "address", "k"]
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -125,35 +123,117 @@ def near(rows):
     return [(i, groups.root(i), size[groups.root(i)], links[s], len(s)) for i, s in sets.items()]
 
 
-def katz_scores(rows):
-    docs = [(i, i is None or zlib.crc32(str(i).encode()) % 10 == 0, re.findall(r"[^\x20\x09-\x0D]+", fold(t)) + [None]) for i, t in rows]
-    one, two = Counter(), defaultdict(Counter)
-    for _, held, w in docs:
-        if not held:
-            one.update(w)
-            for a, b in zip(["<begin>", *w], w):
-                two[a][b] += 1
-    total, k = sum(one.values()), katz.K
-    d1 = katz.discounts([sum(c == r for c in one.values()) for r in range(1, k + 2)])
-    d2 = katz.discounts([sum(c == r for f in two.values() for c in f.values()) for r in range(1, k + 2)])
-    free = 1 - sum(d1[min(c, k + 1)] * c for c in one.values()) / total
-
-    def p1(w):
-        return d1[min(one[w], k + 1)] * one[w] / total if one[w] else free
-
-    def p2(a, w):
-        f = two.get(a)
-        if not f:
-            return p1(w)
+def factors(counts):
+    """Good-Turing's factors for counts 1 to 5 after Katz; absolute discounting's where they aren't between 0 and 1."""
+    n = Counter(counts)
+    share = 6 * n[6] / n[1] if n[1] else 1
+    less = min(max(n[1] / (n[1] + 2 * n[2]), 0.1), 0.9) if n[1] + n[2] and n[1] else 0.5
+    out = {}
+    for r in range(1, 6):
+        x = ((r + 1) * n[r + 1] / (r * n[r]) - share) / (1 - share) if n[r] and share < 1 else -1
+        out[r] = x if 0 < x < 1 else (r - less) / r
+    return out
+
+
+class Katz:
+    def __init__(self, texts, order):
+        """texts: lists of tokens."""
+        self.order, self.follow = order, defaultdict(Counter)
+        for w in texts:
+            seq = ["<begin>", *w]
+            for i in range(1, len(seq)):
+                for n in range(order):
+                    if i - n >= 0:
+                        self.follow[tuple(seq[i - n : i])][seq[i]] += 1
+        self.one = self.follow[()]
+        by = defaultdict(list)
+        for context, f in self.follow.items():
+            by[len(context)] += f.values()
+        self.d = {n: factors(c) for n, c in by.items()}
+
+    def left(self, context):
+        f = self.follow[context]
+        n, d = sum(f.values()), self.d[len(context)]
+        if not n:
+            return 1
+        return sum((1 - d[c]) * c for c in f.values() if c <= 5) / n if min(f.values()) <= 5 else 1 / (n + 1)
+
+    def own(self, context, w):
+        f, d = self.follow[context], self.d[len(context)]
         n = sum(f.values())
-        if all(c > k for c in f.values()):
-            left, own = 1 / (n + 1), f[w] / (n + 1)
-        else:
-            left, own = 1 - sum(d2[min(c, k + 1)] * c for c in f.values()) / n, d2[min(f[w], k + 1)] * f[w] / n
-        return own if w in f else left / (1 - sum(map(p1, f))) * p1(w)
+        return d.get(f[w], 1) * f[w] / n if min(f.values()) <= 5 else f[w] / (n + 1)
+
+    def weight(self, context):
+        return self.left(context) / (1 - sum(self.p(context[1:], w) for w in self.follow[context]))
+
+    def p(self, context, w):
+        f = self.follow.get(context)
+        if not context:
+            return self.own(context, w) if f and w in f else self.left(context)
+        if not f:
+            return self.p(context[1:], w)
+        return self.own(context, w) if w in f else self.weight(context) * self.p(context[1:], w)
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", fold(text)) + [None]
 
+
+def katz_scores(rows, order=2, learn=None):
+    """Scores of rows by a model of `learn`, or of rows themselves."""
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
+    model = Katz([words_of(t) for i, t in (rows if learn is None else learn) if not held(i)], order)
+    one, total = model.one, sum(model.one.values())
     out = []
-    for i, held, w in docs:
+    for i, t in rows:
+        w = words_of(t)
+        seq = ["<begin>", *w]
         base = sum(math.log10((one[x] + 0.1) / (total + 0.1 * (len(one) + 1))) for x in w)
-        out.append((i, held, len(w), sum(one[x] > 0 for x in w), total, base, sum(math.log10(p2(a, x)) for a, x in zip(["<begin>", *w], w))))
-    return out, one, two, p2
+        full = sum(math.log10(model.p(tuple(seq[max(0, k - order + 1) : k]), seq[k])) for k in range(1, len(seq)))
+        out.append((i, held(i), len(w), sum(one[x] > 0 for x in w), total, base, full))
+    return out, model
+
+
+def segmentations(word, pieces):
+    """All ways to cut a word into pieces, as lists of numbers; a character that is no piece by itself is 0."""
+    if not word:
+        return [[]]
+    out = []
+    for k in range(1, len(word) + 1):
+        number = pieces.get(word[:k], 0 if k == 1 else -1)
+        if number < 0 and k == 1:
+            number = 0
+        if number >= 0:
+            out += [[number, *rest] for rest in segmentations(word[k:], pieces)]
+    return out
+
+
+def language(rows, pieces, rounds, added):
+    """(id, language, share) of (id, text, lang) rows: every sum over segmentations is written out. No row may be left
+    out of the sample."""
+    split = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 == 0
+    counts = defaultdict(Counter)
+    for i, t, lang in rows:
+        if not held(i) and lang is not None and t is not None:
+            counts[lang].update(split(t))
+    ways = {w: segmentations("\u2581" + w, pieces) for i, t, _ in rows for w in split(t or "")}
+    size = max(pieces.values()) + 1
+    p = {lang: [1 / size] * size for lang in counts}
+    for _ in range(rounds):
+        for lang, words in counts.items():
+            got = [added] * size
+            for w, n in words.items():
+                each = [(math.prod(p[lang][k] for k in way), way) for way in ways[w]]
+                whole = sum(x for x, _ in each)
+                for x, way in each:
+                    for k in way:
+                        got[k] += n * x / whole
+            p[lang] = [x / sum(got) for x in got]
+    out = []
+    for i, t, _ in rows:
+        words = split(t or "")
+        logs = {lang: sum(math.log(sum(math.prod(q[k] for k in way) for way in ways[w])) for w in words) for lang, q in p.items()}
+        best = max(sorted(logs), key=logs.get)
+        out.append((i, best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())) if words else (i, "und", 0.0))
+    return out
