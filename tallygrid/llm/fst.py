@@ -6,9 +6,12 @@ alone. What decides all that follows is bounded: the longest suffix that begins
 counts) at the places in it. These are the states; each transition, on a byte, carries the change of the number of
 tokens. States are compiled when first reached. Where a piece starts, the machine returns to its first state.
 
-A text is cut into chunks. A chunk's map, from the state in which it is entered to the state in which it is left and the
-tokens emitted, is known before that state is: behind its first start of a piece nothing depends on it, so the map is a
-head, to be run from the entry state, and a constant. Maps compose associatively, by a prefix scan.
+A text is cut into chunks, wherever they end. A chunk's map leads from entry states to exit states and the tokens emitted.
+Which states may enter is told by the last bytes before the chunk: machines begun there and a little later soon agree, and
+the states that they are in are the map's. (An entry state that is none of them is run when it comes up, so nothing
+depends on the guess.) Where a piece starts in the chunk, all that follows is the same for every entry. Maps compose
+associatively: a prefix scan over a text's chunks gives every prefix's. Long texts' chunks are dealt over tasks, each
+makes its map by itself, and the maps, which are small, are composed for each text.
 """
 
 from __future__ import annotations
@@ -16,20 +19,26 @@ from __future__ import annotations
 import bisect
 import functools
 import struct
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import pretoken
+from . import blocks, pretoken
 from .bpe import Merges, merges
+from .shared import materialize
 
-#: Compiled states, and counted words, that a worker keeps; beyond them it begins anew.
-STATES = 300_000
-WORDS = 300_000
-#: Characters in a chunk.
-CHUNK = 16_384
+#: Compiled states, and bytes of counted words, that a worker keeps; beyond them it begins anew. A word needs so many
+#: bytes besides its own.
+STATES = 200_000
+REMEMBERED, OVERHEAD = 48_000_000, 140
+#: Characters in a chunk; of texts that are dealt over tasks, at least; and in a chunk of those.
+CHUNK, SPLIT, DEALT = 16_384, 1_000_000, 131_072
+#: Bytes before a chunk from which its entry states are told, and places there from which machines are begun.
+BEFORE, BEGUN = 256, 4
 
 
 class CountingTransducer:
@@ -107,36 +116,94 @@ class CountingTransducer:
     def full(self) -> bool:
         return len(self.state) > self.most
 
+    def key(self, state: int) -> bytes:
+        """A state, for other machines."""
+        suffix, packed = self.state[state]
+        return struct.pack("<I", len(suffix)) + suffix + packed
+
+    def of_key(self, key: bytes) -> int:
+        n = 4 + struct.unpack("<I", key[:4])[0]
+        new = (key[4:n], key[n:])
+        if new not in self.number:
+            self.number[new] = len(self.state)
+            self.state.append(new)
+        return self.number[new]
+
+    def entries(self, before: bytes) -> set[int]:
+        """The states in which a chunk may be entered behind these bytes of its piece."""
+        return {self.run(before[k:])[0] for k in range(min(BEGUN, len(before)))} if before else {0}
+
+
+class StateMap:
+    """From entry states to (exit state, tokens)."""
+
+    def __init__(self, to: dict[int, tuple[int, int]], run: Callable[[int], tuple[int, int]]):
+        """run: gives what an entry state leads to that the map doesn't have yet."""
+        self.to, self.run = to, run
 
-class ChunkMap:
-    """From an entry state to (state, tokens): the head is run from the entry state; if a piece starts in the chunk, what
-    follows is a constant state and count."""
+    def __call__(self, entry: int) -> tuple[int, int]:
+        if (got := self.to.get(entry)) is None:
+            got = self.to[entry] = self.run(entry)
+        return got
 
-    __slots__ = ("head", "state", "emitted")
+    def then(self, after: StateMap) -> StateMap:
+        """The map of both chunks together."""
 
-    def __init__(self, head: bytes, state: int | None, emitted: int):
-        self.head, self.state, self.emitted = head, state, emitted
+        def both(entry: int) -> tuple[int, int]:
+            state, n = self(entry)
+            last, more = after(state)
+            return last, n + more
 
-    def __call__(self, fst: CountingTransducer, entry: int) -> tuple[int, int]:
-        state, n = fst.run(self.head, entry)
-        return (state, n) if self.state is None else (self.state, n + self.emitted)
+        return StateMap({entry: both(entry) for entry in self.to}, both)
 
-    def then(self, fst: CountingTransducer, after: ChunkMap) -> ChunkMap:
-        if self.state is None:
-            return ChunkMap(self.head + after.head, after.state, after.emitted)
-        state, n = after(fst, self.state)
-        return ChunkMap(self.head, state, self.emitted + n)
 
+def entered(fst: CountingTransducer, head: bytes, rest: tuple[int, int] | None) -> Callable[[int], tuple[int, int]]:
+    """What an entry state leads to. head: the chunk's bytes before its first start of a piece; rest: the state and tokens
+    of what follows, if any does."""
 
-def scan(fst: CountingTransducer, maps: list[ChunkMap]) -> list[ChunkMap]:
+    def run(entry: int) -> tuple[int, int]:
+        state, n = fst.run(head, entry)
+        return (state, n) if rest is None else (rest[0], n + rest[1])
+
+    return run
+
+
+def chunk_map(fst: CountingTransducer, before: bytes, head: bytes, rest: tuple[int, int] | None) -> StateMap:
+    run = entered(fst, head, rest)
+    return StateMap({entry: run(entry) for entry in fst.entries(before)}, run)
+
+
+def scan(maps: list[StateMap]) -> list[StateMap]:
     """All prefixes' compositions, in rounds over which the distance doubles; a round's compositions are independent."""
     step = 1
     while step < len(maps):
-        maps = [m if k < step else maps[k - step].then(fst, m) for k, m in enumerate(maps)]
+        maps = [m if k < step else maps[k - step].then(m) for k, m in enumerate(maps)]
         step *= 2
     return maps
 
 
+class Chunk(NamedTuple):
+    """Of a part's pieces: `before`, of the piece in which the chunk begins; `head`, up to the first start of a piece;
+    whole pieces (from, to); and the `tail`, which begins the last one. tail is None if no piece starts."""
+
+    before: str
+    head: str
+    whole: tuple[int, int]
+    tail: str | None
+
+
+def chunks(joined: str, at: list[int], lo: int, hi: int, size: int) -> Iterator[Chunk]:
+    """Of the pieces lo to hi, each of `size` characters."""
+    for a in range(at[lo], at[hi], size):
+        b = min(a + size, at[hi])
+        first, beyond = bisect.bisect_left(at, a, lo, hi), bisect.bisect_left(at, b, lo, hi)
+        before = joined[max(at[first - 1], a - BEFORE) : a] if first > lo else ""
+        if first == beyond:
+            yield Chunk(before, joined[a:b], (first, first), None)
+        else:
+            yield Chunk(before, joined[a : at[first]], (first, beyond - 1), joined[at[beyond - 1] : b])
+
+
 def count(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """(id_col, n_bytes, n_tokens, over_limit) for each row of docs.
 
@@ -148,29 +215,116 @@ def count(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts that aren't long are counted; the others' chunks, numbered within the text, are handed on."""
         fst, known = machine(path), {}
-        special = fst.m.special
+        special, size, numbers = fst.m.special, 0, blocks.block_ids()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            tokens = [0] * len(texts)
-            for group in pretoken.parts(enumerate(x or "" for x in texts), special):
+            keys, n = batch.column(0), len(batch)
+            tokens, sizes, long, handed = [0] * n, [0] * n, [None] * n, []
+
+            def texts(batch=batch, sizes=sizes, long=long):
+                for k, x in enumerate(batch.column(1)):
+                    text = x.as_py() or ""
+                    sizes[k] = len(text.encode("utf-8", "surrogatepass"))
+                    if len(text) > SPLIT:
+                        long[k] = next(numbers)
+                    yield k, text
+
+            place = Counter()
+            for group in pretoken.parts(texts(), special):
                 joined, at, ranges = pretoken.split(group, packed)
                 words = [*map(joined.__getitem__, map(slice, at, at[1:]))]
-                if len(known) > WORDS:
-                    known.clear()
+                if size > REMEMBERED:
+                    known, size = {}, 0
                 if fst.full():
                     fst.reset()
-                for w in {*words} - known.keys():
-                    known[w] = fst.run(w.encode("utf-8", "surrogatepass"))[1]
                 for part, (lo, hi) in zip(group, ranges, strict=True):
-                    tokens[part.row] += part.special + _count_part(fst, known, joined, at, words, lo, hi)
-            sizes = [len((x or "").encode("utf-8", "surrogatepass")) for x in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
-                [id_col, "n_bytes", "n_tokens", "over_limit"],
-            )
-
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+                    tokens[part.row] += part.special
+                    if lo == hi:
+                        continue
+                    if long[part.row] is not None:
+                        for c in chunks(joined, at, lo, hi, DEALT):
+                            cut = [len(w) for w in words[slice(*c.whole)]]
+                            place[part.row] += 1
+                            handed.append((part.row, place[part.row], c, "".join(words[slice(*c.whole)]), cut))
+                        continue
+                    for w in {*words[lo:hi]} - known.keys():
+                        known[w] = fst.run(w.encode("utf-8", "surrogatepass"))[1] if len(w) <= CHUNK else None
+                        size += len(w) + OVERHEAD
+                    tokens[part.row] += _count_part(fst, known, joined, at, words, lo, hi)
+            yield _rows(keys, sizes, tokens, long, handed)
+
+    fields = f"id {kind}, n_bytes long, n_tokens long, text long, place int, before binary, head binary, whole string, cuts array<int>, tail binary"
+    made = materialize(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(blocks.tidied(run), fields), "counts")
+    out = made.where("place IS NULL").select("id", "n_bytes", "n_tokens", "text")
+    apart = made.where("place IS NOT NULL")
+    if not apart.isEmpty():
+        maps = apart.repartition("text", "place").mapInArrow(blocks.tidied(_maps(path)), "text long, place int, head binary, entry array<binary>, exit array<binary>, emitted array<long>, rest binary, more long")
+        whole = maps.groupBy("text").applyInArrow(_compose(path), "text long, more long")
+        long = out.where("text IS NOT NULL").join(whole, "text").select("id", "n_bytes", (F.col("n_tokens") + F.col("more")).alias("n_tokens"), "text")
+        out = out.where("text IS NULL").unionByName(long)
+    n_tokens = F.col("n_tokens")
+    return out.select(F.col("id").alias(id_col), "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
+
+
+def _rows(ids: pa.Array, sizes: list[int], tokens: list[int], long: list, handed: list[tuple]) -> pa.RecordBatch:
+    """A row for each text, and one for each chunk of a long one."""
+    raw = lambda x: x.encode("utf-8", "surrogatepass")
+    none = [None] * len(sizes)
+    columns = {
+        "id": pa.concat_arrays([ids, ids.take(pa.array([h[0] for h in handed], pa.int64()))]) if handed else ids,
+        "n_bytes": pa.array(sizes + [None] * len(handed), pa.int64()), "n_tokens": pa.array(tokens + [None] * len(handed), pa.int64()),
+        "text": pa.array(long + [long[h[0]] for h in handed], pa.int64()), "place": pa.array(none + [h[1] for h in handed], pa.int32()),
+        "before": pa.array(none + [raw(h[2].before) for h in handed], pa.binary()), "head": pa.array(none + [raw(h[2].head) for h in handed], pa.binary()),
+        "whole": pa.array(none + [h[3] for h in handed], pa.string()), "cuts": pa.array(none + [h[4] for h in handed], pa.list_(pa.int32())),
+        "tail": pa.array(none + [None if h[2].tail is None else raw(h[2].tail) for h in handed], pa.binary()),
+    }
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _maps(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The state map of each chunk: entries, where they lead and with how many tokens; and what follows any entry."""
+        fst = machine(path)
+        for batch in batches:
+            for r in range(len(batch)):
+                if fst.full():
+                    fst.reset()
+                x = {name: batch.column(name)[r].as_py() for name in ("text", "place", "before", "head", "whole", "cuts", "tail")}
+                rest, lo, n = None, 0, 0
+                if x["tail"] is not None:
+                    counts = {}
+                    for size in x["cuts"]:
+                        w = x["whole"][lo : lo + size]
+                        lo += size
+                        if w not in counts:
+                            counts[w] = fst.run(w.encode("utf-8", "surrogatepass"))[1]
+                        n += counts[w]
+                    state, more = fst.run(x["tail"])
+                    rest = state, n + more
+                to = chunk_map(fst, x["before"], x["head"], rest).to
+                yield pa.RecordBatch.from_pydict({
+                    "text": pa.array([x["text"]], pa.int64()), "place": pa.array([x["place"]], pa.int32()), "head": pa.array([x["head"]], pa.binary()),
+                    "entry": pa.array([[fst.key(e) for e in to]], pa.list_(pa.binary())), "exit": pa.array([[fst.key(e) for e, _ in to.values()]], pa.list_(pa.binary())),
+                    "emitted": pa.array([[k for _, k in to.values()]], pa.list_(pa.int64())),
+                    "rest": pa.array([fst.key(rest[0]) if rest else None], pa.binary()), "more": pa.array([rest[1] if rest else None], pa.int64()),
+                })
+
+    return run
+
+
+def _compose(path: str):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        """The tokens of a text: the last of its chunks' prefix compositions, from the first state. A text has at most
+        2^31 / DEALT chunks, as a value's size is limited."""
+        fst, maps = machine(path), []
+        for x in rows.sort_by("place").to_pylist():
+            rest = (fst.of_key(x["rest"]), x["more"]) if x["rest"] is not None else None
+            to = {fst.of_key(a): (fst.of_key(b), n) for a, b, n in zip(x["entry"], x["exit"], x["emitted"], strict=True)}
+            maps.append(StateMap(to, entered(fst, x["head"], rest)))
+        return pa.table({"text": pa.array([key[0].as_py()], pa.int64()), "more": pa.array([scan(maps)[-1](0)[1]], pa.int64())})
+
+    return run
 
 
 @functools.lru_cache(1)
@@ -178,19 +332,17 @@ def machine(path: str) -> CountingTransducer:
     return CountingTransducer(merges(path))
 
 
-def _count_part(fst: CountingTransducer, known: dict[str, int], joined: str, at: list[int], words: list[str], lo: int, hi: int) -> int:
+def _count_part(fst: CountingTransducer, known: dict[str, int | None], joined: str, at: list[int], words: list[str], lo: int, hi: int) -> int:
     """The tokens of the pieces lo to hi, by chunks of CHUNK characters."""
     if lo == hi:
         return 0
-    begin, end = at[lo], at[hi - 1] + len(words[hi - 1])
+    if at[hi] - at[lo] <= CHUNK:
+        return sum(map(known.__getitem__, words[lo:hi]))
     maps = []
-    for a in range(begin, end, CHUNK):
-        b = min(a + CHUNK, end)
-        first, beyond = bisect.bisect_left(at, a, lo, hi), bisect.bisect_left(at, b, lo, hi)
-        if first == beyond:
-            maps.append(ChunkMap(joined[a:b].encode("utf-8", "surrogatepass"), None, 0))
-            continue
-        head = joined[a : at[first]].encode("utf-8", "surrogatepass")
-        state, n = fst.run(joined[at[beyond - 1] : b].encode("utf-8", "surrogatepass"))
-        maps.append(ChunkMap(head, state, n + sum(map(known.__getitem__, words[first : beyond - 1]))))
-    return scan(fst, maps)[-1](fst, 0)[1]
+    for c in chunks(joined, at, lo, hi, CHUNK):
+        rest = None
+        if c.tail is not None:
+            state, n = fst.run(c.tail.encode("utf-8", "surrogatepass"))
+            rest = state, n + sum(map(known.__getitem__, words[slice(*c.whole)]))
+        maps.append(chunk_map(fst, c.before.encode("utf-8", "surrogatepass"), c.head.encode("utf-8", "surrogatepass"), rest))
+    return scan(maps)[-1](0)[1]
