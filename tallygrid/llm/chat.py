@@ -52,7 +52,8 @@ def perspectives(
     Participants are the distinct roles, but for those in `system`. A turn reads <|im_start|>assistant, user name=ROLE or
     system, a line break, its text, <|im_end|> and a line break. spans has the assistant's texts with their end marks, as
     start-end in characters of the part's text, joined by commas. Parts have `turns` turns, the last one fewer; parts in
-    order, joined, are the whole rendering.
+    order, joined, are the whole rendering: only the first has a leading system turn. Roles and texts go in as they are,
+    also where they hold such marks or line breaks; spans, not marks, say whose a text is.
 
     Turns are ordered by turn, role and text; null turns come last. A null text is empty; a turn with a null role is a
     user's named unknown and no participant. Rows with a null conversation are one conversation. Repeated rows are

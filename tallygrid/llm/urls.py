@@ -74,25 +74,59 @@ def _pick(index: Column, values: Sequence[str]) -> Column:
     return F.when(index.isNotNull(), F.get(F.array(*map(F.lit, values)), index)) if values else F.lit(None).cast("string")
 
 
+def _value(tag: Column, name: str) -> Column:
+    """An attribute's value, as written; empty if there is none."""
+    quoted = rf"""(?i)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.concat(*(F.regexp_extract(tag, quoted, k) for k in (1, 2, 3)))
+
+
+#: Entities in which characters of addresses are written; the ampersand's come last.
+ENTITIES = [("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#x2F;", "/"), ("&#47;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&")]
+
+
+def _plain(text: Column) -> Column:
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return F.trim(text)
+
+
 def alias_targets(html: Column) -> Column:
-    """The targets, as written, of canonical links and meta refreshes."""
-    links = F.regexp_extract_all(html, F.lit(r"(?i)(<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*>)"), 1)
-    hops = F.regexp_extract_all(html, F.lit(r"(?i)(<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*>)"), 1)
-    href = F.transform(links, lambda x: F.regexp_extract(x, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    url = F.transform(hops, lambda x: F.regexp_extract(x, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    """The targets of canonical links and meta refreshes outside comments, entities decoded."""
+    html = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|$)", "")
+    tags = lambda name: F.regexp_extract_all(html, F.lit(rf"""(?i)(<{name}\b(?:[^>"']|"[^"]*"|'[^']*')*>)"""), 1)
+    links = F.filter(tags("link"), lambda x: F.array_contains(F.split(F.lower(_value(x, "rel")), r"\s+"), "canonical"))
+    hops = F.filter(tags("meta"), lambda x: F.lower(_value(x, "http-equiv")) == "refresh")
+    href = F.transform(links, lambda x: _plain(_value(x, "href")))
+    url = F.transform(hops, lambda x: F.regexp_extract(_plain(_value(x, "content")), r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
     return F.array_remove(F.concat(href, url), "")
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its . and .. segments taken out; .. at the top falls away."""
+    parts = F.split(path, "/")
+
+    def step(out: Column, x: Column) -> Column:
+        up = F.when(F.size(out) > 1, F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(out)
+        return F.when(x == ".", out).when(x == "..", up).otherwise(F.concat(out, F.array(x)))
+
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.lit("")), step)
+    last = F.element_at(parts, -1).isin(".", "..")
+    return F.concat(F.array_join(kept, "/"), F.when(last, F.lit("/")).otherwise(F.lit("")))
+
+
 def resolve(base: Column, target: Column) -> Column:
     """An absolute url for a target on a page at base; relative paths are taken from the page's folder."""
     scheme = F.regexp_extract(base, r"^([^:]*:)//", 1)
     root = F.regexp_extract(base, r"^([^:]*://[^/?#]*)", 1)
     folder = F.regexp_extract(path_of(base), r"^(.*/)?", 0)
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    path, rest = F.regexp_extract(target, r"^[^?#]*", 0), F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
     return (
         F.when(F.contains(target, F.lit("://")), target)
         .when(F.startswith(target, F.lit("//")), F.concat(scheme, target))
-        .when(F.startswith(target, F.lit("/")), F.concat(root, target))
-        .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), target))
+        .when(path == "", F.concat(root, path_of(base), rest))
+        .when(F.startswith(path, F.lit("/")), F.concat(root, without_dots(path), rest))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, path)), rest))
     )
 
 
@@ -105,7 +139,7 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id_col, host, path, rule, verdict, aliases_blocked) for each row of pages.
+    """(id_col, host, path, rule, verdict, alias_blocked) for each row of pages.
 
     rule is the host and path of the rule that fits, else null; verdict is allow or block. A url that is null or has no
     :// has an empty host and path, fits no rule and has no alias, so it is allowed. Rows that repeat an id or a url are
