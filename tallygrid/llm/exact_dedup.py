@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fold, materialize, staying, workspace
+from .shared import fold, materialize, named, staying, workspace
 
 #: The most ids with digests (40 bytes each) that are broadcast to drop rows; more take a shuffled join.
 DROPPED_ROWS = 500_000
@@ -33,7 +33,7 @@ class DigestIndex:
         self.spark = spark
         self.path = path or workspace(spark, "digests")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"digest_index_{uuid.uuid4().hex[:12]}"
+        self.name = named(spark, f"digest_index_{uuid.uuid4().hex[:12]}")
         spark.sql(
             f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, copies BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
@@ -42,24 +42,25 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
         """Add a batch and return, for each of its rows, (id_col, keep_id, group_size, kept, text_sha256).
 
         Of equal texts in the batch the row with the largest id stays, unless the index already holds the text: then
         none of the batch stays, and keep_id is the id recorded when the text came first. group_size counts the copies
         in the batch, and those recorded with the text before. Null texts count as empty, and empty texts are equal.
         Rows with a null id are never marked; where no copy has an id, keep_id is null. Rows that repeat an id and a text
-        are copies that share the mark. (keep() returns one row of each text that is new, also of these.) Other columns
+        are copies that share the mark. A batch with a name can be added again, after a failure say: what it added itself
+        counts as new, so the result is that of the first time. (keep() returns one row of each text that is new, also of these.) Other columns
         are ignored, whatever their names.
         """
         mine = F.coalesce(F.col("id") == F.col("keep_id"), F.lit(False))
-        return self._judged(docs, id_col, text_col).select(
+        return self._judged(docs, id_col, text_col, batch).select(
             F.col("id").alias(id_col), "keep_id", "group_size", (mine & F.col("new")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
         )
 
-    def _judged(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    def _judged(self, docs: DataFrame, id_col: str, text_col: str, batch: str | None) -> DataFrame:
         """Add a batch and return, for each of its rows, (id, digest, keep_id, group_size, new: the text wasn't known)."""
-        batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
         seen = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(digest(F.col(text_col))).alias("digest")), "digest-batch")
         groups = seen.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("copies"))
         known = self.rows()
@@ -77,11 +78,11 @@ class DigestIndex:
         sizes = materialize(sizes, "digest-sizes")
         return seen.join(sizes, "digest").select("id", "digest", "keep_id", "group_size", "new")
 
-    def keep(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Add a batch and return one row of each text that the index didn't hold, with all its columns.
+    def keep(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
+        """Add a batch (see dedup) and return one row of each text that the index didn't hold, with all its columns.
 
         It is one with the largest id, or without an id if no copy has one; of rows that repeat both, any one.
         """
         chosen = F.col("new") & F.col("id").eqNullSafe(F.col("keep_id"))
-        pairs = self._judged(docs, id_col, text_col).groupBy("id", "digest").agg(F.count("*").alias("n"), F.max(chosen.cast("long")).alias("m"))
+        pairs = self._judged(docs, id_col, text_col, batch).groupBy("id", "digest").agg(F.count("*").alias("n"), F.max(chosen.cast("long")).alias("m"))
         return staying(docs, [F.col(id_col).cast("long"), F.unhex(digest(F.col(text_col)))], pairs, DROPPED_ROWS)

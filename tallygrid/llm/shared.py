@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..workers import importable
-from ..workspace import materialize, put, remove, shared_root, workspace
+from ..workspace import materialize, named, put, shared_root, workspace
 
-__all__ = ["importable", "materialize", "put", "remove", "shared_root", "workspace"]
+__all__ = ["importable", "materialize", "named", "put", "shared_root", "workspace"]
 
 #: Everything that separates words: ASCII but for digits and lower-case letters (upper-case ones are folded before).
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"

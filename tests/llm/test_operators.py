@@ -97,6 +97,15 @@ def test_exact_dedup_in_batches(spark, docs):
     assert index.dedup(docs.limit(0)).count() == 0
 
 
+def test_a_named_batch_can_be_added_again(spark, docs):
+    index = exact_dedup.DigestIndex(spark, buckets=3)
+    cols = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    first = rows_of(index.dedup(docs, batch="monday"), *cols)
+    n = index.rows().count()
+    assert rows_of(index.dedup(docs, batch="monday"), *cols) == first and index.rows().count() == n
+    assert not any(r[3] for r in rows_of(index.dedup(docs, batch="tuesday"), *cols)) and index.rows().count() == n
+
+
 def test_digests_fold_ascii_only(spark):
     found = exact_dedup.DigestIndex(spark).dedup(spark.createDataFrame([(1, "É"), (2, "é"), (3, "\u212a"), (4, "k"), (5, "K")], "doc_id long, text string"))
     assert rows_of(found, "doc_id", "group_size") == [(1, 1), (2, 1), (3, 1), (4, 2), (5, 2)]
@@ -149,7 +158,7 @@ def test_pieces_merges_and_chunks_on_random_texts(monkeypatch):
     for group in pretoken.parts(enumerate(strings), m.special, 4000):
         joined, at, ranges = pretoken.split(group, packed)
         words = [joined[a:b] for a, b in zip(at, at[1:])]
-        known = {w: machine.run(w.encode())[1] for w in {*words}}
+        known = {w: machine.run(w.encode())[1] for w in {*words} if len(w) <= fst.CHUNK}
         for part, (lo, hi) in zip(group, ranges):
             got = struct.pack("<I", m.special_id) * part.special + b"".join(map(encoder.learn(words).__getitem__, words[lo:hi]))
             ids[part.row] += struct.unpack(f"<{len(got) // 4}I", got)
@@ -157,6 +166,32 @@ def test_pieces_merges_and_chunks_on_random_texts(monkeypatch):
     assert ids == want and counts == [*map(len, want)]
 
 
+def test_long_texts_are_counted_by_maps_of_many_tasks(spark, library, monkeypatch):
+    """Chunks that end anywhere, also within pieces that go on through several; their maps lead where the whole text does."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(AWKWARD) for _ in range(400)), "ab" * 900 + " " + "xyz" * 700, "é日本" * 500, "short", "", None, "<|endoftext|>" * 30 + "don't " * 200]
+    monkeypatch.setattr(fst, "SPLIT", 600)
+    monkeypatch.setattr(fst, "DEALT", 97)
+    want = sorted(((k, len((x or "").encode()), len(library[0].encode(x or "", add_special_tokens=False).ids)) for k, x in enumerate(texts)), key=repr)
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(2)
+    assert rows_of(fst.count(df, BPE), "doc_id", "n_bytes", "n_tokens") == want
+
+
+def test_state_maps_compose():
+    m = fst.CountingTransducer(bpe.merges(BPE))
+    word = ("internationalization" * 40).encode()
+    parts = [word[k : k + 37] for k in range(0, len(word), 37)]
+    maps = [fst.chunk_map(m, word[max(0, 37 * k - fst.BEFORE) : 37 * k], x, None) for k, x in enumerate(parts)]
+    assert all(len(x.to) >= 1 for x in maps)
+    for k, x in enumerate(fst.scan(maps)):
+        assert x(0) == m.run(word[: 37 * (k + 1)])
+    # What bytes before tell is, but for the first few chunks' sake, the true state: nothing has to be run again.
+    assert sum(m.run(word[: 37 * k])[0] in maps[k].to for k in range(len(parts))) >= len(parts) - 1
+    other = fst.CountingTransducer(bpe.merges(BPE))
+    state, _ = m.run(b"internat")
+    assert other.run(b"ional", other.of_key(m.key(state)))[1] == m.run(b"ional", state)[1]
+
+
 def test_lexicon_finds_its_words_and_no_others(tmp_path):
     rng = random.Random(3)
     words = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 7))).encode() for _ in range(400)}
@@ -196,10 +231,79 @@ def test_large_components_in_parts(spark, monkeypatch):
     assert rows_of(forest.classes(brute.frame(spark, rows)), "doc_id", "class_id", "class_size", "n_links", "n_shingles") == sorted(brute.near(rows), key=repr)
 
 
-def test_depth_follows_the_recall():
+def test_depth_and_trees_follow_the_recall():
     d = forest.matched_depth()
     assert 1 - (1 - 0.8**d) ** forest.TREES >= forest.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** forest.TREES
     assert forest.matched_depth(recall=1.0) == 1 and forest.matched_depth(recall=0.5) == forest.DEPTH
+    assert forest.trees_for() == forest.TREES and 1 - 0.9 ** forest.trees_for(0.1) >= forest.RECALL > 1 - 0.9 ** (forest.trees_for(0.1) - 1)
+    # Pairs far above the similarity are found by whole signatures; many that are just at it ask for shorter prefixes.
+    assert forest.found_share({0.95: 1000}, 8, 32) > forest.RECALL > forest.found_share({0.95: 1000, 0.8: 900}, 8, 32)
+    assert forest.found_share({0.8: 1}, d, 32) >= forest.RECALL and forest.found_share({}, 8, 32) == 1
+
+
+def varied(rng, words, n, changed):
+    """n texts, each with its own words at so many places."""
+    out = []
+    for k in range(n):
+        x = list(words)
+        for j in rng.sample(range(len(x)), changed):
+            x[j] = f"y{k}x{j}"
+        out.append(" ".join(x))
+    return out
+
+
+def parts_of(spark, texts):
+    sets = forest.shingles([x.encode() for x in texts])
+    return sets, *forest.signatures(sets, forest.TREES)
+
+
+def test_signatures_and_sketches_tell_the_similarity(spark):
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join(base), *varied(rng, base, 3, 4), *varied(rng, base, 3, 20), "x y z"]
+    sets, signature, sketch = parts_of(spark, texts)
+    told = forest.alike(sketch, sketch, forest.TREES * forest.DEPTH)
+    for a in range(7):
+        for b in range(7):
+            true = len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+            assert abs(told[a, b] - true) < 0.2 and abs((signature[a] == signature[b]).mean() - true) < 0.12
+    assert abs(told[0, 7]) < 0.35
+
+
+def test_prefixes_are_shortened_only_as_the_data_ask(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(200)]
+    seen = []
+    real = forest.candidates
+    monkeypatch.setattr(forest, "candidates", lambda *a: seen.append(real(*a)) or seen[-1])
+    forest.classes(brute.frame(spark, list(enumerate(varied(rng, base, 12, 1))))).count()
+    assert seen[-1][1] == forest.DEPTH
+    forest.classes(brute.frame(spark, list(enumerate(varied(rng, base, 12, 2))))).count()
+    assert seen[-1][1] < forest.DEPTH
+
+
+def test_unlike_texts_that_meet_are_not_joined(spark):
+    """Texts that share 0.3 of their shingles meet in some tree, but no edge joins them."""
+    rng = random.Random(5)
+    common = [f"c{k}" for k in range(92)]
+    rows = [(k, " ".join([*common, *(f"z{k}x{j}" for j in range(100))])) for k in range(150)]
+    assert 0.25 < len((a := brute.shingles(rows[0][1])) & (b := brute.shingles(rows[1][1]))) / len(a | b) < 0.35
+    _, signature, sketch = parts_of(spark, [t for _, t in rows])
+    keys = forest.prefixes(signature, forest.matched_depth())
+    met = sum(len(x) - len(np.unique(x)) for x in keys.T)
+    one, other, _ = forest._joined(np.arange(150), sketch, forest.TREES * forest.DEPTH)
+    assert met > 100 and len(one) < 25  # of 11,175 pairs
+    found = forest.classes(brute.frame(spark, rows))
+    assert found.where("n_links = 0 AND class_size = 1").count() == 150
+
+
+def test_leaders_stand_for_large_groups(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(120)]
+    rows = list(enumerate(varied(rng, base, 90, 2) + varied(rng, base, 30, 9)))
+    monkeypatch.setattr(forest, "GROUP", 10)
+    cols = ("doc_id", "class_id", "class_size", "n_links", "n_shingles")
+    assert rows_of(forest.classes(brute.frame(spark, rows)), *cols) == sorted(brute.near(rows), key=repr)
 
 
 def test_components(spark):
@@ -237,38 +341,107 @@ def test_decontamination_of_nothing(spark, docs):
 # 6
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_repeats(spark, hot):
+def repeating():
     rng = random.Random(9)
     base = "".join(rng.choice("ab cdé") for _ in range(2500))
     fill = lambda: "".join(rng.choice("xyz") for _ in range(rng.randint(0, 60)))
     rows = [(i, fill() + base[(a := rng.randint(0, 2000)) : a + rng.randint(100, 450)] + fill()) for i in range(60)]
-    rows += [(900, None), (901, ""), (902, "a" * 900), (904, "abc" * 200), (905, "\x00" * 400), (905, "\x00" * 400), (None, base[:300])]
+    return [*rows, (900, None), (901, ""), (902, "a" * 900), (904, "abc" * 200), (905, "\x00" * 400), (905, "\x00" * 400), (None, base[:300]), (906, base[:300]), (907, base[:300])]
+
+
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_repeats(spark, hot):
+    """Also where all anchors are too frequent, and are replaced by longer ones up to whole strings."""
+    rows = repeating()
     cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert rows_of(repeats.dedup(brute.frame(spark, rows), hot=hot), *cols) == sorted(brute.repeats(rows, 200), key=repr)
-    if hot > 2:
+    if hot > 1:
         assert repeats.dedup(brute.frame(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_repeats_come_with_all_their_occurrences(spark, hot):
+    rows, length = [(k, t) for k, (_, t) in enumerate(repeating())], 60
+    raws = {k: (t or "").encode() for k, t in rows}
+    found = {}
+    for r in repeats.repeat_groups(brute.frame(spark, rows), length=length, hot=hot).collect():
+        assert raws[r["doc_id"]][r["start"] : r["start"] + r["n_bytes"]] and 0 <= r["start"]
+        found.setdefault(r["repeat"], set()).add((r["doc_id"], r["start"], r["n_bytes"]))
+    covered = {k: [False] * len(x) for k, x in raws.items()}
+    reach, seen = 2 * length - repeats.GRAM, set()
+    for group in found.values():
+        strings = {raws[k][a : a + n] for k, a, n in group}
+        assert len(strings) == 1 and len(one := strings.pop()) >= length and one not in seen
+        seen.add(one)
+        everywhere = {(k, a, len(one)) for k, x in raws.items() for a in range(len(x) - len(one) + 1) if x.startswith(one, a)}
+        assert group == everywhere and len(group) > 1
+        before, after = ({raws[k][a - 1 : a] if a else k for k, a, _ in group}, {raws[k][a + n : a + n + 1] or k for k, a, n in group})
+        # Not all go on alike to a side, unless the string goes on for as far as is compared.
+        assert (len(before) > 1 and len(after) > 1) or len(one) >= length
+        if len(before) == 1 and len(after) == 1:
+            assert len(one) >= length and len(one) <= reach + repeats.GRAM
+        for k, a, n in group:
+            covered[k][a : a + n] = [True] * n
+    gone = {r[0]: r[2] for r in brute.repeats(rows, length)}
+    assert {k: sum(x) for k, x in covered.items()} == gone
+
+
 # 7
 
 
-def test_katz(spark, docs):
-    want, one, two, p2 = brute.katz_scores(ROWS)
-    found = sorted((tuple(r) for r in katz.score(docs).collect()), key=lambda r: repr(r[:5]) + f"{r[5]:.6f}")
-    for a, b in zip(found, sorted(want, key=lambda r: repr(r[:5]) + f"{r[5]:.6f}"), strict=True):
+def close(found, want):
+    found, want = (sorted(map(tuple, x), key=lambda r: repr(r[:5]) + f"{r[5]:.6f}") for x in (found, want))
+    for a, b in zip(found, want, strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6])
-    for context in [*two][:20]:  # every context's distribution sums to one, with the unknown word
-        assert sum(p2(context, w) for w in one) + p2(context, "unknown") == pytest.approx(1)
+
+
+def said(seed, n):
+    """Texts of few words, so that contexts of several words come again."""
+    rng = random.Random(seed)
+    return [(k, " ".join(rng.choice(["a", "b", "c", "d", "the", "X"] if rng.random() < 0.9 else ["rare", f"r{rng.randrange(40)}"]) for _ in range(rng.randint(0, 30)))) for k in range(n)]
+
+
+def test_katz(spark, docs):
+    want, model = brute.katz_scores(ROWS)
+    close(katz.score(docs).collect(), want)
+    for context in [c for c in model.follow if c][:20]:  # every context's distribution sums to one, with the unknown word
+        assert sum(model.p(context, w) for w in model.one) + model.p(context, "unknown") == pytest.approx(1)
     assert katz.score(docs.limit(0)).count() == 0
     assert [tuple(r)[2:] for r in katz.score(docs.where("doc_id IS NULL AND text IS NULL")).collect()] == [(1, 0, 0, 0.0, 0.0)]
 
 
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_katz_of_any_order(spark, order):
+    rows = [*said(3, 70), (None, "a b the"), (7, "a b c d"), (8, None)]
+    close(katz.score(brute.frame(spark, rows), order=order).collect(), brute.katz_scores(rows, order)[0])
+
+
+def test_katz_tables_hold_the_model_and_score_other_texts(spark):
+    rows, others = said(3, 60), [*said(4, 25), (None, None), (5, "never seen words a b c")]
+    _, brute_model = brute.katz_scores(rows, 3)
+    model = katz.fit(brute.frame(spark, rows), order=3)
+    close(model.score(brute.frame(spark, others)).collect(), brute.katz_scores(others, 3, rows)[0])
+    words = {r["number"]: r["count"] for r in model.words().collect()}
+    hashes = {katz.xxhash.xxh3_64_intdigest((w or " ").encode()): w for w in brute_model.one}
+    name = {r["number"]: hashes[r["hash"] % (1 << 64)] for r in model.words().collect()}
+    assert {name[k]: c for k, c in words.items()} == dict(brute_model.one)
+    context = {katz.BEGIN: ("<begin>",)} | {k: (w,) for k, w in name.items()}
+    for order in (2, 3):
+        found, numbers = {}, {}
+        for r in model.grams(order).collect():
+            gram = (*context[r["context"]], name[r["word"]])
+            found[gram], numbers[r["number"]] = r["count"], gram
+        assert found == {(*c, w): n for c, f in brute_model.follow.items() if len(c) == order - 1 for w, n in f.items()}
+        weights = {context[r["context"]]: (r["times"], r["weight"]) for r in model.weights(order).collect()}
+        assert weights == {c: (sum(f.values()), pytest.approx(brute_model.weight(c))) for c, f in brute_model.follow.items() if len(c) == order - 1 and f}
+        context = numbers
+
+
 def test_katz_deals_hot_contexts_over_buckets(spark):
     rng = random.Random(2)
     rows = [(k, " ".join(f"the w{rng.randrange(400)}" for _ in range(40))) for k in range(60)]
-    want = {r[0]: r[6] for r in brute.katz_scores(rows)[0]}
-    assert {r["doc_id"]: r["score"] for r in katz.score(brute.frame(spark, rows)).collect()} == pytest.approx(want)
+    for order in (2, 3):
+        close(katz.score(brute.frame(spark, rows), order=order).collect(), brute.katz_scores(rows, order)[0])
 
 
 def test_discounts_stay_between_0_and_1():
@@ -301,6 +474,25 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.predict(df.withColumn("lang", F.lit(None).cast("string")), PIECES).collect()} == {"und"}
 
 
+def test_predictions_by_all_segmentations_written_out(spark, monkeypatch):
+    rng = random.Random(15)
+    letters = {"xx": "abcdeé", "yy": "defgh", "zz": "xyzabc"}
+    rows = [(k, " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 6))), lang) for k, lang in enumerate(rng.choice([*letters]) for _ in range(50))]
+    rows += [(900, "日本 abc", None), (901, "... 12", "xx"), (902, None, "yy"), (None, "abd", "xx")]
+    own = {x: k for x, k in langid.pieces(PIECES).items() if k > 0}
+    want = {i: x for i, *x in brute.language(rows, own, langid.ROUNDS, langid.ADDED)}
+    found = langid.predict(brute.frame(spark, rows, "doc_id long, text string, lang string"), PIECES).collect()
+    assert {r["doc_id"]: [r["lang_pred"], r["score"]] for r in found} == {i: [lang, pytest.approx(x)] for i, (lang, x) in want.items()}
+    # Long words are walked another way, with the same sums.
+    monkeypatch.setattr(langid, "WORD", 2)
+    languages, p = langid.fit(brute.frame(spark, rows, "doc_id long, text string, lang string"), PIECES)
+    scorer = langid.Scorer(languages, p, langid.pieces(PIECES))
+    import pyarrow as pa
+
+    preds, scores = scorer.judge_all(pa.array([t for _, t, _ in rows]))
+    assert preds == [want[i][0] for i, *_ in rows] and scores == pytest.approx([want[i][1] for i, *_ in rows])
+
+
 def test_five_hundred_documents_of_a_language_are_learnt_from_in_four_rounds(spark):
     rows = [(k, "".join(chr(97 + int(d)) for d in str(k)), "xx") for k in range(600)]
     words = langid.training_words(brute.frame(spark, rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", langid.SAMPLE_DOCS)
@@ -366,3 +558,62 @@ def test_url_aliases(spark):
     none = brute.frame(spark, rows, "page_id long, url string, html string").limit(0)
     assert urls.judge(none, queries.URL_RULES).count() == 0
     assert urls.judge(brute.frame(spark, rows, "page_id long, url string, html string"), []).where("verdict = 'allow' AND rule IS NULL").count() == len(rows)
+
+
+def test_a_very_long_word_stays_out_of_the_lexicon(spark):
+    """Megabytes without a blank are merged, not compiled; ids are the library's all the same."""
+    rows = [(1, "ab" * 1_000_000), (2, "a b " + "xyz" * 200)]
+    lexicon = bpe.compile_lexicon(brute.frame(spark, rows), BPE)
+    assert len(lexicon.final) < 2 * bpe.LEXICON_BYTES
+    t = Tokenizer.from_file(BPE)
+    found = {r["doc_id"]: r["n_tokens"] for r in bpe.encode(brute.frame(spark, rows), BPE).collect()}
+    assert found == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in rows}
+
+
+def test_caches_begin_anew_within_their_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 5_000)
+    encoder, m = bpe.Encoder(BPE, bpe.Lexicon.compile([], lambda w: [])), bpe.merges(BPE)
+    for k in range(40):
+        words = [f"w{k}-{j}" for j in range(10)]
+        known = encoder.learn(words)
+        assert all(known[w] == struct.pack(f"<{len(ids := m.encode(w.encode()))}I", *ids) for w in words)
+        assert encoder.size <= 5_000 + 10 * 300 and len(known) < 60
+    monkeypatch.setattr(langid, "REMEMBERED", 3_000)
+    vocab = langid.with_beginnings(["▁", "a", "b"])
+    scorer = langid.Scorer(["x"], np.full((4, 1), 0.25), vocab)
+    for k in range(40):
+        scorer.learn({w := "ab" * (k + 1)})
+        assert scorer.logs[scorer.place[w]] == pytest.approx((2 * k + 3) * np.log(0.25)) and len(scorer.place) < 30
+
+
+def test_url_aliases_by_brute_force(spark):
+    """Random pages: targets by the standard library, groups by disjoint sets, verdicts by trying all rules."""
+    from html import unescape
+    from urllib.parse import urljoin, urlsplit
+
+    rng = random.Random(12)
+    hosts = ["a.net", "b.org", "x.example.org", "c.com", "Shop.com"]
+    paths = ["/", "/es/1", "/en/12", "/de/x", "/fr/y", "/q/r/s", "/q/r/", "/p?z=1&w=2"]
+    urls_of = [f"http://{h}{p}" for h in hosts for p in paths]
+    targets = ["../t", "./u", "/de/../v", "s/./w", "?k=1&amp;l=2", "//a.net/p", "https://c.com/de/x", "http://Shop.com/fr/y", "../../../up"]
+    form = ['<link rel="alternate canonical" href="{}">', "<LINK href='{}' rel=canonical >", '<meta content="5; URL={}" http-equiv=Refresh>', '<!-- <link rel="canonical" href="{}"> -->', '<link rel="stylesheet" href="{}">']
+    rows, sets, address = [], brute.Sets(), lambda u: (p := urlsplit(u)).netloc.lower() + p.path + (f"?{p.query}" if p.query else "")
+    for k in range(120):
+        url, kind, target = rng.choice(urls_of), rng.randrange(5), rng.choice([*targets, *urls_of[:6]])
+        rows.append((k, url, f"<p>{form[kind].format(target)}</p>" if rng.random() < 0.3 else ""))
+        if rows[-1][2] and kind < 3:
+            sets.join(address(url), address(urljoin(url, unescape(target))))
+
+    def rule(u):
+        host, path = address(u).split("?")[0].partition("/")[::2]
+        fits = [(len(h + p), v, h + p) for v, h, p in queries.URL_RULES if (host == h or host.endswith(f".{h}")) and f"/{path}".startswith(p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    bad = {sets.root(x) for x in list(sets) if rule(f"http://{x}")[0] == "block"}
+    want = []
+    for k, url, _ in rows:
+        verdict, name = rule(url)
+        want.append((k, name, verdict or ("block" if sets.root(address(url)) in bad else "allow")))
+    found = urls.judge(brute.frame(spark, rows, "page_id long, url string, html string"), queries.URL_RULES)
+    assert rows_of(found, "page_id", "rule", "verdict") == sorted(want, key=repr)
+    assert found.where("alias_blocked AND rule IS NULL").count() > 3
