@@ -148,7 +148,7 @@ class _Block:
         for x in sorted(got, key=lambda x: x["bucket"]):
             c, k = blocks.unsqueeze(x["payload"], "<u4", "<u4")
             counts.append(c)
-            numbers.append(k.astype(np.int64) + level.offsets[x["bucket"]])
+            numbers.append(k.astype(np.int64) + level.offsets[x["bucket"]] if len(k) else np.full(len(c), -1))
         self.count, self.number = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
         self.count[self.order], self.number[self.order] = np.concatenate(counts), np.concatenate(numbers)
         p, unknown = unigram(self.count, all_words.total, level.d, all_words.times)
@@ -291,14 +291,15 @@ def learn_words(payloads: list[bytes]) -> Grams:
     return Grams(none, none, h[total > 0].view(np.int64), total[total > 0], none, none, np.zeros(0))
 
 
-def look_up_words(model: Grams, payloads: list[bytes]) -> list[bytes]:
-    """To each block the counts of its words in training, and their numbers in the bucket (of those that occur there)."""
+def look_up_words(model: Grams, payloads: list[bytes], more: bool) -> list[bytes]:
+    """To each block the counts of its words in training, and their numbers in the bucket (of those that occur there).
+    more: there is an order above, for which numbers are needed."""
     h, out = model.word.view(np.uint64), []
     for p in payloads:
         asked, _ = blocks.unsqueeze(p, "<u8", "<u4")
         at = np.minimum(np.searchsorted(h, asked), max(len(h) - 1, 0))
         ok = h[at] == asked if len(h) else np.zeros(len(asked), bool)
-        out.append(blocks.squeeze(np.where(ok, model.count[at] if len(h) else 0, 0).astype("<u4"), np.where(ok, at, 0).astype("<u4")))
+        out.append(blocks.squeeze(np.where(ok, model.count[at] if len(h) else 0, 0).astype("<u4"), np.where(ok, at, 0)[: None if more else 0].astype("<u4")))
     return out
 
 
@@ -319,7 +320,7 @@ def learn_grams(payloads: list[bytes]) -> Grams:
     return Grams(context[some], size[some], (code & np.uint64(0xFFFFFFFF)).astype(np.int64), c, times[some], low[some].reshape(-1), seen[some])
 
 
-def look_up_grams(model: Grams, payloads: list[bytes]) -> list[bytes]:
+def look_up_grams(model: Grams, payloads: list[bytes], more: bool) -> list[bytes]:
     """To each block the counts and numbers of its n-grams, and of its contexts how many words follow 1 to K times and
     the sum of their probabilities; the last two are sums over this bucket."""
     low, out = model.low.reshape(-1, K), []
@@ -334,20 +335,20 @@ def look_up_grams(model: Grams, payloads: list[bytes]) -> list[bytes]:
         hit = np.repeat(ok, size) & (code[k] == asked) if len(code) else np.zeros(len(asked), bool)
         c = np.where(hit, model.count[k] if len(code) else 0, 0)
         sums = [np.where(ok, low[at, r] if len(ends) else 0, 0).astype("<u4") for r in range(K)]
-        out.append(blocks.squeeze(c.astype("<u4"), np.where(hit, k, 0).astype("<u4"), *sums, np.where(ok, model.seen[at] if len(ends) else 0.0, 0.0).astype("<f8")))
+        out.append(blocks.squeeze(c.astype("<u4"), np.where(hit, k, 0)[: None if more else 0].astype("<u4"), *sums, np.where(ok, model.seen[at] if len(ends) else 0.0, 0.0).astype("<f8")))
     return out
 
 
 _MODEL = "kind string, block long, bucket int, payload binary, n long, context array<long>, size array<int>, word array<long>, count array<long>, times array<long>, low array<int>, seen array<double>"
 
 
-def _learn(learn: Callable[[list[bytes]], Grams], look: Callable[[Grams, list[bytes]], list[bytes]]):
+def _learn(learn: Callable[[list[bytes]], Grams], look: Callable[[Grams, list[bytes], bool], list[bytes]], more: bool):
     """A bucket's part of the model (kind "model"), what its counts add up to ("summary") and its answers ("answer")."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         payloads = rows.column("payload").to_pylist()
         model = learn(payloads)
-        answers = look(model, payloads)
+        answers = look(model, payloads, more)
         bucket, n = rows.column("bucket")[0].as_py(), len(answers)
         times = np.bincount(np.minimum(model.count, K + 2), minlength=K + 3)[1 : K + 2]
         summary = struct.pack(f"<{K + 2}q", int(model.count.sum()), *times.tolist())
@@ -365,11 +366,11 @@ def _learn(learn: Callable[[list[bytes]], Grams], look: Callable[[Grams, list[by
     return run
 
 
-def _read(look: Callable[[Grams, list[bytes]], list[bytes]]):
+def _read(look: Callable[[Grams, list[bytes], bool], list[bytes]], more: bool):
     """A bucket's answers from its part of the model."""
 
     def run(key: tuple, asked: pa.Table, model: pa.Table) -> pa.Table:
-        answers = look(Grams.read(model), asked.column("payload").to_pylist())
+        answers = look(Grams.read(model), asked.column("payload").to_pylist(), more)
         blocks.tidy()
         return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "payload": pa.array(answers, pa.binary())})
 
@@ -438,7 +439,7 @@ class Model:
             messages = _word_messages(n) if k == 1 else _gram_messages(n, levels[: k - 1], all_words)
             asked = blocks.ask(both, [*_FIELDS, *_columns(told)], messages)
             look = look_up_words if k == 1 else look_up_grams
-            answered = asked.groupBy("bucket").cogroup(self.part(k, "model").groupBy("bucket")).applyInArrow(_read(look), "block long, bucket int, payload binary")
+            answered = asked.groupBy("bucket").cogroup(self.part(k, "model").groupBy("bucket")).applyInArrow(_read(look, k < self.order), "block long, bucket int, payload binary")
             told.append(materialize(blocks.gather(answered), "katz-told"))
         return _scores(table, told, levels, all_words, n, id_col)
 
@@ -473,7 +474,7 @@ def _fit(table: DataFrame, order: int) -> tuple[Model, list[DataFrame], list[Lev
     for k in range(1, order + 1):
         messages = _word_messages(n) if k == 1 else _gram_messages(n, [*levels], all_words)
         asked = blocks.ask(_with_answers(table, told), [*_FIELDS, *_columns(told)], messages)
-        run = _learn(learn_words, look_up_words) if k == 1 else _learn(learn_grams, look_up_grams)
+        run = _learn(learn_words, look_up_words, k < order) if k == 1 else _learn(learn_grams, look_up_grams, k < order)
         asked.groupBy("bucket").applyInArrow(run, _MODEL).write.option("compression", "zstd").partitionBy("kind").parquet(f"{model.path}/order={k}")
         level, sums = model.level(k)
         levels.append(level)
