@@ -9,10 +9,9 @@ each other's match further: where left extensions are diverse, a run of occurren
 The result is either how far the repeats through each occurrence reach to both sides, or the repeats themselves, each
 with all its occurrences.
 
-An anchor that occurs very often is replaced by two longer ones, which take in half of what a string can reach to its
-right or to its left: every string through the anchor goes through one of the two. Those that still occur too often are
-replaced again, at last by the strings themselves, of which a block sends each once. So no bucket gets more than a
-bounded number of surroundings of one anchor, and all are compared in the same way, byte by byte.
+An anchor that occurs very often is replaced by the strings whose anchor it is. These go the same way: those that occur
+once are done with, and of the others a block sends each once, to be compared byte by byte with its equals. So no bucket
+gets more than a bounded number of surroundings of one anchor.
 """
 
 from __future__ import annotations
@@ -20,7 +19,6 @@ from __future__ import annotations
 import bisect
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -38,7 +36,7 @@ GRAM = 32
 BLOCK_BYTES = 1_500_000
 #: Buckets of surroundings for each of other things, as a message of these is so much larger.
 FINER = 8
-#: An anchor that occurs more often than this is replaced by longer ones.
+#: An anchor that occurs more often than this is replaced by its strings.
 HOT = 20_000
 #: Stands for what lies beyond a text; UTF-8 never has it.
 NONE = 0xFF
@@ -69,11 +67,11 @@ def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
             part, have = part * part, 2 * have
 
 
-def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the anchors of all strings of `length` bytes that lie in one text."""
+def _own_anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where strings of `length` bytes start that lie in one text, the places of their anchors, hashes of all grams)."""
     gram = min(GRAM, length)
     if len(raw) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h, bits = gram_hashes(raw, gram), np.uint64(32)  # as many for every block, so that all choose alike
     least = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the first is least
     width, have = length - gram + 1, 1
@@ -87,27 +85,27 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
     full = ends - begins >= length
     np.add.at(inside, begins[full], 1)
     np.add.at(inside, ends[full] - length + 1, -1)
-    at = (least & ((np.uint64(1) << bits) - np.uint64(1)))[np.cumsum(inside[:-1]) > 0].astype(np.int64)
+    start = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+    return start, (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64), h
+
+
+def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the anchors of all strings of `length` bytes that lie in one text."""
+    _, at, h = _own_anchors(raw, ends, length)
     at = np.unique(at)
     return at, h[at]
 
 
-def longer(raw: np.ndarray, ends: np.ndarray, at: np.ndarray, size: np.ndarray, base: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(places, sizes, bases, hashes) of what replaces anchors of these sizes (below length); base: where in an anchor the
-    gram is from which it grew."""
-    text = np.searchsorted(ends, at, "right")
-    more = (length - size + 1) // 2
-    right, left = at + size + more <= ends[text], at - more >= np.r_[0, ends[:-1]][text]
-    at, base = np.concatenate([at[right], (at - more)[left]]), np.concatenate([base[right], (base + more)[left]])
-    size = np.concatenate([(size + more)[right], (size + more)[left]])
-    key = np.unique(np.stack([at, size, base]), axis=1)
-    at, size, base = key[0], key[1], key[2]
-    h = np.zeros(len(at), np.uint64)
-    for g in np.unique(size).tolist():
-        own = size == g
-        with np.errstate(over="ignore"):
-            h[own] = _mix(gram_hashes(raw, g)[at[own]] + np.uint64(g) * _P)
-    return at, size, base, h
+def strings_of(raw: np.ndarray, ends: np.ndarray, hot: np.ndarray, length: int) -> Anchors:
+    """The strings whose anchors are at these places, as anchors of their own."""
+    start, own, _ = _own_anchors(raw, ends, length)
+    is_hot = np.zeros(len(raw) + 1, bool)
+    is_hot[hot] = True
+    chosen = is_hot[own]
+    start, own = start[chosen], own[chosen]
+    with np.errstate(over="ignore"):
+        h = _mix(gram_hashes(raw, length)[start] + np.uint64(length) * _P)
+    return Anchors(start, np.full(len(start), length), own - start, h)
 
 
 def surroundings(raw: np.ndarray, ends: np.ndarray, at: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
@@ -420,36 +418,33 @@ def _settle(length: int):
     return blocks.tidied(run)
 
 
-def _lengthen(length: int):
+def _spell(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 block, hot, body, sizes = (c[k].as_py() for c in batch.columns)
                 raw, ends = _open(body, sizes)
-                a = Anchors.unpack([hot])
-                a = Anchors(*longer(raw, ends, a.places, a.sizes, a.bases, length))
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([a.pack()], _STRUCT)], ["block", "mine"])
+                mine = strings_of(raw, ends, Anchors.unpack([hot]).places, length)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([mine.pack()], _STRUCT)], ["block", "mine"])
 
     return blocks.tidied(run)
 
 
 def shared_anchors(table: DataFrame, length: int, hot: int) -> DataFrame:
-    """(block, anchors): those that occur more than once, none of them (but for whole strings) more than `hot` times."""
-    n, parts = blocks.buckets(table), []
-    now = table.select("block", "mine")
-    while True:
-        kinds = blocks.answer(blocks.ask(now.withColumn("hashes", F.col("mine.hashes")), ["hashes"], _anchor_messages(n)), _counter(hot))
-        told = now.join(kinds, "block", "left").select("block", "mine", "got").mapInArrow(_settle(length), f"block long, shared struct<{_struct()}>, hot struct<{_struct()}>")
-        parts.append(materialize(told, "anchors"))
-        more = parts[-1].where("hot IS NOT NULL").select("block", "hot")
-        if more.isEmpty():
-            break
-        now = more.join(table.select("block", "body", "sizes"), "block").mapInArrow(_lengthen(length), f"block long, mine struct<{_struct()}>")
-        now = materialize(now, "longer-anchors")
-    if len(parts) == 1:
-        return parts[0].select("block", F.array("shared").alias("anchors"))
-    whole = reduce(DataFrame.unionByName, (p.select("block", F.lit(k).alias("k"), "shared") for k, p in enumerate(parts)))
-    return whole.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "shared"))), lambda x: x.shared).alias("anchors"))
+    """(block, anchors): those that occur more than once; in place of those that do more than `hot` times, their strings."""
+
+    def told(now: DataFrame) -> DataFrame:
+        kinds = blocks.answer(blocks.ask(now.withColumn("hashes", F.col("mine.hashes")), ["hashes"], _anchor_messages(blocks.buckets(table))), _counter(hot))
+        at = now.join(kinds, "block", "left").select("block", "mine", "got")
+        return materialize(at.mapInArrow(_settle(length), f"block long, shared struct<{_struct()}>, hot struct<{_struct()}>"), "anchors")
+
+    first = told(table.select("block", "mine"))
+    more = first.where("hot IS NOT NULL").select("block", "hot")
+    if more.isEmpty():
+        return first.select("block", F.array("shared").alias("anchors"))
+    spelt = more.join(table.select("block", "body", "sizes"), "block").mapInArrow(_spell(length), f"block long, mine struct<{_struct()}>")
+    second = told(materialize(spelt, "strings")).select("block", F.col("shared").alias("strings"))
+    return first.join(second, "block", "left").select("block", F.array_compact(F.array("shared", "strings")).alias("anchors"))
 
 
 def _struct() -> str:

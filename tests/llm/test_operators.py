@@ -351,7 +351,7 @@ def repeating():
 
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_repeats(spark, hot):
-    """Also where all anchors are too frequent, and are replaced by longer ones up to whole strings."""
+    """Also where all anchors are too frequent, and are replaced by their strings."""
     rows = repeating()
     cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert rows_of(repeats.dedup(brute.frame(spark, rows), hot=hot), *cols) == sorted(brute.repeats(rows, 200), key=repr)
