@@ -5,6 +5,8 @@ Text that a query reads it writes itself, from whole tables, into the shared fol
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from .config import Config
 from .functions import arrays
 from .operators import clusters, points, predicates, stats, topk
 from .operators.match import match, match_positions
-from .plans import engine
+from .plans import engine, policy
 from .queries import GROWN, K, ORDER_POINTS, PART_POINTS, SEQUENCES, WORDS, Query, _asked, _orders, _out, _parts, _self, _sequences, _sql, _table
 from .sources import index, rows
 from .streaming import online
@@ -157,6 +159,36 @@ def single_range_search(spark, sf_dir):
     return _out(engine.match_queries(engine.build_index(at), engine.build_queries(at.where("id % 100 = 0"), config), config))
 
 
+class Parity(policy.Policy):
+    """An encoding of one's own: values count by whether they are even, and prices by the hundred."""
+
+    def points(self, rows: DataFrame) -> DataFrame:
+        at = super().points(rows)
+        return at.withColumn("value", F.when(F.col("dim") == 1, F.floor(F.col("value") / 100)).otherwise(F.col("value") % 2).cast("int"))
+
+    def predicates(self, rows: DataFrame) -> DataFrame:
+        return predicates.as_predicates(self.points(rows))
+
+
+def policy_search(spark, sf_dir):
+    at, own = _vectors(spark, sf_dir), Parity(Config(K, 1))
+    return _out(own.match(own.points(at), own.predicates(at.where("id % 100 = 0"))))
+
+
+def policy_from_files(spark, sf_dir):
+    """By settings from a file; the first 100 lines are asked."""
+    with tempfile.NamedTemporaryFile("w", suffix=".json") as f:  # read by the driver alone
+        f.write('{"k": 10, "num_of_queries": 100, "query_range": 3}')
+        f.flush()
+        chosen = policy.make_policy(Config.from_file(f.name))
+    path = _part_lines(spark, sf_dir)
+    return _out(policy.search(spark, chosen, path, path))
+
+
+def tables_as_lines(spark, sf_dir):
+    return metrics.dump_table(_parts(spark, sf_dir))
+
+
 def grounded_sequences(spark, sf_dir):
     """Sequences less the least of all values."""
     at = _sequences(spark, sf_dir)
@@ -280,6 +312,7 @@ OWN_SHARE = (
 )
 FILE_POINTS = f"o AS (SELECT id, [s, p, k, 0] AS v FROM {LINES}), pts AS (SELECT id, unnest(range(4)) AS dim, unnest(v) AS value FROM o)"
 APPENDED = f"{PART_POINTS.replace('pts AS (', 'three AS (')}, pts AS (SELECT * FROM three UNION ALL SELECT p_partkey, 3, CAST(regexp_extract(p_brand, '[0-9]+') AS INT) FROM part)"
+PARITY = f"{PART_POINTS.replace('pts AS (', 'three AS (')}, pts AS (SELECT id, dim, CASE dim WHEN 1 THEN value // 100 ELSE value % 2 END AS value FROM three)"
 ONE = "SELECT id AS qid, dim, value AS lo, value AS up FROM pts WHERE id % 100 = 0"
 TOP = "row_number() OVER (PARTITION BY {} ORDER BY cnt DESC, id) AS rnk"
 
@@ -310,6 +343,9 @@ def oracle_sql() -> dict[str, str]:
         "all_matches": f"{part} SELECT q.id AS qid, d.id, d.dim, d.value FROM pts d JOIN pts q ON q.id % 100 = 0 AND d.dim = q.dim AND d.value = q.value",
         "wide_ranges": _sql(ORDER_POINTS, "SELECT id AS qid, dim, value - CASE dim WHEN 0 THEN 3000 ELSE 5 END AS lo, value + CASE dim WHEN 0 THEN 3000 ELSE 5 END AS up FROM pts WHERE id % 100 = 0 AND dim IN (0, 2)"),
         "single_range_search": _sql(PART_POINTS, _self("value - 1", "value + 1")),
+        "policy_search": _sql(PARITY, ONE),
+        "policy_from_files": _sql(FILE_POINTS, "SELECT id AS qid, dim, value - 3 AS lo, value + 3 AS up FROM pts WHERE id < 100"),
+        "tables_as_lines": f"{part} SELECT dim, format('dim {{}}: [{{}}, {{}}], {{}} values, {{}} points', dim, min(value), max(value), count(DISTINCT value), count(*)) AS line FROM pts GROUP BY dim",
         "grounded_sequences": f"WITH {SEQUENCES}, l AS (SELECT min(list_min(v)) AS least FROM s) SELECT id, array_to_string(list_transform(v, lambda x: x - least), ',') AS vals FROM s, l",
         "appended_dims": _sql(APPENDED, ONE),
         "chunk_sizes": f"{part} SELECT id // 700 AS chunk, count(*) AS n_points, count(DISTINCT id) AS n_rows FROM pts GROUP BY chunk",
@@ -336,7 +372,7 @@ def oracle_sql() -> dict[str, str]:
 def queries() -> dict[str, Query]:
     own = [
         rows_from_text, rows_first, rows_converted, predicates_long_form, multirange_from_text, radius_queries_from_text, clusters_from_files, rows_in_memory, search_files, search_in_index,
-        index_from_text, stored_bounds, results_as_text, all_counts, all_matches, wide_ranges, single_range_search, grounded_sequences, appended_dims, chunk_sizes, clamped_predicates, ranges_counted,
+        index_from_text, stored_bounds, results_as_text, all_counts, all_matches, wide_ranges, single_range_search, policy_search, policy_from_files, tables_as_lines, grounded_sequences, appended_dims, chunk_sizes, clamped_predicates, ranges_counted,
         ranges_as_lines, points_covered, k_by_query, first_of_the_queries, several_tables, lists_analyzed, packed_ids, prefix_sums, fields_as_integers, sequence_bounds, query_documents, service_batch,
     ]
     return {f.__name__: f for f in own}

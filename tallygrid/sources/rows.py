@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 from ..functions.arrays import to_int
 from ..operators.predicates import radius_predicates
 
-#: Up to so many first lines of a file are taken in one task.
-FEW = 1_000_000
+#: Up to so many first lines are taken by the driver, which reads the start of the file alone.
+FEW = 10_000
 ROW_SCHEMA = "id long, values array<int>"
 
 
@@ -40,8 +40,9 @@ def read_rows(spark: SparkSession, path: str, num: int = -1, convert=to_int, id_
     Column to Column) makes of it. Empty lines are rows without values. A missing file is an error.
     """
     lines = spark.read.text(path)
-    if 0 <= num <= FEW and len(lines.inputFiles()) == 1:  # the first lines of the one file, of which no more is read
-        rows = lines.limit(num).coalesce(1).withColumn(id_col, F.monotonically_increasing_id())
+    if 0 <= num <= FEW and len(lines.inputFiles()) == 1:  # in the order of the file, of which no more is read than they need
+        first = [(k, r["value"]) for k, r in enumerate(lines.take(num))]
+        rows = spark.createDataFrame(first, f"`{id_col}` long, value string")
     else:
         rows = with_row_ids(lines, id_col)
         rows = rows.where(F.col(id_col) < num) if num >= 0 else rows

@@ -16,9 +16,10 @@ from tallygrid.metrics import Timings, analyze, codec_sizes
 from tallygrid.operators import clusters, points, predicates
 from tallygrid.operators.match import match
 from tallygrid.operators.topk import top_k
+from tallygrid.plans import policy
 from tallygrid.sources import generate, index
 from tallygrid.sources.rows import from_rows, read_clusters, read_predicates, read_rows
-from tallygrid.streaming.online import answer, load_points, serve
+from tallygrid.streaming.online import answer, load_points, serve, serve_socket
 from tallygrid.workspace import clean, mark, materialize, shared_root, workspace
 
 
@@ -28,9 +29,10 @@ def test_rows_keep_file_order(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
     try:
         rows = read_rows(spark, str(p)).orderBy("id").collect()
+        first = read_rows(spark, str(p), 2500).orderBy("id").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert [(r["id"], r["values"]) for r in rows] == [(k, [k, 2 * k, 0, -k]) for k in range(5000)]
+    assert [(r["id"], r["values"]) for r in rows] == [(k, [k, 2 * k, 0, -k]) for k in range(5000)] and first == rows[:2500]
     assert [r["id"] for r in read_rows(spark, str(p), 3).orderBy("id").collect()] == [0, 1, 2]
     assert read_rows(spark, str(p), 1, convert=lambda c: F.length(c)).first()["values"] == [1, 1, 1, 1]
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
@@ -213,3 +215,39 @@ def test_work_files_are_removed_but_for_what_is_kept(spark):
     assert first.count() == 3 and spark.read.parquet(path).count() == 5
     with pytest.raises(Exception, match="exist"):
         other.count()
+
+
+def test_documents_over_a_socket(spark, tmp_path):
+    import socket
+    import threading
+
+    at = points.vector_points(from_rows(spark, [[1, 2], [1, 3]])).withColumn("cluster", F.lit(0))
+    line = json.dumps({"topk": 2, "queries": [{"content": [1, 2], "clusters": [0]}]}) + "\n"
+    with socket.create_server(("127.0.0.1", 0)) as server:
+        def talk():
+            with server.accept()[0] as one:
+                one.sendall(line.encode())
+                time.sleep(20)
+
+        threading.Thread(target=talk, daemon=True).start()
+        query = serve_socket(spark, at, "127.0.0.1", server.getsockname()[1], str(tmp_path / "out"), str(tmp_path / "state"))
+        found, until = [], time.time() + 60
+        while not found and time.time() < until:
+            time.sleep(1)
+            parts = [str(p) for p in tmp_path.glob("out/batch=*") if (p / "_SUCCESS").exists()]
+            found = [tuple(r)[1:] for p in parts for r in spark.read.parquet(p).orderBy("rnk").collect()]
+        query.stop()
+    assert found == [(0, 0, 2, 1), (0, 1, 1, 2)]
+
+
+def test_policies(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("1,2\n3,4\n1,5\n")
+    t = str(tmp_path / "t.csv")
+    rows = lambda c: sorted(tuple(r) for r in policy.search(spark, policy.make_policy(c), t, t).select("qid", "id", "cnt").collect())
+    assert rows(Config(2, 1)) == [(0, 0, 2), (0, 2, 1)] and rows(Config(3, 1, 2)) == [(0, 0, 2), (0, 1, 2), (0, 2, 1)]
+    one = policy.Bags(Config(1, 1, pad=True))
+    at = one.points(from_rows(spark, [[7, 7, 8], [9]]))
+    assert [tuple(r)[1:] for r in one.match(at, one.predicates(from_rows(spark, [[7, 8]]))).collect()] == [(0, 3, 1)]
+    assert one.match_tables([at, at], one.predicates(from_rows(spark, [[7]]))).count() == 2
+    with pytest.raises(InvalidConfiguration):
+        policy.make_policy(Config(0, 1))
