@@ -16,7 +16,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
+from functools import partial, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -80,6 +80,10 @@ def freed(total: np.ndarray, low: np.ndarray, d: np.ndarray) -> tuple[np.ndarray
     return np.where(free <= 0, 1 / (known + 1), free), free <= 0
 
 
+def _by_count(c: np.ndarray, all_words: Words, d: np.ndarray) -> np.ndarray:
+    return unigram(c, all_words.total, d, all_words.times)[0]
+
+
 def conditional(c: np.ndarray, total: np.ndarray, low: np.ndarray, seen: np.ndarray, p: np.ndarray, d: np.ndarray) -> np.ndarray:
     """P(word | context), for arrays of n-grams.
 
@@ -163,9 +167,10 @@ class _Block:
         self.context[1:], self.times[1:] = number[:-1], count[:-1]
         self.context[self.begin], self.times[self.begin] = -1, 0
 
-    def ask(self, buckets: int, total: int) -> None:
+    def ask(self, buckets: int, total: int, others: bool) -> None:
         """The distinct n-grams of known contexts and words, by bucket, context and word; `where` leads from tokens to
-        them, or is -1; and the contexts, by bucket and number, of which the block needs the sums."""
+        them, or is -1; and the contexts, by bucket and number. Their sums are needed of those after which a word may be
+        that wasn't seen there: in texts held out, or in all, if the model is of others."""
         own, self.which = np.unique(self.context, return_inverse=True)
         self.own, self.own_times = own, np.zeros(len(own), np.int64)
         self.own_times[self.which] = self.times
@@ -182,12 +187,14 @@ class _Block:
         rank[order] = np.arange(len(order))
         self.where = np.full(len(self.seq), -1)
         self.where[known] = rank[back]
-        self.word, self.n, self.lower = word[order], n[order], self.p[known[first]][order]
+        self.word, self.n, self.lower, self.own_count = word[order], n[order], self.p[known[first]][order], self.count[two][order]
         # The sums of a context are asked of all its buckets, even where none of its n-grams here is known there.
         asked = np.flatnonzero(own >= 0)
         each = np.repeat(asked, ways[asked])
         salt = np.arange(len(each)) - np.repeat(np.cumsum(ways[asked]) - ways[asked], ways[asked])
         head = np.unique(_bucket(own[each], salt, buckets) * len(own) + each)
+        self.need = np.full(len(own), others)
+        self.need[self.which[~self.train]] = True
         self.head_bucket, self.head = head // max(len(own), 1), head % max(len(own), 1)  # `own` is sorted, so heads are by number
         mine = bucket[order] * len(own) + one[order]
         self.head_at = np.r_[np.searchsorted(mine, self.head_bucket * len(own) + self.head), len(order)]
@@ -197,14 +204,18 @@ class _Block:
         low, seen = np.zeros((K, len(self.own))), np.zeros(len(self.own))
         c, number = np.zeros(len(self.word) + 1, np.int64), np.full(len(self.word) + 1, -1)
         if len(self.head):
-            parts = [(x["bucket"], *blocks.unsqueeze(x["payload"], "<u4", "<u4", *["<u4"] * K, "<f8")) for x in sorted(told or [], key=lambda x: x["bucket"])]
+            parts = [(x["bucket"], *blocks.unsqueeze(x["payload"], "<u4", "<u4", "<u1", *["<u4"] * K, "<f8")) for x in sorted(told or [], key=lambda x: x["bucket"])]
             c[:-1] = np.concatenate([x[1] for x in parts])
             if more:
                 number[:-1] = np.concatenate([x[2].astype(np.int64) + level.offsets[x[0]] for x in parts])
                 number[c == 0] = -1
-            np.add.at(seen, self.head, np.concatenate([x[-1] for x in parts]))
+            whole = self.head[self.need[self.head]]
+            np.add.at(seen, whole, np.concatenate([x[-1] for x in parts]))
             for r in range(K):
-                np.add.at(low[r], self.head, np.concatenate([x[3 + r] for x in parts]))
+                np.add.at(low[r], whole, np.concatenate([x[4 + r] for x in parts]))
+            # Of the others it is enough to know whether they have low counts: all that comes after them was seen there.
+            some = self.head[np.concatenate([x[3] for x in parts]) > 0]
+            low[0, some[~self.need[some]]] = 1
         times = np.where(self.context >= 0, self.times, 0)
         self.p = conditional(c[self.where], times, low[:, self.which], seen[self.which], self.p, level.d)
         if more:
@@ -229,35 +240,49 @@ def _word_messages(buckets: int):
     return messages
 
 
-def _replayed(values: tuple, got: list[dict], told: list, levels: list[Level], all_words: Words, buckets: int, last: bool) -> _Block:
+def _replayed(values: tuple, got: list[dict], told: list, levels: list[Level], all_words: Words, buckets: int, last: bool, others: bool = False) -> _Block:
     """A block with all that is known of it: the words' answers, and those of each order above one. last: no order
     follows; else the n-grams of the next are made."""
     b = _Block(*values)
     b.start(got, levels[0], all_words)
     for k, x in enumerate(told, 1):
-        b.ask(buckets, all_words.total)
+        b.ask(buckets, all_words.total, others)
         b.take(x, levels[k], not last or k < len(told))
     if not last:
-        b.ask(buckets, all_words.total)
+        b.ask(buckets, all_words.total, others)
     return b
 
 
-def _gram_messages(buckets: int, levels: list[Level], all_words: Words):
+def _gram_messages(buckets: int, levels: list[Level], all_words: Words, others: bool = False):
     def messages(words: bytes, seq: bytes, sizes: bytes, held: bytes, got: list[dict], *told) -> Iterable[blocks.Message]:
-        b = _replayed((words, seq, sizes, held), got, [*told], levels, all_words, buckets, False)
+        b = _replayed((words, seq, sizes, held), got, [*told], levels, all_words, buckets, False, others)
         for k in np.unique(b.head_bucket).tolist():
             one, beyond = np.searchsorted(b.head_bucket, [k, k + 1])
             lo, hi = b.head_at[one], b.head_at[beyond]
-            lower, at = np.unique(b.lower[lo:hi], return_inverse=True)
-            yield k, blocks.squeeze(b.own[b.head[one:beyond]].astype("<u8"), np.diff(b.head_at[one : beyond + 1]).astype("<u4"), b.word[lo:hi].astype("<u4"), b.n[lo:hi], lower.astype("<f8"), at.astype("<u4"))
+            # After no context a word's count tells its probability; after others each distinct one is sent once.
+            lower, at = (np.zeros(0), b.own_count[lo:hi]) if len(levels) == 1 else np.unique(b.lower[lo:hi], return_inverse=True)
+            yield k, blocks.squeeze(b.own[b.head[one:beyond]].astype("<u8"), b.need[b.head[one:beyond]].astype("<u1"), np.diff(b.head_at[one : beyond + 1]).astype("<u4"), b.word[lo:hi].astype("<u4"), b.n[lo:hi], lower.astype("<f8"), at.astype("<u4"))
 
     return messages
 
 
-def _opened(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts, n-grams of each, last words, counts in training, probabilities after the shorter context)."""
-    context, size, word, n, lower, at = blocks.unsqueeze(payload, "<u8", "<u4", "<u4", "<u4", "<f8", "<u4")
-    return context.astype(np.int64), size.astype(np.int64), word.astype(np.int64), n, lower[at]
+class Asked(NamedTuple):
+    """Contexts, whether their sums are needed, the number of n-grams of each; those' last words and counts in training,
+    and which of the distinct probabilities `lower` each has after the shorter context. Without such, `at` has the words'
+    counts."""
+
+    context: np.ndarray
+    need: np.ndarray
+    size: np.ndarray
+    word: np.ndarray
+    n: np.ndarray
+    lower: np.ndarray
+    at: np.ndarray
+
+    @classmethod
+    def open(cls, payload: bytes) -> Asked:
+        context, need, size, word, n, lower, at = blocks.unsqueeze(payload, "<u8", "<u1", "<u4", "<u4", "<u4", "<f8", "<u4")
+        return cls(context.astype(np.int64), need > 0, size.astype(np.int64), word.astype(np.int64), n, lower, at.astype(np.int64))
 
 
 class Grams(NamedTuple):
@@ -303,13 +328,14 @@ def look_up_words(model: Grams, payloads: list[bytes], more: bool) -> list[bytes
     return out
 
 
-def learn_grams(payloads: list[bytes]) -> Grams:
-    sent = [_opened(p) for p in payloads]
-    context, where = np.unique(np.concatenate([x[0] for x in sent]), return_inverse=True)
-    code = np.repeat(where, np.concatenate([x[1] for x in sent])).astype(np.uint64) << np.uint64(32) | np.concatenate([x[2] for x in sent]).astype(np.uint64)
+def learn_grams(payloads: list[bytes], one: Callable[[np.ndarray], np.ndarray]) -> Grams:
+    """one: the probabilities of words by their counts."""
+    sent = [*map(Asked.open, payloads)]
+    context, where = np.unique(np.concatenate([x.context for x in sent]), return_inverse=True)
+    code = np.repeat(where, np.concatenate([x.size for x in sent])).astype(np.uint64) << np.uint64(32) | np.concatenate([x.word for x in sent]).astype(np.uint64)
     code, first, back = np.unique(code, return_index=True, return_inverse=True)
-    c = np.bincount(back, np.concatenate([x[3] for x in sent]), len(code)).astype(np.int64)
-    lower = np.concatenate([x[4] for x in sent])[first]
+    c = np.bincount(back, np.concatenate([x.n for x in sent]), len(code)).astype(np.int64)
+    lower = np.concatenate([x.lower[x.at] if len(x.lower) else one(x.at) for x in sent])[first]
     keep = c > 0
     code, c, lower = code[keep], c[keep], lower[keep]
     at = (code >> np.uint64(32)).astype(np.int64)
@@ -321,21 +347,27 @@ def learn_grams(payloads: list[bytes]) -> Grams:
 
 
 def look_up_grams(model: Grams, payloads: list[bytes], more: bool) -> list[bytes]:
-    """To each block the counts and numbers of its n-grams, and of its contexts how many words follow 1 to K times and
-    the sum of their probabilities; the last two are sums over this bucket."""
+    """To each block the counts and numbers of its n-grams, whether its contexts have words that follow 1 to K times, and,
+    where that is needed, how many of each, and the sum of the probabilities of all that follow; these are sums over this
+    bucket."""
     low, out = model.low.reshape(-1, K), []
-    ends = np.cumsum(model.size)
+    some, none = low.any(1), not len(model.context)
     code = np.repeat(np.arange(len(model.context), dtype=np.uint64), model.size) << np.uint64(32) | model.word.astype(np.uint64)
     for p in payloads:
-        context, size, word, _, _ = _opened(p)
-        at = np.minimum(np.searchsorted(model.context, context), max(len(ends) - 1, 0))
-        ok = model.context[at] == context if len(ends) else np.zeros(len(context), bool)
-        asked = np.repeat(at, size).astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)
-        k = np.minimum(np.searchsorted(code, asked), max(len(code) - 1, 0))
-        hit = np.repeat(ok, size) & (code[k] == asked) if len(code) else np.zeros(len(asked), bool)
-        c = np.where(hit, model.count[k] if len(code) else 0, 0)
-        sums = [np.where(ok, low[at, r] if len(ends) else 0, 0).astype("<u4") for r in range(K)]
-        out.append(blocks.squeeze(c.astype("<u4"), np.where(hit, k, 0)[: None if more else 0].astype("<u4"), *sums, np.where(ok, model.seen[at] if len(ends) else 0.0, 0.0).astype("<f8")))
+        x = Asked.open(p)
+        if none:
+            out.append(blocks.squeeze(*(np.zeros(len(x.word) * k, "<u4") for k in (1, more)), np.zeros(len(x.context), "<u1"), *[np.zeros(int(x.need.sum()), "<u4")] * K, np.zeros(int(x.need.sum()))))
+            continue
+        at = np.minimum(np.searchsorted(model.context, x.context), len(model.context) - 1)
+        ok = model.context[at] == x.context
+        asked = np.repeat(at, x.size).astype(np.uint64) << np.uint64(32) | x.word.astype(np.uint64)
+        k = np.minimum(np.searchsorted(code, asked), len(code) - 1)
+        hit = np.repeat(ok, x.size) & (code[k] == asked)
+        sums = [np.where(ok, low[at, r], 0)[x.need].astype("<u4") for r in range(K)]
+        out.append(blocks.squeeze(
+            np.where(hit, model.count[k], 0).astype("<u4"), np.where(hit, k, 0)[: None if more else 0].astype("<u4"), (ok & some[at]).astype("<u1"),
+            *sums, np.where(ok, model.seen[at], 0.0)[x.need].astype("<f8"),
+        ))
     return out
 
 
@@ -436,12 +468,12 @@ class Model:
         n, told = self.buckets, []
         for k in range(1, self.order + 1):
             both = _with_answers(table, told)
-            messages = _word_messages(n) if k == 1 else _gram_messages(n, levels[: k - 1], all_words)
+            messages = _word_messages(n) if k == 1 else _gram_messages(n, levels[: k - 1], all_words, True)
             asked = blocks.ask(both, [*_FIELDS, *_columns(told)], messages)
             look = look_up_words if k == 1 else look_up_grams
             answered = asked.groupBy("bucket").cogroup(self.part(k, "model").groupBy("bucket")).applyInArrow(_read(look, k < self.order), "block long, bucket int, payload binary")
             told.append(materialize(blocks.gather(answered), "katz-told"))
-        return _scores(table, told, levels, all_words, n, id_col)
+        return _scores(table, told, levels, all_words, n, id_col, True)
 
 
 _FIELDS = ["words", "seq", "sizes", "held"]
@@ -474,7 +506,11 @@ def _fit(table: DataFrame, order: int) -> tuple[Model, list[DataFrame], list[Lev
     for k in range(1, order + 1):
         messages = _word_messages(n) if k == 1 else _gram_messages(n, [*levels], all_words)
         asked = blocks.ask(_with_answers(table, told), [*_FIELDS, *_columns(told)], messages)
-        run = _learn(learn_words, look_up_words, k < order) if k == 1 else _learn(learn_grams, look_up_grams, k < order)
+        if k == 1:
+            run = _learn(learn_words, look_up_words, k < order)
+        else:
+            one = partial(_by_count, all_words=all_words, d=levels[0].d)
+            run = _learn(partial(learn_grams, one=one), look_up_grams, k < order)
         asked.groupBy("bucket").applyInArrow(run, _MODEL).write.option("compression", "zstd").partitionBy("kind").parquet(f"{model.path}/order={k}")
         level, sums = model.level(k)
         levels.append(level)
@@ -500,12 +536,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     return _scores(table, told, levels, all_words, blocks.buckets(docs), id_col)
 
 
-def _scores(table: DataFrame, told: list[DataFrame], levels: list[Level], all_words: Words, buckets: int, id_col: str) -> DataFrame:
+def _scores(table: DataFrame, told: list[DataFrame], levels: list[Level], all_words: Words, buckets: int, id_col: str, others: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 ids, *values = (c[k].as_py() for c in batch.columns)
-                b = _replayed(values[:4], values[4], values[5:], levels, all_words, buckets, True)
+                b = _replayed(values[:4], values[4], values[5:], levels, all_words, buckets, True, others)
                 base = np.log10((b.count + 0.1) / (all_words.total + 0.1 * (all_words.distinct + 1)))[b.seq]
                 sum_up = lambda x, b=b: np.add.reduceat(x, b.begin)
                 columns = [
