@@ -342,7 +342,7 @@ class Encoder:
         """A table of the ids, as little-endian 32-bit integers, that holds at least these words."""
         if self.size > REMEMBERED:
             self.known, self.size = {}, 0
-        new = [*({*words} - self.known.keys())]
+        new = [w for w in {*words} if w not in self.known]
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
         number = self.lexicon.find(raw)
         begin, end = (4 * self.at[np.maximum(number, 0) + k] for k in (0, 1)) if len(self.at) > 1 else (number, number)

@@ -248,7 +248,9 @@ def count(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                             place[part.row] += 1
                             handed.append((part.row, place[part.row], c, "".join(words[slice(*c.whole)]), cut))
                         continue
-                    for w in {*words[lo:hi]} - known.keys():
+                    for w in {*words[lo:hi]}:
+                        if w in known:
+                            continue
                         known[w] = fst.run(w.encode("utf-8", "surrogatepass"))[1] if len(w) <= CHUNK else None
                         size += len(w) + OVERHEAD
                     tokens[part.row] += _count_part(fst, known, joined, at, words, lo, hi)
