@@ -72,7 +72,7 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "d
     at = docs.select(F.col(id_col).alias("id"), _text_key(text_col).alias("th"), F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("wh"))
     runs = [_shingles("wh", q) for q in sizes]
     at = at.select("id", "th", F.size("wh").alias("n_words"), F.posexplode(F.concat(F.array(F.lit(head).cast("long")), *runs)).alias("at", "h"))
-    wanted = parts.select("h").distinct().union(docs.sparkSession.createDataFrame([(head,)], "h long")).distinct()
+    wanted = parts.select("h").distinct().union(docs.sparkSession.range(head, head + 1, 1, 1).toDF("h")).distinct()
     met = materialize(at.join(broadcast_if_small(wanted, BROADCAST_ROWS), "h").where((F.col("at") == 0) | (F.col("h") != head)), "shingles-met")
 
     often = met.where("at > 0").groupBy("h").agg(F.count("*").alias("often"))

@@ -332,6 +332,14 @@ def test_decontamination(spark, docs):
     assert kept.columns == docs.columns and kept.count() == sum(not w[5] for w in want)
 
 
+def test_decontamination_makes_no_rows_in_python(spark, monkeypatch):
+    """They would start a second group of workers on each executor, beside those that other stages left."""
+    rows = [(1, "one two three four five six seven eight nine ten eleven"), (2, "one two three")]
+    docs, items = brute.frame(spark, rows), brute.frame(spark, [("a", rows[0][1])], "item_id string, text string")
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    assert {r["doc_id"]: r["n_hit"] for r in decontam.find(docs, items).collect()} == {1: 11, 2: 0}
+
+
 def test_decontamination_of_nothing(spark, docs):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert decontam.find(docs.limit(0), bench).count() == 0

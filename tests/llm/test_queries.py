@@ -5,6 +5,7 @@ import os
 import struct
 
 import duckdb
+import pyarrow as pa
 import pytest
 from public_tokenizers import path
 from tokenizers import Tokenizer
@@ -66,3 +67,22 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_bound_what_workers_get_at_once(spark, name, stage):
+    """Texts have kilobytes, so that 10,000 at once would be tens of megabytes in the JVM and in every worker."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([len(batch)], pa.int64()), "bytes": pa.array([batch.nbytes], pa.int64())})
+
+    stage(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(0), SF)
+    try:
+        many = spark.range(0, 5000, 1, 1).mapInArrow(sizes, "rows long, bytes long").collect()
+        large = spark.range(0, 100, 1, 1).selectExpr("repeat('x', 1000000) AS text").mapInArrow(sizes, "rows long, bytes long").collect()
+    finally:
+        for key in corpus_pipeline.BATCHES:
+            spark.conf.unset(key)
+    assert sum(r["rows"] for r in many) == 5000 and max(r["rows"] for r in many) <= 2000
+    assert sum(r["rows"] for r in large) == 100 and max(r["bytes"] for r in large) <= 20_000_000
