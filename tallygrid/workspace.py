@@ -94,3 +94,11 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a file or folder, if it is there."""
     at, store = _open(spark, path)
     store.delete(at, True)
+
+
+def rename_files(spark: SparkSession, path: str, old: str, new: str) -> None:
+    """Give the files of a folder that Spark has written another ending. Names only are changed."""
+    at, store = _open(spark, path)
+    for x in store.listStatus(at):
+        if (name := x.getPath().getName()).endswith(old) and not name.startswith(("_", ".")):
+            store.rename(x.getPath(), spark._jvm.org.apache.hadoop.fs.Path(at, name.removesuffix(old) + new))
