@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, exact_dedup, forest, fst, katz, langid, repeats, urls
-from .shared import importable
+from . import bpe, chat, codes, decontam, exact_dedup, forest, fst, katz, langid, repeats, resample, urls, warc
+from .shared import importable, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -171,11 +171,90 @@ FROM h LEFT JOIN fit USING (page_id)
 """
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    warc.write(table(spark, sf_dir, "pages"), path := workspace(spark, "warc"))
+    found = warc.read(spark, path, payload=False).where("type <> 'warcinfo'")
+    return found.select(
+        warc.page_of(found["record_id"]).cast("long").alias("page_id"), "payload_bytes", "payload_digest", found["type"].alias("record_type"), warc.page_of(found["refers_to"]).cast("long").alias("refers_to")
+    )
+
+
+OP11_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS h FROM p),
+f AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h, n) END AS last FROM d)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM f
+"""
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: CRC-32 of the text x by its definition: a table of what each byte does, made from the polynomial, folded over the bytes.
+CRC32_SQL = """
+crc_table AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t FROM range(256) AS r(b)),
+crc AS (SELECT x, xor(4294967295, list_reduce(list_transform(range(octet_length(encode(x))), lambda i: 16 * (instr('0123456789ABCDEF', substr(hex(encode(x)), 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(hex(encode(x)), 2 * i + 2, 1)) - 1),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT))) AS crc FROM texts, crc_table)"""
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT {_WORDS} AS w FROM benchmark),
+f AS (SELECT r, unnest(w || [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS x FROM d),
+g AS (SELECT unnest(w || [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS x FROM b),
+texts AS (SELECT DISTINCT x FROM (SELECT x FROM f UNION ALL SELECT x FROM g)), {CRC32_SQL.strip()},
+s AS (SELECT crc % 10000 AS k, count(*) AS s FROM f JOIN crc USING (x) GROUP BY k),
+t AS (SELECT crc % 10000 AS k, count(*) AS t FROM g JOIN crc USING (x) GROUP BY k),
+n AS (SELECT (SELECT count(*) FROM f) AS s, (SELECT count(*) FROM g) AS t),
+gain AS (SELECT k, CAST(floor(1000 * ln(CAST(coalesce(t.t, 0) + 1 AS DOUBLE) * CAST(n.s + 10000 AS DOUBLE) / (CAST(coalesce(s.s, 0) + 1 AS DOUBLE) * CAST(n.t + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+         FROM n, range(10000) AS r(k) LEFT JOIN s USING (k) LEFT JOIN t USING (k)),
+w AS (SELECT r, count(*) AS n_features, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM f JOIN crc USING (x) JOIN gain ON k = crc % 10000 GROUP BY r),
+a AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN w USING (r)),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM a),
+o AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) END AS place FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * (SELECT count(*) FROM a WHERE n_words >= 20) // 100 THEN place END AS rank FROM o
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql() -> str:
+    """Each round in its turn: a: assignments of parts to entries; c: the entries then."""
+    steps = []
+    for k in range(7):
+        steps.append(
+            f"x{k} AS MATERIALIZED (SELECT v.r, v.p, c.e, CAST(list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v JOIN c{k} c USING (p)),\n"
+            f"a{k} AS MATERIALIZED (SELECT r, p, min(d) AS d, arg_min(e, d * 16 + e) AS e FROM x{k} GROUP BY r, p)"
+        )
+        if k < 6:
+            means = ", ".join(f"CAST(floor(CAST(sum(v.q[{j}]) AS DOUBLE) / count(*)) AS BIGINT)" for j in range(1, 9))
+            steps.append(
+                f"m{k} AS (SELECT p, e, [{means}] AS q FROM a{k} JOIN v USING (r, p) GROUP BY p, e),\n"
+                f"c{k + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.q, c.q) AS q FROM c{k} c LEFT JOIN m{k} m USING (p, e))"
+            )
+    rounds = ",\n".join(steps)
+    return f"""
+WITH f AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
+k AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(e, lambda x: CAST(floor(4096 * x) AS BIGINT)) AS q FROM f
+      WHERE len(list_filter(e, lambda x: coalesce(isfinite(x), false))) = len(e)),
+v AS MATERIALIZED (SELECT r, p, q[8 * p + 1:8 * p + 8] AS q FROM k, range(8) AS s(p)),
+c0 AS MATERIALIZED (SELECT p, r - 1 AS e, q FROM v WHERE r <= 16),
+{rounds},
+o AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(q, ','), ',' ORDER BY p, e)) AS h FROM c6)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM k JOIN o USING (r), h
+"""
+
+
 def queries() -> dict[str, Query]:
-    own = [op1_perspectives, op2_exact_dedup, op3_bpe, op4_near_duplicates, op5_decontaminate, op6_repeats, op7_katz, op8_language, op9_token_counts, op10_url_filter]
+    own = [op1_perspectives, op2_exact_dedup, op3_bpe, op4_near_duplicates, op5_decontaminate, op6_repeats, op7_katz, op8_language, op9_token_counts, op10_url_filter, op11_warc, op12_resample, op13_vector_codes]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can say it; the others are tested against brute force or the library."""
-    return {"op1_perspectives": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_repeats": OP6_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_perspectives": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_repeats": OP6_SQL, "op10_url_filter": OP10_SQL, "op11_warc": OP11_SQL, "op12_resample": OP12_SQL, "op13_vector_codes": _op13_sql()}

@@ -16,7 +16,7 @@ from tallygrid.llm import queries, shared
 from . import brute
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ["documents", "benchmark", "pages", "conversations"]
+TABLES = ["documents", "benchmark", "pages", "conversations", "embeddings"]
 
 
 @pytest.fixture(scope="module")
