@@ -36,7 +36,7 @@ Codebooks = np.ndarray
 
 def _blocks(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Of rows (..., components): sums of each of n blocks, and the norms of what is left without the blocks' means."""
-    at = x.reshape(*x.shape[:-1], n, -1).astype(np.float64)
+    at = x.reshape(*x.shape[:-1], n, x.shape[-1] // n).astype(np.float64)
     sums = at.sum(-1)
     return sums, np.sqrt(np.maximum((at * at).sum(-1) - sums * sums / at.shape[-1], 0))
 
