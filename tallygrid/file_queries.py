@@ -14,6 +14,7 @@ from . import cli, metrics
 from .config import Config
 from .functions import arrays
 from .operators import clusters, points, predicates, stats, topk
+from .operators.match import best as match_best
 from .operators.match import match, match_positions
 from .plans import engine, policy
 from .queries import GROWN, K, ORDER_POINTS, PART_POINTS, SEQUENCES, WORDS, Query, _asked, _orders, _out, _parts, _self, _sequences, _sql, _table
@@ -145,11 +146,20 @@ def all_matches(spark, sf_dir):
 
 
 def wide_ranges(spark, sf_dir):
-    """Of over 1,024 values, which go by bins: five days and a fifth of all customers either way."""
+    """Of over 1,024 values, which go by segments: five days and a fifth of all customers either way. Few rows are counted in
+    full: those that match in the days, which tell enough."""
     at = _orders(spark, sf_dir)
     width = F.when(F.col("dim") == 0, 3_000).otherwise(5)
     preds = _asked(at).where("dim IN (0, 2)").withColumn("lo", F.col("lo") - width).withColumn("up", F.col("up") + width)
-    return _out(topk.top_k(match(at, preds), K))
+    return _out(match_best(_orders(spark, sf_dir, True), preds, K, by_id=True))
+
+
+def all_wide_counts(spark, sf_dir):
+    """The same ranges, counted in full: how many rows match in one dim, and in both."""
+    at = _orders(spark, sf_dir)
+    width = F.when(F.col("dim") == 0, 3_000).otherwise(5)
+    preds = _asked(at).where("dim IN (0, 2)").withColumn("lo", F.col("lo") - width).withColumn("up", F.col("up") + width)
+    return match(_orders(spark, sf_dir, True), preds, by_id=True).groupBy("qid", "cnt").agg(F.count("*").alias("n_rows"))
 
 
 def single_range_search(spark, sf_dir):
@@ -342,6 +352,9 @@ def oracle_sql() -> dict[str, str]:
         "all_counts": f"{part} SELECT q.id AS qid, d.id, count(*) AS cnt FROM pts d JOIN pts q ON q.id % 100 = 0 AND d.dim = q.dim AND d.value BETWEEN q.value - 1 AND q.value + 1 GROUP BY q.id, d.id",
         "all_matches": f"{part} SELECT q.id AS qid, d.id, d.dim, d.value FROM pts d JOIN pts q ON q.id % 100 = 0 AND d.dim = q.dim AND d.value = q.value",
         "wide_ranges": _sql(ORDER_POINTS, "SELECT id AS qid, dim, value - CASE dim WHEN 0 THEN 3000 ELSE 5 END AS lo, value + CASE dim WHEN 0 THEN 3000 ELSE 5 END AS up FROM pts WHERE id % 100 = 0 AND dim IN (0, 2)"),
+        "all_wide_counts": f"""WITH {ORDER_POINTS}, w AS (SELECT id, dim, value, value - CASE dim WHEN 0 THEN 3000 ELSE 5 END AS lo, value + CASE dim WHEN 0 THEN 3000 ELSE 5 END AS up FROM pts WHERE id % 100 = 0 AND dim IN (0, 2)),
+          c AS (SELECT w.id AS qid, d.id, count(*) AS cnt FROM pts d JOIN w ON d.dim = w.dim AND d.value BETWEEN w.lo AND w.up GROUP BY w.id, d.id)
+          SELECT qid, cnt, count(*) AS n_rows FROM c GROUP BY qid, cnt""",
         "single_range_search": _sql(PART_POINTS, _self("value - 1", "value + 1")),
         "policy_search": _sql(PARITY, ONE),
         "policy_from_files": _sql(FILE_POINTS, "SELECT id AS qid, dim, value - 3 AS lo, value + 3 AS up FROM pts WHERE id < 100"),
@@ -372,7 +385,7 @@ def oracle_sql() -> dict[str, str]:
 def queries() -> dict[str, Query]:
     own = [
         rows_from_text, rows_first, rows_converted, predicates_long_form, multirange_from_text, radius_queries_from_text, clusters_from_files, rows_in_memory, search_files, search_in_index,
-        index_from_text, stored_bounds, results_as_text, all_counts, all_matches, wide_ranges, single_range_search, policy_search, policy_from_files, tables_as_lines, grounded_sequences, appended_dims, chunk_sizes, clamped_predicates, ranges_counted,
+        index_from_text, stored_bounds, results_as_text, all_counts, all_matches, wide_ranges, all_wide_counts, single_range_search, policy_search, policy_from_files, tables_as_lines, grounded_sequences, appended_dims, chunk_sizes, clamped_predicates, ranges_counted,
         ranges_as_lines, points_covered, k_by_query, first_of_the_queries, several_tables, lists_analyzed, packed_ids, prefix_sums, fields_as_integers, sequence_bounds, query_documents, service_batch,
     ]
     return {f.__name__: f for f in own}

@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..workspace import materialize
+from .points import dealt
 
 #: Rows (of a few numbers each) up to which predicates, dealt out to their values, are broadcast; more take a shuffled join.
 BROADCAST_ROWS = 500_000
-#: The widest range that is dealt out to its values; wider ones are dealt out to so many bins of their dim at most.
+#: The widest range that is dealt out to its values; wider ones are dealt out to segments of 1, 2, 4... values.
 WIDEST = 1_024
+#: best() works out about so many rows' counts for each result of a query, to know what is reached for certain; and marks a dim's
+#: values at so many places, to tell how selective a range is.
+PROBED, MARKS = 16, 256
+#: Levels of segments: the widest has 2^62 values.
+LEVELS = 63
 
 
 def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -22,49 +31,78 @@ def hinted(preds: DataFrame) -> DataFrame:
 
 
 class Sizes(NamedTuple):
-    """What a look at the predicates says of a plan: rows when dealt out to values, rows of wide ranges, and bins of them."""
+    """What a look at the predicates says of a plan: rows; rows when dealt out to values; rows of wide ranges, and of these
+    when dealt out to segments, at most."""
 
+    rows: int
     dealt: int
     wide: int
+    segments: int
+
+
+def _width(lo: str = "lo", up: str = "up") -> Column:
+    return F.col(up).cast("long") - F.col(lo).cast("long")
 
 
-def sizes_of(preds: DataFrame) -> Sizes:
-    width = F.col("up").cast("long") - F.col("lo").cast("long")
-    n, wide = F.when(width.between(0, WIDEST - 1), width + 1), F.count_if(width >= WIDEST)
-    return Sizes(*preds.agg(F.coalesce(F.sum(n), F.lit(0)), wide).first())
+def planned(preds: DataFrame) -> tuple[DataFrame, Sizes]:
+    """The predicates, written, and their sizes, taken as they are."""
+    numbers = dict(preds.dtypes)["lo"] in ("tinyint", "smallint", "int", "bigint")
+    width = _width() if numbers else F.lit(0)
+    wide = width >= WIDEST
+    segments = F.when(wide, 2 * F.ceil(F.log2(width + F.lit(2.0))))
+    zero = F.lit(0).cast("long")
+    seen = Observation()
+    counted = preds.observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.when(width.between(0, WIDEST - 1), width + 1)), zero).alias("dealt"),
+        F.count_if(wide).alias("wide"), F.coalesce(F.sum(segments), zero).alias("segments"),
+    )
+    at = materialize(counted, "predicates")
+    return at, Sizes(**{k: int(v) for k, v in seen.get.items()})
 
 
 def _marked(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def met(points: DataFrame, preds: DataFrame, on: list[str], exact: bool = False, bounds: DataFrame | None = None) -> DataFrame:
+def _shift(value: Column, level: Column) -> Column:
+    return F.call_function("shiftright", value, level)
+
+
+def segments(lo: Column, up: Column) -> Column:
+    """An array of (level, node): the fewest segments [node * 2^level, (node + 1) * 2^level) that make up lo to up; at most
+    two of each level."""
+    end, empty = up + 1, F.array().cast("array<struct<level:int,node:bigint>>")
+
+    def of(level: Column) -> Column:
+        a, b = -_shift(-lo, level), _shift(end, level)  # the first that begins within, and the first that doesn't end there
+        node = lambda n: F.array(F.struct(level.alias("level"), n.alias("node")))
+        left = F.when((a < b) & (a.bitwiseAND(F.lit(1)) == 1), node(a)).otherwise(empty)
+        right = F.when((a < b) & (b.bitwiseAND(F.lit(1)) == 1), node(b - 1)).otherwise(empty)
+        return F.concat(left, right)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.least(F.lit(LEVELS - 1), F.ceil(F.log2(end - lo + F.lit(1.0))).cast("int"))), of))
+
+
+def met(points: DataFrame, preds: DataFrame, on: list[str], size: Sizes, exact: bool = False) -> DataFrame:
     """points joined with the predicates (qid, dim, lo, up, w, and `on`) that they match: all points' columns, qid and w.
 
     Points are never shuffled when predicates are few: each is looked up where it is read. Ranges that aren't wide are
-    dealt out to their values, so that dim and value are join keys; wide ones, cut to their dim's bounds, to bins of
-    values, so that dim and bin are, and the range itself is checked behind. bounds: (dim, least, most), if known.
+    dealt out to their values, so that dim and value are join keys. Wide ones are dealt out to segments, and a point looks
+    up those that hold its value, one of each level that its dim's predicates have: keys are dim, level and node.
     """
     preds = preds.select(*on, "qid", "dim", "lo", "up", "w")
     if exact:
-        return points.join(hinted(preds.select(*on, "qid", "dim", F.col("lo").alias("value"), "w")), [*on, "dim", "value"])
-    size = sizes_of(preds)
-    width = F.col("up").cast("long") - F.col("lo").cast("long")
-    dealt = preds.where(width.between(0, WIDEST - 1)).select(*on, "qid", "dim", F.explode(F.sequence("lo", "up")).alias("value"), "w")
-    hits = points.join(_marked(dealt, size.dealt), [*on, "dim", "value"])
+        return points.join(_marked(preds.select(*on, "qid", "dim", F.col("lo").alias("value"), "w"), size.rows), [*on, "dim", "value"])
+    narrow = preds.where(_width().between(0, WIDEST - 1)).select(*on, "qid", "dim", F.explode(F.sequence("lo", "up")).alias("value"), "w")
+    hits = points.join(_marked(narrow, size.dealt), [*on, "dim", "value"])
     if not size.wide:
         return hits
-    if bounds is None:
-        bounds = points.groupBy("dim").agg(F.min("value").alias("least"), F.max("value").alias("most"))
-    bounds = bounds.select("dim", F.col("least").cast("long").alias("least"), F.col("most").cast("long").alias("most"))
-    bounds = hinted(bounds.withColumn("step", F.floor((F.col("most") - F.col("least")) / WIDEST) + 1))
-    bin_of = lambda v: F.floor((v - F.col("least")) / F.col("step"))
-    wide = preds.where(width >= WIDEST).join(bounds, "dim")
-    wide = wide.withColumn("lo", F.greatest("lo", "least")).withColumn("up", F.least("up", "most")).where("lo <= up")
-    wide = wide.select(*on, "qid", "dim", "lo", "up", "w", F.explode(F.sequence(bin_of(F.col("lo")), bin_of(F.col("up")))).alias("bin"))
-    binned = points.join(bounds, "dim").withColumn("bin", bin_of(F.col("value"))).drop("least", "most", "step")
-    more = binned.join(_marked(wide, size.wide * WIDEST), [*on, "dim", "bin"]).where("value BETWEEN lo AND up").drop("bin", "lo", "up")
-    return hits.unionByName(more)
+    wide = preds.where(_width() >= WIDEST).select(*on, "qid", "dim", "w", F.inline(segments(F.col("lo").cast("long"), F.col("up").cast("long"))))
+    levels = wide.groupBy("dim").agg(F.sort_array(F.collect_set("level")).alias("levels"))  # at most LEVELS numbers a dim
+    held = points.join(_marked(levels, size.wide), "dim").withColumn("level", F.explode("levels")).drop("levels")
+    held = held.withColumn("node", _shift(F.col("value").cast("long"), F.col("level")))
+    more = held.join(_marked(wide, size.segments), [*on, "dim", "level", "node"]).drop("level", "node")
+    return hits.unionByName(more) if size.dealt else more
 
 
 def _finish(hits: DataFrame, keys: list[str], count: Column, cap: int | None) -> DataFrame:
@@ -72,22 +110,108 @@ def _finish(hits: DataFrame, keys: list[str], count: Column, cap: int | None) ->
     return hits.groupBy(*keys).agg(cnt.alias("cnt"))
 
 
+class Planned(NamedTuple):
+    """Predicates (qid, dim, lo, up, w, and `on`) with their sizes, for one search or several."""
+
+    preds: DataFrame
+    size: Sizes
+    exact: bool
+
+    @property
+    def few(self) -> bool:
+        """Whether all of them, dealt out, are broadcast."""
+        return (self.size.rows if self.exact else max(self.size.dealt, self.size.segments)) <= BROADCAST_ROWS
+
+
+def plan(preds: DataFrame, *, exact: bool = False, weighted: bool = False, on: tuple[str, ...] = ()) -> Planned:
+    """Equal predicates of a query summed up, written, and looked at: see match."""
+    worth = F.sum("weight") if weighted else F.count("*")
+    return Planned(*planned(preds.groupBy(*on, "qid", "dim", "lo", "up").agg(worth.alias("w"))), exact)
+
+
 def match(
-    points: DataFrame, preds: DataFrame, *, exact: bool = False, weighted: bool = False, cap: int | None = None,
-    keys: tuple[str, ...] = ("qid", "id"), on: tuple[str, ...] = (), bounds: DataFrame | None = None,
+    points: DataFrame, preds: DataFrame | Planned, *, exact: bool = False, weighted: bool = False, cap: int | None = None,
+    keys: tuple[str, ...] = ("qid", "id"), on: tuple[str, ...] = (), by_id: bool = False,
 ) -> DataFrame:
     """(qid, id, cnt), for pairs with a match.
 
     exact: all ranges are single values. Equal predicates of a query are summed up before they meet the points; equal
-    points of a row count each, and so does a point with a column n, as often as n says. Counts are summed where the
-    points are read and then shuffled by query and row: no other shuffle is needed for few predicates. weighted: the sum
-    of the predicates' weights instead of their number. cap: counts are at most this. on: further columns in which both
-    must agree. bounds: of the dims, if known; only ranges of over WIDEST values need them.
+    points of a row count each, and so does a point with a column n, as often as n says. weighted: the sum of the
+    predicates' weights instead of their number. cap: counts are at most this. on: further columns in which both must agree.
+
+    Points that aren't dealt by id yet (by_id) are dealt once, so that a row's points are in one task: counts are complete
+    where the points lie, and (query, row) pairs are never shuffled. That holds for predicates that are few enough to be
+    broadcast; more are joined by a shuffle of both sides, and pairs are summed up by another.
     """
-    worth = F.sum("weight") if weighted else F.count("*")
-    asked = preds.groupBy(*on, "qid", "dim", "lo", "up").agg(worth.alias("w"))
+    asked = preds if isinstance(preds, Planned) else plan(preds, exact=exact, weighted=weighted, on=on)
     total = F.sum(F.col("n") * F.col("w")) if "n" in points.columns else F.sum("w")
-    return _finish(met(points, asked, list(on), exact, bounds), list(keys), total if weighted else total.cast("long"), cap)
+    at = dealt(points) if asked.few and not by_id else points
+    whole = dict(asked.preds.dtypes)["w"] == "bigint"
+    return _finish(met(at, asked.preds, list(on), asked.size, asked.exact), list(keys), total.cast("long") if whole else total, cap)
+
+
+def best(points: DataFrame, preds: DataFrame | Planned, k: int, *, weighted: bool = False, cap: int | None = None, by_id: bool = False, quantiles: DataFrame | None = None) -> DataFrame:
+    """(qid, id, cnt, rnk): the k rows with the largest counts, as top_k(match(...), k) has them, without counting them all.
+
+    For rows with one value in a dim at most, and weights that aren't negative. First, each query's most selective ranges give
+    some rows, about PROBED times k, whose whole counts are worked out; the k-th of these is a count that is reached for certain. Then the least selective
+    ranges are put aside, as long as all of them together are worth less than that: a row that matches none of the others
+    can't be among the best, nor tie with them. Rows that match others, and may still reach it with all that was put aside, get
+    the rest of their counts from their own points, which lie in the same task.
+
+    quantiles: of the points (see stats.quantiles), if known. They only choose what is put aside; no result depends on them.
+    """
+    asked = preds if isinstance(preds, Planned) else plan(preds, weighted=weighted)
+    at = points if by_id else dealt(points)
+    if quantiles is None:
+        quantiles = materialize(value_quantiles(points), "quantiles")
+    share = F.size(F.filter("marks", lambda x: (x >= F.col("lo")) & (x <= F.col("up")))) + 0.5
+    sized = asked.preds.join(F.broadcast(quantiles), "dim", "left")  # a row for each dim
+    sized = sized.select("qid", "dim", "lo", "up", "w", F.coalesce(share * F.col("n_points") / (MARKS + 1.0), F.lit(0.0)).alias("rows"))
+    order = Window.partitionBy("qid").orderBy("rows", "dim", "lo", "up")
+    before = F.coalesce(F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    later = F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))  # of this one and all that are less selective
+    sized = materialize(sized.select("*", ((F.row_number().over(order) == 1) | (before + F.col("rows") <= PROBED * k)).alias("first"), later.alias("later")), "sized")
+    hinted_rows = lambda df, rows: F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+    def some(which: DataFrame) -> DataFrame:
+        return met(at, which.select("qid", "dim", "lo", "up", "w"), [], asked.size)
+
+    def filled(found: DataFrame, rest: DataFrame) -> DataFrame:
+        """found (qid, id, cnt) with what the rest of the predicates adds."""
+        points_of = at.select("id", "dim", "value")
+        r = hinted_rows(rest.select(F.col("qid").alias("q"), F.col("dim").alias("d"), "lo", "up", "w"), asked.size.rows)
+        on = (F.col("qid") == F.col("q")) & (F.col("dim") == F.col("d")) & F.col("value").between(F.col("lo"), F.col("up"))
+        both = found.join(points_of, "id").join(r, on, "left").groupBy("qid", "id")
+        return both.agg((F.first("cnt") + F.coalesce(F.sum("w"), F.lit(0))).alias("cnt"))
+
+    probe = some(sized.where("first")).groupBy("qid", "id").agg(F.sum("w").alias("cnt"))
+    probe = filled(probe, sized.where("NOT first"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cnt")))
+    reached = probe.withColumn("place", place).where(F.col("place") == k).select(F.col("qid").alias("of"), (F.least("cnt", F.lit(cap)) if cap else F.col("cnt")).alias("sure"))
+    reached = materialize(reached, "sure")
+    # Put aside: what is worth, with all that is less selective, less than what is reached for certain.
+    parted = sized.join(hinted_rows(reached, asked.size.rows), F.col("qid") == F.col("of"), "left").drop("of")
+    aside = F.coalesce(F.col("later") < F.col("sure"), F.lit(False))
+    parted = materialize(parted.withColumn("aside", aside), "parted")
+    worth = parted.where("aside").groupBy("qid").agg(F.sum("w").alias("more"), F.first("sure").alias("sure"))
+    found = some(parted.where("NOT aside")).groupBy("qid", "id").agg(F.sum("w").alias("cnt"))
+    found = found.join(hinted_rows(worth.withColumnRenamed("qid", "of"), asked.size.rows), F.col("qid") == F.col("of"), "left")
+    names = ["qid", "id", "cnt"]
+    whole = found.where("of IS NULL").select(*names)
+    open_ = found.where(F.col("cnt") + F.col("more") >= F.col("sure")).select(*names)
+    kinds = {r["any"] for r in parted.groupBy("qid").agg(F.bool_or("aside").alias("any")).groupBy("any").count().collect()}  # two rows
+    parts = ([filled(open_, parted.where("aside"))] if True in kinds else []) + ([whole] if kinds != {True} else [])
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if cap:
+        out = out.withColumn("cnt", F.least("cnt", F.lit(cap)))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cnt"), "id"))
+    return out.withColumn("rnk", rank).where(F.col("rnk") <= k)
+
+
+def value_quantiles(points: DataFrame) -> DataFrame:
+    """(dim, n_points, marks): of each dim's values MARKS + 1 that part them about evenly."""
+    return points.groupBy("dim").agg(F.count("*").alias("n_points"), F.percentile_approx("value", [k / MARKS for k in range(MARKS + 1)], 10 * MARKS).alias("marks"))
 
 
 def match_subsequence(points: DataFrame, preds: DataFrame, cap: int | None = None) -> DataFrame:
@@ -99,4 +223,5 @@ def match_subsequence(points: DataFrame, preds: DataFrame, cap: int | None = Non
 
 def match_positions(points: DataFrame, preds: DataFrame) -> DataFrame:
     """All matches themselves: (qid, id, dim, value), for each point and predicate."""
-    return met(points, preds.withColumn("w", F.lit(1)), []).select("qid", "id", "dim", "value")
+    asked, size = planned(preds.select("qid", "dim", "lo", "up", F.lit(1).alias("w")))
+    return met(points, asked, [], size).select("qid", "id", "dim", "value")

@@ -14,16 +14,25 @@ from ..functions.arrays import grams
 OCCURRENCES = 63
 
 
+def dealt(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """df (rows or points) dealt over tasks by id, so that what is counted by id needs no further shuffle.
+
+    There are as many tasks as cores at least: rows are few where queries are many.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), id_col)
+
+
 def vector_points(rows: DataFrame, id_col: str = "id", values_col: str = "values") -> DataFrame:
     """The place of a value is its dim."""
     return rows.select(F.col(id_col).alias("id"), F.posexplode(values_col).alias("dim", "value"))
 
 
-def column_points(df: DataFrame, id_col: str, columns: dict[str, Column] | list[str]) -> DataFrame:
-    """Columns of a table are its dims, in order. Null values match nothing and are left out."""
+def column_points(df: DataFrame, id_col: str, columns: dict[str, Column] | list[str], by_id: bool = False) -> DataFrame:
+    """Columns of a table are its dims, in order. Null values match nothing and are left out. by_id: rows are dealt by id."""
     named = columns if isinstance(columns, dict) else {c: F.col(c) for c in columns}
     rows = df.select(F.col(id_col).alias("id"), F.array(*(c.cast("int") for c in named.values())).alias("values"))
-    return vector_points(rows).where("value IS NOT NULL")
+    return vector_points(dealt(rows) if by_id else rows).where("value IS NOT NULL")
 
 
 def bag_points(rows: DataFrame, id_col: str = "id", values_col: str = "values") -> DataFrame:

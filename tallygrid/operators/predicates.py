@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..workers import importable
 from ..workspace import materialize
-from .match import _small, hinted, met
+from .match import _small, hinted, met, planned
 
 #: Distinct values, of all dims, whose counts are sent to every task; of more, a task gets a dim's, and its part of the
 #: predicates, of which each dim's are dealt over so many groups.
@@ -153,7 +153,8 @@ def selectivity_of(preds: DataFrame, points: DataFrame) -> DataFrame:
     counts = points.groupBy("dim", "value").agg(F.count("*").alias("n"))
     ranges = preds.select("dim", "lo", "up").distinct()
     key = F.struct("dim", "lo", "up")
-    hit = met(counts, ranges.select(key.alias("qid"), "dim", "lo", "up", F.lit(1).alias("w")), []).groupBy("qid").agg(F.sum("n").alias("covered"))
+    asked, size = planned(ranges.select(key.alias("qid"), "dim", "lo", "up", F.lit(1).alias("w")))
+    hit = met(counts, asked, [], size).groupBy("qid").agg(F.sum("n").alias("covered"))
     hit = hit.select("qid.dim", "qid.lo", "qid.up", "covered")
     return preds.join(hit, ["dim", "lo", "up"], "left").select(*COLUMNS, F.coalesce("covered", F.lit(0)).alias("covered"))
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..operators import points as P
 from ..operators import predicates as Q
-from ..operators.match import match, match_subsequence
+from ..operators.match import match, match_subsequence, plan
 from ..operators.topk import pad, top_k
-from ..sources.index import load_bounds, load_index, prune
+from ..sources.index import reach, reached, segments
 from ..sources.rows import read_rows
 
 
@@ -24,15 +24,21 @@ def build_queries(rows: DataFrame, config: Config, dims: int | None = None) -> D
     return Q.radius_predicates(rows, config.query_range or 0, dims)
 
 
-def match_queries(points: DataFrame, preds: DataFrame, config: Config, bounds: DataFrame | None = None) -> DataFrame:
-    """(qid, id, cnt, rnk): the k best rows of each query."""
-    found = top_k(match(points, preds, exact=not config.query_range, cap=config.count_cap, bounds=bounds), config.k)
+def match_queries(points: DataFrame, preds: DataFrame, config: Config, by_id: bool = False) -> DataFrame:
+    """(qid, id, cnt, rnk): the k best rows of each query. by_id: the points are dealt by id already."""
+    found = top_k(match(points, preds, exact=not config.query_range, cap=config.count_cap, by_id=by_id), config.k)
     return pad(found, preds, config.k) if config.pad else found
 
 
 def search_index(spark: SparkSession, index: str, preds: DataFrame, config: Config) -> DataFrame:
-    """A search in an index folder: the scan is filtered by what the predicates can reach, and bounds are read, not made."""
-    return match_queries(prune(load_index(spark, index), preds), preds, config, load_bounds(spark, index))
+    """A search in an index folder, of its segments one by one: of each, what the predicates can reach is read, and counts are
+    complete where it is read; segments whose bounds they don't reach are left out."""
+    asked = plan(preds, exact=not config.query_range)
+    kept, each = reach(asked.preds), segments(spark, index)
+    live = [p for p, b in each if len(each) == 1 or reached(b, asked.preds)] or [each[0][0]]
+    found = [top_k(match(p.where(kept), asked, cap=config.count_cap, by_id=True), config.k) for p in live]
+    best = found[0] if len(found) == 1 else top_k(P.append(*found).drop("rnk"), config.k)
+    return pad(best, preds, config.k) if config.pad else best
 
 
 def search(spark: SparkSession, table: str, queries: str, config: Config) -> DataFrame:
@@ -40,17 +46,17 @@ def search(spark: SparkSession, table: str, queries: str, config: Config) -> Dat
     config.validate()
     preds = build_queries(read_rows(spark, queries, config.num_of_queries), config)
     if table.endswith((".csv", ".dat", ".txt")):
-        return match_queries(build_index(read_rows(spark, table)), preds, config)
+        return match_queries(build_index(P.dealt(read_rows(spark, table))), preds, config, by_id=True)
     return search_index(spark, table, preds, config)
 
 
 def search_bags(data: DataFrame, queries: DataFrame, k: int, radius: int = 0, **how) -> DataFrame:
-    return top_k(match(P.bag_points(data), Q.bag_predicates(queries, radius), exact=not radius, **how), k)
+    return top_k(match(P.bag_points(P.dealt(data)), Q.bag_predicates(queries, radius), exact=not radius, by_id=True, **how), k)
 
 
 def search_sequences(data: DataFrame, queries: DataFrame, k: int, n: int = 3, **how) -> DataFrame:
     """By runs of n values that two sequences have in common."""
-    return top_k(match(P.gram_points(data, n), P.gram_predicates(queries, data, n), exact=True, **how), k)
+    return top_k(match(P.gram_points(P.dealt(data), n), P.gram_predicates(queries, data, n), exact=True, by_id=True, **how), k)
 
 
 def search_subsequences(data: DataFrame, queries: DataFrame, k: int, **how) -> DataFrame:
@@ -70,6 +76,9 @@ def search_chunks(points: DataFrame, preds: DataFrame, k: int, size: int, **how)
 
 
 def search_tables(tables: Sequence[DataFrame], preds: DataFrame, k: int, **how) -> DataFrame:
-    """One search over several tables of points: (table, qid, id, cnt, rnk), the top k of each."""
-    found = [top_k(match(t, preds, **how), k).select(F.lit(n).alias("table"), "*") for n, t in enumerate(tables)]
-    return P.append(*found)
+    """One search over several tables of points: (table, qid, id, cnt, rnk), the top k of each.
+
+    Points carry the number of their table, by which they are counted apart: predicates are looked at and broadcast once.
+    """
+    at = P.append(*(t.withColumn("table", F.lit(n)) for n, t in enumerate(tables)))
+    return top_k(match(at, preds, keys=("table", "qid", "id"), **how), k, per=("table", "qid"))

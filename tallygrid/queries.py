@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import arrays, codecs
 from .metrics import codec_sizes
 from .operators import clusters, points, predicates, stats, topk
-from .operators.match import match, match_subsequence
+from .operators.match import match
 from .plans import engine
 from .workers import importable
 
@@ -23,15 +23,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _orders(spark: SparkSession, sf_dir: str, by_id: bool = False) -> DataFrame:
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date"))
     dims = {"custkey": F.col("o_custkey"), "price": F.floor(F.col("o_totalprice") / 1000), "day": day, "c": F.col("o_custkey") % 97, "o": F.col("o_orderkey") % 89}
-    return points.column_points(_table(spark, sf_dir, "orders"), "o_orderkey", dims)
+    return points.column_points(_table(spark, sf_dir, "orders"), "o_orderkey", dims, by_id)
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _parts(spark: SparkSession, sf_dir: str, by_id: bool = False) -> DataFrame:
     dims = {"size": F.col("p_size"), "price": F.floor(F.col("p_retailprice")), "k": F.col("p_partkey") % 31}
-    return points.column_points(_table(spark, sf_dir, "part"), "p_partkey", dims)
+    return points.column_points(_table(spark, sf_dir, "part"), "p_partkey", dims, by_id)
 
 
 def _asked(at: DataFrame, radius: int = 0) -> DataFrame:
@@ -62,13 +62,11 @@ def _self(lo: str = "value", up: str = "value", more: str = "", where: str = "")
 
 
 def match_vector_point(spark, sf_dir):
-    at = _orders(spark, sf_dir)
-    return _out(topk.top_k(match(at, _asked(at), exact=True), K))
+    return _out(topk.top_k(match(_orders(spark, sf_dir, True), _asked(_orders(spark, sf_dir)), exact=True, by_id=True), K))
 
 
 def match_vector_radius(spark, sf_dir):
-    at = _orders(spark, sf_dir)
-    return _out(topk.top_k(match(at, _asked(at, 1)), K))
+    return _out(topk.top_k(match(_orders(spark, sf_dir, True), _asked(_orders(spark, sf_dir), 1), by_id=True), K))
 
 
 def match_subset_dims(spark, sf_dir):
@@ -95,8 +93,7 @@ def weighted_match(spark, sf_dir):
 
 
 def topk_page2(spark, sf_dir):
-    at = _orders(spark, sf_dir)
-    return _out(topk.top_k(match(at, _asked(at), exact=True), K, page=2))
+    return _out(topk.top_k(match(_orders(spark, sf_dir, True), _asked(_orders(spark, sf_dir)), exact=True, by_id=True), K, page=2))
 
 
 def pad_topk(spark, sf_dir):
@@ -115,14 +112,13 @@ def match_capped(spark, sf_dir):
     return _out(topk.top_k(match(at, _asked(at, 3), cap=2), K))
 
 
-def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _embeddings(spark: SparkSession, sf_dir: str, by_id: bool = False) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 16).cast("int")).alias("values"))
-    return points.vector_points(rows)
+    return points.vector_points(points.dealt(rows) if by_id else rows)
 
 
 def match_embedding_bucket(spark, sf_dir):
-    at = _embeddings(spark, sf_dir)
-    return _out(topk.top_k(match(at, _asked(at), exact=True), K))
+    return _out(topk.top_k(match(_embeddings(spark, sf_dir, True), _asked(_embeddings(spark, sf_dir)), exact=True, by_id=True), K))
 
 
 def _bags(spark: SparkSession, sf_dir: str) -> DataFrame:

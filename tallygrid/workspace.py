@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the cluster names no shared folder, as in tests.
 LOCAL_ROOT = "/tmp/checkpoints"
@@ -102,3 +103,14 @@ def rename_files(spark: SparkSession, path: str, old: str, new: str) -> None:
     for x in store.listStatus(at):
         if (name := x.getPath().getName()).endswith(old) and not name.startswith(("_", ".")):
             store.rename(x.getPath(), spark._jvm.org.apache.hadoop.fs.Path(at, name.removesuffix(old) + new))
+
+
+def notes(spark: SparkSession, path: str) -> list[str]:
+    """The lines noted in a folder (few), in no order; none if it isn't there."""
+    at, store = _open(spark, path)
+    return [r["value"] for r in spark.read.text(path).collect()] if store.exists(at) else []
+
+
+def note(spark: SparkSession, path: str, line: str) -> None:
+    """Add a line to a folder's, as a file that is there whole or not at all."""
+    spark.range(1, numPartitions=1).select(F.lit(line).alias("value")).write.mode("append").text(path)

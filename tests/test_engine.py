@@ -233,15 +233,6 @@ def test_known_answers(spark, tmp_path):
     assert got(page) == {q: x[2:4] for q, x in EXACT.items()}
 
 
-def test_few_predicates_meet_the_points_without_a_shuffle_before(spark):
-    at = points.vector_points(from_rows(spark, VECTORS * 5).repartition(3))
-    for radius in (0, 2):
-        found = match(at, predicates.radius_predicates(ask(spark, VECTORS), radius), exact=not radius)
-        plan = found._jdf.queryExecution().executedPlan().toString()
-        joined = plan[plan.index("BroadcastHashJoin") :]
-        assert plan.count("Exchange hashpartitioning(qid") >= 1 and "hashpartitioning(id" not in joined
-
-
 def test_bag_points_count_within_rows(spark):
     data = from_rows(spark, [*BAGS, [], [4, 4, 4]])
     found = {}

@@ -114,7 +114,7 @@ def test_index_round_trip(spark, tmp_path):
     back = index.load_index(spark, str(tmp_path / "i"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, pts.collect())) and index.load_bounds(spark, str(tmp_path / "i")).count() == 2
     preds = predicates.radius_predicates(from_rows(spark, [[10, 1]]))
-    few = index.prune(back, preds)
+    few = back.where(index.reach(preds))
     assert "PushedFilters: [Or" in few._jdf.queryExecution().toString() and few.count() < 20
     top = top_k(match(few, preds, exact=True), 3)
     assert sorted(map(tuple, top.collect())) == sorted(map(tuple, top_k(match(pts, preds, exact=True), 3).collect()))
