@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import shutil
 import uuid
-from collections.abc import Collection
+from collections.abc import Collection, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,3 +115,16 @@ def notes(spark: SparkSession, path: str) -> list[str]:
 def note(spark: SparkSession, path: str, line: str) -> None:
     """Add a line to a folder's, as a file that is there whole or not at all."""
     spark.range(1, numPartitions=1).select(F.lit(line).alias("value")).write.mode("append").text(path)
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings are these within, and what they were after it."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
