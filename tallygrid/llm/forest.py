@@ -20,6 +20,7 @@ import itertools
 import math
 import re
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .components import connected_components
-from .shared import materialize, staying
+from .shared import importable, materialize, staying
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -38,12 +39,13 @@ TREES = 32
 DEPTH = 8
 RECALL = 0.99999
 BLOCK_BYTES = 8_000_000
-#: Documents of one prefix are joined if their sketches say this similarity, at least. A sketch of 256 bits is off by less
-#: than 0.04, in 2 of 3 cases, at 0.8.
-LOOSE = 0.5
-#: In larger groups of one prefix, documents are compared with leaders only: those not this near to any before. Two texts
-#: of similarity 0.8 then have leaders near both, and what is this (less) near to a leader is joined to it.
-GROUP, LEADER, LOOSER = 4_096, 0.8, 0.35
+#: Documents of one prefix are joined if their sketches say a similarity of so many standard deviations below the wanted one.
+#: At 0.8, a sketch of 256 bits is off by 0.0375 in 1 of 3 cases, so that 0.5 is enough.
+DEVIATIONS = 8
+#: In larger groups of one prefix, documents are compared with leaders only: those that aren't this near (or as near as is
+#: wanted, if that is more) to any before. Similarities are one less a distance, so that of two texts of the wanted similarity
+#: one leader is near to both; SLACK allows for what sketches err.
+GROUP, LEADER, SLACK = 4_096, 0.8, 0.25
 #: Documents, and bytes of shingles, that are verified together; larger components are split into parts of half that.
 TOGETHER, TOGETHER_BYTES = 2_000, 64_000_000
 
@@ -70,9 +72,25 @@ def trees_for(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
 
 def found_share(similarities: dict[float, int], depth: int, trees: int) -> float:
     """The share of all pairs that prefixes of this length find, from the similarities of those that they found: one that
-    is found with probability q stands for 1 / q."""
+    is found with probability q stands for 1 / q. Where none is found, nothing is known: 0."""
     whole = sum(n / (1 - (1 - min(s, 1) ** depth) ** trees) for s, n in similarities.items())
-    return sum(similarities.values()) / whole if whole else 1.0
+    return sum(similarities.values()) / whole if whole else 0.0
+
+
+class Nearness(NamedTuple):
+    """From which similarity of sketches on documents of one prefix are joined; a document needs no leader of its own; and is
+    joined to a leader. Below what chance gives, everything is."""
+
+    joined: float
+    led: float
+    leader: float
+
+
+def nearness(similarity: float, bits: int) -> Nearness:
+    joined = similarity - DEVIATIONS * math.sqrt((1 - similarity**2) / bits)
+    led = max(LEADER, similarity)
+    leader = similarity + led - 1 - SLACK
+    return Nearness(*(x if x > 0 else -2.0 if k != 1 else x for k, x in enumerate((joined, led, leader))))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -266,25 +284,28 @@ def _level_messages(buckets: int, trees: int, depth: int):
     return messages
 
 
-def _joined(ref: np.ndarray, sketch: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _joined(ref: np.ndarray, sketch: np.ndarray, bits: int, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, nearness): enough pairs of one prefix's documents to connect all that may come near the similarity."""
+    bound = nearness(similarity, bits)
     if len(ref) <= GROUP:
         near = alike(sketch, sketch, bits)
-        np.fill_diagonal(near, -1)
-        root = _roots(near >= LOOSE)
+        np.fill_diagonal(near, -3)
+        root = _roots(near >= bound.joined)
         k = np.flatnonzero(root != np.arange(len(ref)))
         return ref[k], ref[root[k]], near.max(1)[k]
     rest, out = np.arange(len(ref)), []
     while len(rest):
         near = np.concatenate([alike(sketch[k : k + 100_000], sketch[rest[:1]], bits)[:, 0] for k in range(0, len(ref), 100_000)])
-        k = np.flatnonzero(near >= LOOSER)
+        k = np.flatnonzero(near >= bound.leader)
         k = k[k != rest[0]]
         out.append((ref[k], np.full(len(k), ref[rest[0]]), near[k]))
-        rest = rest[1:][near[rest[1:]] < LEADER]
+        rest = rest[1:][near[rest[1:]] < bound.led]
+        if bound.leader < 0:  # all are joined to the first
+            break
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _edges(trees: int):
+def _edges(trees: int, similarity: float):
     bits, schema = trees * DEPTH, {"a": pa.int64(), "b": pa.int64(), "near": pa.int32()}
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
@@ -305,14 +326,14 @@ def _edges(trees: int):
         one, other = place[two], place[two + 1]
         apart = np.bitwise_count(sketch[one] ^ sketch[other]).sum(1, dtype=np.int64)
         near = 1 - 2 * apart / bits
-        ok = near >= LOOSE
+        ok = near >= nearness(similarity, bits).joined
         out.append((ref[one[ok]], ref[other[ok]], near[ok]))
         seen: set[bytes] = set()
         for lo, n in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
             own = place[lo : lo + n]
             if (same := own.tobytes()) not in seen:  # many trees have the same group
                 seen.add(same)
-                out.append(_joined(ref[own], sketch[own], bits))
+                out.append(_joined(ref[own], sketch[own], bits, similarity))
         a, b, near = (np.concatenate(x) for x in zip(*out, strict=True))
         blocks.tidy()
         return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64()), "near": pa.array((100 * near).astype(np.int32), pa.int32())}, schema=pa.schema(schema))
@@ -326,7 +347,7 @@ def candidates(table: DataFrame, known: DataFrame, trees: int, floor: int, simil
     depth = DEPTH
     while True:
         asked = blocks.ask(both, ["own", "keys", "sketches", "stands", "matched"], _level_messages(n, trees, depth))
-        edges = asked.groupBy("bucket").applyInArrow(_edges(trees), "a long, b long, near int")
+        edges = asked.groupBy("bucket").applyInArrow(_edges(trees, similarity), "a long, b long, near int")
         edges = materialize(edges.groupBy("a", "b").agg(F.max("near").alias("near")), "near")
         if depth <= floor:
             return edges, depth
@@ -416,8 +437,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     five words have one shingle; null, empty and wordless texts have none, no link, and are classes of their own, named
     by their own ids. A null id takes part, and its class is named by another's id if there is one. Other columns are
     ignored; an empty table gives no rows. Two sets below the similarity never link; of all pairs that should, a
-    share of 1 - recall may be missed, those nearest to the similarity first. Small similarities take more trees.
+    share of 1 - recall may be missed, those nearest to the similarity first. Small similarities take more trees, and more
+    documents of one prefix are verified: at 0.3, all.
     """
+    importable(docs.sparkSession)
     trees = trees_for(similarity, recall)
     kind, n, floor = dict(docs.dtypes)[id_col], blocks.buckets(docs), matched_depth(similarity, trees, DEPTH, recall)
 

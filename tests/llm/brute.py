@@ -103,7 +103,7 @@ class Sets(dict):
         self[max(a, b)] = min(a, b)
 
 
-def near(rows):
+def near(rows, similarity=0.8):
     """(id, class, size, links, shingles) by comparing all pairs; ids must be distinct."""
     sets = {i: shingles(t) for i, t in rows}
     groups, links, distinct = Sets(), Counter(), defaultdict(list)
@@ -116,7 +116,7 @@ def near(rows):
             groups.join(i, ids[0])
     for a in distinct:
         for b in distinct:
-            if a is not b and len(a & b) >= 0.8 * len(a | b) - 1e-9:
+            if a is not b and len(a & b) >= similarity * len(a | b) - 1e-9:
                 links[a] += 1
                 groups.join(distinct[a][0], distinct[b][0])
     size = Counter(groups.root(i) for i in sets)
