@@ -21,6 +21,7 @@ from .shared import fold, materialize, named, staying, workspace
 DROPPED_ROWS = 500_000
 #: Files of a bucket after which they are merged.
 MERGE = 8
+BY_BUCKET = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
 IN_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
@@ -64,10 +65,8 @@ class DigestIndex:
         after = self.generation + 1
         remove(self.spark, self._rows(after))  # of an attempt that failed
         table = named(self.spark, f"digest_index_{uuid.uuid4().hex[:12]}")
-        (
-            self.rows().repartition(self.buckets, "digest").write.format("parquet").option("path", self._rows(after))
-            .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(table)
-        )
+        with settings(self.spark, {BY_BUCKET: "false"}):  # a task reads a bucket, and so writes one
+            self.rows().write.format("parquet").option("path", self._rows(after)).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(table)
         note(self.spark, f"{self.path}/state", f"{after} {self.buckets}")
         remove(self.spark, self._rows(self.generation))
         self.generation = after
