@@ -306,7 +306,6 @@ def service_batch(spark, sf_dir):
         put(spark, f"{base}/in/{k}.json", r["value"].encode())
     table = points.vector_points(at).join(at.select("id", "cluster"), "id")
     online.serve(spark, table, f"{base}/in", f"{base}/out", f"{base}/state", once=True).awaitTermination()
-    table.unpersist()
     return spark.read.parquet(f"{base}/out").groupBy("id", "cnt", F.col("rnk").cast("long").alias("rnk")).agg(F.count("*").alias("answers"))
 
 

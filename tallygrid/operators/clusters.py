@@ -30,7 +30,11 @@ def routed(queries: DataFrame, content_col: str = "content", clusters_col: str =
 
 
 def search_clusters(points: DataFrame, preds: DataFrame, k: int, exact: bool = True, **how) -> DataFrame:
-    """The top k of each query over its clusters: points and preds both have a column cluster."""
+    """The top k of each query over its clusters: points and preds both have a column cluster.
+
+    Points of an index that was saved by cluster are read from the folders of clusters that are asked only: which these are is
+    known when the predicates are, and the scan waits for that (dynamic partition pruning).
+    """
     return top_k(match(points, preds, exact=exact, on=("cluster",), **how), k)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -13,6 +14,8 @@ from .points import dealt
 
 #: Rows (of a few numbers each) up to which predicates, dealt out to their values, are broadcast; more take a shuffled join.
 BROADCAST_ROWS = 500_000
+#: Blocks of queries, at most, that are asked one after the other.
+BLOCKS = 32
 #: The widest range that is dealt out to its values; wider ones are dealt out to segments of 1, 2, 4... values.
 WIDEST = 1_024
 #: best() works out about so many rows' counts for each result of a query, to know what is reached for certain; and marks a dim's
@@ -44,19 +47,21 @@ def _width(lo: str = "lo", up: str = "up") -> Column:
     return F.col(up).cast("long") - F.col(lo).cast("long")
 
 
+def _sizes(kind: str) -> list[Column]:
+    """Sizes of predicates whose bounds are of this type; only numbers have ranges."""
+    width = _width() if kind in ("tinyint", "smallint", "int", "bigint") else F.lit(0)
+    wide, zero = width >= WIDEST, F.lit(0).cast("long")
+    segments = F.when(wide, 2 * F.ceil(F.log2(width + F.lit(2.0))))
+    return [
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.when(width.between(0, WIDEST - 1), width + 1)), zero).alias("dealt"),
+        F.count_if(wide).alias("wide"), F.coalesce(F.sum(segments), zero).alias("segments"),
+    ]
+
+
 def planned(preds: DataFrame) -> tuple[DataFrame, Sizes]:
     """The predicates, written, and their sizes, taken as they are."""
-    numbers = dict(preds.dtypes)["lo"] in ("tinyint", "smallint", "int", "bigint")
-    width = _width() if numbers else F.lit(0)
-    wide = width >= WIDEST
-    segments = F.when(wide, 2 * F.ceil(F.log2(width + F.lit(2.0))))
-    zero = F.lit(0).cast("long")
     seen = Observation()
-    counted = preds.observe(
-        seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.when(width.between(0, WIDEST - 1), width + 1)), zero).alias("dealt"),
-        F.count_if(wide).alias("wide"), F.coalesce(F.sum(segments), zero).alias("segments"),
-    )
-    at = materialize(counted, "predicates")
+    at = materialize(preds.observe(seen, *_sizes(dict(preds.dtypes)["lo"])), "predicates")
     return at, Sizes(**{k: int(v) for k, v in seen.get.items()})
 
 
@@ -92,7 +97,8 @@ def met(points: DataFrame, preds: DataFrame, on: list[str], size: Sizes, exact:
     """
     preds = preds.select(*on, "qid", "dim", "lo", "up", "w")
     if exact:
-        return points.join(_marked(preds.select(*on, "qid", "dim", F.col("lo").alias("value"), "w"), size.rows), [*on, "dim", "value"])
+        single = preds.where("lo <= up").select(*on, "qid", "dim", F.col("lo").alias("value"), "w")
+        return points.join(_marked(single, size.rows), [*on, "dim", "value"])
     narrow = preds.where(_width().between(0, WIDEST - 1)).select(*on, "qid", "dim", F.explode(F.sequence("lo", "up")).alias("value"), "w")
     hits = points.join(_marked(narrow, size.dealt), [*on, "dim", "value"])
     if not size.wide:
@@ -120,7 +126,22 @@ class Planned(NamedTuple):
     @property
     def few(self) -> bool:
         """Whether all of them, dealt out, are broadcast."""
-        return (self.size.rows if self.exact else max(self.size.dealt, self.size.segments)) <= BROADCAST_ROWS
+        return self.rows <= BROADCAST_ROWS
+
+    @property
+    def rows(self) -> int:
+        return self.size.rows if self.exact else max(self.size.dealt, self.size.segments)
+
+    def blocks(self) -> list[Planned]:
+        """Blocks of queries, each with few predicates; none if there would be more than BLOCKS, or if one query has too many."""
+        n = -(-2 * self.rows // BROADCAST_ROWS)
+        if n > BLOCKS:
+            return []
+        block = F.pmod(F.xxhash64("qid"), F.lit(n))
+        kind = dict(self.preds.dtypes)["lo"]
+        found = {r["block"]: r for r in self.preds.groupBy(block.alias("block")).agg(*_sizes(kind)).collect()}  # a row for each block
+        out = [Planned(self.preds.where(block == k), Sizes(*(int(r[c]) for c in Sizes._fields)), self.exact) for k, r in sorted(found.items())]
+        return out if all(x.few for x in out) else []
 
 
 def plan(preds: DataFrame, *, exact: bool = False, weighted: bool = False, on: tuple[str, ...] = ()) -> Planned:
@@ -141,13 +162,16 @@ def match(
 
     Points that aren't dealt by id yet (by_id) are dealt once, so that a row's points are in one task: counts are complete
     where the points lie, and (query, row) pairs are never shuffled. That holds for predicates that are few enough to be
-    broadcast; more are joined by a shuffle of both sides, and pairs are summed up by another.
+    broadcast. More are asked in blocks of queries, one after the other of the points that were dealt once, however
+    long a list of points is; very many are joined by a shuffle of both sides, and pairs are summed up by another.
     """
     asked = preds if isinstance(preds, Planned) else plan(preds, exact=exact, weighted=weighted, on=on)
     total = F.sum(F.col("n") * F.col("w")) if "n" in points.columns else F.sum("w")
-    at = dealt(points) if asked.few and not by_id else points
     whole = dict(asked.preds.dtypes)["w"] == "bigint"
-    return _finish(met(at, asked.preds, list(on), asked.size, asked.exact), list(keys), total.cast("long") if whole else total, cap)
+    blocks = [asked] if asked.few else asked.blocks()
+    at = dealt(points) if blocks and not by_id else points
+    counts = [_finish(met(at, x.preds, list(on), x.size, x.exact), list(keys), total.cast("long") if whole else total, cap) for x in blocks or [asked]]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def best(points: DataFrame, preds: DataFrame | Planned, k: int, *, weighted: bool = False, cap: int | None = None, by_id: bool = False, quantiles: DataFrame | None = None) -> DataFrame:

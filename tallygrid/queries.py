@@ -12,7 +12,9 @@ from .metrics import codec_sizes
 from .operators import clusters, points, predicates, stats, topk
 from .operators.match import match
 from .plans import engine
+from .sources import index
 from .workers import importable
+from .workspace import workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 K = 10
@@ -163,11 +165,12 @@ def adaptive_match(spark, sf_dir):
 
 
 def cluster_routed(spark, sf_dir):
-    """Parts are in clusters by brand; a query goes to its own."""
+    """Parts are in clusters by brand, in an index with a folder for each; a query goes to its own."""
     brand = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("cluster"))
     at = _parts(spark, sf_dir).join(brand, "id")
     preds = _asked(at, 2).join(brand.withColumnRenamed("id", "qid"), "qid")
-    return _out(clusters.search_clusters(at, preds, K, exact=False))
+    index.save_index(at, path := workspace(spark, "clusters"), 4, by=("cluster",))
+    return _out(clusters.search_clusters(index.load_index(spark, path), preds, K, exact=False, by_id=True))
 
 
 def multiload_merge(spark, sf_dir):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.stats import bounds
-from ..workspace import named, note, notes, remove
+from ..workspace import named, note, notes, remove, settings
 
 #: Segments of one size class (each holds up to so many times the points of the one below) that are merged into one.
 MERGED = 4
@@ -78,7 +78,8 @@ def append_index(points: DataFrame, path: str) -> None:
         raise ValueError(f"there is no index at {path}")
     state = _put(spark, path, state, segments=[*state["segments"], _segment(points, path, state)])
     while (again := _alike(state["segments"])):
-        merged = _segment(_union(spark, path, state, again), path, state)
+        with settings(spark, {"spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}):
+            merged = _segment(_union(spark, path, state, again), path, state)
         state = _put(spark, path, state, segments=[x for x in state["segments"] if x not in again] + [merged])
         _remove(spark, path, again)
 

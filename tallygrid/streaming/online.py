@@ -12,7 +12,9 @@ from ..operators.match import match
 from ..operators.points import bag_points, vector_points
 from ..operators.predicates import widen
 from ..operators.topk import id_offsets, top_k
+from ..sources.index import load_index, save_index
 from ..sources.rows import read_clusters
+from ..workspace import workspace
 
 #: How rows become points: by place, or as bags.
 VECTORS, BAGS = 0, 1
@@ -28,10 +30,11 @@ def load_points(spark: SparkSession, config: OnlineConfig) -> DataFrame:
     return made.select("*", F.col("id.cluster").alias("cluster")).withColumn("id", F.col("id.key"))
 
 
-def answer(points: DataFrame, documents: DataFrame, radius: int = 0, selectivity: float = 0.0, search_type: int = VECTORS, rows: int | None = None) -> DataFrame:
+def answer(points: DataFrame, documents: DataFrame, radius: int = 0, selectivity: float = 0.0, search_type: int = VECTORS, rows: int | None = None, by_id: bool = False) -> DataFrame:
     """(doc, qid, id, cnt, rnk): for each query of valid documents the topk best rows of the clusters that it names.
 
-    points have a column cluster; ids are those of the whole. Queries of one batch are searched together.
+    points have a column cluster; ids are those of the whole. Queries of one batch are searched together. by_id: the
+    points are dealt by id already.
     """
     asked = parse_queries(documents)
     key = F.struct("doc", "qid")
@@ -41,18 +44,26 @@ def answer(points: DataFrame, documents: DataFrame, radius: int = 0, selectivity
     if selectivity > 0:
         grown = widen(preds.drop("cluster").distinct(), points.select("id", "dim", "value"), selectivity, rows)
         preds = grown.join(preds.select("qid", "cluster").distinct(), "qid")
-    found = match(points, preds, exact=not radius and not selectivity, on=("cluster",))
+    found = match(points, preds, exact=not radius and not selectivity, on=("cluster",), by_id=by_id)
     found = found.join(asked.select(key.alias("qid"), "topk").distinct(), "qid")
     return top_k(found, F.col("topk")).select("qid.doc", "qid.qid", "id", "cnt", "rnk")
 
 
+def stored(points: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The points as an index with a folder for each cluster, in the shared folder: a batch reads those of the clusters that its
+    queries name, and no executor has to last as long as the service does."""
+    spark = points.sparkSession
+    save_index(points, path := workspace(spark, "service-index"), partitions, by=("cluster",))
+    return load_index(spark, path)
+
+
 def serve(spark: SparkSession, points: DataFrame, source: str, target: str, checkpoint: str, interval: str = "1 second", once: bool = False, **how) -> StreamingQuery:
     """Search the JSON documents (one a file) that appear in source, and write results for each batch to target."""
-    index = points.persist()
+    index = stored(points)
     stream = spark.readStream.option("wholetext", True).schema("value string").text(source)
 
     def run(batch: DataFrame, number: int) -> None:
-        answer(index, batch, **how).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        answer(index, batch, by_id=True, **how).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
@@ -66,6 +77,7 @@ def serve_configured(spark: SparkSession, config: OnlineConfig, source: str, tar
 
 def serve_socket(spark: SparkSession, points: DataFrame, host: str, port: int, target: str, checkpoint: str, **how) -> StreamingQuery:
     """The same for documents that come as lines over a socket (a source for trials, which can't be replayed)."""
+    index = stored(points)
     stream = spark.readStream.format("socket").option("host", host).option("port", port).load()
-    run = lambda batch, number: answer(points, batch, **how).write.mode("overwrite").parquet(f"{target}/batch={number}")
+    run = lambda batch, number: answer(index, batch, by_id=True, **how).write.mode("overwrite").parquet(f"{target}/batch={number}")
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()

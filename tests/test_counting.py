@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.config import Config
 from tallygrid.operators import match as M
-from tallygrid.operators import points, predicates, topk
+from tallygrid.operators import clusters, points, predicates, topk
 from tallygrid.plans import engine
 from tallygrid.sources import index
 from tallygrid.sources.rows import from_rows
@@ -162,3 +162,35 @@ def test_what_is_read_follows_the_ranges(spark, tmp_path):
 
     few, more = read(1), read(8)
     assert few <= 2 * 2 * index.PAGE_ROWS and few < more <= 8 * 2 * 2 * index.PAGE_ROWS < 400_000
+
+
+def test_clusters_that_are_not_asked_are_not_read(spark, tmp_path):
+    rows = from_rows(spark, [[k % 50, k % 7] for k in range(500)]).withColumn("cluster", (F.col("id") % 10).cast("int"))
+    at = points.vector_points(rows).join(rows.select("id", "cluster"), "id")
+    index.save_index(at, str(tmp_path / "i"), 2, by=("cluster",))
+    stored = index.load_index(spark, str(tmp_path / "i"))
+    assert len(list((tmp_path / "i").glob("segment-*/points/cluster=*"))) == 10
+    asked = predicates.as_predicates(points.vector_points(rows.where("id IN (3, 13, 4)"))).join(rows.select(F.col("id").alias("qid"), "cluster"), "qid")
+    for radius in (0, 1):
+        preds = asked.withColumn("lo", F.col("lo") - radius).withColumn("up", F.col("up") + radius)
+        found = clusters.search_clusters(stored, preds, 4, exact=not radius, by_id=True)
+        assert "dynamicpruning" in planned(found).lower() and "hashpartitioning(id" not in planned(found)
+        assert rows_of(found) == rows_of(clusters.search_clusters(at, preds, 4, exact=not radius))
+        found.collect()
+        scans = re.findall(r"dynamicpruning\w*", planned(found))
+        assert scans
+
+
+def test_many_queries_are_asked_in_blocks_whatever_lists_are_long(spark, monkeypatch):
+    """A token in a third of all bags: points stay where they were dealt, and no task gets the list."""
+    rng = random.Random(8)
+    bags = [[0] * (k % 3 == 0) + [rng.randint(1, 400) for _ in range(6)] for k in range(600)]
+    rows = from_rows(spark, bags)
+    want = rows_of(engine.search_bags(rows, rows.where("id < 200"), 5))
+    monkeypatch.setattr(M, "BROADCAST_ROWS", 200)
+    found = engine.search_bags(rows, rows.where("id < 200"), 5)
+    plan = planned(found)
+    assert plan.count("BroadcastHashJoin") > 8 and "SortMergeJoin" not in plan and not re.search(r"hashpartitioning\((dim|value)", plan)
+    assert rows_of(found) == want
+    sizes = [len(x) for x in points.bag_points(points.dealt(rows)).rdd.glom().collect()]
+    assert max(sizes) < 3 * sorted(sizes)[len(sizes) // 2]
