@@ -5,13 +5,14 @@ Text that a query reads it writes itself, from whole tables, into the shared fol
 
 from __future__ import annotations
 
+import json
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cli, metrics
-from .config import Config
+from .config import Config, OnlineConfig
 from .functions import arrays
 from .operators import clusters, points, predicates, stats, topk
 from .operators.match import best as match_best
@@ -20,13 +21,14 @@ from .plans import engine, policy
 from .queries import GROWN, K, ORDER_POINTS, PART_POINTS, SEQUENCES, WORDS, Query, _asked, _orders, _out, _parts, _self, _sequences, _sql, _table
 from .sources import index, rows
 from .streaming import online
-from .workspace import put, workspace
+from .workspace import workspace
 
 
 def _written(df: DataFrame, line: Column, order: str, label: str) -> str:
-    """A text file with a line for each row, in order."""
+    """Text files with a line for each row: sorted by ranges, a file each, so that files and their lines are in order."""
     path = workspace(df.sparkSession, label) + ".csv"
-    df.select(order, line.alias("line")).coalesce(1).sortWithinPartitions(order).select("line").write.text(path)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.select(order, line.alias("line")).repartitionByRange(n, order).sortWithinPartitions(order).select("line").write.text(path)
     return path
 
 
@@ -87,13 +89,21 @@ def radius_queries_from_text(spark, sf_dir):
     return at.select("qid", "dim", "lo", "up")
 
 
+def _cluster_files(df: DataFrame, cluster: Column, shard: Column, line: Column, order: str, label: str) -> str:
+    """Text of rows in a folder x_CLUSTER_SHARD.csv each, by their order; the pattern that names them."""
+    folder = workspace(df.sparkSession, label)
+    at = df.select(F.format_string("x_%d_%d.csv", cluster, shard).alias("file"), F.col(order).alias("place"), line.alias("line"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = at.repartitionByRange(n, "file", "place").sortWithinPartitions("file", "place")  # a file may be parted, in its order
+    at.select("file", "line").write.partitionBy("file").text(folder)
+    return f"{folder}/file=x_*_*.csv"
+
+
 def clusters_from_files(spark, sf_dir):
-    """A file for each region and parity of its nations."""
-    at = [(r[0], r[1]) for r in _table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_nationkey", "n_regionkey").collect()]  # 25 rows at any size
-    folder = workspace(spark, "clusters")
-    for c, s in {(r, n % 2) for n, r in at}:
-        put(spark, f"{folder}/x_{c}_{s}.csv", "".join(f"{n},{r}\n" for n, r in at if (r, n % 2) == (c, s)).encode())
-    return _joined(rows.read_clusters(spark, f"{folder}/x_*_*.csv"), "cluster", "shard", "id")
+    """A file for each nation and parity of customers; ids count within it."""
+    at = _table(spark, sf_dir, "customer")
+    line = F.concat(F.col("c_custkey"), F.lit(","), F.floor("c_acctbal").cast("string"))
+    return _joined(rows.read_clusters(spark, _cluster_files(at, F.col("c_nationkey"), F.col("c_custkey") % 2, line, "c_custkey", "clusters")), "cluster", "shard", "id")
 
 
 def rows_in_memory(spark, sf_dir):
@@ -296,17 +306,65 @@ def query_documents(spark, sf_dir):
     return asked.select("topk", "cluster", F.array_join(F.col("content").cast("array<string>"), ",").alias("vals"))
 
 
+def _by_answer(found: DataFrame) -> DataFrame:
+    return found.groupBy("id", "cnt", F.col("rnk").cast("long").alias("rnk")).agg(F.count("*").alias("answers"))
+
+
 def service_batch(spark, sf_dir):
-    """Documents in a folder, answered by the service until none is left. Results by what was asked."""
+    """Documents in files, a line each, answered by the service until none is left. Results by what was asked."""
     at, documents = _answered(spark, sf_dir)
     base = workspace(spark, "service")
-    documents.repartition(1).write.option("lineSep", "\n").text(f"{base}/lines")
-    # A document is a file; these are few (one for each cluster and thousand queries).
-    for k, r in enumerate(spark.read.text(f"{base}/lines").toLocalIterator()):
-        put(spark, f"{base}/in/{k}.json", r["value"].encode())
+    documents.write.text(f"{base}/in")
     table = points.vector_points(at).join(at.select("id", "cluster"), "id")
-    online.serve(spark, table, f"{base}/in", f"{base}/out", f"{base}/state", once=True).awaitTermination()
-    return spark.read.parquet(f"{base}/out").groupBy("id", "cnt", F.col("rnk").cast("long").alias("rnk")).agg(F.count("*").alias("answers"))
+    online.serve(spark, table, f"{base}/in", f"{base}/out", f"{base}/state", once=True, lines=True).awaitTermination()
+    return _by_answer(spark.read.parquet(f"{base}/out"))
+
+
+def service_by_settings(spark, sf_dir):
+    """The service of a settings file: clusters are read from files, of which the last isn't taken, and ids count on from file to
+    file; a query's values may be off by one."""
+    at = _vectors(spark, sf_dir).withColumn("cluster", F.col("values")[0] % 6).withColumn("line", F.array_join(F.col("values").cast("array<string>"), ","))
+    files = _cluster_files(at, F.col("cluster"), F.lit(0), F.col("line"), "id", "service-files")
+    base = workspace(spark, "service")
+    clusters.make_queries(at.where("id % 100 = 0"), 3, 6).write.text(f"{base}/in")
+    settings = {"data_file": files.removesuffix("_*_*.csv"), "dim": 3, "count_threshold": 3, "data_type": 0, "search_type": 0, "max_data_size": 0, "num_of_cluster": 5, "data_format": 0, "radius": 1, "selectivity": 0.0}
+    with tempfile.NamedTemporaryFile("w", suffix=".json") as f:  # read by the driver alone
+        json.dump(settings, f)
+        f.flush()
+        config = OnlineConfig.from_file(f.name)
+    online.serve_configured(spark, config, f"{base}/in", f"{base}/out", f"{base}/state", once=True, lines=True).awaitTermination()
+    return _by_answer(spark.read.parquet(f"{base}/out"))
+
+
+def clusters_by_kmeans(spark, sf_dir):
+    """Each cluster that k-means made, and that its rows have no other mean nearer to them. (Which clusters it makes, SQL can't tell.)"""
+    at = _vectors(spark, sf_dir)
+    made = clusters.cluster_rows(at, 5).select("id", "cluster", F.col("values").cast("array<double>").alias("v"))
+    means = made.groupBy("cluster").agg(*(F.avg(F.get("v", F.lit(k))).alias(f"m{k}") for k in range(3))).collect()  # five rows
+    apart = lambda r: sum((F.get("v", F.lit(k)) - F.lit(r[f"m{k}"])) ** 2 for k in range(3))
+    near = made.select(F.col("cluster").alias("own"), F.array_min(F.array(*(F.struct(apart(r).alias("d"), F.lit(r["cluster"]).alias("c")) for r in means)))["c"].alias("nearest"))
+    # Means of the last step may have moved past a row at the edge: those few are counted as well.
+    return near.agg(F.count("*").alias("n"), F.countDistinct("own").alias("clusters"), (F.count_if(F.col("own") == F.col("nearest")) >= 0.99 * F.count("*")).alias("nearly_all"))
+
+
+def clusters_split(spark, sf_dir):
+    """Rows saved by cluster and shard, read again: each once, in its cluster, in a shard that its id tells."""
+    at = _vectors(spark, sf_dir).withColumn("cluster", F.col("values")[0] % 5)
+    clusters.save_clusters(at, path := workspace(spark, "split"), 3)
+    back = spark.read.parquet(path)
+    own = F.pmod(F.xxhash64("id"), F.lit(3)).cast("int") == F.col("shard")
+    return back.groupBy("cluster").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.sum("id").alias("sum_of_ids"), F.bool_and(own).alias("own_shard"), F.countDistinct("shard").alias("shards"))
+
+
+def figures_of_a_search(spark, sf_dir):
+    """Of the figures that are kept of a search, those that aren't times: written as CSV and read again."""
+    at, config = _parts(spark, sf_dir), Config(K, 1, 1)
+    figures = metrics.search_figures(at, _asked(at, 1), config)
+    with tempfile.NamedTemporaryFile("r", suffix=".csv") as f:  # a line, on the driver
+        metrics.write_csv([figures], metrics.SEARCH_COLUMNS, f.name)
+        head, line = f.read().splitlines()
+    told = dict(zip(head.split(","), line.split(","), strict=True))
+    return spark.range(1).select(F.lit(told["codec"]).alias("codec"), *(F.lit(int(told[c])).cast("long").alias(c) for c in ("invSize", "dimsSize", "topksSize")))
 
 
 LINES = "(SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS id, CAST(p_size AS INT) AS s, CAST(floor(p_retailprice) AS INT) AS p, CAST(p_partkey % 31 AS INT) AS k FROM part)"
@@ -341,7 +399,7 @@ def oracle_sql() -> dict[str, str]:
         "predicates_long_form": f"WITH {LONG} SELECT qid, dim, value, CAST(CAST(s AS FLOAT) AS DOUBLE) AS selectivity, CAST(1.5 AS DOUBLE) AS weight FROM lf",
         "multirange_from_text": f"WITH RECURSIVE {PART_POINTS}, {LONG}, {OWN_SHARE} SELECT * FROM wide",
         "radius_queries_from_text": f"SELECT id AS qid, dim, greatest(v - 20, 0) AS lo, v + 20 AS up FROM (SELECT id, 0 AS dim, s AS v FROM {LINES} UNION ALL SELECT id, 1, p FROM {LINES})",
-        "clusters_from_files": "SELECT n_regionkey AS cluster, CAST(n_nationkey % 2 AS INT) AS shard, row_number() OVER (PARTITION BY n_regionkey, n_nationkey % 2 ORDER BY n_nationkey) - 1 AS id, concat_ws(',', n_nationkey, n_regionkey) AS vals FROM nation",
+        "clusters_from_files": "SELECT c_nationkey AS cluster, CAST(c_custkey % 2 AS INT) AS shard, row_number() OVER (PARTITION BY c_nationkey, c_custkey % 2 ORDER BY c_custkey) - 1 AS id, concat_ws(',', c_custkey, CAST(floor(c_acctbal) AS BIGINT)) AS vals FROM customer",
         "rows_in_memory": "SELECT row_number() OVER (PARTITION BY flat ORDER BY n_nationkey) - 1 AS id, flat, concat_ws(',', n_nationkey, n_regionkey) AS vals FROM nation, (VALUES (false), (true)) AS t(flat)",
         "search_files": _sql(FILE_POINTS, "SELECT id AS qid, dim, value - 2 AS lo, value + 2 AS up FROM pts WHERE id < 100"),
         "search_in_index": _sql(ORDER_POINTS, _self("value - 1", "value + 1")),
@@ -378,6 +436,16 @@ def oracle_sql() -> dict[str, str]:
         "sequence_bounds": f"WITH {SEQUENCES} SELECT min(list_min(v)) AS least, max(list_max(v)) AS most FROM s",
         "query_documents": f"{part} SELECT 3 AS topk, v[1] % 5 AS cluster, array_to_string(v, ',') AS vals FROM o WHERE id % 100 = 0",
         "service_batch": service,
+        "service_by_settings": f"""{part}, o2 AS (SELECT v, v[1] % 6 AS c, id FROM o WHERE v[1] % 6 < 5),
+          d AS (SELECT v, c, row_number() OVER (ORDER BY c, id) - 1 AS id FROM o2),
+          q AS (SELECT DISTINCT v, v[1] % 6 AS c FROM o WHERE id % 100 = 0 AND v[1] % 6 < 5), n AS (SELECT v, count(*) AS times FROM o WHERE id % 100 = 0 GROUP BY v),
+          cnts AS (SELECT q.v, d.id, CAST(abs(d.v[1] - q.v[1]) <= 1 AS BIGINT) + CAST(abs(d.v[2] - q.v[2]) <= 1 AS BIGINT) + CAST(abs(d.v[3] - q.v[3]) <= 1 AS BIGINT) AS cnt FROM q JOIN d USING (c)),
+          top AS (SELECT v, id, cnt, {TOP.format("v")} FROM cnts WHERE cnt > 0)
+          SELECT id, cnt, rnk, CAST(sum(times) AS BIGINT) AS answers FROM top JOIN n USING (v) WHERE rnk <= 3 GROUP BY id, cnt, rnk""",
+        "clusters_by_kmeans": "SELECT count(*) AS n, 5 AS clusters, true AS nearly_all FROM part",
+        "clusters_split": f"{part} SELECT v[1] % 5 AS cluster, count(*) AS n, count(*) AS ids, CAST(sum(id) AS BIGINT) AS sum_of_ids, true AS own_shard, 3 AS shards FROM o GROUP BY v[1] % 5",
+        "figures_of_a_search": f"""{part}, p AS (SELECT * FROM pts WHERE id % 100 = 0), c AS (SELECT DISTINCT p.id AS q, d.id FROM pts d JOIN p ON d.dim = p.dim AND d.value BETWEEN p.value - 1 AND p.value + 1)
+          SELECT 'no' AS codec, (SELECT count(*) FROM pts) AS "invSize", (SELECT count(*) FROM p) AS "dimsSize", (SELECT CAST(sum(least(n, 10)) AS BIGINT) FROM (SELECT count(*) AS n FROM c GROUP BY q)) AS "topksSize" """,
     }
 
 
@@ -385,6 +453,6 @@ def queries() -> dict[str, Query]:
     own = [
         rows_from_text, rows_first, rows_converted, predicates_long_form, multirange_from_text, radius_queries_from_text, clusters_from_files, rows_in_memory, search_files, search_in_index,
         index_from_text, stored_bounds, results_as_text, all_counts, all_matches, wide_ranges, all_wide_counts, single_range_search, policy_search, policy_from_files, tables_as_lines, grounded_sequences, appended_dims, chunk_sizes, clamped_predicates, ranges_counted,
-        ranges_as_lines, points_covered, k_by_query, first_of_the_queries, several_tables, lists_analyzed, packed_ids, prefix_sums, fields_as_integers, sequence_bounds, query_documents, service_batch,
+        ranges_as_lines, points_covered, k_by_query, first_of_the_queries, several_tables, lists_analyzed, packed_ids, prefix_sums, fields_as_integers, sequence_bounds, query_documents, service_batch, service_by_settings, clusters_by_kmeans, clusters_split, figures_of_a_search,
     ]
     return {f.__name__: f for f in own}

@@ -65,10 +65,11 @@ def read_radius_queries(spark: SparkSession, path: str, radius: int, num: int =
 
 
 def read_clusters(spark: SparkSession, pattern: str) -> DataFrame:
-    """(cluster, shard, id, values) from files NAME_CLUSTER_SHARD.csv; ids count within a file."""
+    """(cluster, shard, id, values) from files NAME_CLUSTER_SHARD.csv, or folders of that name with parts of it; ids count within
+    a file."""
     lines = spark.read.text(pattern).select("value", "_metadata")
     name = F.col("_metadata.file_path")
-    named = r"_(\d+)_(\d+)\.(?:csv|dat)$"
+    named = r"_(\d+)_(\d+)\.(?:csv|dat)(?:/[^/]+)?$"
     rows = with_row_ids(lines.where(name.rlike(named)))
     at = rows.withColumn("cluster", F.regexp_extract(name, named, 1).cast("int")).withColumn("shard", F.regexp_extract(name, named, 2).cast("int"))
     first = at.groupBy("cluster", "shard").agg(F.min("id").alias("first"))

@@ -57,10 +57,10 @@ def stored(points: DataFrame, partitions: int | None = None) -> DataFrame:
     return load_index(spark, path)
 
 
-def serve(spark: SparkSession, points: DataFrame, source: str, target: str, checkpoint: str, interval: str = "1 second", once: bool = False, **how) -> StreamingQuery:
-    """Search the JSON documents (one a file) that appear in source, and write results for each batch to target."""
+def serve(spark: SparkSession, points: DataFrame, source: str, target: str, checkpoint: str, interval: str = "1 second", once: bool = False, lines: bool = False, **how) -> StreamingQuery:
+    """Search the JSON documents (one a file, or one a line) that appear in source, and write results for each batch to target."""
     index = stored(points)
-    stream = spark.readStream.option("wholetext", True).schema("value string").text(source)
+    stream = spark.readStream.option("wholetext", not lines).schema("value string").text(source)
 
     def run(batch: DataFrame, number: int) -> None:
         answer(index, batch, by_id=True, **how).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch={number}")
