@@ -1,8 +1,9 @@
 """Chat formatting for several speakers: a dialogue is rendered once from the place of each participant.
 
 In a rendering the speaker's turns are the assistant's, all others are a user's, by name, and system turns stay; a mask
-marks what the assistant says. Long dialogues come in parts of a bounded number of turns, so that no task ever holds a
-whole one: turns are numbered within ranges of the sorted table, and the ranges' sizes are added up.
+marks what the assistant says. Dialogues of few turns are put together by one shuffle. Long ones come in parts of a bounded
+number of turns, so that no task ever holds a whole one: turns are numbered within ranges of the sorted table, and the
+ranges' sizes are added up.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize
+from .shared import broadcast_if_small, materialize
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Turns in a part of a rendering.
 TURNS = 64
+#: Conversations of several parts that are broadcast, by their ids; more take a shuffled join.
+LONG_ROWS = 500_000
 #: What a turn without a role is called.
 NOBODY = "unknown"
 
@@ -61,10 +64,21 @@ def perspectives(
     columns are ignored.
     """
     at = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    who = at.where(F.col("role").isNotNull() & ~F.col("role").isin(*system)).select("conv", F.col("role").alias("speaker")).distinct()
-    part = F.floor((F.col("seq") - 1) / turns).cast("long")
-    parts = numbered(at).groupBy("conv", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("seq", "role", "text"))).alias("turns"))
-    both = parts.alias("p").join(who.alias("w"), F.col("p.conv").eqNullSafe(F.col("w.conv"))).select("p.conv", "p.part", "p.turns", "w.speaker")
+    takes_part = lambda r: r.isNotNull() & ~r.isin(*system)
+    # Most dialogues are one part: their texts are shuffled once, and all else follows from the part.
+    long = materialize(at.groupBy("conv").count().where(F.col("count") > turns).select(F.col("conv").alias("of")), "long-conversations")
+    none, long = long.isEmpty(), broadcast_if_small(long, LONG_ROWS)
+    same = F.col("conv").eqNullSafe(F.col("of"))
+    said = F.transform(F.sort_array(F.collect_list(F.struct(F.col("turn").isNull().alias("last"), "turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    whole = (at if none else at.join(long, same, "left_anti")).groupBy("conv").agg(said.alias("turns"))
+    both = whole.select("conv", F.lit(0).cast("long").alias("part"), "turns", F.explode(F.array_distinct(F.filter(F.transform("turns", lambda t: t["role"]), takes_part))).alias("speaker"))
+    if not none:
+        rest = at.join(long, same, "left_semi")
+        who = rest.where(takes_part(F.col("role"))).select("conv", F.col("role").alias("speaker")).distinct()
+        part = F.floor((F.col("seq") - 1) / turns).cast("long")
+        parts = numbered(rest).groupBy("conv", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("seq", "role", "text"))).alias("turns"))
+        parts = parts.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
+        both = both.unionByName(parts.alias("p").join(who.alias("w"), F.col("p.conv").eqNullSafe(F.col("w.conv"))).select("p.conv", "p.part", "p.turns", "w.speaker"))
 
     speaker = F.col("speaker")
     pieces = F.transform("turns", lambda t: F.struct((t.role.eqNullSafe(speaker)).alias("own"), header(t.role, speaker, system).alias("head"), F.concat(t.text, F.lit(CLOSE)).alias("body")))

@@ -74,6 +74,21 @@ def test_perspectives(spark):
     assert chat.perspectives(df.limit(0)).count() == 0
 
 
+def test_perspectives_of_very_long_texts(spark):
+    """In a short dialogue and in one of many parts; texts of one part are in one row, those of others aren't."""
+    long = "é and so on " * 900_000  # 11 MB
+    rows = [(1, 1, "a", long), (1, 2, "b", "short"), (1, 3, None, long[1:]), *((2, t, "ab"[t % 2], long[:1_000_000] if t == 100 else f"t{t}") for t in range(130))]
+    found = rows_of(chat.perspectives(brute.frame(spark, rows, "conv_id long, turn long, role string, text string")), "conv_id", "speaker", "part", "n_turns", "n_own", "text", "spans")
+    assert found == rendered(rows, chat.TURNS)
+
+
+def test_short_dialogues_are_shuffled_once(spark):
+    rows = [(c, t, "ab"[t % 2], f"turn {t} of {c}") for c in range(40) for t in range(6)]
+    found = chat.perspectives(brute.frame(spark, rows, "conv_id long, turn long, role string, text string", 3))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "Join" not in plan
+
+
 # 2
 
 
