@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import pretoken
 from .blocks import tidied
-from .shared import put, workspace
+from .shared import importable, put, workspace
 
 #: Words in the lexicon.
 LEXICON_WORDS = 65_536
@@ -372,6 +372,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     and of the decoded text in UTF-8. Null counts as empty, and empty texts have no tokens. Rows may repeat; other columns
     are ignored; an empty table gives no rows.
     """
+    importable(docs.sparkSession)
     packed = pretoken.character_classes(path)
     name = ship(docs, compile_lexicon(docs, path, lexicon_words, text_col))
     kind = dict(docs.dtypes)[id_col]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import blocks, pretoken
 from .bpe import Merges, merges
-from .shared import materialize
+from .shared import importable, materialize
 
 #: Compiled states, and bytes of counted words, that a worker keeps; beyond them it begins anew. A word needs so many
 #: bytes besides its own.
@@ -211,6 +211,7 @@ def count(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     special string in a text is one token, as by its default. Null counts as empty: no bytes, no tokens. Rows may repeat;
     other columns are ignored; an empty table gives no rows.
     """
+    importable(docs.sparkSession)
     packed = pretoken.character_classes(path)
     kind = dict(docs.dtypes)[id_col]
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .shared import materialize, workspace
+from .shared import importable, materialize, workspace
 
 BLOCK_BYTES = 5_000_000
 #: Counts up to this one are discounted.
@@ -496,6 +496,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> Model:
     """A model of the training rows (see score), in a new folder of the shared one."""
+    importable(docs.sparkSession)
     return _fit(_blocks(docs, id_col, text_col), order)[0]
 
 
@@ -531,6 +532,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     words with 0.1 added to each count and one more class for unknown words. Without training rows every token is unknown
     and both scores are 0. Rows may repeat and count as often; other columns are ignored; an empty table gives no rows.
     """
+    importable(docs.sparkSession)
     table = _blocks(docs, id_col, text_col)
     _, told, levels, all_words = _fit(table, order)
     return _scores(table, told, levels, all_words, blocks.buckets(docs), id_col)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import tidied
-from .shared import broadcast_if_small
+from .shared import broadcast_if_small, importable
 
 #: Training documents of each language, about; EM rounds; what is added to each piece's expected count.
 SAMPLE_DOCS = 500
@@ -300,6 +300,7 @@ def predict(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     letterless texts, and all if there is nothing to learn from, have lang_pred und and score 0. Rows may repeat; other
     columns are ignored; an empty table gives no rows.
     """
+    importable(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     languages, p = fit(docs, path, id_col, text_col, lang_col, sample)
 
@@ -323,6 +324,7 @@ def fit(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
 
 def accept(docs: DataFrame, path: str, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS) -> DataFrame:
     """The rows of docs, with all their columns, whose text has a language, with at least this score."""
+    importable(docs.sparkSession)
     languages, p = fit(docs, path, id_col, text_col, lang_col, sample)
     place = docs.columns.index(text_col)
 

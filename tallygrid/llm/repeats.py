@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .shared import materialize
+from .shared import importable, materialize
 
 #: Bytes of an anchor's gram, and of the texts in a block.
 GRAM = 32
@@ -515,6 +515,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     bytes; null counts as empty; shorter texts lose nothing. Rows that repeat a text are copies of each other. A cut may
     leave part of a character. Other columns are ignored; an empty table gives no rows.
     """
+    importable(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -534,6 +535,7 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     string of `length` bytes to either side of an anchor. Longer strings come in overlapping pieces, one or more for each
     anchor in them. Nulls, short texts and empty tables as for dedup. The number of rows is that of all occurrences.
     """
+    importable(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
