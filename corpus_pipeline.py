@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallygrid.llm import bpe, decontam, exact_dedup, forest, langid
 from tallygrid.llm.queries import table, vocabulary
 from tallygrid.llm.shared import importable
-from tallygrid.workspace import clean, mark, workspace
+from tallygrid.workspace import clean, mark, settings, workspace
 
 #: What goes to a Python worker at once, and the rows of Parquet that are decoded at once. Texts have kilobytes: by Spark's
 #: defaults (10,000 and 4,096 rows) such arrays would be tens of megabytes each, in the JVM and in every worker.
@@ -60,11 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet and read again; what a stage left behind is then removed."""
+    """The stages over documents, each written as Parquet and read again; what a stage left behind is then removed. The session's
+    settings are afterwards what they were."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        before = mark(spark)
-        stage(spark, docs, sf_dir).write.parquet(path := workspace(spark, f"stage-{name}"))
-        clean(spark, before, keep=[path])
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with settings(spark, BATCHES):
+        for name, stage in STAGES:
+            before = mark(spark)
+            stage(spark, docs, sf_dir).write.parquet(path := workspace(spark, f"stage-{name}"))
+            clean(spark, before, keep=[path])
+            docs = spark.read.parquet(path)
+    return docs
