@@ -209,6 +209,16 @@ def tables_as_lines(spark, sf_dir):
     return metrics.dump_table(_parts(spark, sf_dir))
 
 
+def results_as_lines(spark, sf_dir):
+    at = _parts(spark, sf_dir)
+    return metrics.dump_results(topk.top_k(match(at, _asked(at), exact=True), K))
+
+
+def lists_as_lines(spark, sf_dir):
+    """Posting lists, 1,024 ids a line at most."""
+    return metrics.dump_lists(_parts(spark, sf_dir))
+
+
 def grounded_sequences(spark, sf_dir):
     """Sequences less the least of all values."""
     at = _sequences(spark, sf_dir)
@@ -416,6 +426,8 @@ def oracle_sql() -> dict[str, str]:
         "policy_search": _sql(PARITY, ONE),
         "policy_from_files": _sql(FILE_POINTS, "SELECT id AS qid, dim, value - 3 AS lo, value + 3 AS up FROM pts WHERE id < 100"),
         "tables_as_lines": f"{part} SELECT dim, format('dim {{}}: [{{}}, {{}}], {{}} values, {{}} points', dim, min(value), max(value), count(DISTINCT value), count(*)) AS line FROM pts GROUP BY dim",
+        "results_as_lines": f"SELECT qid, 'query ' || qid || ': ' || string_agg(id || ':' || cnt, ' ' ORDER BY rnk) AS line FROM ({_sql(PART_POINTS, ONE)}) GROUP BY qid",
+        "lists_as_lines": f"{part} SELECT dim, value, id // 1024 AS part, 'dim ' || dim || ' value ' || value || ': ' || string_agg(id, ' ' ORDER BY id) AS line FROM pts GROUP BY dim, value, part",
         "grounded_sequences": f"WITH {SEQUENCES}, l AS (SELECT min(list_min(v)) AS least FROM s) SELECT id, array_to_string(list_transform(v, lambda x: x - least), ',') AS vals FROM s, l",
         "appended_dims": _sql(APPENDED, ONE),
         "chunk_sizes": f"{part} SELECT id // 700 AS chunk, count(*) AS n_points, count(DISTINCT id) AS n_rows FROM pts GROUP BY chunk",
@@ -452,7 +464,7 @@ def oracle_sql() -> dict[str, str]:
 def queries() -> dict[str, Query]:
     own = [
         rows_from_text, rows_first, rows_converted, predicates_long_form, multirange_from_text, radius_queries_from_text, clusters_from_files, rows_in_memory, search_files, search_in_index,
-        index_from_text, stored_bounds, results_as_text, all_counts, all_matches, wide_ranges, all_wide_counts, single_range_search, policy_search, policy_from_files, tables_as_lines, grounded_sequences, appended_dims, chunk_sizes, clamped_predicates, ranges_counted,
+        index_from_text, stored_bounds, results_as_text, all_counts, all_matches, wide_ranges, all_wide_counts, single_range_search, policy_search, policy_from_files, tables_as_lines, results_as_lines, lists_as_lines, grounded_sequences, appended_dims, chunk_sizes, clamped_predicates, ranges_counted,
         ranges_as_lines, points_covered, k_by_query, first_of_the_queries, several_tables, lists_analyzed, packed_ids, prefix_sums, fields_as_integers, sequence_bounds, query_documents, service_batch, service_by_settings, clusters_by_kmeans, clusters_split, figures_of_a_search,
     ]
     return {f.__name__: f for f in own}

@@ -122,3 +122,15 @@ def analyze(points: DataFrame, codec: str | None = None, block: int = 1_024) ->
 def dump_table(points: DataFrame) -> DataFrame:
     """A line for each dim, as text: its bounds, and how many values and points it has."""
     return bounds(points).select("dim", F.format_string("dim %d: [%d, %d], %d values, %d points", "dim", "least", "most", "n_values", "n_points").alias("line"))
+
+
+def dump_results(top: DataFrame) -> DataFrame:
+    """A line for each query, as text: its results by rank, as id:count. A query has few."""
+    at = top.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rnk", "id", "cnt"))).alias("found"))
+    return at.select("qid", F.concat(F.format_string("query %s: ", F.col("qid").cast("string")), F.array_join(F.transform("found", lambda r: F.format_string("%s:%d", r["id"].cast("string"), r["cnt"])), " ")).alias("line"))
+
+
+def dump_lists(points: DataFrame, block: int = 1_024) -> DataFrame:
+    """Lines for each posting list, as text: its ids, those of `block` ids at a time that it has."""
+    text = F.concat(F.format_string("dim %d value %s: ", "dim", F.col("value").cast("string")), F.array_join(F.col("ids").cast("array<string>"), " "))
+    return blocks_of_lists(points, block).select("dim", "value", "part", text.alias("line"))

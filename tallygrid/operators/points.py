@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.arrays import grams
 
@@ -35,11 +34,20 @@ def column_points(df: DataFrame, id_col: str, columns: dict[str, Column] | list[
     return vector_points(dealt(rows) if by_id else rows).where("value IS NOT NULL")
 
 
+def _runs(rows: DataFrame) -> DataFrame:
+    """rows, with sorted values v, and the places where a new value begins, at."""
+    return rows.withColumn("at", F.filter(F.transform("v", lambda x, k: F.when((k == 0) | ~x.eqNullSafe(F.get("v", k - 1)), k)), lambda k: k.isNotNull()))
+
+
+def _length(k: Column, j: Column) -> Column:
+    """Of the j-th of _runs, which begins at k."""
+    return F.coalesce(F.get("at", j + 1), F.size("v")) - k
+
+
 def bag_points(rows: DataFrame, id_col: str = "id", values_col: str = "values") -> DataFrame:
     """All tokens are in dim 0, with n, how often the row has each. They are counted within the row, without a shuffle."""
-    at = rows.select(F.col(id_col).alias("id"), F.array_sort(values_col).alias("v"))
-    at = at.select("id", "v", F.filter(F.transform("v", lambda x, k: F.when((k == 0) | ~x.eqNullSafe(F.get("v", k - 1)), k)), lambda k: k.isNotNull()).alias("at"))
-    runs = F.transform("at", lambda k, j: F.struct(F.get("v", k).alias("value"), (F.coalesce(F.get("at", j + 1), F.size("v")) - k).cast("long").alias("n")))
+    at = _runs(rows.select(F.col(id_col).alias("id"), F.array_sort(values_col).alias("v")))
+    runs = F.transform("at", lambda k, j: F.struct(F.get("v", k).alias("value"), _length(k, j).cast("long").alias("n")))
     return at.select("id", F.lit(0).alias("dim"), F.inline(runs)).where("value IS NOT NULL")
 
 
@@ -54,8 +62,10 @@ def value_bounds(rows: DataFrame, values_col: str = "values") -> DataFrame:
 
 
 def _occurrences(rows: DataFrame, n: int) -> DataFrame:
-    at = rows.select("id", F.posexplode(grams(F.col("values"), n)).alias("pos", "value"))
-    return at.select("id", "value", (F.row_number().over(Window.partitionBy("id", "value").orderBy("pos")) - 1).alias("dim"))
+    """(id, value, dim): each run of n values, and how many equal ones its row has before it. Counted within the row."""
+    at = _runs(rows.select("id", F.array_sort(grams(F.col("values"), n)).alias("v")))
+    each = F.transform("at", lambda k, j: F.transform(F.sequence(F.lit(0), _length(k, j) - 1), lambda i: F.struct(F.get("v", k).alias("value"), i.alias("dim"))))
+    return at.where(F.size("at") > 0).select("id", F.inline(F.flatten(each)))
 
 
 def gram_points(rows: DataFrame, n: int = 3, id_col: str = "id", values_col: str = "values", most: int = OCCURRENCES) -> DataFrame:
