@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -66,47 +65,39 @@ def clamp(preds: DataFrame, bounds: DataFrame) -> DataFrame:
     return at.where("lo <= up").select(*COLUMNS)
 
 
-def widened(lo: int, up: int, threshold: int, values: np.ndarray, total: np.ndarray) -> tuple[int, int]:
-    """The range grown step by step until it covers `threshold` points, or all.
+def widened(lo: np.ndarray, up: np.ndarray, threshold: np.ndarray, values: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of one dim, each grown step by step until it covers its threshold of points, or all.
 
     values: the dim's distinct values, sorted; total: points up to each. A step goes one down, then one up. Where there
     is nothing further down, the lower end falls to 0 without steps up, and then only the upper end moves. The upper end
     stays within the values.
     """
-    least, most = int(values[0]), int(values[-1])
+    least, most, sums = int(values[0]), int(values[-1]), np.r_[0, total]
 
-    def upto(v: int) -> int:
-        k = int(np.searchsorted(values, v, "right"))
-        return int(total[k - 1]) if k else 0
+    def reached(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return sums[np.searchsorted(values, b, "right")] - sums[np.searchsorted(values, a - 1, "right")] >= threshold
 
-    def covered(a: int, b: int) -> int:
-        return upto(b) - upto(a - 1)
-
-    def first(good, n: int) -> int:
-        """The least k in 1..n with good(k), which stays true; n if none."""
-        a, b = 1, n
-        while a < b:
+    def first(good: Callable[[np.ndarray], np.ndarray], n: np.ndarray) -> np.ndarray:
+        """For each the least k in 1..n with good(k), which stays true; n if none."""
+        a, b = np.ones_like(n), n
+        while (a < b).any():
             mid = (a + b) // 2
-            a, b = (a, mid) if good(mid) else (mid + 1, b)
-        return a
-
-    if covered(lo, up) >= threshold:
-        return lo, up
-    if lo > 0:
-        if lo > most + 1:  # nothing in between
-            lo = max(most + 1, 0)
-        steps = lo - max(least, 0)
-        if steps > 0:
-            # The upper end moves along unless it is at the greatest value, beyond it, or apart from all values.
-            top = lambda k: max(up, min(up + k, most)) if up >= least - 1 else up
-            k = first(lambda k: covered(lo - k, top(k)) >= threshold, steps)
-            lo, up = lo - k, top(k)
-            if covered(lo, up) >= threshold:
-                return lo, up
-        lo = 0
-    if least - 1 <= up < most:
-        up += first(lambda k: covered(lo, up + k) >= threshold, most - up)
-    return lo, up
+            found = good(mid)
+            a, b = np.where(found | (a >= b), a, mid + 1), np.where(found, np.minimum(mid, b), b)
+        return b
+
+    short = ~reached(lo, up)
+    down = short & (lo > 0)
+    lo = np.where(down & (lo > most + 1), max(most + 1, 0), lo)  # nothing in between
+    steps = np.where(down, lo - max(least, 0), 0)
+    # The upper end moves along unless it is at the greatest value, beyond it, or apart from all values.
+    top = lambda k: np.where(up >= least - 1, np.maximum(up, np.minimum(up + k, most)), up)
+    k = first(lambda k: reached(lo - k, top(k)), np.maximum(steps, 1))
+    lo, up = np.where(steps > 0, lo - k, lo), np.where(steps > 0, top(k), up)
+    short &= ~reached(lo, up)
+    lo = np.where(down & short, 0, lo)
+    k = first(lambda k: reached(lo, up + k), np.maximum(most - up, 1))
+    return lo, np.where(short & (least - 1 <= up) & (up < most), up + k, up)
 
 
 def widen(preds: DataFrame, points: DataFrame, selectivity: float = 0.0, rows: int | None = None) -> DataFrame:
@@ -123,8 +114,13 @@ def widen(preds: DataFrame, points: DataFrame, selectivity: float = 0.0, rows: i
     schema = ", ".join(f"{c} {kinds[c]}" for c in COLUMNS)
 
     def grown(p: pd.DataFrame, values: np.ndarray, total: np.ndarray) -> pd.DataFrame:
-        made = [widened(int(a), int(b), math.ceil(s * n), values, total) if s > 0 and len(values) else (a, b) for a, b, s in zip(p["lo"], p["up"], p["share"], strict=True)]
-        return p.assign(lo=[a for a, _ in made], up=[b for _, b in made])[COLUMNS]
+        ask = (p["share"] > 0).to_numpy() & bool(len(values))
+        lo, up = p["lo"].to_numpy(np.int64), p["up"].to_numpy(np.int64)
+        if ask.any():
+            need = np.ceil(p["share"].to_numpy()[ask] * n).astype(np.int64)
+            lo, up = lo.copy(), up.copy()
+            lo[ask], up[ask] = widened(lo[ask], up[ask], need, values, total)
+        return p.assign(lo=lo, up=up)[COLUMNS]
 
     if _small(counts, HISTOGRAM_ROWS):
         h = counts.orderBy("dim", "value").toPandas()
