@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from ..workers import importable
 from ..workspace import materialize
 from .match import _small, hinted, met, planned
+from .stats import prefix_sums
 
-#: Distinct values, of all dims, whose counts are sent to every task; of more, a task gets a dim's, and its part of the
-#: predicates, of which each dim's are dealt over so many groups.
-HISTOGRAM_ROWS, PREDICATE_GROUPS = 1_000_000, 8
+#: Distinct values, of all dims, whose counts are sent to every task; more stay where they are, and predicates grow by passes
+#: over them, each of which tries so many sizes of a range.
+HISTOGRAM_ROWS, PROBES = 1_000_000, 64
 COLUMNS = ["qid", "ord", "dim", "lo", "up", "weight", "selectivity"]
 
 
@@ -132,16 +133,66 @@ def widen(preds: DataFrame, points: DataFrame, selectivity: float = 0.0, rows: i
                     yield grown(part, *tables[dim]) if dim in tables else part[COLUMNS]
 
         return own.mapInPandas(each, schema)
+    return _widen_by_ranks(own, counts, n).select(*(F.col(c).cast(kinds[c]).alias(c) for c in COLUMNS))
 
-    def run(p: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
-        h = h.sort_values("value")
-        return grown(p, h["value"].to_numpy(np.int64), h["count"].cumsum().to_numpy()) if len(h) and len(p) else p[COLUMNS]
 
-    # A group is a dim's distinct values and some of its predicates, not its points.
-    ways = F.lit(PREDICATE_GROUPS)
-    dealt = own.withColumn("salt", F.pmod(F.xxhash64("qid", "lo", "up"), ways).cast("int"))
-    spread = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), ways - 1)))
-    return dealt.groupBy("dim", "salt").cogroup(spread.groupBy("dim", "salt")).applyInPandas(run, schema)
+def _covered(asks: DataFrame, counts: DataFrame) -> DataFrame:
+    """(key, k, n): how many points each of the asks (key, k, dim, a, b) covers, of counts (dim, value, count).
+
+    The ends of all ranges are sorted in among the values, by ranges of both, and take the sum of what stands before.
+    """
+    end = lambda at, sign: F.struct(at.cast("long").alias("value"), F.lit(sign).alias("sign"))
+    ends = asks.select("key", "k", "dim", F.inline(F.array(end(F.col("a") - 1, -1), end(F.col("b"), 1))))
+    rows = counts.select("dim", F.col("value").cast("long").alias("value"), F.lit(0).alias("sign"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("k"), F.col("count").alias("n"))
+    rows = rows.unionByName(ends.withColumn("n", F.lit(0).cast("long"))).withColumn("last", F.col("sign") != 0)
+    sums = prefix_sums(rows, ["dim", "value", "last", "key", "k"], "n").where("last")
+    return sums.groupBy("key", "k").agg(F.sum(F.col("sign") * F.col("before")).alias("n"))
+
+
+def _least(asked: DataFrame, counts: DataFrame, a: Callable[[Column], Column], b: Callable[[Column], Column]) -> DataFrame:
+    """asked with k, the least in 1..most_k for which a(k) to b(k) covers what is needed; most_k if none does.
+
+    A pass tries PROBES values of k for each row and leaves one gap between them.
+    """
+    at = asked.withColumns({"x": F.lit(1).cast("long"), "k": F.col("most_k")})
+    while not (open_ := at.where("x < k")).isEmpty():
+        step = F.ceil((F.col("k") - F.col("x")) / PROBES)
+        tries = open_.withColumn("try", F.explode(F.sequence(F.col("x"), F.col("k") - 1, step)))
+        n = _covered(tries.select("key", F.col("try").alias("k"), "dim", a(F.col("try")).alias("a"), b(F.col("try")).alias("b")), counts)
+        told = n.join(at.select("key", "need"), "key").groupBy("key").agg(F.min(F.when(F.col("n") >= F.col("need"), F.col("k"))).alias("good"), F.max(F.when(F.col("n") < F.col("need"), F.col("k"))).alias("bad"))
+        at = at.join(told, "key", "left").withColumns({"k": F.coalesce("good", "k"), "x": F.coalesce(F.col("bad") + 1, F.col("x"))}).drop("good", "bad")
+        at = materialize(at, "growth")
+    return at.drop("x")
+
+
+def _widen_by_ranks(own: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    """As widened does for a dim, for all predicates of all dims together, by passes over the sorted values; the values of no
+    dim come together in one task."""
+    b = counts.groupBy("dim").agg(F.min("value").cast("long").alias("least"), F.max("value").cast("long").alias("most"))
+    at = own.withColumn("key", F.monotonically_increasing_id()).withColumns({"lo": F.col("lo").cast("long"), "up": F.col("up").cast("long"), "need": F.ceil(F.col("share") * n)})
+    at = materialize(at.join(hinted(b), "dim", "left"), "growing")
+    lo, up, least, most = (F.col(c) for c in ("lo", "up", "least", "most"))
+    mine = lambda df, *more: df.select("key", "dim", "lo", "up", "least", "most", "need", *more)
+
+    def short(df: DataFrame) -> DataFrame:
+        got = _covered(df.select("key", F.lit(0).cast("long").alias("k"), "dim", lo.alias("a"), up.alias("b")), counts)
+        return df.join(got.select("key", "n"), "key").where("n < need").drop("n")
+
+    todo = materialize(short(mine(at.where((F.col("share") > 0) & least.isNotNull()))), "short")
+    down = todo.where("lo > 0").withColumn("lo", F.when(lo > most + 1, F.greatest(most + 1, F.lit(0))).otherwise(lo))
+    down = down.withColumn("most_k", lo - F.greatest(least, F.lit(0)))
+    top = lambda k: F.when(up >= least - 1, F.greatest(up, F.least(up + k, most))).otherwise(up)
+    moved = _least(down.where("most_k > 0"), counts, lambda k: lo - k, top)
+    moved = mine(moved.withColumns({"lo": lo - F.col("k"), "up": top(F.col("k"))})).unionByName(mine(down.where("most_k <= 0")))
+    moved = materialize(moved, "moved")
+    rest = short(moved).withColumn("lo", F.lit(0).cast("long")).unionByName(mine(todo.where("lo <= 0")))
+    rest = materialize(rest, "rest")
+    higher = _least(rest.where((least - 1 <= up) & (up < most)).withColumn("most_k", most - up), counts, lambda k: lo, lambda k: up + k)
+    ends = mine(higher.withColumn("up", up + F.col("k"))).unionByName(mine(rest.where(~((least - 1 <= up) & (up < most)))))
+    new = lambda df, name: df.select("key", F.struct("lo", "up").alias(name))
+    found = at.join(new(moved, "first"), "key", "left").join(new(ends, "second"), "key", "left")
+    kept = F.coalesce("second", "first", F.struct("lo", "up"))
+    return found.withColumns({"lo": kept["lo"], "up": kept["up"]})
 
 
 def selectivity_of(preds: DataFrame, points: DataFrame) -> DataFrame:

@@ -194,3 +194,34 @@ def test_many_queries_are_asked_in_blocks_whatever_lists_are_long(spark, monkeyp
     assert rows_of(found) == want
     sizes = [len(x) for x in points.bag_points(points.dealt(rows)).rdd.glom().collect()]
     assert max(sizes) < 3 * sorted(sizes)[len(sizes) // 2]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_growth_by_passes_over_sorted_values(spark, monkeypatch, seed):
+    """As by arrays that every task has: with gaps, values below 0, ranges beyond all values, dims that aren't there, own shares."""
+    rng = random.Random(seed)
+    values = [[rng.choice([rng.randint(-20, 60), rng.randint(0, 9) * 10_000 + rng.randint(0, 5)]), rng.randint(5, 9), -rng.randint(1, 30)] for _ in range(200)]
+    at = points.vector_points(from_rows(spark, values))
+    asked = [(q, k, rng.randint(0, 3), lo, lo + rng.choice([0, 0, 3, 500]), 1.0, rng.choice([0.0, 0.0, 0.01, 0.9])) for q in range(20) for k, lo in enumerate([rng.randint(-40, 70), rng.choice([95_000, 120_000, -100, 0, 7]), rng.randint(0, 100_000)])]
+    preds = spark.createDataFrame(asked, NAMES)
+    want = rows_of(predicates.widen(preds, at, 0.3))
+    monkeypatch.setattr(predicates, "HISTOGRAM_ROWS", 1)
+    monkeypatch.setattr(predicates, "PROBES", rng.choice([3, 64]))
+    found = predicates.widen(preds, at, 0.3)
+    assert rows_of(found) == want and found.dtypes == preds.dtypes
+    assert "Python" not in planned(found) and "Pandas" not in planned(found)
+    assert predicates.widen(preds.limit(0), at, 0.3).count() == 0
+
+
+def test_values_of_one_dim_are_dealt_over_tasks(spark, monkeypatch):
+    from tallygrid.operators import stats
+
+    seen, real = [], stats.materialize
+    monkeypatch.setattr(stats, "materialize", lambda df, label: seen.append(real(df, label)) or seen[-1])
+    at = points.column_points(spark.range(100_000), "id", {"a": F.col("id") * 7})
+    monkeypatch.setattr(predicates, "HISTOGRAM_ROWS", 1_000)
+    preds = spark.createDataFrame([(1, 0, 0, 70_000, 70_000, 1.0, 0.0)], NAMES)
+    [r] = predicates.widen(preds, at, 0.01).collect()
+    assert (r["lo"], r["up"]) == (70_000 - 3_500, 70_000 + 3_500)
+    sizes = [r["count"] for r in seen[0].groupBy("__range").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)

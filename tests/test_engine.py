@@ -137,7 +137,7 @@ def test_adaptive_ranges(spark, monkeypatch):
 
             assert predicates.widened(lo, up, need, np.array(keys), np.cumsum([c[k] for k in keys])) == grown(lo, up, need, values), (lo, up, need, values)
     at = points.vector_points(from_rows(spark, VECTORS))
-    for rows in (predicates.HISTOGRAM_ROWS, 1):  # both when all counts are sent to every task and when a task gets a dim's
+    for rows in (predicates.HISTOGRAM_ROWS, 1):  # both when all counts are sent to every task and when they stay where they are
         monkeypatch.setattr(predicates, "HISTOGRAM_ROWS", rows)
         found = predicates.widen(predicates.radius_predicates(ask(spark, VECTORS)), at, 0.3).collect()
         assert len(found) == 20
