@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -59,10 +59,9 @@ def _sizes(kind: str) -> list[Column]:
 
 
 def planned(preds: DataFrame) -> tuple[DataFrame, Sizes]:
-    """The predicates, written, and their sizes, taken as they are."""
-    seen = Observation()
-    at = materialize(preds.observe(seen, *_sizes(dict(preds.dtypes)["lo"])), "predicates")
-    return at, Sizes(**{k: int(v) for k, v in seen.get.items()})
+    """The predicates, written, and their sizes, counted from what was written."""
+    at = materialize(preds, "predicates")
+    return at, Sizes(*at.agg(*_sizes(dict(preds.dtypes)["lo"])).first())
 
 
 def _marked(df: DataFrame, rows: int) -> DataFrame:
