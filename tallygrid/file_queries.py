@@ -113,6 +113,13 @@ def rows_in_memory(spark, sf_dir):
     return _joined(rows.from_rows(spark, at).withColumn("flat", F.lit(False)).unionByName(flat.withColumn("flat", F.lit(True))), "id", "flat")
 
 
+def rows_from_flat(spark, sf_dir):
+    """The values of all parts in one flat table, and where each begins."""
+    at = _vectors(spark, sf_dir)
+    flat = at.select("id", F.posexplode("values").alias("k", "value")).select((F.col("id") * 3 + F.col("k")).alias("place"), "value")
+    return _joined(rows.from_flat(flat, at.select((F.col("id") * 3).alias("start"))), "id")
+
+
 def search_files(spark, sf_dir):
     """From text to results; the first 100 lines are asked."""
     path = _part_lines(spark, sf_dir)
@@ -411,6 +418,7 @@ def oracle_sql() -> dict[str, str]:
         "radius_queries_from_text": f"SELECT id AS qid, dim, greatest(v - 20, 0) AS lo, v + 20 AS up FROM (SELECT id, 0 AS dim, s AS v FROM {LINES} UNION ALL SELECT id, 1, p FROM {LINES})",
         "clusters_from_files": "SELECT c_nationkey AS cluster, CAST(c_custkey % 2 AS INT) AS shard, row_number() OVER (PARTITION BY c_nationkey, c_custkey % 2 ORDER BY c_custkey) - 1 AS id, concat_ws(',', c_custkey, CAST(floor(c_acctbal) AS BIGINT)) AS vals FROM customer",
         "rows_in_memory": "SELECT row_number() OVER (PARTITION BY flat ORDER BY n_nationkey) - 1 AS id, flat, concat_ws(',', n_nationkey, n_regionkey) AS vals FROM nation, (VALUES (false), (true)) AS t(flat)",
+        "rows_from_flat": "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS id, concat_ws(',', p_size, CAST(floor(p_retailprice) AS INT), p_partkey % 31) AS vals FROM part",
         "search_files": _sql(FILE_POINTS, "SELECT id AS qid, dim, value - 2 AS lo, value + 2 AS up FROM pts WHERE id < 100"),
         "search_in_index": _sql(ORDER_POINTS, _self("value - 1", "value + 1")),
         "index_from_text": f"WITH {FILE_POINTS} SELECT CAST(dim AS INT) AS dim, value, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM pts GROUP BY dim, value",
@@ -463,7 +471,7 @@ def oracle_sql() -> dict[str, str]:
 
 def queries() -> dict[str, Query]:
     own = [
-        rows_from_text, rows_first, rows_converted, predicates_long_form, multirange_from_text, radius_queries_from_text, clusters_from_files, rows_in_memory, search_files, search_in_index,
+        rows_from_text, rows_first, rows_converted, predicates_long_form, multirange_from_text, radius_queries_from_text, clusters_from_files, rows_in_memory, rows_from_flat, search_files, search_in_index,
         index_from_text, stored_bounds, results_as_text, all_counts, all_matches, wide_ranges, all_wide_counts, single_range_search, policy_search, policy_from_files, tables_as_lines, results_as_lines, lists_as_lines, grounded_sequences, appended_dims, chunk_sizes, clamped_predicates, ranges_counted,
         ranges_as_lines, points_covered, k_by_query, first_of_the_queries, several_tables, lists_analyzed, packed_ids, prefix_sums, fields_as_integers, sequence_bounds, query_documents, service_batch, service_by_settings, clusters_by_kmeans, clusters_split, figures_of_a_search,
     ]

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.arrays import to_int
 from ..operators.predicates import radius_predicates
+from ..operators.stats import prefix_sums
 
 #: Up to so many first lines are taken by the driver, which reads the start of the file alone.
 FEW = 10_000
@@ -84,3 +85,18 @@ def from_csr(spark: SparkSession, data: Sequence[int], index: Sequence[int]) ->
     """Rows that start at each index of flat data."""
     ends = [*index[1:], len(data)]
     return from_rows(spark, [data[a:b] for a, b in zip(index, ends, strict=True)])
+
+
+def from_flat(values: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id, values) from tables of flat data: values (place, value), and starts (start), the places where rows begin.
+
+    Rows are numbered by their starts; of rows that start at one place all but the last are empty. What stands before the
+    first start belongs to no row. Places are sorted by ranges; a row's values come together, as they do in its array.
+    """
+    kinds = dict(values.dtypes)
+    marks = starts.select(F.col("start").alias("place"), F.lit(0).alias("kind"), F.monotonically_increasing_id().alias("tie"), F.lit(None).cast(kinds["value"]).alias("value"), F.lit(1).cast("long").alias("n"))
+    flat = values.select("place", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("tie"), "value", F.lit(0).cast("long").alias("n"))
+    at = prefix_sums(marks.unionByName(flat), ["place", "kind", "tie"], "n")
+    held = at.where("kind = 1 AND before > 0").groupBy((F.col("before") - 1).alias("id")).agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("found"))
+    rows = at.where("kind = 0").select(F.col("before").alias("id")).join(held, "id", "left")
+    return rows.select("id", F.coalesce(F.transform("found", lambda x: x["value"]), F.array().cast(f"array<{kinds['value']}>")).alias("values"))

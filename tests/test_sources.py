@@ -251,3 +251,14 @@ def test_policies(spark, tmp_path):
     assert one.match_tables([at, at], one.predicates(from_rows(spark, [[7]]))).count() == 2
     with pytest.raises(InvalidConfiguration):
         policy.make_policy(Config(0, 1))
+
+
+def test_rows_from_flat_tables(spark):
+    """As from flat lists; rows may be empty, and what stands before the first belongs to none."""
+    from tallygrid.sources.rows import from_csr, from_flat
+
+    data, starts = [*range(50, 90)], [2, 5, 5, 5, 17, 30, 40]
+    values = spark.createDataFrame([*enumerate(data)], "place long, value int").repartition(3)
+    found = from_flat(values, spark.createDataFrame([(x,) for x in starts], "start long"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, from_csr(spark, data, starts).collect()))
+    assert from_flat(values.limit(0), spark.createDataFrame([(3,)], "start long")).collect() == [(0, [])]
