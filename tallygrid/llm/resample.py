@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..operators.stats import prefix_sums
 from .blocks import tidied, tidy
 from .shared import importable, materialize, unused
 
@@ -238,18 +238,10 @@ def _ranked(docs: DataFrame, gain: np.ndarray, id_col: str, text_col: str, run:
     """resample's rows, with a column id."""
     at = scored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), gain, "id", "text", run, seed)
     at = materialize(at.select("id", "drawn_by.*"), "scores")
-    able, order = at.where(F.col("n_words") >= least_words), [F.desc("score"), F.asc_nulls_last("id")]
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tied = able.withColumn("tie", F.monotonically_increasing_id())
-    ranged = materialize(tied.repartitionByRange(n, *order, "tie").withColumn("range", F.spark_partition_id()), "score-ranges")
-    sizes = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}  # a row for each shuffle partition
-    most, before, total = share * sum(sizes.values()) // 100, {}, 0
-    for k in sorted(sizes):
-        before[k] = total
-        total += sizes[k]
-    offset = F.create_map(*(F.lit(x) for k, v in before.items() for x in (k, v))) if before else F.create_map().cast("map<int,bigint>")
-    place = F.row_number().over(Window.partitionBy("range").orderBy(*order, "tie")) + offset[F.col("range")]
-    ranked = ranged.withColumn("rank", place).withColumn("rank", F.when(F.col("rank") <= most, F.col("rank")).cast("long"))
+    able = at.where(F.col("n_words") >= least_words).withColumns({"tie": F.monotonically_increasing_id(), "one": F.lit(1).cast("long")})
+    most = share * able.count() // 100
+    ranked = prefix_sums(able, [F.desc("score"), F.asc_nulls_last("id"), F.asc("tie")], "one").withColumn("rank", F.col("before") + 1)
+    ranked = ranked.withColumn("rank", F.when(F.col("rank") <= most, F.col("rank")).cast("long"))
     rest = at.where(F.col("n_words") < least_words).withColumn("rank", F.lit(None).cast("long"))
     names = ["id", "n_features", "weight", "score", "rank"]
     return ranked.select(*names).unionByName(rest.select(*names))

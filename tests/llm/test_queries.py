@@ -57,7 +57,9 @@ def test_pipeline_against_plain_python(spark):
         if i not in dirty:
             ids = t.encode(x, add_special_tokens=False).ids
             want.append((i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(x.encode()).hexdigest()))
+    before = {k: spark.conf.get(k, None) for k in corpus_pipeline.BATCHES}
     found = corpus_pipeline.run(spark, SF)
+    assert {k: spark.conf.get(k, None) for k in corpus_pipeline.BATCHES} == before
     assert sorted(tuple(r) for r in found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == sorted(want)
     assert dirty and len(want) < docs.count()
 
