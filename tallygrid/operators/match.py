@@ -195,7 +195,6 @@ def best(points: DataFrame, preds: DataFrame | Planned, k: int, *, weighted: boo
     before = F.coalesce(F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     later = F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))  # of this one and all that are less selective
     sized = materialize(sized.select("*", ((F.row_number().over(order) == 1) | (before + F.col("rows") <= PROBED * k)).alias("first"), later.alias("later")), "sized")
-    hinted_rows = lambda df, rows: F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
     def some(which: DataFrame) -> DataFrame:
         return met(at, which.select("qid", "dim", "lo", "up", "w"), [], asked.size)
@@ -203,7 +202,7 @@ def best(points: DataFrame, preds: DataFrame | Planned, k: int, *, weighted: boo
     def filled(found: DataFrame, rest: DataFrame) -> DataFrame:
         """found (qid, id, cnt) with what the rest of the predicates adds."""
         points_of = at.select("id", "dim", "value")
-        r = hinted_rows(rest.select(F.col("qid").alias("q"), F.col("dim").alias("d"), "lo", "up", "w"), asked.size.rows)
+        r = _marked(rest.select(F.col("qid").alias("q"), F.col("dim").alias("d"), "lo", "up", "w"), asked.size.rows)
         on = (F.col("qid") == F.col("q")) & (F.col("dim") == F.col("d")) & F.col("value").between(F.col("lo"), F.col("up"))
         both = found.join(points_of, "id").join(r, on, "left").groupBy("qid", "id")
         return both.agg((F.first("cnt") + F.coalesce(F.sum("w"), F.lit(0))).alias("cnt"))
@@ -214,12 +213,12 @@ def best(points: DataFrame, preds: DataFrame | Planned, k: int, *, weighted: boo
     reached = probe.withColumn("place", place).where(F.col("place") == k).select(F.col("qid").alias("of"), (F.least("cnt", F.lit(cap)) if cap else F.col("cnt")).alias("sure"))
     reached = materialize(reached, "sure")
     # Put aside: what is worth, with all that is less selective, less than what is reached for certain.
-    parted = sized.join(hinted_rows(reached, asked.size.rows), F.col("qid") == F.col("of"), "left").drop("of")
+    parted = sized.join(_marked(reached, asked.size.rows), F.col("qid") == F.col("of"), "left").drop("of")
     aside = F.coalesce(F.col("later") < F.col("sure"), F.lit(False))
     parted = materialize(parted.withColumn("aside", aside), "parted")
     worth = parted.where("aside").groupBy("qid").agg(F.sum("w").alias("more"), F.first("sure").alias("sure"))
     found = some(parted.where("NOT aside")).groupBy("qid", "id").agg(F.sum("w").alias("cnt"))
-    found = found.join(hinted_rows(worth.withColumnRenamed("qid", "of"), asked.size.rows), F.col("qid") == F.col("of"), "left")
+    found = found.join(_marked(worth.withColumnRenamed("qid", "of"), asked.size.rows), F.col("qid") == F.col("of"), "left")
     names = ["qid", "id", "cnt"]
     whole = found.where("of IS NULL").select(*names)
     open_ = found.where(F.col("cnt") + F.col("more") >= F.col("sure")).select(*names)

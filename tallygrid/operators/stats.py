@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,7 +45,7 @@ def deltas(points: DataFrame, block: int = 1_024) -> DataFrame:
     return at.select("dim", "value", "id", (F.col("id") - F.coalesce("prev", "before", F.lit(0))).alias("delta"))
 
 
-def prefix_sums(df: DataFrame, order: list[str], value: str, into: str = "before") -> DataFrame:
+def prefix_sums(df: DataFrame, order: Sequence[str | Column], value: str, into: str = "before") -> DataFrame:
     """df with the sum of `value` over all rows that precede in the order, which should be total.
 
     Rows are sorted by ranges, each summed by itself; the ranges' sums (a row for each) are added up.
