@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import pretoken
 from .blocks import tidied
-from .shared import importable, put, workspace
+from .shared import importable, materialize, put, workspace
 
 #: Words in the lexicon.
 LEXICON_WORDS = 65_536
@@ -358,9 +358,27 @@ def decode(ids: bytes, m: Merges) -> bytes:
     return b"".join(map(m.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def frequent(counts: DataFrame, words: int) -> DataFrame:
+    """About `words` of the most frequent words of (word, n), without those that occur once.
+
+    Counts are parted at eighths of their powers of two. Of the part in which the limit falls, words stay by their hash, so
+    that no task has to order all words, nor many of each task's.
+    """
+    part = F.floor(8 * F.log2(F.col("n"))).cast("int")
+    at = materialize(counts.where("n > 1"), "word-counts").withColumn("part", part)
+    above, cut, share = 0, -1, 0
+    for r in at.groupBy("part").count().orderBy(F.desc("part")).collect():  # at most 8 * 64
+        if above + r["count"] > words:
+            cut, share = r["part"], (words - above << 20) // r["count"]
+            break
+        above += r["count"]
+    drawn = (F.col("part") == cut) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < share)
+    return at.where((F.col("part") > cut) | drawn).select("word", "n")
+
+
 def compile_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS, text_col: str = "text") -> Lexicon:
-    """Of the most frequent words of all texts; `words` bounds what reaches the driver."""
-    top = word_counts(docs, path, text_col).orderBy(F.desc("n"), "word").limit(words).select("word").toArrow()
+    """Of about so many of the most frequent words of all texts; `words` bounds what reaches the driver."""
+    top = frequent(word_counts(docs, path, text_col), words).orderBy(F.desc("n"), "word").limit(words).select("word").toArrow()
     return Lexicon.compile(top.column(0).to_pylist(), merges(path).encode)
 
 

@@ -351,6 +351,18 @@ def test_leaders_stand_for_large_groups(spark, monkeypatch):
     assert rows_of(forest.classes(brute.frame(spark, rows)), *cols) == sorted(brute.near(rows), key=repr)
 
 
+def test_frequent_words_are_found_without_ordering_all(spark):
+    rows = [(f"w{k}".encode(), 1 + 3_000 // (k + 1)) for k in range(3_000)] + [(f"twice{k}".encode(), 2) for k in range(4_000)]
+    counts = spark.createDataFrame(rows, "word binary, n long").repartition(3)
+    for words in (10, 100, 1_000, 3_000, 10_000):
+        found = {bytes(r["word"]): r["n"] for r in bpe.frequent(counts, words).collect()}
+        able = sorted((n for _, n in rows if n > 1), reverse=True)
+        assert 0.8 * min(words, len(able)) - 5 <= len(found) <= 1.1 * words + 5
+        least = able[min(words, len(able)) - 1]
+        assert all(found.get(w) == n for w, n in rows if n > 2 ** (1 / 8) * least and n > 1)
+    assert bpe.frequent(counts.limit(0), 5).count() == 0
+
+
 @pytest.mark.parametrize("similarity, group", [(0.3, 4_096), (0.3, 10), (0.5, 10), (0.85, 10)])
 def test_other_similarities(spark, monkeypatch, similarity, group):
     """No link that isn't one, and nearly all that are, also by way of leaders."""
