@@ -15,8 +15,8 @@ from . import cli, metrics
 from .config import Config, OnlineConfig
 from .functions import arrays
 from .operators import clusters, points, predicates, stats, topk
-from .operators.match import best as match_best
 from .operators.match import match, match_positions
+from .operators.shared import count_rows, nearest
 from .plans import engine, policy
 from .queries import GROWN, K, ORDER_POINTS, PART_POINTS, SEQUENCES, WORDS, Query, _asked, _orders, _out, _parts, _self, _sequences, _sql, _table
 from .sources import index, rows
@@ -162,13 +162,15 @@ def all_matches(spark, sf_dir):
     return match_positions(at, _asked(at))
 
 
+def _wide(at: DataFrame) -> DataFrame:
+    width = F.when(F.col("dim") == 0, 3_000).otherwise(5)
+    return _asked(at).where("dim IN (0, 2)").withColumn("lo", F.col("lo") - width).withColumn("up", F.col("up") + width)
+
+
 def wide_ranges(spark, sf_dir):
-    """Of over 1,024 values, which go by segments: five days and a fifth of all customers either way. Few rows are counted in
-    full: those that match in the days, which tell enough."""
+    """Of over 1,024 values, which go by cells: five days and 3,000 customers either way."""
     at = _orders(spark, sf_dir)
-    width = F.when(F.col("dim") == 0, 3_000).otherwise(5)
-    preds = _asked(at).where("dim IN (0, 2)").withColumn("lo", F.col("lo") - width).withColumn("up", F.col("up") + width)
-    return _out(match_best(_orders(spark, sf_dir, True), preds, K, by_id=True))
+    return _out(nearest(at, _wide(at), K))
 
 
 def all_wide_counts(spark, sf_dir):
