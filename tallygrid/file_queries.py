@@ -176,9 +176,7 @@ def wide_ranges(spark, sf_dir):
 def all_wide_counts(spark, sf_dir):
     """The same ranges, counted in full: how many rows match in one dim, and in both."""
     at = _orders(spark, sf_dir)
-    width = F.when(F.col("dim") == 0, 3_000).otherwise(5)
-    preds = _asked(at).where("dim IN (0, 2)").withColumn("lo", F.col("lo") - width).withColumn("up", F.col("up") + width)
-    return match(_orders(spark, sf_dir, True), preds, by_id=True).groupBy("qid", "cnt").agg(F.count("*").alias("n_rows"))
+    return count_rows(at, _wide(at))
 
 
 def single_range_search(spark, sf_dir):
