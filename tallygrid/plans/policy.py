@@ -12,6 +12,7 @@ from ..config import Config
 from ..operators import points as P
 from ..operators import predicates as Q
 from ..operators.match import match
+from ..operators.shared import nearest
 from ..operators.topk import pad, top_k
 from ..sources.rows import read_rows
 
@@ -35,7 +36,10 @@ class Policy:
 
     def match(self, points: DataFrame, preds: DataFrame) -> DataFrame:
         """(qid, id, cnt, rnk)."""
-        found = top_k(self.counts(points, preds), self.config.k)
+        if type(self).counts is Policy.counts:
+            found = nearest(points, preds, self.config.k, exact=self.exact, cap=self.config.count_cap)
+        else:  # a way of counting of one's own
+            found = top_k(self.counts(points, preds), self.config.k)
         return pad(found, preds, self.config.k) if self.config.pad else found
 
     def match_tables(self, tables: Sequence[DataFrame], preds: DataFrame) -> DataFrame:
