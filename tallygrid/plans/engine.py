@@ -11,6 +11,7 @@ from ..config import Config
 from ..operators import points as P
 from ..operators import predicates as Q
 from ..operators.match import match, match_subsequence, plan
+from ..operators.shared import nearest
 from ..operators.topk import pad, top_k
 from ..sources.index import reach, reached, segments
 from ..sources.rows import read_rows
@@ -70,9 +71,9 @@ def search_adaptive(points: DataFrame, preds: DataFrame, k: int, selectivity: fl
 
 
 def search_chunks(points: DataFrame, preds: DataFrame, k: int, size: int, **how) -> DataFrame:
-    """By chunks of `size` ids, each with its own top k, then together; the same as without chunks."""
-    parts = top_k(P.chunk(match(points, preds, **how), size), k, per=("chunk", "qid"))
-    return top_k(parts.select("qid", "id", "cnt"), k)
+    """By chunks of `size` ids, then together; the same as without chunks. Each key's k least ids are taken of each chunk, and
+    then of what the chunks gave: no chunk has results for each query, of which there would be as many as chunks and queries."""
+    return nearest(P.chunk(points, size), preds, k, chunk=("chunk",), **how)
 
 
 def search_tables(tables: Sequence[DataFrame], preds: DataFrame, k: int, **how) -> DataFrame:
