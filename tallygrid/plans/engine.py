@@ -67,7 +67,7 @@ def search_subsequences(data: DataFrame, queries: DataFrame, k: int, **how) -> D
 
 def search_adaptive(points: DataFrame, preds: DataFrame, k: int, selectivity: float, rows: int | None = None) -> DataFrame:
     """Ranges grown until each covers this share of all rows; rows: their number, if known."""
-    return top_k(match(points, Q.widen(preds, points, selectivity, rows)), k)
+    return nearest(points, Q.widen(preds, points, selectivity, rows), k)
 
 
 def search_chunks(points: DataFrame, preds: DataFrame, k: int, size: int, **how) -> DataFrame:
