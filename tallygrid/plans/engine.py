@@ -37,7 +37,7 @@ def search_index(spark: SparkSession, index: str, preds: DataFrame, config: Conf
     asked = plan(preds, exact=not config.query_range)
     kept, each = reach(asked.preds), segments(spark, index)
     live = [p for p, b in each if len(each) == 1 or reached(b, asked.preds)] or [each[0][0]]
-    found = [top_k(match(p.where(kept), asked, cap=config.count_cap, by_id=True), config.k) for p in live]
+    found = [nearest(p.where(kept), asked, config.k, cap=config.count_cap, by_id=True) for p in live]
     best = found[0] if len(found) == 1 else top_k(P.append(*found).drop("rnk"), config.k)
     return pad(best, preds, config.k) if config.pad else best
 
