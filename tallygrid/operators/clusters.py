@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .match import match
-from .topk import top_k
+from .shared import nearest
 
 QUERY_SCHEMA = "topk int, queries array<struct<content: array<int>, clusters: array<int>>>"
 
@@ -35,7 +34,7 @@ def search_clusters(points: DataFrame, preds: DataFrame, k: int, exact: bool = T
     Points of an index that was saved by cluster are read from the folders of clusters that are asked only: which these are is
     known when the predicates are, and the scan waits for that (dynamic partition pruning).
     """
-    return top_k(match(points, preds, exact=exact, on=("cluster",), **how), k)
+    return nearest(points, preds, k, exact=exact, on=("cluster",), **how)
 
 
 def cluster_rows(rows: DataFrame, k: int = 20, seed: int = 0, values_col: str = "values") -> DataFrame:
