@@ -27,7 +27,7 @@ def build_queries(rows: DataFrame, config: Config, dims: int | None = None) -> D
 
 def match_queries(points: DataFrame, preds: DataFrame, config: Config, by_id: bool = False) -> DataFrame:
     """(qid, id, cnt, rnk): the k best rows of each query. by_id: the points are dealt by id already."""
-    found = top_k(match(points, preds, exact=not config.query_range, cap=config.count_cap, by_id=by_id), config.k)
+    found = nearest(points, preds, config.k, exact=not config.query_range, cap=config.count_cap, by_id=by_id)
     return pad(found, preds, config.k) if config.pad else found
 
 
