@@ -238,7 +238,7 @@ def appended_dims(spark, sf_dir):
     at = _table(spark, sf_dir, "part")
     more = points.column_points(at, "p_partkey", {"brand": arrays.to_int(F.regexp_extract("p_brand", "[0-9]+", 0))}).withColumn("dim", F.col("dim") + 3)
     both = points.append(_parts(spark, sf_dir), more)
-    return _out(topk.top_k(match(both, _asked(both), exact=True), K))
+    return _out(nearest(both, _asked(both), K, exact=True))
 
 
 def chunk_sizes(spark, sf_dir):
