@@ -147,7 +147,7 @@ def stored_bounds(spark, sf_dir):
 def results_as_text(spark, sf_dir):
     """Saved as lines of id and count, and read again."""
     at = _parts(spark, sf_dir)
-    index.save_results(topk.top_k(match(at, _asked(at), exact=True), K), path := workspace(spark, "results"))
+    index.save_results(nearest(at, _asked(at), K, exact=True), path := workspace(spark, "results"))
     return _joined(rows.read_rows(spark, path), "id")
 
 
