@@ -82,4 +82,4 @@ def search_tables(tables: Sequence[DataFrame], preds: DataFrame, k: int, **how)
     Points carry the number of their table, by which they are counted apart: predicates are looked at and broadcast once.
     """
     at = P.append(*(t.withColumn("table", F.lit(n)) for n, t in enumerate(tables)))
-    return top_k(match(at, preds, keys=("table", "qid", "id"), **how), k, per=("table", "qid"))
+    return nearest(at, preds, k, per=("table",), **how)
