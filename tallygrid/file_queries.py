@@ -218,7 +218,7 @@ def tables_as_lines(spark, sf_dir):
 
 def results_as_lines(spark, sf_dir):
     at = _parts(spark, sf_dir)
-    return metrics.dump_results(topk.top_k(match(at, _asked(at), exact=True), K))
+    return metrics.dump_results(nearest(at, _asked(at), K, exact=True))
 
 
 def lists_as_lines(spark, sf_dir):
