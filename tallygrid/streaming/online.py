@@ -8,10 +8,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import OnlineConfig
 from ..operators.clusters import parse_queries, routed
-from ..operators.match import match
 from ..operators.points import bag_points, vector_points
 from ..operators.predicates import widen
-from ..operators.topk import id_offsets, top_k
+from ..operators.shared import nearest
+from ..operators.topk import id_offsets
 from ..sources.index import load_index, save_index
 from ..sources.rows import read_clusters
 from ..workspace import workspace
@@ -44,9 +44,10 @@ def answer(points: DataFrame, documents: DataFrame, radius: int = 0, selectivity
     if selectivity > 0:
         grown = widen(preds.drop("cluster").distinct(), points.select("id", "dim", "value"), selectivity, rows)
         preds = grown.join(preds.select("qid", "cluster").distinct(), "qid")
-    found = match(points, preds, exact=not radius and not selectivity, on=("cluster",), by_id=by_id)
-    found = found.join(asked.select(key.alias("qid"), "topk").distinct(), "qid")
-    return top_k(found, F.col("topk")).select("qid.doc", "qid.qid", "id", "cnt", "rnk")
+    most = asked.agg(F.max("topk")).first()[0] or 0  # one row
+    found = nearest(points, preds, max(most, 1), exact=not radius and not selectivity, on=("cluster",), by_id=by_id)
+    found = found.join(asked.select(key.alias("qid"), "topk").distinct(), "qid").where("rnk <= topk")
+    return found.select("qid.doc", "qid.qid", "id", "cnt", "rnk")
 
 
 def stored(points: DataFrame, partitions: int | None = None) -> DataFrame:
