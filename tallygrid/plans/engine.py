@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..operators import batched
 from ..operators import points as P
 from ..operators import predicates as Q
 from ..operators.match import match, match_subsequence, plan
@@ -51,6 +52,11 @@ def search(spark: SparkSession, table: str, queries: str, config: Config) -> Dat
     return search_index(spark, table, preds, config)
 
 
+def _batched(data: DataFrame, queries: DataFrame, how: dict) -> bool:
+    """Whether the best are found by batches: of many rows, and unless counted in a way of its own."""
+    return how.keys() <= {"cap"} and batched.whole(data, queries)
+
+
 def search_bags(data: DataFrame, queries: DataFrame, k: int, radius: int = 0, **how) -> DataFrame:
     return top_k(match(P.bag_points(P.dealt(data)), Q.bag_predicates(queries, radius), exact=not radius, by_id=True, **how), k)
 
@@ -62,6 +68,8 @@ def search_sequences(data: DataFrame, queries: DataFrame, k: int, n: int = 3, **
 
 def search_subsequences(data: DataFrame, queries: DataFrame, k: int, **how) -> DataFrame:
     """(qid, id, offset, cnt, rnk)."""
+    if _batched(data, queries, how) and (found := batched.best_offsets(data, queries, k, **how)) is not None:
+        return found
     return top_k(match_subsequence(P.position_points(data), Q.bag_predicates(queries), **how), k, extra=("offset",))
 
 
