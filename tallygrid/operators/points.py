@@ -61,11 +61,17 @@ def value_bounds(rows: DataFrame, values_col: str = "values") -> DataFrame:
     return rows.agg(F.min(F.array_min(values_col)).alias("least"), F.max(F.array_max(values_col)).alias("most"))
 
 
+def _numbered(rows: DataFrame, n: int) -> DataFrame:
+    """(id, runs): of each row an array of its runs of n values, each with how many equal ones are before it: (value, dim)."""
+    # Empty rows are left out by what they have: a look at the runs would be worked out again for each value, ahead of them.
+    at = _runs(rows.where(F.size("values") > 0).select("id", F.array_sort(grams(F.col("values"), n)).alias("v")))
+    each = F.transform("at", lambda k, j: F.transform(F.sequence(F.lit(0), _length(k, j) - 1), lambda i: F.struct(F.get("v", k).alias("value"), i.alias("dim"))))
+    return at.select("id", F.flatten(each).alias("runs"))
+
+
 def _occurrences(rows: DataFrame, n: int) -> DataFrame:
     """(id, value, dim): each run of n values, and how many equal ones its row has before it. Counted within the row."""
-    at = _runs(rows.select("id", F.array_sort(grams(F.col("values"), n)).alias("v")))
-    each = F.transform("at", lambda k, j: F.transform(F.sequence(F.lit(0), _length(k, j) - 1), lambda i: F.struct(F.get("v", k).alias("value"), i.alias("dim"))))
-    return at.where(F.size("at") > 0).select("id", F.inline(F.flatten(each)))
+    return _numbered(rows, n).select("id", F.inline("runs"))
 
 
 def gram_points(rows: DataFrame, n: int = 3, id_col: str = "id", values_col: str = "values", most: int = OCCURRENCES) -> DataFrame:
@@ -77,15 +83,26 @@ def gram_points(rows: DataFrame, n: int = 3, id_col: str = "id", values_col: str
     return at.select("id", F.least("dim", F.lit(most)).alias("dim"), "value")
 
 
+def _within(rows: DataFrame, data: DataFrame, id_col: str = "id", values_col: str = "values") -> DataFrame:
+    """(id, values) without values beyond the data's bounds."""
+    b = value_bounds(data, values_col).first()  # one row
+    return rows.select(F.col(id_col).alias("id"), F.filter(values_col, lambda v: v.between(F.lit(b["least"]), F.lit(b["most"]))).alias("values"))
+
+
 def gram_predicates(rows: DataFrame, data: DataFrame, n: int = 3, id_col: str = "id", values_col: str = "values", most: int = OCCURRENCES) -> DataFrame:
     """Queries for gram_points of data: values beyond the data's bounds are left out, then runs are made; occurrences above
     `most` are dropped."""
-    b = value_bounds(data, values_col).first()  # one row
-    kept = rows.select(F.col(id_col).alias("id"), F.filter(values_col, lambda v: v.between(F.lit(b["least"]), F.lit(b["most"]))).alias("values"))
-    at = _occurrences(kept, n).where(F.col("dim") <= most)
+    at = _occurrences(_within(rows, data, id_col, values_col), n).where(F.col("dim") <= most)
     return at.select(F.col("id").alias("qid"), F.lit(0).alias("ord"), "dim", F.col("value").alias("lo"), F.col("value").alias("up"), F.lit(1.0).alias("weight"), F.lit(0.0).alias("selectivity"))
 
 
+def gram_tokens(rows: DataFrame, n: int = 3, most: int = OCCURRENCES, data: DataFrame | None = None) -> DataFrame:
+    """(id, values): gram_points as a row's bag of texts, in which a run stands with its dim; with data, gram_predicates of rows."""
+    runs = F.col("runs") if data is None else F.filter("runs", lambda x: x["dim"] <= most)
+    token = lambda x: F.concat(F.to_json(x["value"]), F.lit(":"), F.least(x["dim"], F.lit(most)).cast("string"))
+    return _numbered(rows.select("id", "values") if data is None else _within(rows, data), n).select("id", F.transform(runs, token).alias("values"))
+
+
 def append(*tables: DataFrame) -> DataFrame:
     """The points of several tables, each with its own dims."""
     return reduce(DataFrame.unionByName, tables)

@@ -63,6 +63,8 @@ def search_bags(data: DataFrame, queries: DataFrame, k: int, radius: int = 0, **
 
 def search_sequences(data: DataFrame, queries: DataFrame, k: int, n: int = 3, **how) -> DataFrame:
     """By runs of n values that two sequences have in common."""
+    if _batched(data, queries, how):
+        return batched.best_bags(P.gram_tokens(data, n), P.gram_tokens(queries, n, data=data), k, **how)
     return top_k(match(P.gram_points(P.dealt(data), n), P.gram_predicates(queries, data, n), exact=True, by_id=True, **how), k)
 
 
