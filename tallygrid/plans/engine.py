@@ -58,7 +58,7 @@ def _batched(data: DataFrame, queries: DataFrame, how: dict) -> bool:
 
 
 def search_bags(data: DataFrame, queries: DataFrame, k: int, radius: int = 0, **how) -> DataFrame:
-    if not radius and not how.get("cap") and _batched(data, queries, how):
+    if not radius and _batched(data, queries, how):
         return batched.best_bags(data, queries, k, **how)
     return top_k(match(P.bag_points(P.dealt(data)), Q.bag_predicates(queries, radius), exact=not radius, by_id=True, **how), k)
 
