@@ -18,12 +18,30 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import named, workspace
 
 Message = tuple[int, bytes]
+#: What goes to a Python worker at once, and the rows of Parquet that are decoded at once. A block's row is about a megabyte: by
+#: Spark's defaults (64 MB and 4,096 rows) all blocks of a task are in one batch, in the JVM (twice, as buffers double) and in the worker.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.parquet.columnarReaderBatchSize": "64"}
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound the session's batches, from now on, as the last stages run when results are written. No result depends on it; what
+    is bounded more tightly stays."""
+    for key, value in BATCHES.items():
+        now = spark.conf.get(key, None)
+        if now is None or _number(now) > _number(value):
+            spark.conf.set(key, value)
+
+
+def _number(size: str) -> int:
+    """Of a setting: with a unit, or without."""
+    digits = size.lower().rstrip("bkmg")
+    return int(digits) * {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[size.lower()[len(digits) :].rstrip("b")]
 
 
 def buckets(df: DataFrame) -> int:

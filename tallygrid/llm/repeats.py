@@ -38,6 +38,8 @@ BLOCK_BYTES = 1_500_000
 FINER = 8
 #: An anchor that occurs more often than this is replaced by its strings.
 HOT = 20_000
+#: Anchors whose surroundings are spelt out at once: a block may have a hot string at each of its bytes.
+AT_ONCE = 10_000
 #: Stands for what lies beyond a text; UTF-8 never has it.
 NONE = 0xFF
 
@@ -454,16 +456,21 @@ def _struct() -> str:
 def _distinct(raw: np.ndarray, ends: np.ndarray, a: Anchors, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first, times, where, rows): an anchor of each distinct surroundings (with their base) of a block, by hash, how
     often they occur, which of them each anchor has, and themselves."""
-    rows = surroundings(raw, ends, a.places, a.sizes, length)
     seen: dict[bytes, int] = {}
     h, base = a.hashes, a.bases.astype(np.uint8)
-    key = [h[k].tobytes()[::-1] + base[k].tobytes() + rows[k].tobytes() for k in range(len(h))]  # in the order of hashes
-    for x in sorted({*key}):
-        seen[x] = len(seen)
-    where = np.fromiter(map(seen.__getitem__, key), np.int64, len(key))
+    where = np.zeros(len(h), np.int64)
+    for lo in range(0, len(h), AT_ONCE):
+        rows = surroundings(raw, ends, a.places[lo : lo + AT_ONCE], a.sizes[lo : lo + AT_ONCE], length)
+        for k, row in enumerate(rows, lo):
+            where[k] = seen.setdefault(h[k].tobytes()[::-1] + base[k].tobytes() + row.tobytes(), len(seen))
+    keys = sorted(seen)  # in the order of hashes
+    place = np.zeros(len(seen), np.int64)
+    place[[seen[x] for x in keys]] = np.arange(len(seen))
+    where = place[where]
     first = np.zeros(len(seen), np.int64)
-    first[where] = np.arange(len(key))
-    return first, np.bincount(where, minlength=len(seen)), where, rows[first]
+    first[where] = np.arange(len(h))
+    rows = np.frombuffer(b"".join(x[9:] for x in keys), np.uint8).reshape(len(seen), 2 * length - min(GRAM, length))
+    return first, np.bincount(where, minlength=len(seen)), where, rows
 
 
 def _context_messages(n: int, length: int):
@@ -500,6 +507,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, length: int, hot: int,
     """(ids, body, sizes, anchors, got) for each block: what `judge` answers for its anchors' surroundings."""
     if not 0 < length <= 255:
         raise ValueError("lengths go from 1 to 255 bytes")
+    blocks.bounded(docs.sparkSession)
     table = _stored(docs, id_col, text_col, length)
     known = table.select("block", "ids", "body", "sizes").join(shared_anchors(table, length, hot), "block")
     fields = ["body", "sizes", "anchors"]
