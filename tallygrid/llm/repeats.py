@@ -40,6 +40,8 @@ FINER = 8
 HOT = 20_000
 #: Anchors whose surroundings are spelt out at once: a block may have a hot string at each of its bytes.
 AT_ONCE = 10_000
+#: Strings whose anchors are looked for at once, so that hashes stay in a processor's cache.
+STARTS = 20_000
 #: Stands for what lies beyond a text; UTF-8 never has it.
 NONE = 0xFF
 
@@ -72,23 +74,28 @@ def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
 def _own_anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(where strings of `length` bytes start that lie in one text, the places of their anchors, hashes of all grams)."""
     gram = min(GRAM, length)
-    if len(raw) < length:
+    n, width = len(raw) - length + 1, length - gram + 1
+    if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, bits = gram_hashes(raw, gram), np.uint64(32)  # as many for every block, so that all choose alike
-    least = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the first is least
-    width, have = length - gram + 1, 1
-    while 2 * have <= width:
-        least = np.minimum(least[:-have], least[have:])
-        have *= 2
-    if width > have:
-        least = np.minimum(least[: len(least) - (width - have)], least[width - have :])
+    bits = np.uint64(32)  # as many for every block, so that all choose alike
+    h, own = np.empty(len(raw) - gram + 1, np.uint64), np.empty(n, np.int64)
+    for lo in range(0, n, STARTS):
+        part = gram_hashes(raw[lo : lo + STARTS + length - 1], gram)
+        h[lo : lo + len(part)] = part
+        least, have = (part >> bits << bits) | np.arange(len(part), dtype=np.uint64), 1  # of equal hashes the first is least
+        while 2 * have <= width:
+            least = np.minimum(least[:-have], least[have:])
+            have *= 2
+        if width > have:
+            least = np.minimum(least[: len(least) - (width - have)], least[width - have :])
+        own[lo : lo + len(least)] = (least & np.uint64(0xFFFFFFFF)).astype(np.int64) + lo
     begins = np.r_[0, ends[:-1]]
-    inside = np.zeros(len(least) + 1, np.int32)
+    inside = np.zeros(n + 1, np.int32)
     full = ends - begins >= length
     np.add.at(inside, begins[full], 1)
     np.add.at(inside, ends[full] - length + 1, -1)
     start = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-    return start, (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64), h
+    return start, own[start], h
 
 
 def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,16 +105,28 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
     return at, h[at]
 
 
+def _around(raw: np.ndarray, ends: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, ends, shifts) of the pieces of texts that strings of `length` bytes with these anchors (sorted) can cover, and
+    how far each piece was from where it is now."""
+    text = np.searchsorted(ends, at, "right")
+    lo, hi = np.maximum(np.r_[0, ends[:-1]][text], at - (length - min(GRAM, length))), np.minimum(ends[text], at + length)
+    first = np.flatnonzero(np.r_[True, lo[1:] >= hi[:-1]]) if len(at) else at
+    lo, hi = lo[first], hi[np.r_[first[1:] - 1, len(at) - 1]] if len(at) else hi
+    ends = np.cumsum(hi - lo)
+    shifts = hi - ends
+    return raw[np.arange(ends[-1] if len(ends) else 0) + np.repeat(shifts, hi - lo)], ends, shifts
+
+
 def strings_of(raw: np.ndarray, ends: np.ndarray, hot: np.ndarray, length: int) -> Anchors:
-    """The strings whose anchors are at these places, as anchors of their own."""
+    """The strings whose anchors are at these places (sorted), as anchors of their own. Only what is around these is looked at."""
+    raw, ends, shifts = _around(raw, ends, hot, length)
     start, own, _ = _own_anchors(raw, ends, length)
-    is_hot = np.zeros(len(raw) + 1, bool)
-    is_hot[hot] = True
-    chosen = is_hot[own]
-    start, own = start[chosen], own[chosen]
+    shift = shifts[np.searchsorted(ends, start, "right")]
+    chosen = np.isin(own + shift, hot)
     with np.errstate(over="ignore"):
-        h = _mix(gram_hashes(raw, length)[start] + np.uint64(length) * _P)
-    return Anchors(start, np.full(len(start), length), own - start, h)
+        h = _mix(gram_hashes(raw, length)[start[chosen]] + np.uint64(length) * _P)
+    start, own, shift = start[chosen], own[chosen], shift[chosen]
+    return Anchors(start + shift, np.full(len(start), length), own - start, h)
 
 
 def surroundings(raw: np.ndarray, ends: np.ndarray, at: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:

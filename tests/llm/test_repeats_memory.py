@@ -36,3 +36,31 @@ def test_batches_are_bounded_but_never_more_loosely(spark):
     finally:
         spark.conf.unset(key)
         spark.conf.unset(rows)
+
+
+def test_strings_are_looked_for_around_their_anchors_only(monkeypatch):
+    """A block with one hot anchor was hashed as a whole once more."""
+    rng = np.random.default_rng(3)
+    raw, ends, length = rng.integers(97, 123, 60_000).astype(np.uint8), np.array([10, 20_000, 20_000, 20_100, 45_000, 60_000]), 200
+    start, own, _ = repeats._own_anchors(raw, ends, length)
+    seen, real = [], repeats.gram_hashes
+    monkeypatch.setattr(repeats, "gram_hashes", lambda raw, size: seen.append(len(raw)) or real(raw, size))
+    for hot in (own[[0]], own[[-1]], np.unique(own[[100, 101, 500, 19_000, 25_000]]), np.zeros(0, np.int64)):
+        seen.clear()
+        a = repeats.strings_of(raw, ends, hot, length)
+        assert sum(seen) <= 2 * 2 * length * len(hot)
+        want = start[np.isin(own, hot)]
+        assert (a.places == want).all() and (a.bases == own[np.isin(own, hot)] - want).all() and (a.sizes == length).all()
+        assert (a.hashes == repeats.strings_of(raw, ends, np.unique(own), length).hashes[np.isin(own, hot)]).all()
+
+
+def test_anchors_are_looked_for_in_parts(monkeypatch):
+    raw, ends = np.frombuffer(b"abcab" * 500 + bytes(range(65, 91)) * 40, np.uint8), np.array([700, 900, 3_540])
+    want = repeats._own_anchors(raw, ends, 50)
+    asked, real = [], repeats.gram_hashes
+    monkeypatch.setattr(repeats, "gram_hashes", lambda raw, size: asked.append(len(raw)) or real(raw, size))
+    for starts in (1, 64, 1_000):
+        monkeypatch.setattr(repeats, "STARTS", starts, raising=False)
+        asked.clear()
+        assert all((x == y).all() for x, y in zip(repeats._own_anchors(raw, ends, 50), want, strict=True))
+        assert max(asked) < starts + 50
