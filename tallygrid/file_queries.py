@@ -158,8 +158,7 @@ def all_counts(spark, sf_dir):
 
 
 def all_matches(spark, sf_dir):
-    at = _parts(spark, sf_dir)
-    return match_positions(at, _asked(at))
+    return match_positions(_parts(spark, sf_dir, by_id=True), _asked(_parts(spark, sf_dir)), by_id=True)
 
 
 def _wide(at: DataFrame) -> DataFrame:

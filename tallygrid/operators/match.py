@@ -243,7 +243,13 @@ def match_subsequence(points: DataFrame, preds: DataFrame, cap: int | None = Non
     return _finish(hits, ["qid", "id", "offset"], F.count("*"), cap)
 
 
-def match_positions(points: DataFrame, preds: DataFrame) -> DataFrame:
-    """All matches themselves: (qid, id, dim, value), for each point and predicate."""
-    asked, size = planned(preds.select("qid", "dim", "lo", "up", F.lit(1).alias("w")))
-    return met(points, asked, [], size).select("qid", "id", "dim", "value")
+def match_positions(points: DataFrame, preds: DataFrame, *, by_id: bool = False) -> DataFrame:
+    """All matches themselves: (qid, id, dim, value), for each point and predicate.
+
+    Results are many times the points, so these are dealt over tasks first, if they aren't yet (by_id): a small file is one task
+    otherwise. Many predicates are asked in blocks of queries, as by match.
+    """
+    asked = Planned(*planned(preds.select("qid", "dim", "lo", "up", F.lit(1).alias("w"))), False)
+    blocks = [asked] if asked.few else asked.blocks()
+    at = dealt(points) if blocks and not by_id else points
+    return reduce(DataFrame.unionByName, [met(at, x.preds, [], x.size) for x in blocks or [asked]]).select("qid", "id", "dim", "value")

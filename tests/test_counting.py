@@ -225,3 +225,17 @@ def test_values_of_one_dim_are_dealt_over_tasks(spark, monkeypatch):
     assert (r["lo"], r["up"]) == (70_000 - 3_500, 70_000 + 3_500)
     sizes = [r["count"] for r in seen[0].groupBy("__range").count().collect()]
     assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+
+
+def test_matches_are_made_in_many_tasks(spark, monkeypatch):
+    """All pairs were made in the one task that read the points; blocks of queries give the same."""
+    rows = from_rows(spark, [[k * 37 % 90, k % 5] for k in range(300)]).coalesce(1)
+    at, preds = points.vector_points(rows), predicates.radius_predicates(rows.where("id < 40"), 2)
+    found = M.match_positions(at, preds)
+    want = sorted((q, k, d, v) for q in range(40) for k in range(300) for d, (v, w) in enumerate(zip((k * 37 % 90, k % 5), (q * 37 % 90, q % 5), strict=True)) if abs(v - w) <= 2)
+    assert rows_of(found) == want and rows_of(found.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).agg(F.count("*") >= 3, F.max("n") < len(want) // 2)) == [(True, True)]
+    dealt = M.match_positions(points.vector_points(points.dealt(rows)), preds, by_id=True)
+    assert planned(dealt).count("hashpartitioning(id") == 1 and rows_of(dealt) == want
+    monkeypatch.setattr(M, "BROADCAST_ROWS", 100)
+    blocks = M.match_positions(at, preds)
+    assert rows_of(blocks) == want and "SortMergeJoin" not in planned(blocks)
