@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tallygrid import file_queries
 from tallygrid.config import Config
 from tallygrid.operators import match as M
 from tallygrid.operators import clusters, points, predicates, topk
@@ -239,3 +240,34 @@ def test_matches_are_made_in_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(M, "BROADCAST_ROWS", 100)
     blocks = M.match_positions(at, preds)
     assert rows_of(blocks) == want and "SortMergeJoin" not in planned(blocks)
+
+
+def test_all_pairs_are_made_once(spark, monkeypatch):
+    """Each pair was made once for each dim in which it matches, and summed up; what doesn't fit is counted as before."""
+    rng = random.Random(5)
+    rows = from_rows(spark, [[rng.choice([None, *range(12)]), rng.randrange(40), rng.choice([None, 0, 1, 2])] for _ in range(200)])
+    at = points.vector_points(rows).where("value IS NOT NULL")
+    preds = predicates.radius_predicates(rows.where("id < 40"), 1).where("lo IS NOT NULL AND (qid % 7 <> 0 OR dim = 1)")
+    preds = preds.withColumn("lo", F.when((F.col("qid") == 5) & (F.col("dim") == 0), F.col("up") + 1).otherwise(F.col("lo")))
+    twice = preds.unionByName(preds.where("qid % 3 = 0"))
+    for asked in (preds, twice, preds.where("dim = 2"), preds.where("qid < 0")):
+        assert rows_of(M.all_pairs(at, asked)) == rows_of(M.match(at, asked))
+    found = M.all_pairs(points.vector_points(points.dealt(rows)).where("value IS NOT NULL"), preds, by_id=True)
+    plan = planned(found)
+    assert "hashpartitioning(qid" not in plan and not re.search(r"HashAggregate\(keys=\[qid", plan) and plan.count("BroadcastHashJoin") == 3
+    want = rows_of(M.match(at, preds))
+    assert rows_of(found) == want
+    monkeypatch.setattr(M, "BROADCAST_ROWS", 70)
+    blocks = M.all_pairs(at, preds)
+    assert planned(blocks).count("BroadcastHashJoin") > 3 and rows_of(blocks) == want
+    monkeypatch.undo()
+    wide = preds.withColumn("up", F.when(F.col("dim") == 1, F.col("lo") + 5_000).otherwise(F.col("up")))
+    several = preds.unionByName(preds.where("dim = 1").withColumn("lo", F.col("lo") - 4))
+    for p, q in ((at, wide), (at, several), (at.unionByName(at.where("id < 9")), preds)):
+        assert rows_of(M.all_pairs(p, q)) == rows_of(M.match(p, q))
+
+
+def test_all_counts_sums_no_pairs_up(spark):
+    """The registered query, whose plan summed up a pair's matches in a hash table of all pairs of a task."""
+    plan = planned(file_queries.all_counts(spark, "/root/testdata/sf0.001"))
+    assert not re.search(r"HashAggregate\(keys=\[qid", plan) and "hashpartitioning(qid" not in plan
