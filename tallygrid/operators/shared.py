@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..workspace import materialize, settings
-from .match import Planned, match, plan
+from .match import BROADCAST_ROWS, Planned, match, plan
 from .topk import top_k
 
 #: Predicates up to which all pairs are counted: for few queries that is no more work than rows' keys are.
@@ -163,6 +163,12 @@ def query_keys(g: Grid, cells: DataFrame, c: int) -> DataFrame:
     return _hashed(reduce(DataFrame.unionByName, parts), g, c)
 
 
+def _met(g: Grid, asked: DataFrame, rows: DataFrame, c: int) -> DataFrame:
+    """Queries' keys joined with rows'. Over BROADCAST_ROWS keys of queries are shuffled: Spark would judge them by the files that
+    cells are in, which are a small part of what the cells' combinations take, and send them all by way of the driver."""
+    return (asked if g.keys[c] <= BROADCAST_ROWS else asked.hint("merge")).join(rows, _names(g, c))
+
+
 def _tasks(g: Grid, c: int) -> dict[str, str]:
     """Shuffles have tasks by the number of keys."""
     spark = g.rows.sparkSession
@@ -198,7 +204,7 @@ def nearest(
         for apart in ((*per, *chunk), per) if chunk else (per,):
             least = F.row_number().over(Window.partitionBy(*names, *apart).orderBy(ids))
             rows = rows.withColumn("place", least).where(F.col("place") <= k).drop("place")
-        found = query_keys(g, cells, c).join(rows, names).select(*per, "qid", "id", capped(F.col("w")).alias("cnt"))
+        found = _met(g, query_keys(g, cells, c), rows, c).select(*per, "qid", "id", capped(F.col("w")).alias("cnt"))
         both = (found if kept is None else found.unionByName(kept.drop("rnk"))).groupBy(*per, "qid", "id").agg(F.max("cnt").alias("cnt"))
         with settings(spark, _tasks(g, c)):
             kept = materialize(top_k(both, k, descending_ids=descending_ids, per=(*per, "qid")), "kept")

@@ -97,3 +97,32 @@ def test_pairs_do_not_grow_with_rows(spark, monkeypatch):
         preds = spark.createDataFrame([(q, 0, 0, 7, 7, 1.0, 0.0) for q in range(20)] + [(q, 0, 1, q, q, 1.0, 0.0) for q in range(20)], NAMES)
         assert shared.nearest(at, preds, 3).count() == 60
     assert sizes == [20, 60, 20, 60]
+
+
+def many_keys(spark):
+    """A few rows, and 900 queries with 27 values in each of two dims: files of some kilobytes, and 656,100 keys of both dims."""
+    at = points.vector_points(from_rows(spark, [[k % 40, k % 37] for k in range(200)]))
+    preds = spark.range(900).selectExpr("id AS qid", "0 AS ord", "explode(array(0, 1)) AS dim", "CAST(id % 9 AS INT) AS lo", "CAST(id % 9 + 26 AS INT) AS up", "1.0D AS weight", "0.0D AS selectivity")
+    return at, preds
+
+
+def plans_of(monkeypatch, label):
+    seen, plain = [], shared.materialize
+
+    def noted(df, name):
+        if name == label:
+            seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(shared, "materialize", noted)
+    return seen
+
+
+def test_many_keys_of_queries_are_not_broadcast(spark, monkeypatch):
+    """They were, as their files are small: by way of the driver, whose memory they filled."""
+    at, preds = many_keys(spark)
+    plans, cols = plans_of(monkeypatch, "kept"), ["qid", "id", "cnt", "rnk"]
+    found = shared.nearest(at, preds, 4)
+    assert "SortMergeJoin" in plans[0]
+    assert "BroadcastExchange" not in plans[0]
+    assert rows_of(found, *cols) == rows_of(topk.top_k(M.match(at, preds), 4), *cols)
