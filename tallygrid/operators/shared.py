@@ -233,7 +233,7 @@ def count_rows(points: DataFrame, preds: DataFrame, *, by_id: bool = False) -> D
     spark, sums = points.sparkSession, []
     for c in range(1, len(g.levels) + 1):
         names = _names(g, c)
-        found = query_keys(g, g.cells, c).join(row_keys(g, c).groupBy(*names).agg(F.count("*").alias("n")), names)
+        found = _met(g, query_keys(g, g.cells, c), row_keys(g, c).groupBy(*names).agg(F.count("*").alias("n")), c)
         with settings(spark, _tasks(g, c)):
             sums.append(materialize(found.groupBy("qid").agg(F.sum("n").alias("n")), "sums").withColumn("c", F.lit(c)))
     just = F.explode(F.array(*(

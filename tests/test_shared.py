@@ -126,3 +126,12 @@ def test_many_keys_of_queries_are_not_broadcast(spark, monkeypatch):
     assert "SortMergeJoin" in plans[0]
     assert "BroadcastExchange" not in plans[0]
     assert rows_of(found, *cols) == rows_of(topk.top_k(M.match(at, preds), 4), *cols)
+
+
+def test_many_keys_that_count_rows_are_not_broadcast(spark, monkeypatch):
+    at, preds = many_keys(spark)
+    plans, cols = plans_of(monkeypatch, "sums"), ["qid", "cnt", "n_rows"]
+    found = shared.count_rows(at, preds)
+    assert "SortMergeJoin" in plans[1]
+    assert "BroadcastExchange" not in plans[1]
+    assert rows_of(found, *cols) == rows_of(M.match(at, preds).groupBy("qid", "cnt").agg(F.count("*").alias("n_rows")), *cols)
