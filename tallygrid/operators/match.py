@@ -32,7 +32,7 @@ def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 
 def hinted(preds: DataFrame) -> DataFrame:
-    return F.broadcast(preds) if _small(preds) else preds
+    return _marked(preds, 0 if _small(preds) else BROADCAST_ROWS + 1)
 
 
 class Sizes(NamedTuple):
@@ -67,7 +67,8 @@ def planned(preds: DataFrame) -> tuple[DataFrame, Sizes]:
 
 
 def _marked(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """More rows are never broadcast: Spark would judge those dealt out by the small file they come from."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
 
 
 def _shift(value: Column, level: Column) -> Column:

@@ -271,3 +271,15 @@ def test_all_counts_sums_no_pairs_up(spark):
     """The registered query, whose plan summed up a pair's matches in a hash table of all pairs of a task."""
     plan = planned(file_queries.all_counts(spark, "/root/testdata/sf0.001"))
     assert not re.search(r"HashAggregate\(keys=\[qid", plan) and "hashpartitioning(qid" not in plan
+
+
+def test_many_predicates_are_not_broadcast(spark, monkeypatch):
+    """Dealt out to their values they are many, and come from small files, by which Spark would have broadcast them."""
+    monkeypatch.setattr(M, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(M, "BLOCKS", 0)
+    at = points.vector_points(from_rows(spark, [[k % 7] for k in range(50)]))
+    for up in (5, 3_000):  # by values, and by segments
+        preds = spark.range(20).selectExpr("id AS qid", "0 AS ord", "0 AS dim", "CAST(id % 3 AS INT) AS lo", f"CAST(id % 3 + {up} AS INT) AS up", "1.0D AS weight", "0.0D AS selectivity")
+        counts = M.match(at, preds)
+        assert "BroadcastExchange" not in counts._jdf.queryExecution().executedPlan().toString()
+        assert counts.count() == sum(q % 3 <= k % 7 <= q % 3 + up for q in range(20) for k in range(50))
